@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, license, quality
+from . import bpe, chat, jpeg, license, mixing, prefix_counts, quality
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat.op1_chat_format,
+        "op5_token_counts": prefix_counts.op5_token_counts,
         "op6_license_scan": license.op6_license_scan,
+        "op7_jpeg_media": jpeg.op7_jpeg_media,
         "op8_quality_rules": quality.op8_quality_rules,
+        "op9_source_mix": mixing.op9_source_mix,
+        "op10_byte_bpe": bpe.op10_byte_bpe,
     }
 
 
