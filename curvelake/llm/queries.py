@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, jpeg, license, mixing, prefix_counts, quality
+from . import bpe, chat, html_text, jpeg, license, mixing, prefix_counts, quality
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat.op1_chat_format,
+        "op4_html_text": html_text.op4_html_text,
         "op5_token_counts": prefix_counts.op5_token_counts,
         "op6_license_scan": license.op6_license_scan,
         "op7_jpeg_media": jpeg.op7_jpeg_media,
