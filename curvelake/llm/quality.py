@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .words import Words, map_batches, slices, window_hashes
 
@@ -130,19 +131,17 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def filter_stage(docs: DataFrame) -> DataFrame:
-    """Rows of docs, all columns, that the policy keeps.
+    """Rows of docs, all columns, that the policy keeps."""
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text").cast("string").alias("_text"))
+    schema = T.StructType([whole.schema["_doc"], *(T.StructField(m, T.LongType()) for m in MEASURES)])
 
-    The ledger is joined by a hash of id and text, so ids may repeat or be null.
-    """
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    def run(batches):
+        for batch in batches:
+            m = measure(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(m[k]) for k in MEASURES)], names=["_doc", *MEASURES])
 
-    def run(batch):
-        m = measure(batch.column("text"))
-        yield [batch.column("_row"), *(m[k] for k in MEASURES)]
-
-    rows = map_batches(keyed.select("_row", F.col("text").cast("string")), run, "_row long, " + ", ".join(f"{m} long" for m in MEASURES))
-    bad = apply_policy(rows.withColumn("failed_bits", _failed_bits())).where("NOT kept").select("_row").distinct()
-    return keyed.join(bad, "_row", "left_anti").select(*docs.columns)
+    rows = whole.mapInArrow(run, schema).withColumn("failed_bits", _failed_bits())
+    return apply_policy(rows).where("kept").select("_doc.*")
 
 
 _WORD = r"[^\x20\x09-\x0D]+"

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, html_text, jpeg, license, mixing, prefix_counts, quality, substrings
+from . import bpe, chat, html_text, jpeg, license, mixing, neardup, prefix_counts, quality, substrings
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat.op1_chat_format,
+        "op2_ngram_jaccard": neardup.op2_ngram_jaccard,
         "op3_substring_dedup": substrings.op3_substring_dedup,
         "op4_html_text": html_text.op4_html_text,
         "op5_token_counts": prefix_counts.op5_token_counts,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat.SQL, "op3_substring_dedup": substrings.SQL, "op6_license_scan": license.SQL, "op8_quality_rules": quality.SQL}
+    return {"op1_chat_format": chat.SQL, "op2_ngram_jaccard": neardup.SQL, "op3_substring_dedup": substrings.SQL, "op6_license_scan": license.SQL, "op8_quality_rules": quality.SQL}
