@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import pinned
+from .storage import stored
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
@@ -130,7 +130,7 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     named = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], F.col("source").alias("source"), count_words(F.col("text")).alias("size"), F.xxhash64("source", *keep, "text").alias("row"))
     # rows that are alike in all of this are interchangeable; ``copy`` only keeps their places apart
     alike = Window.partitionBy("row").orderBy("size")
-    named = pinned(named.withColumn("copy", F.row_number().over(alike)))
+    named = stored(named.withColumn("copy", F.row_number().over(alike)))
     sources = plan(spark, named.select("source", "size"))
     small = F.broadcast(sources.select("source", "sid", "source_size", "target"))  # a row per source, from the driver
     sized = named.join(small.withColumnRenamed("source", "own_source"), F.col("source").eqNullSafe(F.col("own_source"))).drop("own_source")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import pinned
+from .storage import dropped, stored
 from .words import Words, few_words_hash, map_batches, mix, slices
 
 WORDS, THRESHOLD_PERCENT = 5, 80
@@ -43,7 +43,7 @@ COMMON = 64
 #: Ids are broadcast up to so many rows (16 MB at most); beyond, tables are joined by id.
 BROADCAST_ROWS = 400_000
 #: Rounds in which a block's least node outside the last one's component meets the others.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 _U = np.uint64
 
 
@@ -155,13 +155,17 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 def _shared(batches):
     """Of rows sorted by key and node: those whose key has two nodes or more, with the
-    number of its nodes, COMMON at most. At most COMMON rows of a key are held."""
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("nodes", pa.int32())])
+    number of its nodes, COMMON at most, and its least node. At most COMMON rows of a key
+    are held."""
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("nodes", pa.int32()), ("leader", pa.int64())])
 
-    def out(keys, nodes, counts):
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64()), pa.array(counts, pa.int32())], schema=schema)
+    def out(keys, nodes, counts, leaders):
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64()), pa.array(counts, pa.int32()), pa.array(leaders, pa.int64())], schema=schema)
 
-    last_key, last_node, held, many = None, None, [], False
+    def whole(key, nodes, count, leader):
+        return out(np.full(len(nodes), key), nodes, np.full(len(nodes), count), np.full(len(nodes), leader))
+
+    last_key, last_node, held, many, lead = None, None, [], False, None
     for batch in batches:
         key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(key):
@@ -178,16 +182,15 @@ def _shared(batches):
         if last_key is not None and key[0] == last_key:
             begin = int(np.searchsorted(key, last_key, "right"))
             if many:
-                yield out(key[:begin], node[:begin], np.full(begin, COMMON))
+                yield whole(last_key, node[:begin], COMMON, lead)
             else:
                 held.append(node[:begin])
                 if sum(map(len, held)) >= COMMON:
-                    all_held = np.concatenate(held)
-                    yield out(np.full(len(all_held), last_key), all_held, np.full(len(all_held), COMMON))
+                    yield whole(last_key, np.concatenate(held), COMMON, lead)
                     held, many = [], True
         if begin < len(key):
             if held and (n := sum(map(len, held))) > 1:
-                yield out(np.full(n, last_key), np.concatenate(held), np.full(n, n))
+                yield whole(last_key, np.concatenate(held), n, lead)
             held, many = [], False
             key, node = key[begin:], node[begin:]
             cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
@@ -196,16 +199,16 @@ def _shared(batches):
             each = np.repeat(size, size)[:tail]
             keep = each > 1
             if keep.any():
-                yield out(key[:tail][keep], node[:tail][keep], np.minimum(each[keep], COMMON))
-            rest = node[tail:]
+                yield out(key[:tail][keep], node[:tail][keep], np.minimum(each[keep], COMMON), np.repeat(node[cut], size)[:tail][keep])
+            rest, lead = node[tail:], node[tail]
             if len(rest) >= COMMON:
-                yield out(key[tail:], rest, np.full(len(rest), COMMON))
+                yield whole(key[tail], rest, COMMON, lead)
                 many = True
             else:
                 held = [rest]
         last_key, last_node = last_seen
     if held and (n := sum(map(len, held))) > 1:
-        yield out(np.full(n, last_key), np.concatenate(held), np.full(n, n))
+        yield whole(last_key, np.concatenate(held), n, lead)
 
 
 def _within(a: str, b: str) -> Column:
@@ -217,12 +220,11 @@ def _within(a: str, b: str) -> Column:
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts link."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "_row"), "node")
-    named = pinned(named)
+    """The pairs (a, b) of nodes whose texts link; pairs is a stored table."""
+    named = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "_row"), "node"))
     few = named.count() <= BROADCAST_ROWS
     texts = docs.select("_row", "_text").join(F.broadcast(named) if few else named, "_row").groupBy("node").agg(F.first("_text").alias("text"))
-    texts = pinned(texts)
+    texts = stored(texts)
     joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     joined = joined.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
 
@@ -240,31 +242,35 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 at += 1
         yield [a[link], b[link]]
 
-    return map_batches(joined.select("a", "b", "text_a", "text_b"), run, "a long, b long")
+    out = stored(map_batches(joined.select("a", "b", "text_a", "text_b"), run, "a long, b long"))
+    dropped(named, texts)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node that each end of the edges (a, b) can reach."""
-    both = pinned(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = pinned(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
         step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         onward = labels.select(F.col("node").alias("label"), F.col("label").alias("onward"))
-        step = pinned(step.join(onward, "label").select("node", "old", F.least("label", "onward").alias("label")))
+        step = stored(step.join(onward, "label").select("node", "old", F.least("label", "onward").alias("label")))
         labels = step.select("node", "label")
         if step.where("label != old").isEmpty():
             return labels
 
 
-def _labelled(rows: DataFrame, column: str, labels: DataFrame, name: str) -> DataFrame:
-    """rows with the component of a column's node as ``name``; a node without links is its own."""
-    other = labels.select(F.col("node").alias(column), F.col("label").alias("_l"))
-    return rows.join(other, column, "left").withColumn(name, F.coalesce("_l", column)).drop("_l")
+def _labelled(rows: DataFrame, labels: DataFrame, few: bool, *columns: tuple[str, str]) -> DataFrame:
+    """rows with the components of nodes, (column, name) each; a node without links is its own."""
+    for column, name in columns:
+        other = labels.select(F.col("node").alias(column), F.col("label").alias("_l"))
+        rows = rows.join(F.broadcast(other) if few else other, column, "left").withColumn(name, F.coalesce("_l", column)).drop("_l")
+    return rows
 
 
 def _star_pairs(rows: DataFrame, info: DataFrame) -> DataFrame:
-    """rows (key, node, leader): distinct pairs (leader, node) that the filters allow."""
+    """rows (node, leader): distinct pairs (leader, node) that the filters allow."""
     pairs = rows.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     out = pairs.join(info.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(info.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
     return out.where(_within("x", "y")).select("a", "b")
@@ -275,36 +281,58 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     docs: _row, _text; nodes: node, n, _row, p0..p3, drop0, drop1.
     """
-    shared = _keys(docs).repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, nodes int")
     info = nodes.select("node", F.struct("n", "p0", "p1", "p2", "p3").alias("sketch"))
+    shared = stored(_keys(docs).repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, nodes int, leader long"))
+    tested = [stored(_star_pairs(shared, info))]
+    edges = [_verified(tested[0], nodes, docs)]
+    labels = components(edges[0])
+    few = labels.count() <= BROADCAST_ROWS
+
+    # blocks in which some node is outside the least node's component
+    marked = _labelled(shared, labels, few, ("node", "label"), ("leader", "leading"))
+    keys = stored(marked.where("label != leading").select("key").distinct())
+    some = keys.count() <= BROADCAST_ROWS
+    mixed = shared.join(F.broadcast(keys) if some else keys, "key", "left_semi")
+    # of these, those that neither node may drop as one of its most common
     even = F.col("key").bitwiseAND(F.lit(1)) == 0
     order = Window.partitionBy("node", even).orderBy(F.desc("nodes"), "key")  # a set's blocks: bounded by its text
-    kept = shared.join(nodes.select("node", "drop0", "drop1"), "node").withColumn("_k", F.row_number().over(order))
-    kept = pinned(kept.where(F.col("_k") > F.when(even, F.col("drop0")).otherwise(F.col("drop1"))).select("key", "node"))
+    own = shared.join(mixed.select("node").distinct(), "node", "left_semi").select("key", "node", "nodes")
+    ranked = own.join(nodes.select("node", "drop0", "drop1"), "node").withColumn("_k", F.row_number().over(order))
+    kept = ranked.where(F.col("_k") > F.when(even, F.col("drop0")).otherwise(F.col("drop1"))).select("key", "node")
+    kept = stored(kept.join(F.broadcast(keys) if some else keys, "key", "left_semi"))
+    dropped(shared, keys)
 
-    edges, tested, active = [], [], kept
     for _ in range(STAR_ROUNDS):
-        leaders = active.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("_most")).where("leader < _most").drop("_most")
-        star = active.join(leaders, "key")
-        tested.append(pinned(_star_pairs(star, info)))
-        edges.append(pinned(_verified(tested[-1], nodes, docs)))
-        labels = components(_all(edges))
-        marked = _labelled(_labelled(star, "node", labels, "label"), "leader", labels, "leading")
-        active = pinned(marked.where("label != leading").select("key", "node"))
-        if active.isEmpty():
+        labelled = _labelled(kept, labels, few, ("node", "label"))
+        leading = _leading(labelled)
+        outside = stored(labelled.join(leading, "key").where("label != leading").select("key", "node"))
+        leaders = outside.groupBy("key").agg(F.min("node").alias("leader"))
+        pairs = _star_pairs(outside.join(leaders, "key"), info)
+        tested.append(stored(pairs.join(_all(tested), ["a", "b"], "left_anti")))
+        dropped(outside)
+        edges.append(_verified(tested[-1], nodes, docs))
+        if edges[-1].isEmpty():
             break
+        labels = components(_all(edges))
+        few = labels.count() <= BROADCAST_ROWS
     # what is outside a block's largest component meets every node of the block in another one
-    labelled = _labelled(kept, "node", labels, "label")
-    counts = labelled.groupBy("key", "label").agg(F.count("*").alias("size"))
-    leading = counts.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("leading"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-    mixed = pinned(labelled.join(leading, "key").join(info, "node"))
-    x = mixed.where("label != leading").select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("x"))
-    y = mixed.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("sketch").alias("y"))
+    labelled = _labelled(kept, labels, few, ("node", "label"))
+    open_blocks = stored(labelled.join(_leading(labelled), "key").join(info, "node"))
+    x = open_blocks.where("label != leading").select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("x"))
+    y = open_blocks.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("sketch").alias("y"))
     pairs = x.join(y, "key").where((F.col("la") != F.col("lb")) & _within("x", "y")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges.append(pinned(_verified(pinned(pairs.join(_all(tested), ["a", "b"], "left_anti")), nodes, docs)))
+    last = stored(pairs.join(_all(tested), ["a", "b"], "left_anti"))
+    edges.append(_verified(last, nodes, docs))
+    dropped(open_blocks, kept, last, *tested)
     return _all(edges)
 
 
+def _leading(labelled: DataFrame) -> DataFrame:
+    """(key, leading): the largest component of each block that has several."""
+    counts = labelled.groupBy("key", "label").agg(F.count("*").alias("size"))
+    return counts.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("leading"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+
+
 def _all(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for table in tables[1:]:
@@ -320,9 +348,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """A row for each row of docs (doc_id, text and others): _row, doc_id, n_shingles,
     component_id (the least doc_id that links reach)."""
     rows = _prepared(docs)
-    sets = pinned(_sets(rows))
+    sets = stored(_sets(rows))
     filled = sets.where("n > 0")
-    nodes = pinned(filled.groupBy("node").agg(F.min("_row").alias("_row"), F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3", "drop0", "drop1")]))
+    nodes = stored(filled.groupBy("node").agg(F.min("_row").alias("_row"), F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3", "drop0", "drop1")]))
     labels = components(links(rows, nodes))
     named = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     # rows of one id with several texts tie their components together
@@ -349,7 +377,7 @@ def dedup_stage(docs: DataFrame) -> DataFrame:
     marked = docs.withColumn("_row", F.xxhash64(*docs.columns))
     found = near_duplicates(docs).where("n_shingles > 0 AND doc_id IS NOT NULL")
     best = found.groupBy("component_id").agg(F.min_by("_row", F.struct("doc_id", "_row")).alias("_row"))
-    drop = pinned(found.join(best.select("_row"), "_row", "left_anti").select("_row").distinct())
+    drop = stored(found.join(best.select("_row"), "_row", "left_anti").select("_row").distinct())
     few = drop.count() <= BROADCAST_ROWS
     kept = marked.join(F.broadcast(drop) if few else drop, "_row", "left_anti")
     if not marked.groupBy("_row").count().where("count > 1").isEmpty():

@@ -2,28 +2,39 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _ready(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
     """The session's own checkpoint folder; one of ours only where none is set, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-
-
-def pinned(df: DataFrame) -> DataFrame:
-    """df computed once and read back from the shared folder, safe from lost executors."""
-    _ready(df.sparkSession)
-    return df.checkpoint()
+    return context.getCheckpointDir().rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder, and read again."""
-    _ready(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}"
+    """df written as Parquet to the shared folder, and read again: computed once, and safe
+    from lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more, and lets Spark clear the shuffle
+    files of what has been collected."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if path.rsplit("/", 1)[0].rstrip("/").endswith(shared_folder(table.sparkSession).rsplit("/", 1)[1]):
+                target = context._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
