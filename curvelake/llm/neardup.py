@@ -4,9 +4,9 @@ A text's set holds its distinct 5-word shingles (A-Z lowered); texts link when t
 sets' Jaccard similarity is at least THRESHOLD_PERCENT.  Texts of equal sets are one
 node, so copies cost nothing further.
 
-Sketch: a hash sends each shingle to one of P blocks and to one bit of the block's
-64-bit word, which it flips.  Two sets whose sketches differ in h bits differ in at
-least h shingles, so linked sets, which differ in at most (a + b) / 9 of theirs (at
+Sketch: a hash sends each shingle to one of P blocks and to one of the block's 2^32
+bits, which it flips; a block is kept as the XOR of its set bits' hashes, since few of
+them are set.  Two sets whose sketches differ in h bits differ in at least h shingles, so linked sets, which differ in at most (a + b) / 9 of theirs (at
 80 %), differ in at most d blocks.  P = d + 1 + r blocks then leave r + 1 equal
 blocks at least, and each set may drop its r most common blocks (by one global order:
 empty ones, then by how many nodes share the block): the least common equal block
@@ -102,7 +102,8 @@ def blocks(shingles: np.ndarray, band: int) -> tuple[np.ndarray, int]:
     _, _, p = bands()[band]
     h = mix(shingles + _U(band + 1))
     word = np.zeros(p, _U)
-    np.bitwise_xor.at(word, ((h >> _U(32)) * _U(p) >> _U(32)).astype(np.int64), _U(1) << (h & _U(63)))
+    # the hash of a block is the XOR of its set bits' hashes: a bit flipped twice cancels
+    np.bitwise_xor.at(word, ((h >> _U(32)) * _U(p) >> _U(32)).astype(np.int64), mix((h & _U(0xFFFFFFFF)) + _U(0x9E3779B97F4A7C15)))
     number = np.arange(p, dtype=_U)
     empty = word == 0
     drops = p - 1 - bands()[band][1] - int(empty.sum())
