@@ -1,19 +1,771 @@
-"""The registered queries over the curve tables."""
+"""The registered queries over the curve tables, with SQL where SQL can express them.
+
+Embeddings are curves on a unit grid, customer nations have monthly revenue curves,
+users have irregular event curves.  Floats are rounded to six places.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from curvelake.functions import numeric as nm
+from curvelake.operators import cluster, depth, elastic, infer, metrics, monitor, pointwise, reduce, regress, season, smooth
+from curvelake.operators.apply import per_curve
+from curvelake.sources import curves as src
+
+EMB, REV, EV = src.embeddings, src.nation_revenue, src.user_events
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        _QUERIES[fn.__name__] = fn
+        if sql:
+            _SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def r(x, places: int = 6):
+    """Rounded, without a negative zero."""
+    return F.round(F.col(x) if isinstance(x, str) else x, places) + F.lit(0.0)
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    return df.select(*[r(c, places).alias(c) if t == "double" else F.transform(c, lambda x: F.round(x, 6) + F.lit(0.0)).alias(c) if t == "array<double>" else F.col(c) for c, t in df.dtypes])
+
+
+def rows(spark, columns: str, data) -> DataFrame:
+    """A small fitted result as a table."""
+    return rounded(spark.createDataFrame([tuple(x.item() if isinstance(x, np.generic) else x for x in row) for row in data], columns))
+
+
+def curve_rows(spark, *curves, names=("value",)) -> DataFrame:
+    """Curves of the grid as rows: pos and a column each."""
+    return rows(spark, "pos int, " + ", ".join(f"{n} double" for n in names), [(k, *(float(c[k]) for c in curves)) for k in range(len(curves[0]))])
+
+
+# ---- SQL pieces ----
+
+_C = "c AS (SELECT vec_id AS id, label, generate_subscripts(embedding, 1)::INT - 1 AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings)"
+_GRID = nm.unit_grid(src.EMBEDDING_POINTS)
+_W = nm.simpson_weights(_GRID)
+_WEIGHTS = "w AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {float(x)!r}::DOUBLE)" for k, x in enumerate(_W)) + ") t(pos, w))"
+_R = "r AS (SELECT id, pos, v, count(*) OVER (PARTITION BY pos) AS n, rank() OVER (PARTITION BY pos ORDER BY v) - 1 AS lt, count(*) OVER (PARTITION BY pos ORDER BY v RANGE UNBOUNDED PRECEDING) AS le FROM c)"
+_PAIR = "p AS (SELECT a.id AS i, b.id AS j, a.v AS x, b.v AS y, w FROM c a JOIN c b USING (pos) JOIN w USING (pos) WHERE a.id < b.id)"
+_D2 = f"WITH {_C}, {_WEIGHTS}, {_PAIR}, d AS (SELECT i, j, sqrt(sum(w * (x - y) * (x - y))) AS d FROM p GROUP BY i, j)"
+_BOTH = "m AS (SELECT i, j, d FROM d UNION ALL SELECT j, i, d FROM d)"
+_LABEL = "l AS (SELECT vec_id AS id, label FROM embeddings)"
+
+
+def _z(x: str) -> str:
+    return f"round({x}, 6) + 0.0"
+
+
+# ---- pointwise ----
+
+
+@query(f"WITH {_C} SELECT pos, {_z('avg(v)')} AS mean, {_z('var_samp(v)')} AS variance, {_z('stddev_samp(v)')} AS std FROM c GROUP BY pos")
+def pointwise_summary(spark, d):
+    return rounded(pointwise.summary(EMB(spark, d)))
+
+
+@query(f"WITH {_C}, m AS (SELECT pos, avg(v) AS m FROM c GROUP BY pos) SELECT id, pos, {_z('v - m')} AS v FROM c JOIN m USING (pos)")
+def center_1d(spark, d):
+    return rounded(pointwise.center(EMB(spark, d)).long())
+
+
+@query(f"WITH {_C} SELECT a.pos AS pos_s, b.pos AS pos_t, {_z('covar_samp(a.v, b.v)')} AS cov FROM c a JOIN c b USING (id) GROUP BY ALL")
+def functional_covariance(spark, d):
+    return rounded(pointwise.covariance_rows(EMB(spark, d)))
+
+
+@query(f"WITH {_C}, {_WEIGHTS} SELECT id, {_z('sum(v * w)')} AS integral FROM c JOIN w USING (pos) GROUP BY id")
+def integrate_simpson(spark, d):
+    return rounded(pointwise.integrate(EMB(spark, d)))
+
+
+@query(f"WITH {_C}, {_WEIGHTS} SELECT id, {_z('sum(abs(v) * w)')} AS norm FROM c JOIN w USING (pos) GROUP BY id")
+def norm_l1(spark, d):
+    return rounded(pointwise.norm_lp(EMB(spark, d), 1))
+
+
+@query(f"WITH {_C}, {_WEIGHTS} SELECT id, {_z('sqrt(sum(v * v * w))')} AS norm FROM c JOIN w USING (pos) GROUP BY id")
+def norm_l2(spark, d):
+    return rounded(pointwise.norm_lp(EMB(spark, d), 2))
+
+
+@query(f"WITH {_C} SELECT id, {_z('max(abs(v))')} AS norm FROM c GROUP BY id")
+def norm_sup(spark, d):
+    return rounded(pointwise.norm_lp(EMB(spark, d), float("inf")))
+
+
+@query(f"WITH {_C}, {_WEIGHTS} SELECT a.id AS i, b.id AS j, {_z('sum(w * a.v * b.v)')} AS product FROM c a JOIN c b USING (pos) JOIN w USING (pos) WHERE a.id <= b.id GROUP BY ALL")
+def inner_product_matrix(spark, d):
+    return rounded(pointwise.inner_products(EMB(spark, d)))
+
+
+_H = repr(float(_GRID[1]))
+
+
+@query(f"WITH {_C}, s AS (SELECT id, pos, v, lag(v) OVER o AS a, lead(v) OVER o AS b FROM c WINDOW o AS (PARTITION BY id ORDER BY pos)) SELECT id, pos, {_z(f'CASE WHEN a IS NULL THEN (b - v) / {_H} WHEN b IS NULL THEN (v - a) / {_H} ELSE (b - a) / (2 * {_H}) END')} AS v FROM s")
+def deriv_1d(spark, d):
+    return rounded(pointwise.derivative(EMB(spark, d)).long())
+
+
+def _scaled(expr: str) -> str:
+    return f"WITH {_C}, m AS (SELECT pos, avg(v) AS m, stddev_samp(v) AS s, min(v) AS lo, max(v) AS hi FROM c GROUP BY pos), k AS (SELECT id, avg(v) AS km, stddev_samp(v) AS ks, min(v) AS klo, max(v) AS khi FROM c GROUP BY id) SELECT id, pos, {_z(expr)} AS v FROM c JOIN m USING (pos) JOIN k USING (id)"
+
+
+def _scaling(how: str, expr: str) -> None:
+    def run(spark, d):
+        return rounded(pointwise.normalize(EMB(spark, d), how).long())
+
+    run.__name__ = f"normalize_{how}"
+    query(_scaled(expr))(run)
+
+
+for _how, _expr in {"autoscale": "(v - m) / s", "pareto": "(v - m) / sqrt(s)", "range": "(v - lo) / (hi - lo)", "curve_center": "v - km", "curve_standardize": "(v - km) / ks", "curve_range": "(v - klo) / (khi - klo)"}.items():
+    _scaling(_how, _expr)
+
+
+@query(f"WITH {_C}, {_WEIGHTS}, m AS (SELECT pos, avg(v) AS f FROM c GROUP BY pos), s AS (SELECT id, sum(w * abs(v - f)) AS a, sum(w * (v - f) * (v - f)) AS s, sum(w * (v - f)) / sum(w) AS me, sum(w * v) / sum(w) AS my FROM c JOIN w USING (pos) JOIN m USING (pos) GROUP BY id), e AS (SELECT id, 1 - sum(w * (v - f - me) * (v - f - me)) / sum(w * (v - my) * (v - my)) AS ev FROM c JOIN w USING (pos) JOIN m USING (pos) JOIN s USING (id) GROUP BY id) SELECT {_z('avg(a)')} AS mae, {_z('avg(s)')} AS mse, {_z('avg(ev)')} AS explained_variance FROM s JOIN e USING (id)")
+def functional_scores(spark, d):
+    c = EMB(spark, d)
+    mean = c.df.select("id", F.lit([float(x["mean"]) for x in pointwise.mean(c).orderBy("pos").collect()]).alias("values"))
+    return rounded(pointwise.scores(c, c.with_df(mean)).select("mae", "mse", "explained_variance"))
+
+
+@query()
+def geometric_median(spark, d):
+    return curve_rows(spark, pointwise.geometric_median(EMB(spark, d)))
+
+
+@query(f"WITH {_C}, {_R}, f AS (SELECT id, avg(least(le / n, 1 - le / n)) AS d FROM r GROUP BY id), k AS (SELECT id, row_number() OVER (ORDER BY d, id) AS k, count(*) OVER () AS n FROM f) SELECT pos, {_z('avg(v)')} AS mean FROM c JOIN k USING (id) WHERE k > floor(0.2 * n) GROUP BY pos")
+def trim_mean(spark, d):
+    c = EMB(spark, d)
+    return rounded(pointwise.trimmed_mean(c, depth.fraiman_muniz(c), 0.2))
+
+
+# ---- depth ----
+
+
+def _depth(name: str, sql: str | None, fn, places: int = 6) -> None:
+    def run(spark, d):
+        return rounded(fn(EMB(spark, d)), places)
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+def _rank_sql(expr: str) -> str:
+    return f"WITH {_C}, {_R} SELECT id, round({expr}, 12) + 0.0 AS depth FROM r GROUP BY id"  # shares of n: short decimals
+
+
+def _all_pairs_sql(expr: str, inner: str) -> str:
+    return f"WITH {_C}, k AS (SELECT count(*)::DOUBLE AS n FROM embeddings), o AS (SELECT a.id, b.id AS j, {inner} FROM c a JOIN c b USING (pos) GROUP BY ALL) SELECT id, {_z(expr)} AS depth FROM o, k GROUP BY id, n"
+
+
+_depth("fm_depth", _rank_sql("avg(least(le / n, 1 - le / n))"), depth.fraiman_muniz, 12)
+_depth("fm_depth_scaled", _rank_sql("avg(2 * least(le / n, 1 - le / n))"), lambda c: depth.fraiman_muniz(c, True, buckets=4), 12)
+_depth("mbd_depth", _rank_sql("avg(1 - (lt * (lt - 1) / 2 + (n - le) * (n - le - 1) / 2) / (n * (n - 1) / 2))"), depth.modified_band, 12)
+_depth("mei_depth", _rank_sql("avg((n - lt) / n)"), depth.modified_epigraph, 12)
+_depth("mhi_depth", _rank_sql("avg(le / n)"), depth.modified_hypograph, 12)
+_depth("mhrd_depth", _rank_sql("least(avg((n - lt) / n), avg(le / n))"), depth.modified_half_region, 12)
+_depth("tvd_depth", _rank_sql("avg(le / n * (1 - le / n))"), depth.total_variation, 12)
+_depth("erl_depth", f"WITH {_C}, {_R}, s AS (SELECT id, list(least(lt + 1, n - le + 1) ORDER BY least(lt + 1, n - le + 1)) AS x, max(n) AS n FROM r GROUP BY id) SELECT id, {_z('count(*) OVER (ORDER BY x RANGE UNBOUNDED PRECEDING) / n')} AS depth FROM s", depth.extreme_rank_length)
+_depth("ei_depth", _all_pairs_sql("sum(u::INT) / n", "bool_and(a.v <= b.v) AS u"), depth.epigraph)
+_depth("hi_depth", _all_pairs_sql("sum(u::INT) / n", "bool_and(a.v >= b.v) AS u"), depth.hypograph)
+_depth("hrd_depth", _all_pairs_sql("least(sum(u::INT) / n, sum(l::INT) / n)", "bool_and(a.v <= b.v) AS u, bool_and(a.v >= b.v) AS l"), depth.half_region)
+_depth("sup_depth", _all_pairs_sql("1 / (1 + sum(s) / n)", "max(abs(a.v - b.v)) AS s"), depth.sup_depth)
+_depth("modal_depth", _all_pairs_sql("sum(exp(-s / (2 * 0.15 * 0.15))) / n", "avg((a.v - b.v) * (a.v - b.v)) AS s"), depth.modal)
+_depth("spatial_depth", f"WITH {_C}, {_WEIGHTS}, k AS (SELECT count(*)::DOUBLE AS n FROM embeddings), o AS (SELECT a.id, b.id AS j, sqrt(sum(w * (a.v - b.v) * (a.v - b.v))) AS s FROM c a JOIN c b USING (pos) JOIN w USING (pos) WHERE a.id <> b.id GROUP BY ALL), u AS (SELECT o.id, a.pos, sum((a.v - b.v) / s) AS u FROM o JOIN c a ON a.id = o.id JOIN c b ON b.id = o.j AND b.pos = a.pos WHERE s > 1e-12 GROUP BY ALL) SELECT id, {_z('1 - sqrt(sum(w * (u / n) * (u / n)))')} AS depth FROM u JOIN w USING (pos), k GROUP BY id", depth.spatial)
+_depth("extremal_depth", None, depth.extremal)
+_depth("bd_depth", None, depth.band)
+_depth("kfsd_depth", None, lambda c: depth.kernel_spatial(c, 1.0))
+_depth("random_projection_depth", None, depth.random_projection)
+_depth("random_tukey_depth", None, lambda c: depth.random_projection(c, how="min"))
+_depth("rpd_depth", None, lambda c: depth.random_projection(c, derivatives=1))
+
+
+@query(f"WITH {_C}, {_R}, f AS (SELECT id, avg(1 - (lt * (lt - 1) / 2 + (n - le) * (n - le - 1) / 2) / (n * (n - 1) / 2)) AS d, max(n) AS n FROM r GROUP BY id), k AS (SELECT id, d, row_number() OVER (ORDER BY d DESC, id) AS k, n FROM f), q AS (SELECT id, d, k <= ceil(n / 2) AS central FROM k), b AS (SELECT pos, min(v) AS lo, max(v) AS hi FROM c JOIN q USING (id) WHERE central GROUP BY pos) SELECT id, {_z('any_value(d)')} AS depth, any_value(central) AS central, bool_or(v < lo - 1.5 * (hi - lo) OR v > hi + 1.5 * (hi - lo)) AS outlier FROM c JOIN q USING (id) JOIN b USING (pos) GROUP BY id")
+def functional_boxplot(spark, d):
+    c = EMB(spark, d)
+    return rounded(depth.boxplot(c, depth.modified_band(c))[1])
+
+
+@query()
+def outliergram(spark, d):
+    return rounded(depth.outliergram(EMB(spark, d)))
+
+
+@query()
+def muod(spark, d):
+    return rounded(depth.muod(EMB(spark, d)))
+
+
+@query()
+def magnitude_shape(spark, d):
+    return rounded(depth.magnitude_shape(EMB(spark, d)))
+
+
+@query()
+def detect_outliers_lrt(spark, d):
+    c = EMB(spark, d)
+    return rounded(depth.lrt_outliers(c, depth.lrt_threshold(c, 20)))
+
+
+@query()
+def sequential_transform_outliers(spark, d):
+    return depth.sequential_outliers(EMB(spark, d))
+
+
+# ---- distances ----
+
+
+def _distances(name: str, sql: str | None, metric: str, **options) -> None:
+    def run(spark, d):
+        return rounded(metrics.self_distances(EMB(spark, d), metric, **options))
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_distances("l2_distance_matrix", f"{_D2} SELECT i, j, {_z('d')} AS d FROM d", "lp")
+_distances("l1_distance_matrix", f"WITH {_C}, {_WEIGHTS}, {_PAIR} SELECT i, j, {_z('sum(w * abs(x - y))')} AS d FROM p GROUP BY i, j", "lp", p=1.0)
+_distances("euclidean_distance_matrix", f"WITH {_C}, {_WEIGHTS}, {_PAIR} SELECT i, j, {_z('sqrt(sum((x - y) * (x - y)))')} AS d FROM p GROUP BY i, j", "euclidean")
+_WD = nm.simpson_weights((_GRID[1:] + _GRID[:-1]) / 2)
+_distances("deriv_distance_matrix", f"WITH {_C}, w AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {float(x)!r}::DOUBLE)" for k, x in enumerate(_WD)) + f") t(pos, w)), g AS (SELECT id, pos, (lead(v) OVER (PARTITION BY id ORDER BY pos) - v) / {_H} AS v FROM c) SELECT a.id AS i, b.id AS j, {_z('sqrt(sum(w * (a.v - b.v) * (a.v - b.v)))')} AS d FROM g a JOIN g b USING (pos) JOIN w USING (pos) WHERE a.id < b.id GROUP BY ALL", "deriv")
+_distances("kl_distance_matrix", None, "kl")
+_distances("hshift_distance_matrix", None, "hshift")
+_distances("fourier_distance_matrix", None, "fourier")
+_distances("basis_coef_distance_matrix", None, "basis")
+_distances("pca_distance_matrix", None, "pca")
+_distances("hausdorff_distance_matrix", None, "hausdorff")
+
+
+def _nations(name: str, metric: str, **options) -> None:
+    def run(spark, d):
+        c = pointwise.normalize(REV(spark, d), "curve_standardize")
+        return rounded(metrics.self_distances(c, metric, **options))
+
+    run.__name__ = name
+    query()(run)
+
+
+_nations("dtw_distance_matrix", "dtw", width=10)
+_nations("soft_dtw_distance_matrix", "soft_dtw")
+_nations("soft_dtw_divergence_matrix", "soft_dtw_divergence")
+
+
+# ---- clustering and classification ----
+
+
+def _labels(c: src.Curves, name: str) -> DataFrame:
+    return c.df.select("id", F.col("label").alias(name))
+
+
+@query(f"{_D2}, {_BOTH}, {_LABEL}, k AS (SELECT label, count(*) AS n FROM l GROUP BY label), s AS (SELECT m.i, lj.label AS lj, any_value(li.label) AS li, sum(d) AS s FROM m JOIN l lj ON lj.id = j JOIN l li ON li.id = i GROUP BY m.i, lj.label), q AS (SELECT i, coalesce(max(CASE WHEN lj = li AND n > 1 THEN s / (n - 1) END), 0) AS a, coalesce(min(CASE WHEN lj <> li THEN s / n END), 0) AS b FROM s JOIN k ON k.label = lj GROUP BY i) SELECT i AS id, {_z('CASE WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END')} AS silhouette FROM q")
+def silhouette_score(spark, d):
+    c = EMB(spark, d)
+    return rounded(cluster.silhouette(metrics.self_distances(c), _labels(c, "cluster")))
+
+
+@query(f"WITH {_C}, {_WEIGHTS}, g AS (SELECT label, pos, avg(v) AS m FROM c GROUP BY ALL), a AS (SELECT pos, avg(v) AS a FROM c GROUP BY pos), s AS (SELECT sum(w * (v - m) * (v - m)) AS win, sum(w * (m - a) * (m - a)) AS bet FROM c JOIN g USING (label, pos) JOIN a USING (pos) JOIN w USING (pos)), k AS (SELECT count(DISTINCT label) AS k, count(*) AS n FROM embeddings) SELECT {_z('bet / (k - 1) / (win / (n - k))')} AS ch FROM s, k")
+def calinski_harabasz(spark, d):
+    return rows(spark, "ch double", [(cluster.calinski_harabasz(EMB(spark, d), "label"),)])
+
+
+@query(f"{_D2}, {_LABEL}, s AS (SELECT sum(CASE WHEN a.label = b.label THEN d * d ELSE 0 END) AS win, sum(CASE WHEN a.label <> b.label THEN d * d ELSE 0 END) AS bet FROM d JOIN l a ON a.id = i JOIN l b ON b.id = j), k AS (SELECT count(DISTINCT label) AS k, count(*) AS n FROM l) SELECT {_z('bet / (k - 1) / (win / (n - k))')} AS ch FROM s, k")
+def calinski_harabasz_from_distances(spark, d):
+    c = EMB(spark, d)
+    return rounded(cluster.calinski_harabasz_from_distances(metrics.self_distances(c), _labels(c, "cluster")))
+
+
+@query(f"{_D2}, {_BOTH}, {_LABEL}, q AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM m), v AS (SELECT i, label, count(*) AS n FROM q JOIN l ON l.id = j WHERE k <= 5 GROUP BY ALL), b AS (SELECT i, label, row_number() OVER (PARTITION BY i ORDER BY n DESC, label DESC) AS k FROM v) SELECT l.id, l.label, b.label AS predicted FROM l JOIN b ON b.i = l.id AND k = 1")
+def knn_classify_from_distances(spark, d):
+    c = EMB(spark, d)
+    return cluster.knn_classify(metrics.self_distances(c), _labels(c, "label")).select("id", "label", "predicted")
+
+
+@query(f"{_D2}, {_BOTH}, {_LABEL}, v AS (SELECT i, label, sum(exp(-d * d / 2)) AS n FROM m JOIN l ON l.id = j GROUP BY ALL), b AS (SELECT i, label, row_number() OVER (PARTITION BY i ORDER BY n DESC, label) AS k FROM v) SELECT l.id, l.label, b.label AS predicted FROM l JOIN b ON b.i = l.id AND k = 1")
+def kernel_classify_from_distances(spark, d):
+    c = EMB(spark, d)
+    return cluster.kernel_classify(metrics.self_distances(c), _labels(c, "label"), 1.0).select("id", "label", "predicted")
+
+
+@query(f"{_D2}, {_BOTH}, {_LABEL}, s AS (SELECT i, sum(exp(-d * d / 2)) AS w, sum(exp(-d * d / 2) * label) AS wy FROM m JOIN l ON l.id = j GROUP BY i) SELECT l.id, label::DOUBLE AS y, {_z('wy / w')} AS fit FROM l JOIN s ON s.i = l.id")
+def fregre_np_from_distances(spark, d):
+    c = EMB(spark, d)
+    return rounded(regress.nonparametric(metrics.mirrored(metrics.self_distances(c)), c.df.select("id", F.col("label").cast("double").alias("y")), 1.0))
+
+
+@query()
+def dbscan_fd(spark, d):
+    c = EMB(spark, d)
+    return cluster.dbscan(metrics.self_distances(c), c.df.select("id"), 0.12, 4)
+
+
+@query()
+def kmedoids_from_distances(spark, d):
+    c = EMB(spark, d)
+    return cluster.kmedoids(metrics.self_distances(c).cache(), c.df.select("id"), 5)
+
+
+@query()
+def kmeans_fd(spark, d):
+    return rounded(cluster.kmeans(EMB(spark, d), 10)[1].select("id", "cluster", "distance"))
+
+
+@query()
+def fuzzy_cmeans_fd(spark, d):
+    return rounded(cluster.fuzzy_cmeans(EMB(spark, d), 4, max_iter=20)[1].select("id", "membership", "cluster"))
+
+
+@query()
+def gmm_cluster(spark, d):
+    return cluster.gmm(EMB(spark, d), 4, max_iter=30)[3].select("id", "cluster")
+
+
+@query()
+def kcfc_cluster(spark, d):
+    return cluster.kcfc(EMB(spark, d), 3, max_iter=5)
+
+
+@query()
+def fclassif_lda(spark, d):
+    c = EMB(spark, d)
+    return cluster.classify(c, cluster.discriminant(c, "label", 8)[0]).select("id", "label", "predicted")
+
+
+@query()
+def fclassif_qda(spark, d):
+    c = EMB(spark, d)
+    return cluster.classify(c, cluster.discriminant(c, "label", 4, True)[0]).select("id", "label", "predicted")
+
+
+@query()
+def fclassif_dd(spark, d):
+    return rounded(cluster.dd_classify(EMB(spark, d), "label").select("id", "label", "predicted", "depth"))
+
+
+@query("SELECT round(avg(CASE WHEN (o_totalprice > 150000) = (o_orderpriority < '3') THEN 1.0 ELSE 0 END), 6) AS accuracy, round(sum(CASE WHEN o_totalprice > 150000 AND o_orderpriority < '3' THEN 1.0 ELSE 0 END) / sum(CASE WHEN o_orderpriority < '3' THEN 1 ELSE 0 END), 6) AS precision, round(sum(CASE WHEN o_totalprice > 150000 AND o_orderpriority < '3' THEN 1.0 ELSE 0 END) / sum(CASE WHEN o_totalprice > 150000 THEN 1 ELSE 0 END), 6) AS recall FROM orders")
+def classification_metrics(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_totalprice") > 150000).cast("int").alias("y"), (F.col("o_orderpriority") < "3").cast("int").alias("fit"))
+    return rounded(pointwise.classification_metrics(o).select("accuracy", "precision", "recall"))
+
+
+# ---- components and regression ----
+
+
+@query()
+def fpca_scores(spark, d):
+    c = EMB(spark, d)
+    return rounded(reduce.scores(c, reduce.fpca(c, 5)))
+
+
+@query()
+def fpca_loadings(spark, d):
+    m = reduce.fpca(EMB(spark, d), 3)
+    return curve_rows(spark, m.mean, *m.loadings.T, names=("mean", "pc1", "pc2", "pc3"))
+
+
+@query()
+def fpca_reconstruct(spark, d):
+    c = EMB(spark, d)
+    m = reduce.fpca(c, 5)
+    return rounded(reduce.reconstruct(reduce.scores(c, m), m))
+
+
+@query()
+def pls_scores(spark, d):
+    c = EMB(spark, d)
+    m = reduce.pls(c, "label", 3)
+    return rounded(per_curve(c.df, m.project, "scores array<double>"))
+
+
+@query()
+def fregre_lm(spark, d):
+    c = EMB(spark, d)
+    return rounded(regress.linear(c, "label", 4).predict(c))
+
+
+@query()
+def fregre_pls(spark, d):
+    c = EMB(spark, d)
+    return rounded(regress.linear_pls(c, "label", 3).predict(c))
+
+
+@query()
+def functional_logistic(spark, d):
+    c = EMB(spark, d)
+    c = c.with_df(c.df.withColumn("y", (F.col("label") < 5).cast("double")))
+    return rounded(regress.glm(c, "y", "binomial", 4).predict(c).select("id", "y", "fit"))
+
+
+@query()
+def functional_poisson(spark, d):
+    c = EMB(spark, d)
+    return rounded(regress.glm(c, "label", "poisson", 3).predict(c).select("id", "label", "fit"))
+
+
+@query()
+def fregre_huber(spark, d):
+    c = EMB(spark, d)
+    return rounded(regress.robust(c, "label", 3).predict(c))
+
+
+@query()
+def fregre_l1(spark, d):
+    c = EMB(spark, d)
+    return rounded(regress.robust(c, "label", 3, "l1").predict(c))
+
+
+@query()
+def ridge_regression(spark, d):
+    return curve_rows(spark, regress.ridge(EMB(spark, d), "label", 1.0)[1])
+
+
+@query()
+def influence_diagnostics(spark, d):
+    c = EMB(spark, d)
+    return rounded(regress.influence(c, "label", regress.linear(c, "label", 3)))
+
+
+@query(f"WITH {_C}, b AS (SELECT pos, regr_slope(v, label) AS slope, regr_intercept(v, label) AS icept, regr_r2(v, label) AS r2 FROM c GROUP BY pos) SELECT pos, {_z('icept')} AS intercept, {_z('slope')} AS slope, {_z('r2')} AS r2 FROM b")
+def function_on_scalar(spark, d):
+    b, _, r2, _, _ = regress.function_on_scalar(EMB(spark, d), ["label"])
+    return curve_rows(spark, b[0], b[1], r2, names=("intercept", "slope", "r2"))
+
+
+@query(f"WITH {_C}, g AS (SELECT label, pos, avg(v) AS m, count(*) AS n FROM c GROUP BY ALL), a AS (SELECT pos, avg(v) AS a FROM c GROUP BY pos), s AS (SELECT pos, sum((v - m) * (v - m)) AS win, sum((m - a) * (m - a)) AS bet, count(DISTINCT label) AS k, count(*) AS n FROM c JOIN g USING (label, pos) JOIN a USING (pos) GROUP BY pos) SELECT pos, {_z('bet / (k - 1) / (win / (n - k))')} AS f FROM s")
+def fanova(spark, d):
+    return curve_rows(spark, regress.fanova(EMB(spark, d), "label", 0)[0], names=("f",))
+
+
+@query()
+def function_on_function(spark, d):
+    c = EMB(spark, d)
+    y = pointwise.derivative(c)
+    return rounded(regress.predict_function_on_function(c, regress.function_on_function(c, y)))
+
+
+@query()
+def concurrent_regression(spark, d):
+    c = EMB(spark, d)
+    b = regress.concurrent(pointwise.derivative(c), [c])
+    return curve_rows(spark, *b, names=("intercept", "slope"))
+
+
+@query()
+def dynamical_correlation(spark, d):
+    c = EMB(spark, d)
+    return rows(spark, "value double", [(reduce.dynamical_correlation(c, pointwise.derivative(c)),)])
+
+
+@query()
+def andrews_transform(spark, d):
+    c = EMB(spark, d)
+    return rounded(reduce.andrews(c.df.select("id", F.slice("values", 1, 5).alias("features")), np.linspace(-np.pi, np.pi, 21)))
+
+
+# ---- smoothing and bases ----
+
+
+@query()
+def nadaraya_watson(spark, d):
+    return rounded(smooth.smooth(EMB(spark, d), 0.05).df)
+
+
+@query()
+def local_linear(spark, d):
+    return rounded(smooth.smooth(EMB(spark, d), 0.05, "local").df)
+
+
+@query()
+def knn_smoother(spark, d):
+    return rounded(smooth.smooth(EMB(spark, d), 0.05, "knn", k=5).df)
+
+
+@query()
+def gcv_smoother(spark, d):
+    h, score = smooth.best_bandwidth(EMB(spark, d), tries=10)
+    return rows(spark, "h double, gcv double", [(h, score)])
+
+
+@query()
+def bspline_coefficients(spark, d):
+    c = EMB(spark, d)
+    return rounded(smooth.project(c, nm.bspline_basis(c.grid, 8)))
+
+
+@query()
+def pspline_fit(spark, d):
+    return rounded(smooth.pspline(EMB(spark, d), 12, 1.0)[0])
+
+
+@query()
+def smooth_basis(spark, d):
+    c = EMB(spark, d)
+    return rounded(smooth.smooth_basis(c, nm.bspline_basis(c.grid, 8), smooth.bspline_penalty(c.grid, 8), 1e-4)[0])
+
+
+@query()
+def fourier_fit(spark, d):
+    return rounded(smooth.fourier_fit(EMB(spark, d), 7)[0])
+
+
+@query()
+def select_basis(spark, d):
+    return rounded(smooth.choose_basis(EMB(spark, d)))
+
+
+# ---- series ----
+
+_S = "s AS (SELECT c_nationkey AS id, (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS pos, sum(o_totalprice)::DOUBLE AS v FROM orders JOIN customer ON o_custkey = c_custkey WHERE (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 BETWEEN 0 AND 79 GROUP BY ALL), c AS (SELECT i.id, p.pos, coalesce(s.v, 0) AS v FROM (SELECT DISTINCT id FROM s) i CROSS JOIN (SELECT range AS pos FROM range(80)) p LEFT JOIN s USING (id, pos))"
+
+
+@query(f"WITH {_S}, b AS (SELECT id, regr_slope(v, pos) AS k, regr_intercept(v, pos) AS m FROM c GROUP BY id) SELECT id, pos::INT AS pos, round(v - (m + k * pos), 3) + 0.0 AS v FROM c JOIN b USING (id)")
+def detrend_linear(spark, d):
+    c = REV(spark, d)
+    return season.detrend(c).select("id", F.posexplode("values").alias("pos", "x")).select("id", "pos", r("x", 3).alias("v"))
+
+
+@query(f"WITH {_S} SELECT id, pos::INT AS pos, round(coalesce(v - lag(v) OVER (PARTITION BY id ORDER BY pos), v), 3) + 0.0 AS v FROM c")
+def detrend_diff(spark, d):
+    return season.detrend(REV(spark, d), "difference").select("id", F.posexplode("values").alias("pos", "x")).select("id", "pos", r("x", 3).alias("v"))
+
+
+@query(f"WITH {_S}, m AS (SELECT id, avg(v) AS m, var_pop(v) AS s FROM c GROUP BY id) SELECT a.id, (b.pos - a.pos)::INT AS lag, {_z('sum((a.v - m) * (b.v - m)) / (80 * any_value(s))')} AS acf FROM c a JOIN c b ON a.id = b.id AND b.pos BETWEEN a.pos AND a.pos + 12 JOIN m ON m.id = a.id GROUP BY ALL")
+def acf(spark, d):
+    return season.per_series(REV(spark, d), lambda v, t: (season.acf(v, 12),), "r array<double>").select("id", F.posexplode("r").alias("lag", "x")).select("id", "lag", r("x").alias("acf"))
+
+
+def _series(name: str, fn, schema: str) -> None:
+    def run(spark, d):
+        return rounded(season.per_series(REV(spark, d), fn, schema))
+
+    run.__name__ = name
+    query()(run)
+
+
+_series("estimate_period_fft", season.period_fft, "period double, frequency double, power double, confidence double")
+_series("estimate_period_acf", season.period_acf, "period double, correlation double")
+_series("estimate_period_regression", lambda v, t: season.period_regression(v, t, 4, 30, 40), "period double, r2 double")
+_series("autoperiod", season.autoperiod, "period double, acf double")
+_series("cfd_autoperiod", season.cfd_autoperiod, "period double, acf double")
+_series("sazed", season.sazed, "period double, confidence double")
+_series("detrend_loess", lambda v, t: (v - season.loess_trend(v, t),), "values array<double>")
+_series("detrend_polynomial", lambda v, t: (v - season.polynomial_trend(v, t, 3),), "values array<double>")
+_series("stl_decompose", lambda v, t: season.stl(v, 12), "seasonal array<double>, trend array<double>, remainder array<double>")
+_series("seasonal_strength", lambda v, t: (season.strength_variance(v, t, 12.0), season.strength_spectral(v, t, 12.0), season.strength_wavelet(v, t, 12.0)), "variance double, spectral double, wavelet double")
+_series("hilbert_transform", lambda v, t: (np.abs(season.hilbert(v - v.mean())),), "envelope array<double>")
+_series("detect_peaks", lambda v, t: season.peaks(v, t, 3.0, 0.05), "times array<double>, heights array<double>, prominences array<double>")
+_series("ssa", lambda v, t: (season.ssa(v, 24)[1],), "singular array<double>")
+_series("matrix_profile", lambda v, t: (season.matrix_profile(v, 12)[0], float(season.matrix_profile(v, 12)[2])), "profile array<double>, period double")
+_series("classify_seasonality", lambda v, t: (season.classify_seasonality(v, t, 12.0),), "kind string")
+_series("amplitude_modulation", lambda v, t: season.amplitude_modulation(v, t, 12.0), "score double, trend double, envelope array<double>")
+_series("lomb_scargle", lambda v, t: season.lomb_scargle(t, v, np.arange(1, 40) / 80)[1:], "frequency double, false_alarm double")
+
+
+@query()
+def decompose_additive(spark, d):
+    return rounded(season.decompose(REV(spark, d), 12.0))
+
+
+@query()
+def auto_detrend(spark, d):
+    return spark.createDataFrame([(season.best_trend(REV(spark, d)),)], "trend string")
+
+
+@query()
+def functional_acf(spark, d):
+    a = infer.functional_acf(REV(spark, d), 4)
+    return rows(spark, "lag int, acf double, pacf double", [(k + 1, float(x), float(y)) for k, (x, y) in enumerate(zip(a, infer.partial_from_acf(a), strict=True))])
+
+
+@query()
+def ftsm_forecast(spark, d):
+    return curve_rows(spark, *infer.forecast(REV(spark, d), 3, 2), names=("step1", "step2"))
+
+
+# ---- irregular curves ----
+
+_E = "e AS (SELECT user_id AS id, (epoch_us(ts) - 1704067200000000) / 86400000000.0 AS t, value::DOUBLE AS v FROM events WHERE ts IS NOT NULL AND value IS NOT NULL)"
+
+
+@query(f"WITH {_E}, a AS (SELECT id, (t - lag(t) OVER o) * (v + lag(v) OVER o) / 2 AS a FROM e WINDOW o AS (PARTITION BY id ORDER BY t, v)) SELECT id, round(coalesce(sum(a), 0), 4) AS integral FROM a GROUP BY id")
+def integrate_irreg(spark, d):
+    return metrics.integrate_irregular(EV(spark, d)).select("id", r("integral", 4).alias("integral"))
+
+
+@query(f"WITH {_E}, a AS (SELECT id, (t - lag(t) OVER o) * (v * v + lag(v * v) OVER o) / 2 AS a FROM e WINDOW o AS (PARTITION BY id ORDER BY t, v)) SELECT id, round(sqrt(coalesce(sum(a), 0)), 4) AS norm FROM a GROUP BY id")
+def norm_lp_irreg(spark, d):
+    return metrics.norm_irregular(EV(spark, d)).select("id", r("norm", 4).alias("norm"))
+
+
+@query(f"WITH {_E}, g AS (SELECT unnest([5.0, 10.0, 15.0, 20.0, 25.0]) AS target) SELECT target::DOUBLE AS target, round(sum(k * v) / sum(k), 4) AS mean FROM (SELECT target, v, exp(-((t - target) / 1.5 * (t - target) / 1.5 / 2)) AS k FROM e, g) GROUP BY target")
+def mean_irreg(spark, d):
+    return metrics.mean_irregular(EV(spark, d), [5.0, 10.0, 15.0, 20.0, 25.0], 1.5).select("target", r("mean", 4).alias("mean"))
+
+
+@query()
+def cov_irreg(spark, d):
+    e, g = EV(spark, d), [5.0, 15.0, 25.0]
+    return rounded(metrics.covariance_irregular(e, g, 2.0, metrics.mean_irregular(e, g, 2.0)))
+
+
+@query()
+def to_regular_grid(spark, d):
+    return rounded(metrics.to_regular(EV(spark, d), np.arange(1.0, 30.0)))
+
+
+@query()
+def pace_fpca(spark, d):
+    return rounded(reduce.pace(EV(spark, d), np.linspace(1, 29, 15), 2.0, 2)[4])
+
+
+# ---- monitoring ----
+
+
+@query()
+def spm_monitor(spark, d):
+    c = EMB(spark, d)
+    return rounded(monitor.monitor(c, monitor.phase1(c, 4)[0]).select("id", "t2", "spe", "t2_alarm", "spe_alarm"))
+
+
+def _chart(name: str, how: str, **p) -> None:
+    def run(spark, d):
+        c = EMB(spark, d)
+        m = reduce.fpca(c, 3)
+        return rounded(monitor.sequential(monitor.statistics(c, m).select("id", "scores"), m.eigenvalues, how, monitor.t2_limit(0.01, 3), **p))
+
+    run.__name__ = name
+    query()(run)
+
+
+_chart("spm_ewma_monitor", "ewma")
+_chart("spm_mewma_monitor", "mewma", exact=True)
+_chart("spm_amewma_monitor", "amewma")
+_chart("spm_mcusum_monitor", "mcusum")
+_chart("spm_cusum_monitor", "cusum", restart=True)
+
+_DAY = "x AS (SELECT (o_orderdate::DATE - DATE '1992-01-01')::BIGINT AS t, sum(o_totalprice)::DOUBLE AS v FROM orders GROUP BY ALL), z AS (SELECT t, (v - 150000) / 100000 AS z FROM x)"
+
+
+def _rule(name: str, cond: str, k: int) -> str:
+    return f"SELECT '{name}' AS rule, t AS start FROM (SELECT t, count(*) OVER o AS k, {cond} AS hit FROM z WINDOW o AS (ORDER BY t ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING)) WHERE k = {k} AND hit"
+
+
+@query(f"WITH {_DAY} {_rule('WE1', 'abs(z) > 3', 1)} UNION ALL {_rule('WE2', 'greatest(sum((z > 2)::INT) OVER o, sum((z < -2)::INT) OVER o) >= 2', 3)} UNION ALL {_rule('WE3', 'greatest(sum((z > 1)::INT) OVER o, sum((z < -1)::INT) OVER o) >= 4', 5)} UNION ALL {_rule('WE4', 'greatest(sum((z > 0)::INT) OVER o, sum((z < 0)::INT) OVER o) >= 8', 8)} UNION ALL {_rule('Nelson7', 'sum((abs(z) <= 1)::INT) OVER o >= 15', 15)}")
+def run_rules(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    days = o.groupBy(F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long").alias("t")).agg(F.sum("o_totalprice").cast("double").alias("v"))
+    return monitor.run_rules(days, 150000.0, 100000.0, ("WE1", "WE2", "WE3", "WE4", "Nelson7")).select("rule", "start")
+
+
+# ---- inference ----
+
+
+@query()
+def oneway_anova(spark, d):
+    return rows(spark, "v double, p double", [infer.oneway(EMB(spark, d), "label")])
+
+
+@query()
+def t_perm_test(spark, d):
+    c = EMB(spark, d)
+    c = c.with_df(c.df.withColumn("g", (F.col("label") < 5).cast("int")))
+    return rows(spark, "statistic double, p double", [infer.t_permutation(c, "g", 50)])
+
+
+@query()
+def two_sample_mean_test(spark, d):
+    c = EMB(spark, d)
+    a, b = (c.with_df(c.df.where(w)) for w in ("label < 5", "label >= 5"))
+    return rows(spark, "t2 double, p double", [infer.two_sample_mean(a, b)])
+
+
+@query()
+def mean_scb(spark, d):
+    m, lo, hi, _ = infer.mean_band(EMB(spark, d), 0.05, n_boot=50)
+    return curve_rows(spark, m, lo, hi, names=("mean", "low", "high"))
+
+
+@query()
+def fpca_tolerance_band(spark, d):
+    return curve_rows(spark, *infer.tolerance_band(EMB(spark, d), n_boot=30), names=("center", "half"))
+
+
+@query()
+def conformal_prediction_band(spark, d):
+    m, q = infer.conformal_band(EMB(spark, d))
+    return curve_rows(spark, m, np.full(len(m), q), names=("center", "half"))
+
+
+@query()
+def conformal_fregre_lm(spark, d):
+    c = EMB(spark, d)
+    return rounded(infer.conformal_linear(c, "label", c, 4)[0].select("id", "label", "fit", "low", "high"))
+
+
+# ---- registration ----
+
+
+def _some(spark, d) -> src.Curves:
+    """Nation curves, smoothed and scaled, on every fourth month."""
+    c = pointwise.normalize(smooth.smooth(REV(spark, d), 4.0), "curve_standardize")
+    return pointwise.interpolate(c, c.grid[::4])
+
+
+@query()
+def srsf_transform(spark, d):
+    c = EMB(spark, d)
+    return rounded(per_curve(c.df, lambda v: elastic.srsf(v, c.grid), "q array<double>"))
+
+
+@query()
+def elastic_self_distance_matrix(spark, d):
+    return rounded(elastic.distances(_some(spark, d)))
+
+
+@query()
+def phase_self_distance_matrix(spark, d):
+    return rounded(elastic.distances(_some(spark, d), part="phase"))
+
+
+@query()
+def karcher_mean(spark, d):
+    return curve_rows(spark, elastic.karcher_mean(_some(spark, d), max_iter=5))
+
+
+@query()
+def elastic_alignment(spark, d):
+    c = _some(spark, d)
+    return rounded(elastic.align_to(c, elastic.karcher_mean(c, max_iter=3)))
+
+
+@query()
+def shift_registration(spark, d):
+    return rounded(elastic.shift_register(_some(spark, d), 4.0))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    """The ten deepest embeddings by modified band depth, with their Fraiman-Muniz depth."""
+    c = EMB(spark, sf_dir)
+    both = depth.modified_band(c).withColumnRenamed("depth", "mbd").join(depth.fraiman_muniz(c).withColumnRenamed("depth", "fm"), "id")
+    return rounded(both).orderBy(F.desc("mbd"), "id").limit(10)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

@@ -24,6 +24,10 @@ class Curves:
     def __post_init__(self):
         self.grid = as_grid(self.grid)
 
+    def __getstate__(self):
+        """What goes to executors inside a kernel: the grid, never the table."""
+        return {"df": None, "grid": self.grid}
+
     @property
     def weights(self) -> np.ndarray:
         return simpson_weights(self.grid)
