@@ -13,8 +13,8 @@ empty ones, then by how many nodes share the block): the least common equal bloc
 stays in both.  Band c takes sets of its size range and those within reach of it from
 the band below; d is that of its largest sets.
 
-Candidates from equal blocks pass a size filter and a 256-bit parity sketch of the
-whole set, then are verified on the texts.  A block shared by many nodes is not
+Candidates from equal blocks pass a size filter and parity sketches of the whole set, of
+256 bits and of a bit a shingle, then are verified on the texts.  A block shared by many nodes is not
 turned into all its pairs: its least node is verified against the others, links form
 components, and only nodes outside the least node's component are compared further.
 
@@ -94,6 +94,21 @@ def parity(shingles: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def wide_parity(shingles: np.ndarray) -> bytes:
+    """A parity sketch of at least a bit for each shingle, in a power of two of bits."""
+    size = max(256, 1 << (len(shingles) - 1).bit_length()) if len(shingles) else 256
+    odd = np.bincount((shingles >> _U(20) & _U(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def wide_distance(x: bytes, y: bytes) -> int:
+    """Differing bits of two wide sketches, the larger folded to the size of the other: a
+    folded sketch is that of the same set over fewer bits."""
+    a, b = (np.frombuffer(v, np.uint8) for v in (x, y))
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), 0)).sum())
+
+
 def blocks(shingles: np.ndarray, band: int) -> tuple[np.ndarray, int]:
     """Keys of a set's blocks that are not empty, and how many more blocks may be dropped.
 
@@ -126,10 +141,10 @@ def _sets(rows: DataFrame) -> DataFrame:
                 drops = [0, 0]
                 for band in bands_of(len(s)):
                     drops[band & 1] = blocks(s, band)[1]
-                out.append((len(s), node_of(s), *parity(s).tolist(), *drops))
+                out.append((len(s), node_of(s), *parity(s).tolist(), *drops, wide_parity(s)))
         yield [batch.column("_row"), batch.column("doc_id"), *zip(*out, strict=True)]
 
-    return map_batches(rows, run, "_row long, doc_id long, n long, node long, p0 long, p1 long, p2 long, p3 long, drop0 int, drop1 int")
+    return map_batches(rows, run, "_row long, doc_id long, n long, node long, p0 long, p1 long, p2 long, p3 long, drop0 int, drop1 int, wide binary")
 
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -220,6 +235,21 @@ def _within(a: str, b: str) -> Column:
     return (100 * F.least(n, m) >= t * F.greatest(n, m)) & (bits * (100 + t) <= (n + m) * (100 - t))
 
 
+def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose wide sketches allow a link."""
+    side = lambda name: nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("wide").alias(f"wide_{name}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    t = THRESHOLD_PERCENT
+
+    def run(batch):
+        total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+        far = np.array([wide_distance(x, y) for x, y in zip(batch.column("wide_a").to_pylist(), batch.column("wide_b").to_pylist(), strict=True)])
+        keep = pa.array(far * (100 + t) <= total * (100 - t))
+        yield [batch.column("a").filter(keep), batch.column("b").filter(keep)]
+
+    return map_batches(joined.select("a", "b", "n_a", "n_b", "wide_a", "wide_b"), run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose texts link; pairs is a stored table."""
     named = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "_row"), "node"))
@@ -284,7 +314,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     info = nodes.select("node", F.struct("n", "p0", "p1", "p2", "p3").alias("sketch"))
     shared = stored(_keys(docs).repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, nodes int, leader long"))
-    tested = [stored(_star_pairs(shared, info))]
+    tested = [stored(_plausible(_star_pairs(shared, info), nodes))]
     edges = [_verified(tested[0], nodes, docs)]
     labels = components(edges[0])
     few = labels.count() <= BROADCAST_ROWS
@@ -309,7 +339,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         outside = stored(labelled.join(leading, "key").where("label != leading").select("key", "node"))
         leaders = outside.groupBy("key").agg(F.min("node").alias("leader"))
         pairs = _star_pairs(outside.join(leaders, "key"), info)
-        tested.append(stored(pairs.join(_all(tested), ["a", "b"], "left_anti")))
+        tested.append(stored(_plausible(pairs.join(_all(tested), ["a", "b"], "left_anti"), nodes)))
         dropped(outside)
         edges.append(_verified(tested[-1], nodes, docs))
         if edges[-1].isEmpty():
@@ -322,7 +352,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     x = open_blocks.where("label != leading").select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("x"))
     y = open_blocks.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("sketch").alias("y"))
     pairs = x.join(y, "key").where((F.col("la") != F.col("lb")) & _within("x", "y")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    last = stored(pairs.join(_all(tested), ["a", "b"], "left_anti"))
+    last = stored(_plausible(pairs.join(_all(tested), ["a", "b"], "left_anti"), nodes))
     edges.append(_verified(last, nodes, docs))
     dropped(open_blocks, kept, last, *tested)
     return _all(edges)
@@ -351,7 +381,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = _prepared(docs)
     sets = stored(_sets(rows))
     filled = sets.where("n > 0")
-    nodes = stored(filled.groupBy("node").agg(F.min("_row").alias("_row"), F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3", "drop0", "drop1")]))
+    nodes = stored(filled.groupBy("node").agg(F.min("_row").alias("_row"), F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3", "drop0", "drop1", "wide")]))
     labels = components(links(rows, nodes))
     named = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     # rows of one id with several texts tie their components together
