@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import dropped, stored
+from .storage import dropped, released, stored
 from .words import Words, few_words_hash, map_batches, mix, slices
 
 WORDS, THRESHOLD_PERCENT = 5, 80
@@ -314,6 +314,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     info = nodes.select("node", F.struct("n", "p0", "p1", "p2", "p3").alias("sketch"))
     shared = stored(_keys(docs).repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, nodes int, leader long"))
+    released(docs.sparkSession)
     tested = [stored(_plausible(_star_pairs(shared, info), nodes))]
     edges = [_verified(tested[0], nodes, docs)]
     labels = components(edges[0])

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import small_batches
 from .words import Words, map_batches, slices, window_hashes
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
@@ -140,7 +141,7 @@ def filter_stage(docs: DataFrame) -> DataFrame:
             m = measure(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(m[k]) for k in MEASURES)], names=["_doc", *MEASURES])
 
-    rows = whole.mapInArrow(run, schema).withColumn("failed_bits", _failed_bits())
+    rows = small_batches(whole).mapInArrow(run, schema).withColumn("failed_bits", _failed_bits())
     return apply_policy(rows).where("kept").select("_doc.*")
 
 

@@ -35,6 +35,24 @@ def dropped(*tables: DataFrame) -> None:
             if path.rsplit("/", 1)[0].rstrip("/").endswith(shared_folder(table.sparkSession).rsplit("/", 1)[1]):
                 target = context._jvm.org.apache.hadoop.fs.Path(path)
                 target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-    gc.collect()
     if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        released(tables[0].sparkSession)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark clear the shuffle files of tables that are no longer in use."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; from now on its session hands Python at most BATCH_BYTES at a time (one row at least),
+    so that a batch of long texts does not take the memory of an executor."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = df.sparkSession.conf.get(key, None)
+    if have is None or not have.rstrip("b").isdigit() or not 0 < int(have.rstrip("b")) <= BATCH_BYTES:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df

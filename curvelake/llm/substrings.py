@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import released, small_batches
 from .words import Words, map_batches, mix, slices, window_hashes
 
 WIDTH, GRAM = 35, 8
@@ -117,9 +118,10 @@ def _merge_parts(batches):
 
 def build_sketch(docs: DataFrame):
     """The merged sketch as a broadcast dictionary of packed segments, 32 MB at most."""
-    parts = docs.select("_text").mapInArrow(_sketch_part, "slot int, cells binary, counts binary")
+    parts = small_batches(docs.select("_text")).mapInArrow(_sketch_part, "slot int, cells binary, counts binary")
     merged = parts.repartition(F.col("slot")).mapInArrow(_merge_parts, "slot int, bits binary")
     packed = {r["slot"]: bytes(r["bits"]) for r in merged.collect()}
+    released(docs.sparkSession)
     return docs.sparkSession.sparkContext.broadcast(packed)
 
 
@@ -209,7 +211,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             arrays = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *arrays], names=[*batch.schema.names[:width], *new.names])
 
-    return joined.mapInArrow(run, T.StructType([*docs.schema.fields, *new.fields]))
+    return small_batches(joined).mapInArrow(run, T.StructType([*docs.schema.fields, *new.fields]))
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from .storage import small_batches
+
 _U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -21,8 +23,8 @@ LOWER_VALUE = BYTE_VALUE.copy()
 LOWER_VALUE[65:91] = BYTE_VALUE[97:123]
 BASE = int(_rng.integers(1, 2**62)) * 2 + 1
 WINDOW_BASE = int(_rng.integers(1, 2**62)) * 2 + 1
-SLICE_BYTES = 2 << 20
-_CHUNK = 1 << 20
+SLICE_BYTES = 1 << 20
+_CHUNK = 1 << 18
 
 
 class Powers:
@@ -140,7 +142,7 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, _U)
     out = np.empty(n, _U)
-    step = 1 << 20
+    step = 1 << 18
     up, down = _windows.upto(min(step, n) + width + 1)
     for a in range(0, n, step):
         b = min(n, a + step)
@@ -166,7 +168,7 @@ def map_batches(df, function, schema: str):
                 for columns in function(batch):
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def arrow_schema(schema: str) -> pa.Schema:
