@@ -26,8 +26,9 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 def _arrow(values, kind: T.DataType) -> pa.Array:
     if isinstance(kind, T.ArrayType):
-        v = np.asarray(values, float)
-        if v.ndim == 2:
+        even = isinstance(values, np.ndarray) or len({len(x) for x in values if x is not None}) == 1 and all(x is not None for x in values)
+        v = np.asarray(values, float) if even else None
+        if even and v.ndim == 2:
             return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int32()), pa.array(v.ravel()))
         return pa.array([None if x is None else list(x) for x in values], pa.list_(pa.float64()))
     if isinstance(kind, T.DoubleType):

@@ -39,46 +39,53 @@ def warp_dp(q1, q2, t, lam: float = 0.0, band: float = 0.0) -> np.ndarray:
     The cost of a step is the integral of (q1 - q2(gamma) sqrt(slope))^2, plus
     lam (slope - 1)^2 over its length; the first of equal steps stays.
     """
-    q1, q2 = _unit(np.asarray(q1, float)), _unit(np.asarray(q2, float))
-    m = len(t)
-    best = np.full((m, m), np.inf)
+    return warp_dp_many(np.asarray(q1, float)[None], np.asarray(q2, float)[None], t, lam, band)[0]
+
+
+def warp_dp_many(q1, q2, t, lam: float = 0.0, band: float = 0.0) -> np.ndarray:
+    """warp_dp() of each row of q1 and q2: every table cell is filled for all pairs at once."""
+    q1, q2 = (q / np.where((n := np.linalg.norm(q, axis=1, keepdims=True)) > 1e-12, n, 1) for q in (q1, q2))
+    pairs, m = q1.shape
+    best = np.full((m, m, pairs), np.inf)  # the same cells are reachable for all pairs
     best[0, 0] = 0
-    from_a, from_b = np.zeros((m, m), np.int8), np.zeros((m, m), np.int8)
+    step_of = np.full((m, m, pairs), -1, np.int8)
     radius = math.ceil(band * m) if 0 < band < 1 else m
+    q1t, q2t = q1.T, q2.T
     for i in range(1, m):
         lo, hi = max(1, i - radius), min(m, i + radius + 1)
-        for a, b in STEPS:
+        for s, (a, b) in enumerate(STEPS):
             if a > i:
                 continue
             j = np.arange(max(lo, b), hi)
+            j = j[np.isfinite(best[i - a, j - b, 0])] if len(j) else j
             if not len(j):
                 continue
-            prev = best[i - a, j - b]
-            live = np.isfinite(prev)
-            if not live.any():
-                continue
-            j, prev = j[live], prev[live]
             dt = t[i] - t[i - a]
             slope = (t[j] - t[j - b]) / dt
-            k = np.arange(a)  # left ends of the intervals of the step
-            place = (j - b)[:, None] + k[None] * b / a
-            low = np.minimum(place.astype(int), m - 2)
-            q = q2[low] + (place - low) * (q2[low + 1] - q2[low])
-            e = q1[i - a : i][None] - q * np.sqrt(slope)[:, None]
-            cost = prev + (e**2 * np.diff(t)[i - a : i]).sum(1) + lam * (slope - 1) ** 2 * dt
-            better = cost < best[i, j]
-            best[i, j[better]] = cost[better]
-            from_a[i, j[better]], from_b[i, j[better]] = a, b
-    i, j = m - 1, m - 1
-    x, y = [t[i]], [t[j]]
-    while i > 0 and j > 0:
-        a, b = int(from_a[i, j]), int(from_b[i, j])
-        if not a:
-            break
-        i, j = i - a, j - b
-        x.append(t[i])
-        y.append(t[j])
-    return normalize_warp(np.interp(t, x[::-1], y[::-1]), t)
+            cost = best[i - a, j - b] + (lam * (slope - 1) ** 2 * dt)[:, None]
+            parts = max(a, b)
+            for k in range(parts):  # midpoints fine enough for either curve's grid
+                u = (k + 0.5) / parts
+                x, y = i - a + u * a, j - b + u * b
+                lx, ly = int(x), y.astype(int)
+                p = q1t[lx] + (x - lx) * (q1t[min(lx + 1, m - 1)] - q1t[lx])
+                q = q2t[ly] + (y - ly)[:, None] * (q2t[ly + 1] - q2t[ly])
+                cost += (p - q * np.sqrt(slope)[:, None]) ** 2 * (dt / parts)
+            now = best[i, j]
+            better = cost < now
+            best[i, j] = np.where(better, cost, now)
+            step_of[i, j] = np.where(better, s, step_of[i, j])
+    out = np.empty((pairs, m))
+    for p in range(pairs):
+        i = j = m - 1
+        x, y = [t[i]], [t[j]]
+        while i > 0 and j > 0 and step_of[i, j, p] >= 0:
+            a, b = STEPS[step_of[i, j, p]]
+            i, j = i - a, j - b
+            x.append(t[i])
+            y.append(t[j])
+        out[p] = normalize_warp(np.interp(t, x[::-1], y[::-1]), t)
+    return out
 
 
 def normalize_warp(g, t) -> np.ndarray:
@@ -107,9 +114,15 @@ def inverse_error(g, t) -> float:
 
 def align(f1, f2, t, lam: float = 0.0, band: float = 0.0):
     """(warp, aligned f2, distance): the distance of the SRSF of the warped curve."""
-    g = warp_dp(srsf(f1, t), srsf(f2, t), t, lam, band)
-    w = apply_warp(f2, g, t)
-    return g, w, math.sqrt(float(((srsf(f1, t) - srsf(w, t)) ** 2 @ nm.simpson_weights(t))))
+    g, w, d = align_many(np.asarray(f1, float)[None], np.asarray(f2, float)[None], t, lam, band)
+    return g[0], w[0], float(d[0])
+
+
+def align_many(f1, f2, t, lam: float = 0.0, band: float = 0.0):
+    """align() of each row of f1 and f2."""
+    g = warp_dp_many(srsf(f1, t), srsf(f2, t), t, lam, band)
+    w = np.array([apply_warp(y, x, t) for x, y in zip(g, f2, strict=True)])
+    return g, w, np.sqrt((srsf(f1, t) - srsf(w, t)) ** 2 @ nm.simpson_weights(t))
 
 
 def psi(g, t) -> np.ndarray:
@@ -139,11 +152,10 @@ def phase_distance(g, t) -> float:
 
 def elastic_kernel(t, lam: float = 0.0, band: float = 0.0, part: str = "elastic"):
     def fn(a, b):
-        out = np.zeros((len(a), len(b)))
+        out = np.empty((len(a), len(b)))
         for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                g, _, d = align(x, y, t, lam, band)
-                out[i, j] = d if part != "phase" else phase_distance(g, t)
+            g, _, d = align_many(np.repeat(x[None], len(b), 0), b, t, lam, band)
+            out[i] = d if part != "phase" else [phase_distance(y, t) for y in g]
         return out
 
     return fn
@@ -165,8 +177,8 @@ def depth(d_amplitude: DataFrame) -> DataFrame:
 def align_to(c: Curves, target, lam: float = 0.0, band: float = 0.0) -> DataFrame:
     """All columns but values, with aligned curve, warp and distance."""
     def kernel(v):
-        rows = [align(target, x, c.grid, lam, band) for x in v]
-        return [r[1] for r in rows], [r[0] for r in rows], [r[2] for r in rows]
+        g, w, d = align_many(np.repeat(np.asarray(target, float)[None], len(v), 0), v, c.grid, lam, band)
+        return w, g, d
 
     return per_curve(c.df, kernel, "aligned array<double>, warp array<double>, distance double")
 
@@ -181,14 +193,9 @@ def karcher_mean(c: Curves, max_iter: int = 20, tol: float = 1e-4, lam: float =
         mean = srsf_inverse(q, t, f0)
 
         def step(v, mean=mean):
-            out = np.zeros(len(t))
-            mass = 0.0
-            for x in v:
-                g, y, d = align(mean, x, t, lam, band)
-                w = 1.0 if weights is None else weights(d)
-                out += w * srsf(y, t)
-                mass += w
-            return [out, np.array([mass])]
+            _, y, d = align_many(np.repeat(mean[None], len(v), 0), v, t, lam, band)
+            w = np.ones(len(v)) if weights is None else np.array([weights(x) for x in d])
+            return [w @ srsf(y, t), np.array([w.sum()])]
 
         total, mass = sums(c.df, step, ["values"])
         new = total / mass[0]
