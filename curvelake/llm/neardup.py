@@ -16,7 +16,9 @@ the band below; d is that of its largest sets.
 Candidates from equal blocks pass a size filter and parity sketches of the whole set, of
 256 bits and of a bit a shingle, then are verified on the texts.  A block shared by many nodes is not
 turned into all its pairs: its least node is verified against the others, links form
-components, and only nodes outside the least node's component are compared further.
+components, and only nodes outside the least node's component are compared further:
+with the block's hubs first, and what is still outside the block's largest component
+with every node of another one.
 
 Defined results: null or empty text has an empty set (0 shingles), is linked with
 nothing and is its own component; with fewer than five words the whole sequence is
@@ -42,8 +44,8 @@ WORDS, THRESHOLD_PERCENT = 5, 80
 COMMON = 64
 #: Ids are broadcast up to so many rows (16 MB at most); beyond, tables are joined by id.
 BROADCAST_ROWS = 400_000
-#: Rounds in which a block's least node outside the last one's component meets the others.
-STAR_ROUNDS = 1
+#: Hubs of a block that meet the nodes outside their components before all others do.
+HUBS = 4
 _U = np.uint64
 
 
@@ -252,8 +254,8 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose texts link; pairs is a stored table."""
-    named = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "_row"), "node"))
-    few = named.count() <= BROADCAST_ROWS
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "_row"), "node")
+    few = 2 * pairs.count() <= BROADCAST_ROWS
     texts = docs.select("_row", "_text").join(F.broadcast(named) if few else named, "_row").groupBy("node").agg(F.first("_text").alias("text"))
     texts = stored(texts)
     joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
@@ -274,7 +276,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
         yield [a[link], b[link]]
 
     out = stored(map_batches(joined.select("a", "b", "text_a", "text_b"), run, "a long, b long"))
-    dropped(named, texts)
+    dropped(texts)
     return out
 
 
@@ -334,19 +336,19 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     kept = stored(kept.join(F.broadcast(keys) if some else keys, "key", "left_semi"))
     dropped(shared, keys)
 
-    for _ in range(STAR_ROUNDS):
-        labelled = _labelled(kept, labels, few, ("node", "label"))
-        leading = _leading(labelled)
-        outside = stored(labelled.join(leading, "key").where("label != leading").select("key", "node"))
-        leaders = outside.groupBy("key").agg(F.min("node").alias("leader"))
-        pairs = _star_pairs(outside.join(leaders, "key"), info)
-        tested.append(stored(_plausible(pairs.join(_all(tested), ["a", "b"], "left_anti"), nodes)))
-        dropped(outside)
-        edges.append(_verified(tested[-1], nodes, docs))
-        if edges[-1].isEmpty():
-            break
-        labels = components(_all(edges))
-        few = labels.count() <= BROADCAST_ROWS
+    # a block's hubs, the nodes with most company in all their blocks, stand nearest to what a
+    # group of near copies was made from; they meet the nodes outside their components
+    size = kept.groupBy("key").agg(F.count("*").alias("size"))
+    central = kept.join(size, "key").groupBy("node").agg(F.sum("size").alias("central"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("central"), "node"))
+    hubs = kept.join(central, "node").withColumn("rank", rank).where(F.col("rank") <= HUBS).select("key", F.col("node").alias("leader"))
+    met = _labelled(kept.join(hubs, "key"), labels, few, ("node", "label"), ("leader", "leading")).where("label != leading")
+    ordered = met.select(F.least("node", "leader").alias("leader"), F.greatest("node", "leader").alias("node"))
+    pairs = _star_pairs(ordered, info).join(_all(tested), ["a", "b"], "left_anti")
+    tested.append(stored(_plausible(pairs, nodes)))
+    edges.append(_verified(tested[-1], nodes, docs))
+    labels = components(_all(edges))
+    few = labels.count() <= BROADCAST_ROWS
     # what is outside a block's largest component meets every node of the block in another one
     labelled = _labelled(kept, labels, few, ("node", "label"))
     open_blocks = stored(labelled.join(_leading(labelled), "key").join(info, "node"))
