@@ -1,0 +1,250 @@
+"""The ten operators on small tables against brute force; nulls, empty and odd inputs."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from curvelake.llm import bpe, chat, html_text, jpeg, license, mixing, neardup, prefix_counts, quality, substrings
+from curvelake.llm.words import Words
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def corpus(seed=1, n=60):
+    """Prose with exact and near copies, repeated passages and odd texts."""
+    r = random.Random(seed)
+    vocab = ["w%d" % k for k in range(400)] + ["É", "ñu", "漢字", "|", "#"]
+    text = lambda k: " ".join(r.choice(vocab) for _ in range(k))
+    passage = text(60)
+    out = []
+    for k in range(n):
+        kind = k % 6
+        if kind == 1 and out:
+            out.append(r.choice(out))
+        elif kind == 2 and out:
+            words = r.choice(out).split()
+            if words:
+                words[r.randrange(len(words))] = "edited"
+            out.append(" ".join(words))
+        elif kind == 3:
+            out.append(text(r.randint(5, 80)) + "\n" + passage + "\t" + text(r.randint(5, 80)))
+        else:
+            out.append(text(r.choice([0, 1, 3, 4, 5, 7, 8, 9, 34, 35, 36, 80, 150, 300])))
+    return out + ["", " \n\t", None, "a", "A b c d", "a B c d", "x x x x x x x x x x x x", "x " * 50]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(k, t, "en", None if k % 11 == 0 else f"src{k % 4}", 0 if t is None else len(t)) for k, t in enumerate(corpus())]
+    return spark.createDataFrame(rows, DOCS).repartition(3).cache(), rows
+
+
+def shingles(text):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
+
+
+def brute_components(rows):
+    sets = {k: shingles(t) for k, t, *_ in rows}
+    label = {k: k for k in sets}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                label[y] = x
+    return {k: (len(s), root(k)) for k, s in sets.items()}
+
+
+def test_near_duplicates(spark, docs):
+    df, rows = docs
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df).collect()}
+    assert got == brute_components(rows)
+
+
+def test_near_duplicates_of_a_chain(spark):
+    base = [f"t{k}" for k in range(100)]
+    rows = []
+    for k in range(30):  # each differs from the next by one word, the ends by many
+        base[k * 3] = f"new{k}"
+        rows.append((100 - k, " ".join(base)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df).collect()}
+    assert got == brute_components(rows)
+
+
+def test_near_duplicates_with_nulls_and_empty_tables(spark):
+    df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, None), (5, "a b c d e f"), (5, "a b c d e f")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df).collect())
+    assert got == [(-1, 2, None), (3, 0, 3), (3, 2, 3), (5, 2, 3), (5, 2, 3)]
+    assert neardup.near_duplicates(df.limit(0)).count() == 0
+    assert neardup.dedup_stage(df.limit(0)).count() == 0
+    assert sorted(r["doc_id"] or -1 for r in neardup.dedup_stage(df).collect()) == [-1, 3, 3]
+
+
+def brute_repeats(rows, width=35):
+    seen = {}
+    words = [WORD.findall(t or "") for t in rows]
+    for d, w in enumerate(words):
+        for k in range(len(w) - width + 1):
+            seen.setdefault(tuple(w[k : k + width]), []).append((d, k))
+    gone = [set() for _ in words]
+    for places in seen.values():
+        if len(places) > 1:
+            for d, k in places:
+                gone[d].update(range(k, k + width))
+    return [(len(w), len(g), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in g).encode()).hexdigest()) for w, g in zip(words, gone)]
+
+
+def test_substring_dedup(spark, docs):
+    df, rows = docs
+    got = {r["doc_id"]: (r["_n_words"], r["_n_removed"], r["_kept_sha256"]) for r in substrings.remove_repeats(df).collect()}
+    assert got == dict(enumerate(brute_repeats([r[1] for r in rows])))
+    assert substrings.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_a_full_sketch_loses_nothing(spark, docs, monkeypatch):
+    df, rows = docs
+    monkeypatch.setattr(substrings, "estimates", lambda sketch, hashes: np.ones(len(hashes), bool))
+    got = [tuple(r) for r in substrings.remove_repeats(df.select("doc_id", "text")).select("_n_words", "_n_removed", "_kept_sha256").collect()]
+    assert sorted(got) == sorted(brute_repeats([r[1] for r in rows]))
+
+
+def test_quality(spark, docs):
+    df, rows = docs
+    got = {r["doc_id"]: r for r in quality.apply_policy(quality.ledger(df)).collect()}
+    for k, text, *_ in rows:
+        text = text or ""
+        w = WORD.findall(text)
+        windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        again = {i + j for i, x in enumerate(windows) if windows.count(x) > 1 for j in range(3)}
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        r = got[k]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)))
+        assert (r["n_dup_lines"], r["n_repeat_words"]) == (len(lines) - len(set(lines)), len(again))
+        assert (r["failed_bits"] & 3 != 0) == (len(w) < 50 or 100 * len(again) > 50 * len(w))
+    kept = {r["doc_id"] for r in quality.filter_stage(df).collect()}
+    assert kept == {k for k, r in got.items() if r["kept"]}
+    table = {r["rule"]: r for r in quality.ablations(quality.ledger(df)).collect()}
+    assert table["few_words"]["n_failed"] == sum(r["failed_bits"] & 1 for r in got.values())
+
+
+def test_mixing(spark, docs):
+    df, rows = docs
+    got = mixing.mix(df).collect()
+    sizes = {}
+    for _, text, _, source, _ in rows:
+        sizes[source] = sizes.get(source, 0) + len(WORD.findall(text or ""))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    target = mixing.share_out(sizes, {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)})
+    by = {r[0]: r[3] for r in rows}
+    taken = dict.fromkeys(sizes, 0)
+    for r in got:
+        assert r["size"] == len(WORD.findall(rows[r["doc_id"]][1] or "")) and 0 <= r["taken"] <= 2 * r["size"]
+        assert r["source_size"] == sizes[by[r["doc_id"]]] and abs(r["target"] - target[by[r["doc_id"]]]) < 1e-6
+        taken[by[r["doc_id"]]] += r["taken"]
+    assert len(got) == len(rows)
+    for s, n in taken.items():
+        assert abs(n - target[s]) <= 1.5 * mixing.BLOCK, (s, n, target[s])
+    assert abs(sum(target.values()) - 1.5 * sum(sizes.values())) < 1e-6 or all(target[s] == 2 * sizes[s] for s in sizes)
+    again = {(r["doc_id"], r["taken"]) for r in mixing.mix(df.repartition(5)).collect()}
+    assert again == {(r["doc_id"], r["taken"]) for r in got}
+    assert mixing.mix(df.limit(0)).count() == 0
+    staged = mixing.mix_stage(df)
+    assert staged.columns == df.columns
+    assert staged.select(F.sum(mixing.count_words(F.col("text")))).first()[0] == sum(r["taken"] for r in got)
+
+
+def test_chat(spark):
+    odd = "\\ <| \\<| <|im_sep|> \n \\\\ \\| <|im_end|>\n"
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "u1"), (1, 2, "user", odd), (1, 3, "assistant", odd), (1, 4, "assistant", None), (2, 0, "we\\ird\n<|role", "x\\"), (2, None, None, "first"), (3, 0, "assistant", ""), (None, 0, "user", "no id")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = {r["conv_id"]: r for r in chat.format_chats(df).withColumn("turns", chat.read_back(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("segments"))).collect()}
+    turns = lambda k: [(t["role"], t["text"]) for t in out[k]["turns"]]
+    assert turns(1) == [("system", "s"), ("user", "u1"), ("user", odd), ("assistant", odd), ("assistant", "")]
+    assert out[1]["loss"] == odd and out[1]["formatted"].count("<|im_start|>") == 3
+    assert turns(2) == [("", "first"), ("we\\ird\n<|role", "x\\")]
+    assert turns(3) == [("assistant", "")] and turns(None) == [("user", "no id")]
+    assert chat.digest(df.limit(0)).count() == 0
+
+
+def test_licenses(spark):
+    rows = [(1, "Released under the MIT License."), (2, "mit license mit license"), (3, None), (4, "Licensed under CC BY-NC 4.0."), (5, "the quick brown fox"), (6, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated files"), (7, "x GENERAL  public-license y"), (8, ""), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license.scan(df).collect()}
+    assert license.scan(df).count() == len(rows) and license.scan(df.limit(0)).count() == 0
+    assert (got[1]["base_labels"], got[1]["n_base"], got[1]["first_word"], got[1]["last_word"]) == ("mit", 1, 3, 3)
+    assert (got[2]["n_base"], got[2]["first_word"], got[2]["last_word"]) == (2, 0, 2)
+    assert got[3]["n_words"] == 0 and got[3]["labels"] == "" and got[3]["first_word"] is None
+    assert "cc-by-nc" in got[4]["labels"].split(",") and got[4]["base_labels"] == ""
+    assert got[5]["labels"] == "" and got[5]["score"] == 0.0
+    assert got[6]["labels"] == "mit" and got[6]["base_labels"] == ""
+    assert got[7]["base_labels"] == "gpl" and got[7]["first_word"] == 1
+
+
+PAGE = "<html><head><title>t</title></head><body><nav><ul><li>Menu</ul></nav><div class='cookie-notice'>We use cookies</div>%s<footer>&copy; x</footer></body></html>"
+
+
+def test_html(spark):
+    pages = [(k, "http://a.example/%d" % k, PAGE % f"<article><h1>Title {k}</h1><p>One &amp; two\n three<br>four<p>Five <b>six</b><!-- no --><form><input></form></article>") for k in range(4)]
+    pages += [(k, "http://b.example/%d" % k, f"<body><div>Same promo</div><div id=c><p>Long text number {k} of this page<p>and more of it {k}</div><aside>s</aside>") for k in range(10, 14)]
+    pages += [(20, None, None), (21, "http://c.example", "<p>cut <foo"), (22, "", "plain &am")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in html_text.main_texts(df).collect()}
+    for k in range(4):
+        assert got[k]["text"] == f"Title {k}\n\nOne & two three four\n\nFive six"
+    assert got[11]["text"] == "Long text number 11 of this page\n\nand more of it 11"
+    assert got[20]["text"] == "" and got[21]["text"] == "cut" and got[22]["text"] == "plain &am"
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+    assert html_text.main_texts(df.limit(0)).count() == 0
+
+
+def test_counts_codes_and_media(spark, docs):
+    import public_tokenizers as P
+
+    df, rows = docs
+    counts = prefix_counts.token_counts(df, P.path("byte_bpe_50k.json"), 50)
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for r in counts.collect():
+        text = rows[r["doc_id"]][1] or ""
+        assert r["n_tokens"] == len(library.encode(text, add_special_tokens=False).ids) and r["n_bytes"] == len(text.encode())
+        assert len(library.encode(text[: r["chars_within"]], add_special_tokens=False).ids) <= 50
+    encoded = bpe.encode(df, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    back = {r["doc_id"]: bytes(r["decoded"]) for r in bpe.decode(encoded, P.path("byte_bpe_multi_50k.tiktoken")).collect()}
+    assert back == {r[0]: (r[1] or "").encode() for r in rows}
+    for r in jpeg.stored_texts(df).collect():
+        raw = (rows[r["doc_id"]][1] or "").encode()
+        padded = raw + bytes(-len(raw) % 64 if raw else 64)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+    for f in (lambda d: prefix_counts.token_counts(d, P.path("byte_bpe_50k.json"), 5), lambda d: jpeg.stored_texts(d), lambda d: bpe.encode(d, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)):
+        assert f(df.limit(0)).count() == 0
+
+
+def test_image_features(spark):
+    good = jpeg.store(bytes(range(64)) * 4)
+    df = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(b"no")), (3, None)], "id long, content binary")
+    got = {r["id"]: r for r in jpeg.image_features(df).collect()}
+    assert (got[1]["width"], got[1]["height"]) == (32, 8) and got[2]["feature"] is None and got[3]["width"] is None
+
+
+def test_words_of_long_texts():
+    import pyarrow as pa
+
+    text = ("ab " * 200_000) + "z" * 700_000 + " end"
+    w = Words(pa.array([None, text, "", "x"]))
+    assert np.diff(w.rows).tolist() == [0, 200_002, 0, 1]
+    assert len(set(w.hash[:200_000].tolist())) == 1
+    assert w.hash[0] == Words(pa.array(["ab"])).hash[0] and w.hash[200_000] == Words(pa.array(["z" * 700_000])).hash[0]
