@@ -100,7 +100,7 @@ def cross_pairs(left: DataFrame, right: DataFrame, fn, name: str = "d") -> DataF
     """(i, j, d) for every curve i of left and j of right."""
     a, n_a = _blocks(left.select("id", "values"), left.count())
     b, n_b = _blocks(right.select("id", "values"), right.count())
-    pairs = left.sparkSession.range(n_a).select(F.col("id").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))).cast("long").alias("other"))
+    pairs = left.sparkSession.range(n_a).select(F.col("id").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_b - 1).cast("long"))).alias("other"))
     joined = pairs.join(a.withColumnRenamed("rows", "a"), "block").join(b.select(F.col("block").alias("other"), F.col("rows").alias("b")), "other").select("a", "b")
     schema = T.StructType.fromDDL(f"i long, j long, {name} double")
 
