@@ -1,12 +1,12 @@
 """Each stage of the pipeline against brute force on its own input."""
 
-from test_operators import WORD, brute_components, brute_repeats, corpus
+from test_llm_operators import WORD, brute_components, brute_repeats, corpus
 
 import corpus_pipeline as pipeline
 
 
 def test_stages(spark):
-    rows = [(k, (t + " ") * 1 if t else t, "en", f"src{k % 3}", 0) for k, t in enumerate(corpus(7, 48))]
+    rows = [(k, t, "en", f"src{k % 3}", 0) for k, t in enumerate(corpus(7, 48))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     names = [n for n, _ in pipeline.STAGES]
     assert names == ["quality_rules", "ngram_jaccard", "substring_dedup", "source_mix", "byte_bpe"]
