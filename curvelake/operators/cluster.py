@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from curvelake.operators.apply import per_curve, sums
 from curvelake.operators.metrics import mirrored
-from curvelake.operators.reduce import Fpca, fpca
+from curvelake.operators.reduce import fpca
 from curvelake.sources.curves import Curves, unit_grid
 
 
@@ -314,6 +314,3 @@ def dd_classify(c: Curves, label: str) -> DataFrame:
         return np.array(classes)[d.argmax(1)], d.max(1)
 
     return per_curve(c.df, kernel, "predicted int, depth double")
-
-
-__all__ = ["Fpca"]

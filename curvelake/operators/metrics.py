@@ -99,12 +99,6 @@ def pca(c: Curves, k: int = 3):
     return lambda a, b: euclidean()((a - mu) @ vec, (b - mu) @ vec)
 
 
-def _band(m: int, n: int, width: int | None):
-    """Columns of each row of a warping table: from row (0-based) on, width - 1 before them and width after."""
-    for i in range(m):
-        yield (0, n) if width is None else (max(0, i + 1 - width - 0), min(n, i + width))
-
-
 def dtw(p: float = 1.0, width: int | None = None):
     """Sum of |difference|^p along the cheapest path, no final root; row i of a band takes
     columns max(0, i - width) to min(n, i + width) - 1."""

@@ -122,7 +122,7 @@ def pls(c: Curves, y: str, k: int = 3) -> Pls:
     xx, xy = sums(c.df, lambda v, t: [(v - mean).T @ (v - mean), (v - mean).T @ (t - ym)], ["values", y])
     rw, m = np.sqrt(w), len(w)
     g, b = xx * np.outer(rw, rw), xy * rw
-    ws, ps, qs, g0, b0 = [], [], [], g.copy(), b.copy()
+    ws, ps, qs = [], [], []
     for _ in range(min(k, m, int(n[0]) - 1)):
         a = b / max(np.linalg.norm(b), 1e-300)
         tt = a @ g @ a
@@ -135,7 +135,6 @@ def pls(c: Curves, y: str, k: int = 3) -> Pls:
         qs.append(q)
     wm, pm = np.array(ws).T, np.array(ps).T
     rot = wm @ np.linalg.inv(pm.T @ wm)
-    del g0, b0
     return Pls(mean, wm / rw[:, None], pm / rw[:, None], rw[:, None] * rot, ym, np.array(qs))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from curvelake.functions import numeric as nm
 from curvelake.functions import special
 from curvelake.operators.apply import per_curve, sums
-from curvelake.operators.reduce import Fpca, fpca, pls, scores
+from curvelake.operators.reduce import Fpca, fpca, pls
 from curvelake.sources.curves import Curves, unit_grid
 
 
@@ -95,12 +95,7 @@ def linear_pls(c: Curves, y: str, k: int = 3, covariates: list[str] | None = Non
     """Least squares on PLS scores."""
     model = pls(c, y, k)
     shim = Fpca(model.mean, model.rotation / c.weights[:, None], np.ones(model.rotation.shape[1]), c.weights, 0)
-    got = linear(Curves(c.df, c.grid), y, k, covariates, shim) if np.allclose(c.grid, unit_grid(len(c.grid))) else _linear_on(c, y, k, covariates, shim)
-    return got
-
-
-def _linear_on(c, y, k, covariates, basis):
-    return linear(c, y, k, covariates, basis)
+    return linear(c, y, k, covariates, shim)
 
 
 def choose_components(c: Curves, y: str, most: int = 6, criterion: str = "gcv") -> tuple[int, list[float]]:
@@ -377,6 +372,3 @@ def influence(c: Curves, y: str, model: Linear) -> DataFrame:
 def press(diagnostics: DataFrame) -> DataFrame:
     e = F.col("residual") / (1 - F.col("leverage"))
     return diagnostics.agg(F.sum(e * e).alias("press"), F.avg(e * e).alias("loo_mse"))
-
-
-__all__ = ["scores"]

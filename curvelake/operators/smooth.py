@@ -6,7 +6,6 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from curvelake.functions import numeric as nm
 from curvelake.operators.apply import per_curve, sums
@@ -194,6 +193,3 @@ def choose_nbasis(c: Curves, sizes=range(5, 16), criterion: str = "gcv") -> tupl
         got = smooth_basis(c, phi, np.zeros((phi.shape[1],) * 2), 0.0)
         found[n] = got[{"gcv": 2, "aic": 3, "bic": 4}[criterion]]
     return min(found, key=found.get), found
-
-
-__all__ = ["F"]

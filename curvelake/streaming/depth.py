@@ -63,9 +63,8 @@ def chart_stream(scored: DataFrame, eig, how: str = "mewma", limit: float = math
     def step(group, batches, state):
         d = len(eig)
         kept = json.loads(state.get[0]) if state.exists else {"t": 0, "z": [0.0] * d, "hi": [0.0] * d, "lo": [0.0] * d}
-        z, hi, lo, t = (np.array(kept[x]) for x in ("z", "hi", "lo")).__iter__(), None, None, kept["t"]
-        z, hi, lo = z
-        out = []
+        z, hi, lo = (np.array(kept[x]) for x in ("z", "hi", "lo"))
+        t, out = kept["t"], []
         for pdf in batches:
             for s in pdf["scores"]:
                 t += 1

@@ -76,7 +76,6 @@ def test_components_and_regression(data):
     assert np.allclose(by_id(model.predict(c), "fit"), fit)
     z = regress.glm(c, "y", "gaussian", 3)
     assert np.allclose(z.coef, model.coef, atol=1e-6)
-    b = pointwise  # noqa: F841
     k = reduce.pls(c, "y", 2)
     assert np.corrcoef(by_id(c.df.select("id", "y"), "y"), (x - x.mean(0)) @ k.rotation[:, 0])[0, 1] > 0.5
 
