@@ -6,7 +6,8 @@ of the pair it forms with its next live neighbour; each node keeps the leftmost
 position of the least rank, so the root names the next merge.  A merge changes the
 pairs of two live neighbours and drops one position: three logarithmic updates.
 
-Encoded pieces are kept in a bounded table per worker, as words repeat.
+Encoded pieces are kept in a table of CACHE_PIECES entries (about 200 MB) per worker, as
+words repeat.
 
 Defined results: null text is empty and has no tokens; very long pieces cost
 n log n; repeated rows and null ids each give a row; other columns are ignored.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .words import map_batches
 
 NONE = 1 << 40
-CACHE_PIECES = 200_000
+CACHE_PIECES = 800_000
 
 
 class Ranks:
@@ -36,7 +37,8 @@ class Ranks:
         self.ids = {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line.strip())}
         self.tokens = {i: t for t, i in self.ids.items()}
         self.pattern = regex.compile(pattern)
-        self.cache: dict[str, tuple[int, str]] = {}
+        self.by_digits = {str(i): t for i, t in self.tokens.items()}
+        self.cache: dict[str, str] = {}
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ids.get(piece)
@@ -48,21 +50,27 @@ class Ranks:
     def encode(self, text: str) -> list[int]:
         return [i for p in self.pieces(text) for i in self.encode_piece(p.encode())]
 
-    def encode_digits(self, text: str) -> tuple[int, str]:
-        """Number of tokens, and their decimal ids joined by commas."""
-        cache, total, out = self.cache, 0, []
-        for piece in self.pieces(text):
-            found = cache.get(piece)
-            if found is None:
-                ids = self.encode_piece(piece.encode())
-                found = (len(ids), ",".join(map(str, ids)))
-                if len(piece) <= 64:
-                    if len(cache) >= CACHE_PIECES:
-                        cache.clear()
-                    cache[piece] = found
-            total += found[0]
-            out.append(found[1])
-        return total, ",".join(out)
+    def encode_digits(self, text: str) -> str:
+        """Decimal ids joined by commas; empty for an empty text."""
+        pieces = self.pieces(text)
+        found = list(map(self.cache.get, pieces))
+        if None in found:
+            cache = self.cache
+            for k, digits in enumerate(found):
+                if digits is None:
+                    piece = pieces[k]
+                    digits = cache.get(piece)
+                    if digits is None:
+                        digits = ",".join(map(str, self.encode_piece(piece.encode())))
+                        if len(piece) <= 64:
+                            if len(cache) >= CACHE_PIECES:
+                                cache.clear()
+                            cache[piece] = digits
+                    found[k] = digits
+        return ",".join(found)
+
+    def decode_digits(self, digits: str) -> bytes:
+        return b"".join(map(self.by_digits.__getitem__, digits.split(","))) if digits else b""
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -134,10 +142,11 @@ def _encoded(docs: DataFrame, rank_file: str, pattern: str, keep_ids: bool) -> D
         for first in range(0, len(texts), 256):
             part = texts.slice(first, 256).to_pylist()
             for text in part:
-                n, digits = ranks.encode_digits(text or "")
-                ids = list(map(int, digits.split(","))) if n else []
-                back = hashlib.sha256(ranks.decode(ids)).hexdigest()
-                rows.append((n, hashlib.sha256(digits.encode()).hexdigest(), back, ids if keep_ids else None))
+                digits = ranks.encode_digits(text or "")
+                n = digits.count(",") + 1 if digits else 0
+                back = hashlib.sha256(ranks.decode_digits(digits)).hexdigest()
+                ids = list(map(int, digits.split(","))) if keep_ids and n else []
+                rows.append((n, hashlib.sha256(digits.encode()).hexdigest(), back, ids))
         n, ids_sha, back_sha, ids = zip(*rows, strict=True)
         yield [batch.column("doc_id"), n, ids_sha, back_sha, *([ids] if keep_ids else [])]
 

@@ -28,8 +28,8 @@ from .words import map_batches
 
 #: The byte-level pre-tokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_PIECES = 200_000
-CACHE_PAIRS = 200_000
+CACHE_PIECES = 800_000
+CACHE_PAIRS = 400_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -117,9 +117,11 @@ class PrefixCounter:
             if special:
                 total += 1
                 continue
-            for piece in self.pattern.findall(part):
-                n = known.get(piece)
-                total += self.piece_count(piece) if n is None else n
+            pieces = self.pattern.findall(part)
+            counts = list(map(known.get, pieces))
+            if None in counts:
+                counts = [self.piece_count(p) if n is None else n for p, n in zip(pieces, counts, strict=True)]
+            total += sum(counts)
         return total
 
     def _tails(self, part: str):
