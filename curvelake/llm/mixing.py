@@ -1,12 +1,13 @@
 """Mixing sources to target weights with a low-discrepancy schedule.
 
 Slot k of the mix gets the point frac((k + 1) * golden ratio); mapped through the
-cumulative target shares it names a source, so every stretch of the mix holds the
-sources near their shares.  A source's slots are ranked; its documents are shuffled
-by a hash and laid end to end, and the stream is cut into blocks of BLOCK tokens
-(words).  The r-th slot takes block r modulo the number of blocks; slots are taken
+cumulative shares of the slots that targets need it names a source, so every stretch of
+the mix holds the sources near their shares.  A source's slots are ranked; its documents
+are shuffled by a hash and laid end to end, and the stream is cut into blocks of BLOCK
+tokens (words).  The r-th slot takes block r modulo the number of blocks; slots are taken
 until the source's target is met, the last one in part, so no document is used more
-than MAX_EPOCHS times.
+than MAX_EPOCHS times.  The few slots that the points leave a source short of follow
+after all others, so every source's target is met exactly (rounded up to a word).
 
 Ranks and places in streams come from counts by chunk (slots) or by bucket (shuffled
 documents) whose prefix sums are small tables, so no source is sorted in one task.
@@ -59,8 +60,15 @@ def share_out(sizes: dict, weights: dict) -> dict:
     return target
 
 
+def slots_needed(size: int, target: float) -> int:
+    """Slots that take ceil(target) tokens; the last block of an epoch may be short but has a slot."""
+    epochs, rest = divmod(math.ceil(target), size) if size else (0, 0)
+    return epochs * -(-size // BLOCK) + -(-rest // BLOCK)
+
+
 def plan(spark, sizes: DataFrame) -> DataFrame:
-    """A row per source: source, sid, source_size, target, low, high (its share of [0, 1)).
+    """A row per source: source, sid, source_size, target, slots (that the target needs), low,
+    high (its share of [0, 1), by slots).
 
     What comes to the driver is one row per source.
     """
@@ -68,32 +76,41 @@ def plan(spark, sizes: DataFrame) -> DataFrame:
     order = sorted(rows, key=lambda s: (s is None, s or ""))
     weights = {s: WEIGHTS[k % len(WEIGHTS)] for k, s in enumerate(order)}
     target = share_out(rows, weights)
-    whole, low, out = sum(target.values()), 0.0, []
+    need = {s: slots_needed(rows[s], target[s]) for s in order}
+    whole, low, out = sum(need.values()), 0.0, []
     for k, s in enumerate(order):
-        high = low + (target[s] / whole if whole else 0.0)
-        out.append((s, k, rows[s], target[s], low, high))
+        high = low + (need[s] / whole if whole else 0.0)
+        out.append((s, k, rows[s], target[s], need[s], low, high))
         low = high
-    return spark.createDataFrame(out, "source string, sid int, source_size long, target double, low double, high double")
+    return spark.createDataFrame(out, "source string, sid int, source_size long, target double, slots long, low double, high double")
 
 
 def schedule(spark, sources: DataFrame) -> DataFrame:
-    """Slots in order: slot, sid, rank (of the slot within its source, from 0)."""
+    """Slots in order: slot, sid, rank (of the slot within its source, from 0).
+
+    Every source has the slots its target needs at least: ranks that the points do not
+    reach come after all others, in turn by source (their slot numbers leave gaps).
+    """
     known = sources.collect()
-    n = math.ceil(sum(r["target"] for r in known) / BLOCK)
-    slots = n + 4 * len(known) + 64  # the discrepancy of the points, a few slots for each source
+    n = sum(r["slots"] for r in known)
     live = [r for r in known if r["high"] > r["low"]]
     point = (F.col("slot") + 1) * F.lit(GOLDEN)
     point = point - F.floor(point)
     sid = F.lit(live[-1]["sid"] if live else 0)
     for r in reversed(live[:-1]):
         sid = F.when(point < r["high"], r["sid"]).otherwise(sid)
-    drawn = spark.range(slots if n else 0).select(F.col("id").alias("slot"), sid.alias("sid"), F.floor(F.col("id") / CHUNK).alias("chunk"))
+    drawn = spark.range(n).select(F.col("id").alias("slot"), sid.alias("sid"), F.floor(F.col("id") / CHUNK).alias("chunk"))
     chunks = drawn.groupBy("sid", "chunk").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
-    chunks = chunks.select("sid", "chunk", F.coalesce(before, F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot"))
-    ranked = drawn.withColumn("own", own).join(chunks, ["sid", "chunk"])
-    return ranked.select("slot", "sid", (F.col("before") + F.col("own") - 1).alias("rank"))
+    ranked = drawn.withColumn("own", own).join(chunks.select("sid", "chunk", F.coalesce(before, F.lit(0)).alias("before")), ["sid", "chunk"])
+    ranked = ranked.select("slot", "sid", (F.col("before") + F.col("own") - 1).alias("rank"))
+    # a source's points differ from its share by a few at any n, so few ranks are missing
+    got = chunks.groupBy("sid").agg(F.sum("n").alias("got"))
+    short = sources.select("sid", "slots").join(got, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < slots")
+    rest = short.select("sid", "got", F.explode(F.sequence(F.col("got"), F.col("slots") - 1)).alias("rank"))
+    rest = rest.select((F.lit(n) + (F.col("rank") - F.col("got")) * len(known) + F.col("sid")).alias("slot"), "sid", "rank")
+    return ranked.unionByName(rest)
 
 
 def streams(sized: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """The ten operators on small tables against brute force; nulls, empty and odd inputs."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -166,6 +167,22 @@ def test_mixing(spark, docs):
     assert staged.select(F.sum(mixing.count_words(F.col("text")))).first()[0] == sum(r["taken"] for r in got)
 
 
+def test_mixing_meets_small_targets(spark):
+    words = {"hot": 60_000, **{f"s{k}": 40 for k in range(7)}, "t": 129, "u": 1000, "v": 65, "empty": 0}
+    rows = [(k, "w " * min(500, n - at), s) for s, n in words.items() for k, at in enumerate(range(0, max(n, 1), 500))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    order = sorted(words)
+    target = mixing.share_out(words, {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)})
+    got = mixing.mix(df, ("doc_id", "source")).groupBy("source").agg(F.sum("taken").alias("taken")).collect()
+    assert {r["source"]: r["taken"] for r in got} == {s: math.ceil(target[s]) for s in words}
+    sources = mixing.plan(spark, df.select("source", mixing.count_words(F.col("text")).alias("size")))
+    slots = mixing.schedule(spark, sources).orderBy("slot").collect()
+    assert len({r["slot"] for r in slots}) == len(slots)
+    for r in sources.collect():
+        own = [s["rank"] for s in slots if s["sid"] == r["sid"]]
+        assert own == list(range(len(own))) and len(own) >= r["slots"]
+
+
 def test_chat(spark):
     odd = "\\ <| \\<| <|im_sep|> \n \\\\ \\| <|im_end|>\n"
     rows = [(1, 0, "system", "s"), (1, 1, "user", "u1"), (1, 2, "user", odd), (1, 3, "assistant", odd), (1, 4, "assistant", None), (2, 0, "we\\ird\n<|role", "x\\"), (2, None, None, "first"), (3, 0, "assistant", ""), (None, 0, "user", "no id")]
