@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvelake.functions import numeric as nm
-from curvelake.operators.apply import against, per_curve, sums
+from curvelake.operators.apply import against, matrix, per_curve, sums
 from curvelake.sources.curves import Curves
 
 
@@ -296,19 +296,23 @@ def _moments(c: Curves):
 def lrt_threshold(c: Curves, n_boot: int = 100, percentile: float = 0.99, smoothing: float = 0.05, trim: float = 0.1, seed: int = 1) -> float:
     """Quantile of the largest normalised distance over smoothed bootstrap samples.
 
-    Replicates are dealt out with the moments and a sample of curves of bounded size.
+    Replicates draw from all curves: the table's values go to every executor, and a task
+    holds a replicate of their size.
     """
     import pandas as pd
 
-    rows = np.array([r["values"] for r in c.df.orderBy("id").select("values").limit(5000).collect()])
-    w, t = c.weights, trim
+    values = matrix(c.df.orderBy("id").select("values").toArrow().column(0))
+    shared, w, t = c.df.sparkSession.sparkContext.broadcast(values), c.weights, trim
 
     def one(b: int) -> float:
-        r = np.random.default_rng(seed + b)
-        x = rows[r.integers(0, len(rows), len(rows))]
-        x = x + smoothing * rows.std(0, ddof=1) * r.standard_normal(x.shape)
-        f = (np.argsort(np.argsort(x, 0), 0) + 1) / len(x)
-        d = np.minimum(f, 1 - f).mean(1)
+        rows = shared.value
+        r, n = np.random.default_rng(seed + b), len(rows)
+        x = rows[r.integers(0, n, n)]
+        x += smoothing * rows.std(0, ddof=1) * r.standard_normal(x.shape)
+        d, rank = np.zeros(n, np.int64), np.empty(n, np.int64)
+        for p in range(x.shape[1]):
+            rank[np.argsort(x[:, p])] = np.arange(1, n + 1)
+            d += np.minimum(rank, n - rank)
         keep = x[np.argsort(d, kind="stable")[int(t * len(x)) :]]
         return float(np.sqrt((x - keep.mean(0)) ** 2 / np.maximum(keep.var(0, ddof=1), 1e-10) @ w).max())
 

@@ -218,7 +218,7 @@ def magnitude_shape(spark, d):
 @query()
 def detect_outliers_lrt(spark, d):
     c = EMB(spark, d)
-    return rounded(depth.lrt_outliers(c, depth.lrt_threshold(c, 20)))
+    return rounded(depth.lrt_outliers(c, depth.lrt_threshold(c)))
 
 
 @query()

@@ -137,3 +137,11 @@ def test_streaming_depth_equals_batch(data, spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert np.allclose(by_id(spark.table("depths"), "depth"), by_id(depth.modified_band(c), "depth"))
+
+
+def test_lrt_threshold_draws_from_all_curves(spark):
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.standard_normal((5000, 3)), 8 * r.standard_normal((200, 3))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, values array<double>")
+    c = Curves(df, np.linspace(0, 1, 3))
+    assert depth.lrt_threshold(c, 4) > 2 * depth.lrt_threshold(c.with_df(df.where("id < 5000")), 4)
