@@ -301,16 +301,26 @@ def kernel_classify(distances: DataFrame, labels: DataFrame, h: float) -> DataFr
     return labels.join(votes.groupBy("id").agg(F.max_by("lj", F.struct("w", -F.col("lj"))).alias("predicted")), "id")
 
 
-def dd_classify(c: Curves, label: str) -> DataFrame:
-    """id, predicted: the class in which a curve's Fraiman-Muniz depth is greatest."""
-    classes = sorted(r[0] for r in c.df.select(label).distinct().collect())
-    cuts = {g: np.sort(np.array([r["values"] for r in c.df.where(F.col(label) == g).select("values").limit(5000).collect()]), 0) for g in classes}
-
-    def kernel(v):
-        d = np.empty((len(v), len(classes)))
-        for k, g in enumerate(classes):
-            f = np.stack([np.searchsorted(cuts[g][:, p], v[:, p], "right") for p in range(v.shape[1])], 1) / len(cuts[g])
-            d[:, k] = np.minimum(f, 1 - f).mean(1)
-        return np.array(classes)[d.argmax(1)], d.max(1)
+def dd_classify(c: Curves, label: str, buckets: int = 64) -> DataFrame:
+    """id, predicted: the class in which a curve's Fraiman-Muniz depth is greatest, the first of equals.
 
-    return per_curve(c.df, kernel, "predicted int, depth double")
+    Depths are ranks against every curve of a class, from windows over (position, value
+    bucket) as in ``depth.ranks``; counts are whole numbers, so nothing depends on order.
+    """
+    classes = sorted(r[0] for r in c.df.select(label).distinct().collect())
+    own = [F.when(F.col("class") == g, 1).otherwise(0) for g in classes]
+    rows = c.df.select("id", F.col(label).alias("class"), F.posexplode("values").alias("pos", "v"))
+    cuts = rows.groupBy("pos").agg(F.percentile_approx("v", [k / buckets for k in range(1, buckets)]).alias("cuts"))
+    rows = rows.join(F.broadcast(cuts), "pos").withColumn("bucket", F.size(F.filter("cuts", lambda x: x < F.col("v")))).drop("cuts")  # a row per grid position
+    counts = rows.groupBy("pos", "bucket").agg(*[F.sum(x).alias(f"k{k}") for k, x in enumerate(own)])
+    w = Window.partitionBy("pos")
+    lower = [(F.sum(f"k{k}").over(w.orderBy("bucket")) - F.col(f"k{k}")).alias(f"lower{k}") for k in range(len(classes))]
+    counts = counts.select("pos", "bucket", *lower, *[F.sum(f"k{k}").over(w).alias(f"n{k}") for k in range(len(classes))])
+    o = Window.partitionBy("pos", "bucket").orderBy("v").rangeBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(F.broadcast(counts), ["pos", "bucket"])  # positions times buckets, both parameters
+    rows = rows.select("id", *[F.col(f"n{k}") for k in range(len(classes))], *[(F.col(f"lower{k}") + F.sum(x).over(o)).alias(f"le{k}") for k, x in enumerate(own)])
+    depths = [F.sum(F.least(f"le{k}", F.col(f"n{k}") - F.col(f"le{k}"))) / (F.first(f"n{k}") * len(c.grid)) for k in range(len(classes))]
+    found = rows.groupBy("id").agg(F.array(*depths).alias("depths"))
+    best = F.array_max("depths")
+    predicted = F.element_at(F.array(*map(F.lit, classes)), F.array_position("depths", best).cast("int")).cast("int")
+    return c.df.drop("values").join(found.select("id", predicted.alias("predicted"), best.alias("depth")), "id")

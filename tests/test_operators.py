@@ -145,3 +145,19 @@ def test_lrt_threshold_draws_from_all_curves(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, values array<double>")
     c = Curves(df, np.linspace(0, 1, 3))
     assert depth.lrt_threshold(c, 4) > 2 * depth.lrt_threshold(c.with_df(df.where("id < 5000")), 4)
+
+
+def test_dd_classes_are_whole(spark):
+    r = np.random.default_rng(4)
+    x, g = np.round(r.standard_normal((7000, 3)), 2), (np.arange(7000) >= 6000).astype(int)
+    x[g == 1] += 1
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, g))], "id long, values array<double>, label int").repartition(5)
+    depths = np.empty((7000, 2), np.int64)
+    for k in (0, 1):
+        s = np.sort(x[g == k], 0)
+        le = np.stack([np.searchsorted(s[:, p], x[:, p], "right") for p in range(3)], 1)
+        depths[:, k] = np.minimum(le, len(s) - le).sum(1)
+    d = depths / (3 * np.array([6000, 1000]))
+    got = cluster.dd_classify(Curves(df, np.linspace(0, 1, 3)), "label").cache()
+    assert (by_id(got, "label") == g).all() and (by_id(got, "predicted") == d.argmax(1)).all()
+    assert np.allclose(by_id(got, "depth"), d.max(1), atol=1e-12)
