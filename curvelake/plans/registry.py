@@ -472,7 +472,7 @@ def dynamical_correlation(spark, d):
 @query()
 def andrews_transform(spark, d):
     c = EMB(spark, d)
-    return rounded(reduce.andrews(c.df.select("id", F.slice("values", 1, 5).alias("features")), np.linspace(-np.pi, np.pi, 21)))
+    return rounded(reduce.andrews(c.df.select("id", F.col("values").alias("features")), np.linspace(-np.pi, np.pi, 21)))
 
 
 # ---- smoothing and bases ----
@@ -718,10 +718,9 @@ def conformal_fregre_lm(spark, d):
 # ---- registration ----
 
 
-def _some(spark, d) -> src.Curves:
-    """Nation curves, smoothed and scaled, on every fourth month."""
-    c = pointwise.normalize(smooth.smooth(REV(spark, d), 4.0), "curve_standardize")
-    return pointwise.interpolate(c, c.grid[::4])
+def _smoothed(spark, d) -> src.Curves:
+    """Nation curves, smoothed and scaled, on all months."""
+    return pointwise.normalize(smooth.smooth(REV(spark, d), 4.0), "curve_standardize")
 
 
 @query()
@@ -732,28 +731,28 @@ def srsf_transform(spark, d):
 
 @query()
 def elastic_self_distance_matrix(spark, d):
-    return rounded(elastic.distances(_some(spark, d)))
+    return rounded(elastic.distances(_smoothed(spark, d)))
 
 
 @query()
 def phase_self_distance_matrix(spark, d):
-    return rounded(elastic.distances(_some(spark, d), part="phase"))
+    return rounded(elastic.distances(_smoothed(spark, d), part="phase"))
 
 
 @query()
 def karcher_mean(spark, d):
-    return curve_rows(spark, elastic.karcher_mean(_some(spark, d), max_iter=5))
+    return curve_rows(spark, elastic.karcher_mean(_smoothed(spark, d)))
 
 
 @query()
 def elastic_alignment(spark, d):
-    c = _some(spark, d)
-    return rounded(elastic.align_to(c, elastic.karcher_mean(c, max_iter=3)))
+    c = _smoothed(spark, d)
+    return rounded(elastic.align_to(c, elastic.karcher_mean(c)))
 
 
 @query()
 def shift_registration(spark, d):
-    return rounded(elastic.shift_register(_some(spark, d), 4.0))
+    return rounded(elastic.shift_register(_smoothed(spark, d), 4.0))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

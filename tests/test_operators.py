@@ -161,3 +161,16 @@ def test_dd_classes_are_whole(spark):
     got = cluster.dd_classify(Curves(df, np.linspace(0, 1, 3)), "label").cache()
     assert (by_id(got, "label") == g).all() and (by_id(got, "predicted") == d.argmax(1)).all()
     assert np.allclose(by_id(got, "depth"), d.max(1), atol=1e-12)
+
+
+def test_registered_on_whole_curves(spark):
+    from curvelake.plans import registry
+
+    d, seen = "/root/testdata/sf0.001", {}
+    x = by_id(registry.EMB(spark, d).df, "values")
+    t = np.linspace(-np.pi, np.pi, 21)
+    basis = [np.full(21, np.sqrt(0.5)), *((np.sin if k % 2 else np.cos)((k + 1) // 2 * t) for k in range(1, 64))]
+    assert np.allclose(by_id(registry.queries()["andrews_transform"](spark, d), "curve"), x @ np.array(basis), atol=1e-5)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(registry.elastic, "karcher_mean", lambda c, **options: seen.update(options, points=len(c.grid)) or np.zeros(len(c.grid)))
+        assert registry.queries()["karcher_mean"](spark, d).count() == 80 and seen == {"points": 80}
