@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from curvelake.functions import numeric as nm
 from curvelake.functions import special
-from curvelake.operators.apply import moments, sums
+from curvelake.operators.apply import matrix, moments, sums
 from curvelake.operators.reduce import fpca, solve_fpca
 from curvelake.sources.curves import Curves
 
@@ -329,16 +329,74 @@ def ar_fit(x, most: int | None = None) -> tuple[np.ndarray, float]:
     from curvelake.operators.season import acf
 
     x = np.asarray(x, float)
-    n = len(x)
-    most = int(min(10 * math.log10(n), n - 1, n // 4)) if most is None else most
-    r, best = acf(x, most), (math.inf, np.zeros(0))
-    for p in range(most + 1):
+    most = _most_lags(len(x)) if most is None else most
+    return _yule_walker(acf(x, most), x.var(), len(x)), float(x.mean())
+
+
+def _most_lags(n: int) -> int:
+    return int(min(10 * math.log10(n), n - 1, n // 4))
+
+
+def _yule_walker(r: np.ndarray, variance: float, n: int) -> np.ndarray:
+    """Coefficients of the order of least AIC, up to the last lag of r."""
+    best = (math.inf, np.zeros(0))
+    for p in range(len(r)):
         phi = np.linalg.solve(np.array([[r[abs(i - j)] for j in range(p)] for i in range(p)]), r[1 : p + 1]) if p else np.zeros(0)
-        s2 = x.var() * (1 - phi @ r[1 : p + 1])
+        s2 = variance * (1 - phi @ r[1 : p + 1])
         score = n * math.log(max(s2, 1e-300)) + 2 * p
         if score < best[0]:
             best = (score, phi)
-    return best[1], float(x.mean())
+    return best[1]
+
+
+def _lag_products(x: np.ndarray, off: int, most: int, stop: int | None = None) -> np.ndarray:
+    """Row h: sum of x[i] x[i - h] over i from ``off`` on, and below off + h if ``stop`` is None."""
+    out = np.zeros((most + 1, x.shape[1]))
+    for h in range(most + 1):
+        a, b = max(off, h), min(len(x), off + h) if stop is None else stop
+        if a < b:
+            out[h] = (x[a:b] * x[a - h : b - h]).sum(0)
+    return out
+
+
+def autocovariances(df: DataFrame, column: str, most: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(n, mean, covariances of lags 0..most over n, the last rows) of an array column by id.
+
+    Sorted partitions add up their own products; those across a border come from the
+    ``most`` rows on either side of it, which are all that reaches the driver.
+    """
+    import pickle
+
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    keep = max(most, 1)
+
+    def run(batches):
+        n, total, products, head, tail = 0, 0.0, 0.0, None, None
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column(0))
+                both = x if tail is None else np.concatenate([tail, x])
+                products = products + _lag_products(both, len(both) - len(x), most, len(both))
+                n, total, tail = n + len(x), total + x.sum(0), both[-keep:]
+                head = x[:keep] if head is None else head if len(head) == keep else np.concatenate([head, x])[:keep]
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([pickle.dumps((n, total, products, head, tail))], pa.binary())], names=["part", "payload"])
+
+    parts = df.orderBy("id").select(column).mapInArrow(run, "part int, payload binary").collect()
+    n, total, products, first, last = 0, 0.0, 0.0, None, None
+    for row in sorted(parts, key=lambda r: r["part"]):
+        k, t, p, head, tail = pickle.loads(bytes(row["payload"]))
+        n, total, products = n + k, total + t, products + p
+        if last is not None:
+            products = products + _lag_products(np.concatenate([last, head]), len(last), most)
+        first = head if first is None else np.concatenate([first, head])[:keep]
+        last = tail if last is None else np.concatenate([last, tail])[-keep:]
+    mean = total / n
+    ends = np.array([first[:h].sum(0) + last[len(last) - h :].sum(0) for h in range(most + 1)])
+    lags = np.arange(most + 1)[:, None]
+    return n, mean, (products - mean * (2 * total - ends) + (n - lags) * mean**2) / n, last
 
 
 def forecast(c: Curves, k: int = 3, steps: int = 1) -> np.ndarray:
@@ -346,11 +404,12 @@ def forecast(c: Curves, k: int = 3, steps: int = 1) -> np.ndarray:
     model = fpca(c, k)
     from curvelake.operators.reduce import scores
 
-    s = np.array([r["scores"] for r in scores(c, model).orderBy("id").select("scores").limit(MOST_ROWS).collect()])
-    out = np.zeros((steps, s.shape[1]))
-    for j in range(s.shape[1]):
-        phi, mu = ar_fit(s[:, j])
-        past = list(s[:, j] - mu)
+    n, mean, cov, last = autocovariances(scores(c, model), "scores", _most_lags(c.df.count()))
+    out = np.zeros((steps, len(mean)))
+    for j, mu in enumerate(mean):
+        r = cov[:, j] / cov[0, j] if n * cov[0, j] > 1e-15 else np.zeros(len(cov))
+        phi = _yule_walker(r, cov[0, j], n)
+        past = list(last[:, j] - mu)
         for h in range(steps):
             x = sum(a * past[-1 - i] for i, a in enumerate(phi))
             past.append(x)

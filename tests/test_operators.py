@@ -174,3 +174,30 @@ def test_registered_on_whole_curves(spark):
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(registry.elastic, "karcher_mean", lambda c, **options: seen.update(options, points=len(c.grid)) or np.zeros(len(c.grid)))
         assert registry.queries()["karcher_mean"](spark, d).count() == 80 and seen == {"points": 80}
+
+
+def test_forecast_goes_on_from_the_last_curve(spark, monkeypatch):
+    monkeypatch.setattr(infer, "MOST_ROWS", 120)
+    r = np.random.default_rng(6)
+    a = np.zeros((200, 3))
+    for k in range(1, 200):
+        a[k] = [0.9, -0.7, 0.5] * a[k - 1] + [3, 2, 1] * r.standard_normal(3)
+    t = np.linspace(0, 1, M)
+    x = 5 + a @ np.stack([np.sin(np.pi * t), np.cos(2 * np.pi * t), t])
+    for parts in (1, 60):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, values array<double>").repartition(parts)
+        c = Curves(df.cache(), t)
+        model = reduce.fpca(c, 3)
+        s = by_id(reduce.scores(c, model), "scores")
+        n, mean, cov, last = infer.autocovariances(reduce.scores(c, model), "scores", 23)
+        assert n == 200 and np.allclose(mean, s.mean(0)) and np.allclose(last, s[-23:])
+        z = s - s.mean(0)
+        assert np.allclose(cov, [(z[h:] * z[: 200 - h]).sum(0) / 200 for h in range(24)])
+        want = np.zeros((2, 3))
+        for j in range(3):
+            phi, mu = infer.ar_fit(s[:, j])
+            past = list(s[:, j] - mu)
+            for h in range(2):
+                past.append(sum(p * past[-1 - i] for i, p in enumerate(phi)))
+                want[h, j] = past[-1] + mu
+        assert np.allclose(infer.forecast(c, 3, 2), model.rebuild(want))
