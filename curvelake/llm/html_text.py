@@ -1,21 +1,19 @@
-"""HTML main text by template deduction over the pages of a host.
+"""HTML main text by what repeats over the pages of a host.
 
 Every page becomes tokens: start tags with their path of open elements, and text
-nodes outside an article with theirs.  A token's occurrence vector says how often it
-stands on each page of its host; tokens of one vector form an equivalence class.
-Vectors are compared by sums of page hashes, so no vector is gathered.  A class is
-valid when at least SUPPORT_PERCENT (and two) of the host's pages hold it.  Valid
-classes, ordered by where they stand, nest into the host's template: its tags bound
-the slots, its repeated text nodes are notices and menus, and the container whose
-slots hold most text is the main one.  A page's text is what fills the slots of its
-article or main element, else of the host's main container, else of its body.
+nodes outside an article with theirs.  A token is frequent when at least
+SUPPORT_PERCENT (and two) of the host's distinct pages hold it; copies of a page count
+once.  Frequent text nodes are notices and menus and are left out; the frequent
+container with most text is the main one.  A page's text is that of its article or
+main element, else of its host's main container, else of its body.  This is a
+frequency rule: no template of equivalence classes is deduced or matched.
 
 Elements that are never main text (menus, headers, footers, sidebars, forms, scripts,
 styles, adverts, notices, reader comments) are left out by element name, role, or
 words of their class and id.
 
 Defined results: null or empty html has empty text; null url is a host of its own; a
-page alone on its host is read without a template; repeated rows each give a row;
+host with one distinct page has nothing that repeats; repeated rows each give a row;
 other columns are ignored.  Markup cut off at the end of a page is dropped, unknown
 character references stay as they are.
 """
@@ -34,11 +32,12 @@ from .storage import stored
 from .words import map_batches
 
 SUPPORT_PERCENT = 50
-#: Templates are broadcast up to so many hosts; beyond, pages and templates are joined by host.
+#: What repeats is broadcast up to so many hosts; beyond, pages are joined with it by host.
 BROADCAST_HOSTS = 5_000
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")  # every one, so that values hold no names
+_READ = frozenset("class id role itemprop hidden aria-hidden".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
 _LEFT_OUT = frozenset("head script style noscript template iframe svg math object canvas audio video nav header footer aside form button select textarea option input label fieldset menu dialog title xmp noembed noframes".split())
@@ -56,6 +55,8 @@ def _attributes(raw: str) -> tuple[str, str, str, bool]:
     names, role, prop, hidden = "", "", "", False
     for m in _ATTRIBUTE.finditer(raw):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key not in _READ:
+            continue
         if key in ("class", "id"):
             names += " " + value.lower()
         elif key == "role":
@@ -158,23 +159,19 @@ def _text_hash(path: int, text: str) -> int:
 
 
 def page_tokens(page: str) -> dict[int, list[int]]:
-    """Token hash -> [count, first place, characters of text it is the nearest container of, is text]."""
+    """Token hash -> [characters of text it is the nearest container of, is text]."""
     out: dict[int, list[int]] = {}
-    place = 0
     for kind, *rest in parse(page):
         if kind == "open":
-            place += 1
-            got = out.setdefault(rest[0].path, [0, place, 0, 0])
-            got[0] += 1
+            out.setdefault(rest[0].path, [0, 0])
         elif kind == "text":
             node, text = rest
             text = _SPACE.sub(" ", text).strip()
             if text and not node.out:
                 if node.holder in out:
-                    out[node.holder][2] += len(text)
+                    out[node.holder][0] += len(text)
                 if not node.main:
-                    place += 1
-                    out.setdefault(_text_hash(node.path, text), [0, place, 0, 1])[0] += 1
+                    out.setdefault(_text_hash(node.path, text), [0, 1])
     return out
 
 
@@ -217,47 +214,37 @@ def _host():
     return F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][^:/?#]*://([^/?#]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """A row per host of two pages or more: host, tags (the template's tags in order, as
-    path hashes), notices (hashes of its repeated texts), container."""
+def repeated(pages: DataFrame) -> DataFrame:
+    """A row per host of two distinct pages or more: host, notices (hashes of its frequent
+    texts), container."""
 
     def run(batch):
-        host, token, a, b, place, mass, is_text = ([] for _ in range(7))
-        for h, row, page in zip(batch.column("host").to_pylist(), batch.column("row").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            for key, (n, first, chars, text) in page_tokens(page or "").items():
-                v = hash_path(row & _MASK, "v", str(n))
+        host, row, token, mass, is_text = ([] for _ in range(5))
+        for h, r, page in zip(batch.column("host").to_pylist(), batch.column("row").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            for key, (chars, text) in page_tokens(page or "").items():
                 host.append(h)
+                row.append(r)
                 token.append(key)
-                a.append(v & 0x7FFFFFFF)
-                b.append(v >> 32)
-                place.append(first)
                 mass.append(chars)
                 is_text.append(bool(text))
         if host:
-            yield [host, token, a, b, place, mass, is_text]
+            yield [host, row, token, mass, is_text]
 
-    keyed = pages.select(_host().alias("host"), F.xxhash64("page_id", "url", "html").alias("row"), "html")
-    n_pages = pages.select(_host().alias("host")).groupBy("host").agg(F.count("*").alias("n_pages"))
-    tokens = map_batches(keyed, run, "host string, token long, a long, b long, place long, mass long, is_text boolean")
-    vectors = tokens.groupBy("host", "token").agg(F.count("*").alias("support"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.avg("place").alias("place"), F.sum("mass").alias("mass"), F.max("is_text").alias("is_text"))
+    keyed = pages.select(_host().alias("host"), F.xxhash64("html").alias("row"), "html")
+    n_pages = keyed.select("host", "row").distinct().groupBy("host").agg(F.count("*").alias("n_pages"))
+    tokens = map_batches(keyed, run, "host string, row long, token long, mass long, is_text boolean").dropDuplicates(["host", "token", "row"])
+    found = tokens.groupBy("host", "token").agg(F.count("*").alias("support"), F.sum("mass").alias("mass"), F.max("is_text").alias("is_text"))
     # few rows a host pass: each is on half of its pages
-    vectors = vectors.where("support > 1").join(n_pages, "host").where(F.col("support") * 100 >= F.col("n_pages") * SUPPORT_PERCENT)
-    classes = vectors.groupBy("host", "support", "a", "b").agg(F.array_sort(F.collect_list(F.struct("place", "token", "is_text", "mass"))).alias("members"))
-    members = classes.select("host", F.posexplode("members").alias("k", "m")).select("host", "m.*")
-    return members.groupBy("host").agg(
-        F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_text"), F.struct("place", "token")))), lambda m: m["token"]).alias("tags"),
-        F.collect_set(F.when(F.col("is_text"), F.col("token"))).alias("notices"),
-        F.max_by("token", F.struct("mass", "token")).alias("container"),
-    )
+    found = found.where("support > 1").join(n_pages, "host").where(F.col("support") * 100 >= F.col("n_pages") * SUPPORT_PERCENT)
+    return found.groupBy("host").agg(F.collect_set(F.when(F.col("is_text"), F.col("token"))).alias("notices"), F.max_by("token", F.struct("mass", "token")).alias("container"))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages (page_id, url, html)."""
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    known = stored(templates(pages))
+    known = stored(repeated(pages))
     few = known.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    slim = known.select(F.col("host"), "notices", "container")
-    joined = pages.withColumn("host", _host()).join(F.broadcast(slim) if few else slim, "host", "left")
+    joined = pages.withColumn("host", _host()).join(F.broadcast(known) if few else known, "host", "left")
 
     def run(batch):
         last, sets = None, frozenset()

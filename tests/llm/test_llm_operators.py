@@ -227,6 +227,17 @@ def test_html(spark):
     assert html_text.main_texts(df.limit(0)).count() == 0
 
 
+def test_html_copies_and_attributes(spark):
+    page = "<body><div>Same promo</div><div id=c><p>Long text number %s of this page</div>"
+    pages = [(1, "http://two.example/1", page % 1), (2, "http://two.example/2", page % 1)]
+    pages += [(k, f"http://three.example/{k}", page % min(k, 4)) for k in (3, 4, 5)]
+    pages += [(6, "http://attr.example/", "<p data-id=menu title='x id=footer' data-role=\"dialog\">Kept</p><p id=menu>Left out</p>")]
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[1] == got[2] == "Same promo\n\nLong text number 1 of this page"
+    assert [got[k] for k in (3, 4, 5)] == [f"Long text number {min(k, 4)} of this page" for k in (3, 4, 5)]
+    assert got[6] == "Kept"
+
+
 def test_counts_codes_and_media(spark, docs):
     import public_tokenizers as P
 
