@@ -6,24 +6,30 @@ node, so copies cost nothing further.
 
 Sketch: a hash sends each shingle to one of P blocks and to one of the block's 2^32
 bits, which it flips; a block is kept as the XOR of its set bits' hashes, since few of
-them are set.  Two sets whose sketches differ in h bits differ in at least h shingles, so linked sets, which differ in at most (a + b) / 9 of theirs (at
-80 %), differ in at most d blocks.  P = d + 1 + r blocks then leave r + 1 equal
-blocks at least, and each set may drop its r most common blocks (by one global order:
-empty ones, then by how many nodes share the block): the least common equal block
-stays in both.  Band c takes sets of its size range and those within reach of it from
-the band below; d is that of its largest sets.
+them are set.  Two sets whose sketches differ in h bits differ in at least h shingles,
+so linked sets, which differ in at most (a + b) / 9 of theirs (at 80 %), differ in at
+most that many blocks.  As the other set has at most 5 / 4 of its shingles, a set of n
+differs from any linked one in at most n / 4 blocks: it keeps its n / 4 + 1 least common
+blocks (by one global order: empty ones are the commonest, then by how many nodes share
+the block) and may drop all others; the least common equal block stays in both.  Band c
+takes sets of its size range and those within reach of it from the band below.
 
 Candidates from equal blocks pass a size filter and parity sketches of the whole set, of
-256 bits and of a bit a shingle, then are verified on the texts.  A block shared by many nodes is not
-turned into all its pairs: its least node is verified against the others, links form
-components, and only nodes outside the least node's component are compared further:
-with the block's hubs first, and what is still outside the block's largest component
-with every node of another one.
+256 bits and of a bit a shingle, then are verified on the texts.  A block shared by many
+nodes is not turned into all its pairs: its least node and its hubs are verified against
+the others, links form components, and only blocks that still hold several components are
+open.  In an open block of up to SMALL nodes, nodes of different components meet.  In a
+larger one every node x is replaced by X, the shingles in which it differs from the
+block's hub c.  If x isn't linked to c, a set y linked to x must share at least
+(|X| + |Y| - (|x| + |y|) / 9) / 2 > 0 shingles with X in its own Y, so a prefix of the
+rarest shingles of X and Y finds every such pair; if both are linked to c they have one
+component already.  What a group of near copies has in common is in no X.
 
 Defined results: null or empty text has an empty set (0 shingles), is linked with
 nothing and is its own component; with fewer than five words the whole sequence is
 one shingle; null ids are kept and take no part in naming components; rows of one id
-are one vertex for naming; other columns are ignored.  Sets are told apart by 64 bits.
+are one vertex for naming; other columns are ignored, whatever their names and types.
+Texts and sets are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -37,11 +43,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import dropped, released, stored
-from .words import Words, few_words_hash, map_batches, mix, slices
+from .words import Words, few_words_hash, map_batches, mix, slices, window_hashes
 
 WORDS, THRESHOLD_PERCENT = 5, 80
-#: Counts of nodes by block stop here; the order of what is more common is by hash.
-COMMON = 64
+#: Nodes of a block that are held before they are written; larger blocks are counted after that.
+HELD = 64
+#: Open blocks of up to so many nodes are compared pair by pair.
+SMALL = 32
 #: Ids are broadcast up to so many rows (16 MB at most); beyond, tables are joined by id.
 BROADCAST_ROWS = 400_000
 #: Hubs of a block that meet the nodes outside their components before all others do.
@@ -75,7 +83,7 @@ def bands_of(n: int) -> list[int]:
 
 def shingle_sets(words: Words):
     """The sorted distinct shingle hashes of each row."""
-    windows = words.windows(WORDS)[0]
+    windows = window_hashes(words.hash, WORDS)
     for a, b in zip(words.rows[:-1].tolist(), words.rows[1:].tolist(), strict=True):
         if b - a >= WORDS:
             yield np.unique(windows[a : b - WORDS + 1])
@@ -85,8 +93,16 @@ def shingle_sets(words: Words):
             yield np.zeros(0, _U)
 
 
-def node_of(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def node_of(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set; the first half is its node but where two sets share that."""
+    digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def most_apart(n: int) -> int:
+    """In how many shingles a set of n can differ from a linked one: (n + m) / 9 at 80 % with m at most 5 n / 4."""
+    t = THRESHOLD_PERCENT
+    return (n + n * 100 // t) * (100 - t) // (100 + t)
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
@@ -116,18 +132,19 @@ def blocks(shingles: np.ndarray, band: int) -> tuple[np.ndarray, int]:
 
     The lowest bit of a key is the band's lowest bit.
     """
-    _, _, p = bands()[band]
+    _, d, p = bands()[band]
+    d = min(d, most_apart(len(shingles)))
     h = mix(shingles + _U(band + 1))
     word = np.zeros(p, _U)
     # the hash of a block is the XOR of its set bits' hashes: a bit flipped twice cancels
     np.bitwise_xor.at(word, ((h >> _U(32)) * _U(p) >> _U(32)).astype(np.int64), mix((h & _U(0xFFFFFFFF)) + _U(0x9E3779B97F4A7C15)))
     number = np.arange(p, dtype=_U)
     empty = word == 0
-    drops = p - 1 - bands()[band][1] - int(empty.sum())
+    drops = p - 1 - d - int(empty.sum())
     if drops >= 0:
         word, number = word[~empty], number[~empty]
     else:  # more empty blocks than may be dropped: the last ones by number stay
-        spare = np.flatnonzero(empty)[: p - 1 - bands()[band][1]]
+        spare = np.flatnonzero(empty)[: p - 1 - d]
         word, number, drops = np.delete(word, spare), np.delete(number, spare), 0
     key = mix(word ^ mix(number + (_U(band) << _U(32))))
     return (key & ~_U(1) | _U(band & 1)).view(np.int64), drops
@@ -143,13 +160,13 @@ def _sets(rows: DataFrame) -> DataFrame:
                 drops = [0, 0]
                 for band in bands_of(len(s)):
                     drops[band & 1] = blocks(s, band)[1]
-                out.append((len(s), node_of(s), *parity(s).tolist(), *drops, wide_parity(s)))
-        yield [batch.column("_row"), batch.column("doc_id"), *zip(*out, strict=True)]
+                out.append((len(s), *node_of(s), *parity(s).tolist(), *drops, wide_parity(s)))
+        yield [batch.column("t0"), batch.column("t1"), batch.column("doc_id"), *zip(*out, strict=True)]
 
-    return map_batches(rows, run, "_row long, doc_id long, n long, node long, p0 long, p1 long, p2 long, p3 long, drop0 int, drop1 int, wide binary")
+    return map_batches(rows, run, "t0 long, t1 long, doc_id long, n long, node long, node2 long, p0 long, p1 long, p2 long, p3 long, drop0 int, drop1 int, wide binary")
 
 
-def _keys(docs: DataFrame) -> DataFrame:
+def _keys(docs: DataFrame, renamed: dict) -> DataFrame:
     """(key, node) of all blocks of all sets, once within a batch."""
 
     def run(batch):
@@ -157,7 +174,8 @@ def _keys(docs: DataFrame) -> DataFrame:
         seen, keys, nodes = set(), [], []
         for first, end in slices(column):
             for s in shingle_sets(Words(column, first, end, lower=True)):
-                node = node_of(s)
+                halves = node_of(s)
+                node = renamed.get(halves, halves[0])
                 if len(s) < _FIRST[0] or node in seen:
                     continue
                 seen.add(node)
@@ -173,12 +191,12 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 def _shared(batches):
     """Of rows sorted by key and node: those whose key has two nodes or more, with the
-    number of its nodes, COMMON at most, and its least node. At most COMMON rows of a key
+    number of its nodes, HELD at most, and its least node. At most HELD rows of a key
     are held."""
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("nodes", pa.int32()), ("leader", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("nodes", pa.int64()), ("leader", pa.int64())])
 
     def out(keys, nodes, counts, leaders):
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64()), pa.array(counts, pa.int32()), pa.array(leaders, pa.int64())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), pa.array(leaders, pa.int64())], schema=schema)
 
     def whole(key, nodes, count, leader):
         return out(np.full(len(nodes), key), nodes, np.full(len(nodes), count), np.full(len(nodes), leader))
@@ -200,11 +218,11 @@ def _shared(batches):
         if last_key is not None and key[0] == last_key:
             begin = int(np.searchsorted(key, last_key, "right"))
             if many:
-                yield whole(last_key, node[:begin], COMMON, lead)
+                yield whole(last_key, node[:begin], HELD, lead)
             else:
                 held.append(node[:begin])
-                if sum(map(len, held)) >= COMMON:
-                    yield whole(last_key, np.concatenate(held), COMMON, lead)
+                if sum(map(len, held)) >= HELD:
+                    yield whole(last_key, np.concatenate(held), HELD, lead)
                     held, many = [], True
         if begin < len(key):
             if held and (n := sum(map(len, held))) > 1:
@@ -217,10 +235,10 @@ def _shared(batches):
             each = np.repeat(size, size)[:tail]
             keep = each > 1
             if keep.any():
-                yield out(key[:tail][keep], node[:tail][keep], np.minimum(each[keep], COMMON), np.repeat(node[cut], size)[:tail][keep])
+                yield out(key[:tail][keep], node[:tail][keep], np.minimum(each[keep], HELD), np.repeat(node[cut], size)[:tail][keep])
             rest, lead = node[tail:], node[tail]
-            if len(rest) >= COMMON:
-                yield whole(key[tail], rest, COMMON, lead)
+            if len(rest) >= HELD:
+                yield whole(key[tail], rest, HELD, lead)
                 many = True
             else:
                 held = [rest]
@@ -252,12 +270,17 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_batches(joined.select("a", "b", "n_a", "n_b", "wide_a", "wide_b"), run, "a long, b long")
 
 
+def _texts(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text), stored, of the nodes of the pairs (a, b); pairs is a stored table."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "t0", "t1"), "node")
+    few = 2 * pairs.count() <= BROADCAST_ROWS
+    texts = docs.select("t0", "t1", "_text").join(F.broadcast(named) if few else named, ["t0", "t1"])
+    return stored(texts.groupBy("node").agg(F.first("_text").alias("text")))
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose texts link; pairs is a stored table."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "_row"), "node")
-    few = 2 * pairs.count() <= BROADCAST_ROWS
-    texts = docs.select("_row", "_text").join(F.broadcast(named) if few else named, "_row").groupBy("node").agg(F.first("_text").alias("text"))
-    texts = stored(texts)
+    texts = _texts(pairs, nodes, docs)
     joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     joined = joined.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
 
@@ -277,6 +300,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     out = stored(map_batches(joined.select("a", "b", "text_a", "text_b"), run, "a long, b long"))
     dropped(texts)
+    released(docs.sparkSession)
     return out
 
 
@@ -289,8 +313,10 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         onward = labels.select(F.col("node").alias("label"), F.col("label").alias("onward"))
         step = stored(step.join(onward, "label").select("node", "old", F.least("label", "onward").alias("label")))
+        dropped(labels)
         labels = step.select("node", "label")
         if step.where("label != old").isEmpty():
+            dropped(both)
             return labels
 
 
@@ -309,13 +335,13 @@ def _star_pairs(rows: DataFrame, info: DataFrame) -> DataFrame:
     return out.where(_within("x", "y")).select("a", "b")
 
 
-def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, renamed: dict) -> DataFrame:
     """Edges (a, b) between nodes that give the components of all links.
 
-    docs: _row, _text; nodes: node, n, _row, p0..p3, drop0, drop1.
+    docs: t0, t1, _text; nodes: node, n, t0, t1, p0..p3, drop0, drop1, wide.
     """
     info = nodes.select("node", F.struct("n", "p0", "p1", "p2", "p3").alias("sketch"))
-    shared = stored(_keys(docs).repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, nodes int, leader long"))
+    shared = stored(_keys(docs, renamed).repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, nodes long, leader long"))
     released(docs.sparkSession)
     tested = [stored(_plausible(_star_pairs(shared, info), nodes))]
     edges = [_verified(tested[0], nodes, docs)]
@@ -330,18 +356,21 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     # of these, those that neither node may drop as one of its most common
     even = F.col("key").bitwiseAND(F.lit(1)) == 0
     order = Window.partitionBy("node", even).orderBy(F.desc("nodes"), "key")  # a set's blocks: bounded by its text
+    large = shared.where(F.col("nodes") >= HELD).groupBy("key").agg(F.count("*").alias("_n"))
     own = shared.join(mixed.select("node").distinct(), "node", "left_semi").select("key", "node", "nodes")
+    own = own.join(large, "key", "left").withColumn("nodes", F.coalesce("_n", "nodes")).drop("_n")
     ranked = own.join(nodes.select("node", "drop0", "drop1"), "node").withColumn("_k", F.row_number().over(order))
     kept = ranked.where(F.col("_k") > F.when(even, F.col("drop0")).otherwise(F.col("drop1"))).select("key", "node")
     kept = stored(kept.join(F.broadcast(keys) if some else keys, "key", "left_semi"))
     dropped(shared, keys)
+    released(docs.sparkSession)
 
     # a block's hubs, the nodes with most company in all their blocks, stand nearest to what a
     # group of near copies was made from; they meet the nodes outside their components
     size = kept.groupBy("key").agg(F.count("*").alias("size"))
     central = kept.join(size, "key").groupBy("node").agg(F.sum("size").alias("central"))
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("central"), "node"))
-    hubs = kept.join(central, "node").withColumn("rank", rank).where(F.col("rank") <= HUBS).select("key", F.col("node").alias("leader"))
+    hubs = stored(kept.join(central, "node").withColumn("rank", rank).where(F.col("rank") <= HUBS).select("key", F.col("node").alias("leader"), "rank"))
     met = _labelled(kept.join(hubs, "key"), labels, few, ("node", "label"), ("leader", "leading")).where("label != leading")
     ordered = met.select(F.least("node", "leader").alias("leader"), F.greatest("node", "leader").alias("node"))
     pairs = _star_pairs(ordered, info).join(_all(tested), ["a", "b"], "left_anti")
@@ -349,22 +378,77 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     edges.append(_verified(tested[-1], nodes, docs))
     labels = components(_all(edges))
     few = labels.count() <= BROADCAST_ROWS
-    # what is outside a block's largest component meets every node of the block in another one
+    # blocks that hold several components still
     labelled = _labelled(kept, labels, few, ("node", "label"))
     open_blocks = stored(labelled.join(_leading(labelled), "key").join(info, "node"))
-    x = open_blocks.where("label != leading").select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("x"))
-    y = open_blocks.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("sketch").alias("y"))
-    pairs = x.join(y, "key").where((F.col("la") != F.col("lb")) & _within("x", "y")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    small = open_blocks.where(F.col("size") <= SMALL)
+    x = small.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("x"))
+    y = small.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("sketch").alias("y"))
+    pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _within("x", "y")).select("a", "b")
+    around = open_blocks.where(F.col("size") > SMALL).join(hubs.where("rank = 1").select("key", F.col("leader").alias("hub")), "key")
+    around = stored(around.select("hub", "node", "label", F.col("sketch.n").alias("n")).distinct())
+    pairs = pairs.union(_around_hubs(around, nodes, docs)).distinct()
     last = stored(_plausible(pairs.join(_all(tested), ["a", "b"], "left_anti"), nodes))
     edges.append(_verified(last, nodes, docs))
-    dropped(open_blocks, kept, last, *tested)
+    dropped(open_blocks, kept, hubs, around, last, *tested)
     return _all(edges)
 
 
+def _around_hubs(around: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of one hub and different components that may link, one of them
+    at least not linked to the hub; around, a stored table: hub, node, label, n."""
+    t = THRESHOLD_PERCENT
+    pairs = around.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), "label", "n")
+    texts = _texts(pairs, nodes, docs)
+    joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    joined = joined.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+
+    def run(batch):
+        hubs, mine = batch.column("a").to_pylist(), batch.column("text_a")
+        texts, last, known = batch.column("text_b"), None, None
+        at = 0
+        for first, end in slices(texts):
+            rows, sizes, gaps, parts = [], [], [], []
+            for s in shingle_sets(Words(texts, first, end, lower=True)):
+                if hubs[at] != last:
+                    last, known = hubs[at], next(shingle_sets(Words(mine, at, at + 1, lower=True)))
+                apart = np.setxor1d(known, s, assume_unique=True)
+                rows.append(at)
+                sizes.append(len(known))
+                gaps.append(len(apart))
+                parts.append(apart.view(np.int64))
+                at += 1
+            of = np.repeat(np.arange(len(rows)), gaps)
+            column = lambda name: batch.column(name).to_numpy()[rows][of]  # noqa: B023, E731
+            yield [column("a"), column("b"), column("label"), column("n"), np.array(sizes)[of], np.array(gaps)[of], np.concatenate(parts)]
+
+    schema = "hub long, node long, label long, n long, n_hub long, gap long, shingle long"
+    apart = stored(map_batches(joined.select("a", "b", "label", "n", "text_a", "text_b"), run, schema))
+    # shingles of one X alone are its rarest and join with nothing; they only move the ranks
+    common = apart.groupBy("hub", "shingle").agg(F.count("*").alias("sets")).where("sets > 1")
+    own = Window.partitionBy("hub", "node")  # one text's shingles
+    place = F.row_number().over(own.orderBy("sets", "shingle")) + F.col("gap") - F.count("*").over(own)
+    ranked = apart.join(common, ["hub", "shingle"]).withColumn("place", place)
+    # not linked to the hub: gap > (n + n_hub) / 9
+    far = F.col("gap") * (100 + t) > (F.col("n") + F.col("n_hub")) * (100 - t)
+    # of what it shares with a set that isn't linked to the hub: more than (gap + (n_hub - n) / 9) / 2
+    least = F.floor((F.col("gap") * (100 + t) + (F.col("n_hub") - F.col("n")) * (100 - t)) / (2 * (100 + t))) + 1
+    ranked = stored(ranked.select("hub", "shingle", "node", "label", "n", "gap", "place", far.alias("far"), (F.col("place") <= F.col("gap") - least + 1).alias("early")))
+    x = ranked.where("far").select("hub", "shingle", *[F.col(c).alias(f"{c}_x") for c in ("node", "label", "n", "gap", "place", "early")])
+    y = ranked.where("early").select("hub", "shingle", *[F.col(c).alias(f"{c}_y") for c in ("node", "label", "n", "gap", "place", "far")])
+    need = F.ceil(((F.col("gap_x") + F.col("gap_y")) * (100 + t) - (F.col("n_x") + F.col("n_y")) * (100 - t)) / (2 * (100 + t)))
+    met = x.join(y, ["hub", "shingle"]).where("label_x != label_y AND (NOT far_y OR (early_x AND node_x < node_y))")
+    met = met.where((F.col("place_x") <= F.col("gap_x") - need + 1) & (F.col("place_y") <= F.col("gap_y") - need + 1))
+    met = met.where(100 * F.least("n_x", "n_y") >= t * F.greatest("n_x", "n_y"))
+    out = stored(met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct())
+    dropped(texts, apart, ranked)
+    return out
+
+
 def _leading(labelled: DataFrame) -> DataFrame:
-    """(key, leading): the largest component of each block that has several."""
-    counts = labelled.groupBy("key", "label").agg(F.count("*").alias("size"))
-    return counts.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("leading"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    """(key, size): the blocks that hold several components, and how many nodes."""
+    counts = labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("_a"), F.max("label").alias("_b"))
+    return counts.where("_a < _b").select("key", "size")
 
 
 def _all(tables: list[DataFrame]) -> DataFrame:
@@ -374,18 +458,38 @@ def _all(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _text_key(text) -> tuple:
+    """128 bits of a text as two columns."""
+    return F.xxhash64(text).alias("t0"), F.xxhash64(F.lit(1), text).alias("t1")
+
+
 def _prepared(docs: DataFrame) -> DataFrame:
-    return docs.select(F.xxhash64(*docs.columns).alias("_row"), F.col("text").cast("string").alias("_text"), F.col("doc_id").cast("long").alias("doc_id"))
+    text = F.col("text").cast("string")
+    return docs.select(*_text_key(text), text.alias("_text"), F.col("doc_id").cast("long").alias("doc_id"))
+
+
+def _renamed(nodes: DataFrame) -> dict:
+    """Other names for nodes that share a first half: one set in 2^64 / n of n sets."""
+    twice = nodes.groupBy("node").agg(F.min("node2").alias("least"), F.count("*").alias("n")).where("n > 1")
+    rows = nodes.select("node", "node2").join(twice.select("node", "least"), "node").where("node2 != least")
+    return {(r["node"], r["node2"]): r["name"] for r in rows.select("node", "node2", F.xxhash64("node", "node2").alias("name")).collect()}
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """A row for each row of docs (doc_id, text and others): _row, doc_id, n_shingles,
-    component_id (the least doc_id that links reach)."""
+    """A row for each row of docs (doc_id, text and others): t0, t1 (of its text), doc_id,
+    n_shingles, component_id (the least doc_id that links reach)."""
     rows = _prepared(docs)
     sets = stored(_sets(rows))
     filled = sets.where("n > 0")
-    nodes = stored(filled.groupBy("node").agg(F.min("_row").alias("_row"), F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3", "drop0", "drop1", "wide")]))
-    labels = components(links(rows, nodes))
+    texts = F.min(F.struct("t0", "t1")).alias("_t")  # of one text
+    nodes = filled.groupBy("node", "node2").agg(texts, F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3", "drop0", "drop1", "wide")])
+    nodes = stored(nodes.select("*", "_t.t0", "_t.t1").drop("_t"))
+    if renamed := _renamed(nodes):
+        names = docs.sparkSession.createDataFrame([(*k, v) for k, v in renamed.items()], "node long, node2 long, _name long")
+        rename = lambda df: df.join(F.broadcast(names), ["node", "node2"], "left").withColumn("node", F.coalesce("_name", "node")).drop("_name")
+        nodes, sets = stored(rename(nodes)), rename(sets)
+        filled = sets.where("n > 0")
+    labels = components(links(rows, nodes, renamed))
     named = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     # rows of one id with several texts tie their components together
     several = filled.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
@@ -397,7 +501,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     by_node = named.join(least, "label").select("node", "component_id")
     out = sets.join(by_node, "node", "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("_row", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("t0", "t1", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
@@ -406,17 +510,25 @@ def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(docs: DataFrame) -> DataFrame:
-    """Rows of docs, all columns, one for each component: that of its least doc_id, and of
-    rows alike in all columns one. Rows with an empty text or a null id stay."""
-    marked = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    found = near_duplicates(docs).where("n_shingles > 0 AND doc_id IS NOT NULL")
-    best = found.groupBy("component_id").agg(F.min_by("_row", F.struct("doc_id", "_row")).alias("_row"))
-    drop = stored(found.join(best.select("_row"), "_row", "left_anti").select("_row").distinct())
-    few = drop.count() <= BROADCAST_ROWS
-    kept = marked.join(F.broadcast(drop) if few else drop, "_row", "left_anti")
-    if not marked.groupBy("_row").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["_row"])
-    return kept.select(*docs.columns)
+    """Rows of docs, all columns, one for each component: that of its least doc_id, of rows
+    of one id the one of the least text hash, and of rows alike in both one. Rows with an
+    empty text or a null id stay."""
+    found = stored(near_duplicates(docs).where("n_shingles > 0 AND doc_id IS NOT NULL"))
+    first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min(F.struct("t0", "t1")).alias("_t"), F.count("*").alias("_n"))
+    # rows that go: another id than the component's least, or its id with another text
+    others = found.where("doc_id != component_id").select("doc_id", "t0", "t1").distinct()
+    several = first.where("_n > 1")
+    others = stored(others.union(found.join(several, "doc_id").where(F.struct("t0", "t1") != F.col("_t")).select("doc_id", "t0", "t1").distinct()))
+    few = others.count() <= BROADCAST_ROWS
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").cast("long").alias("doc_id"), *_text_key(F.col("text").cast("string")))
+    kept = whole.join(F.broadcast(others) if few else others, ["doc_id", "t0", "t1"], "left_anti")
+    again = stored(several.select("doc_id", "_t.t0", "_t.t1"))
+    if again.isEmpty():
+        return kept.select("_doc.*")
+    few = again.count() <= BROADCAST_ROWS
+    marked = kept.join((F.broadcast(again) if few else again).withColumn("_again", F.lit(True)), ["doc_id", "t0", "t1"], "left")
+    one = marked.where("_again").groupBy("doc_id").agg(F.first("_doc").alias("_doc"))
+    return marked.where("_again IS NULL").select("_doc.*").union(one.select("_doc.*"))
 
 
 SQL = r"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's own checkpoint folder; one of ours only where none is set, as in tests."""
+    """The session's own checkpoint folder; where none is set, a temporary one on a local
+    master (as in tests), and an error on a cluster, whose machines share no such folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+            folder = tempfile.mkdtemp()
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir().rstrip("/")
 
 
@@ -25,18 +32,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-
 def dropped(*tables: DataFrame) -> None:
-    """Deletes stored tables that nothing reads any more, and lets Spark clear the shuffle
-    files of what has been collected."""
+    """Deletes stored tables that nothing reads any more."""
     for table in tables:
         context = table.sparkSession.sparkContext
         for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
             if path.rsplit("/", 1)[0].rstrip("/").endswith(shared_folder(table.sparkSession).rsplit("/", 1)[1]):
                 target = context._jvm.org.apache.hadoop.fs.Path(path)
                 target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-    if tables:
-        released(tables[0].sparkSession)
 
 
 def released(spark: SparkSession) -> None:

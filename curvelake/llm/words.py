@@ -2,12 +2,17 @@
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D.  White space of
 that kind is ASCII, so it can be found on UTF-8 bytes without decoding.  Every
-word gets a 64-bit hash: a polynomial over random byte values, then mixed.
+word gets a hash of 64 bits in each of LANES lanes; a lane mixes the word's bytes
+eight at a time by a finaliser that is not linear, and words beyond LONG bytes go
+through BLAKE2b, so no family of words collides by its form.  A window's hash is
+mixed from those of its halves.  Two lanes are 128 bits.
 Work goes over slices of a few MB, so memory does not grow with a batch.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -16,44 +21,19 @@ from .storage import small_batches
 _U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
-_rng = np.random.default_rng(20240607)
-BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(_U) | _U(1)
-LOWER_VALUE = BYTE_VALUE.copy()
-LOWER_VALUE[65:91] = BYTE_VALUE[97:123]
-BASE = int(_rng.integers(1, 2**62)) * 2 + 1
-WINDOW_BASE = int(_rng.integers(1, 2**62)) * 2 + 1
+#: Where each lane begins, for words and for windows.
+SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
+LONG = 256
 SLICE_BYTES = 1 << 20
-_CHUNK = 1 << 18
-
-
-class Powers:
-    """Powers of an odd number and of its inverse modulo 2^64, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, _U)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << max(12, (n - 1).bit_length())
-            self.up, self.down = self._table(self.base, size), self._table(self.inverse, size)
-        return self.up, self.down
-
-    @staticmethod
-    def _table(base: int, size: int) -> np.ndarray:
-        out = np.full(size, base, _U)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-
-_bytes, _windows = Powers(BASE), Powers(WINDOW_BASE)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64."""
     x = x ^ (x >> _U(30))
-    x = x * _U(0xBF58476D1CE4E5B9)
+    x *= _U(0xBF58476D1CE4E5B9)
     x ^= x >> _U(27)
     x *= _U(0x94D049BB133111EB)
     x ^= x >> _U(31)
@@ -88,7 +68,7 @@ class Words:
     """Words of the rows [first, end) of a column.
 
     start, end: byte places within ``data``; rows: word counts before each row,
-    one more than rows; hash: 64 bits of each word.
+    one more than rows; hash: 64 bits of each word; hash2: the second lane.
     """
 
     def __init__(self, column: pa.Array, first: int = 0, stop: int | None = None, lower: bool = False, hashes: bool = True):
@@ -109,26 +89,29 @@ class Words:
         else:
             self.start = self.end = np.zeros(0, np.int64)
         self.rows = np.searchsorted(self.start, self.offsets)
-        self.hash = self._hash(LOWER_VALUE if lower else BYTE_VALUE) if hashes else None
-
-    def _hash(self, values: np.ndarray) -> np.ndarray:
-        out, w = np.empty(len(self.start), _U), 0
-        while w < len(out):
-            a = self.start[w]
-            to = max(w + 1, int(np.searchsorted(self.end, a + _CHUNK, "right")))
-            b = self.end[to - 1]
-            up, down = _bytes.upto(int(b - a) + 1)
-            total = np.zeros(b - a + 1, _U)
-            np.cumsum(values[self.data[a:b]] * up[: b - a], out=total[1:])
-            s = self.start[w:to] - a
-            out[w:to] = (total[self.end[w:to] - a] - total[s]) * down[s]
-            out[w:to] ^= (self.end[w:to] - self.start[w:to]).astype(_U)
-            w = to
-        return mix(out)
-
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the ``width`` words from each word on, and where they stay in one row."""
-        return window_hashes(self.hash, width), self.within(width)
+        self.lower = lower
+        self.hash = self.lane(0) if hashes else None
+
+    def lane(self, k: int) -> np.ndarray:
+        """Lane k of every word's hash."""
+        data = np.zeros(len(self.data) + 8, np.uint8)
+        data[:-8] = LOWER[self.data] if self.lower else self.data
+        eights = np.ndarray(len(self.data) + 1, "<u8", data, 0, (1,))  # the eight bytes from each place on
+        size = self.end - self.start
+        out = mix(size.astype(_U) + _U(SEEDS[k]))
+        live, done = np.flatnonzero(size <= LONG), 0
+        while len(live):
+            left = size[live] - done
+            part = eights[self.start[live] + done]
+            short = left < 8
+            part[short] &= (_U(1) << (_U(8) * left[short].astype(_U))) - _U(1)
+            out[live] = mix(out[live] ^ part)
+            done += 8
+            live = live[left > 8]
+        for w in np.flatnonzero(size > LONG):
+            digest = hashlib.blake2b(data[self.start[w] : self.end[w]], digest_size=16).digest()
+            out[w] = int.from_bytes(digest[8 * k : 8 * k + 8], "little")
+        return out
 
     def within(self, width: int) -> np.ndarray:
         """Whether ``width`` words from each window start on belong to one row."""
@@ -138,19 +121,23 @@ class Words:
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the ``width`` words from each word on: mixed from the hashes of windows of
+    powers of two, the widest first."""
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, _U)
-    out = np.empty(n, _U)
-    step = 1 << 18
-    up, down = _windows.upto(min(step, n) + width + 1)
-    for a in range(0, n, step):
-        b = min(n, a + step)
-        part = words[a : b + width - 1]
-        total = np.zeros(len(part) + 1, _U)
-        np.cumsum(part * up[: len(part)], out=total[1:])
-        out[a:b] = (total[width:] - total[: b - a]) * down[: b - a]
-    return mix(out + _U(width))
+    out, at, have, part = None, 0, 1, words
+    wide = [words]
+    while have * 2 <= width:
+        part = mix(part[:-have] * _U(0x9E3779B97F4A7C15) + part[have:])
+        have *= 2
+        wide.append(part)
+    for k in range(len(wide) - 1, -1, -1):
+        if width >> k & 1:
+            piece = wide[k][at : at + n]
+            out = mix(piece + _U(width)) if out is None else mix(out * _U(0x9E3779B97F4A7C15) + piece)
+            at += 1 << k
+    return out
 
 
 def few_words_hash(words: np.ndarray) -> int:

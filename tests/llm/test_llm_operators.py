@@ -85,6 +85,60 @@ def test_near_duplicates_of_a_chain(spark):
     assert got == brute_components(rows)
 
 
+def near_copies(seed=3, n=90):
+    """Edits of a few texts, many of them just beyond the threshold, and edits of edits."""
+    r = random.Random(seed)
+    out = []
+    for base in range(3):
+        words = [f"b{base}w{k}" for k in range(120)]
+        for k in range(n // 3):
+            copy = list(r.choice(out[-5:]).split()) if k % 4 == 3 and out else list(words)
+            for e in range(k % 9):
+                copy[r.randrange(len(copy))] = f"e{base}x{k}y{e}"
+            out.append(" ".join(copy))
+    return [(k, t) for k, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("small", [1, 8, 32])
+def test_open_blocks_around_hubs(spark, monkeypatch, small):
+    monkeypatch.setattr(neardup, "SMALL", small)
+    rows = near_copies()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_components(rows)
+    assert got == want and 3 < len({c for _, c in want.values()}) < len(rows)
+
+
+def test_nodes_that_share_a_name(spark, monkeypatch):
+    whole = neardup.node_of
+    monkeypatch.setattr(neardup, "node_of", lambda s: (whole(s)[0] & 7, whole(s)[1]))
+    rows = near_copies(5, 30)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = neardup._sets(neardup._prepared(df))
+    assert len(neardup._renamed(sets.groupBy("node", "node2").agg(F.min("t0")))) > 10
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df).collect()}
+    assert got == brute_components(rows)
+
+
+def mirrored(k):
+    """Two words of 2^k letters whose polynomial hashes agree modulo 2^64 for k of ten or more."""
+    x, y = "a", "b"
+    for _ in range(k):
+        x, y = x + y, y + x
+    return x, y
+
+
+@pytest.mark.parametrize("k", [10, 13])
+def test_words_alike_modulo_powers_of_two(spark, k):
+    x, y = mirrored(k)
+    tail = " ".join(f"c{j}" for j in range(34))
+    rows = [(0, f"{x} {tail}"), (1, f"{y} {tail}"), (2, f"{x} p q r s"), (3, f"{y} p q r s"), (4, f"{x} p q {y} p q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["_n_removed"] for r in substrings.remove_repeats(df).collect()} == dict.fromkeys(range(5), 0)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df).collect()}
+    assert got == brute_components(rows) and got[3][1] == 3
+    assert {r["doc_id"]: r["n_repeat_words"] for r in quality.ledger(df).collect()} == dict.fromkeys(range(5), 0)
+
+
 def test_near_duplicates_with_nulls_and_empty_tables(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, None), (5, "a b c d e f"), (5, "a b c d e f")], "doc_id long, text string")
     got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df).collect())
