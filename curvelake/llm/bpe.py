@@ -6,8 +6,9 @@ of the pair it forms with its next live neighbour; each node keeps the leftmost
 position of the least rank, so the root names the next merge.  A merge changes the
 pairs of two live neighbours and drops one position: three logarithmic updates.
 
-Encoded pieces are kept in a table of CACHE_PIECES entries (about 200 MB) per worker, as
-words repeat.
+Encoded pieces are kept per worker, as words repeat: a young table of CACHE_PIECES entries
+takes over what is met again from the last one, which it then replaces. Both together stay
+under 48 MB, for a worker outlives its tasks.
 
 Defined results: null text is empty and has no tokens; very long pieces cost
 n log n; repeated rows and null ids each give a row; other columns are ignored.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .words import map_batches
 
 NONE = 1 << 40
-CACHE_PIECES = 800_000
+CACHE_PIECES = 100_000
 
 
 class Ranks:
@@ -38,7 +39,8 @@ class Ranks:
         self.tokens = {i: t for t, i in self.ids.items()}
         self.pattern = regex.compile(pattern)
         self.by_digits = {str(i): t for i, t in self.tokens.items()}
-        self.cache: dict[str, str] = {}
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ids.get(piece)
@@ -51,24 +53,27 @@ class Ranks:
         return [i for p in self.pieces(text) for i in self.encode_piece(p.encode())]
 
     def encode_digits(self, text: str) -> str:
-        """Decimal ids joined by commas; empty for an empty text."""
+        """Ids of a text as decimal numbers joined by commas."""
         pieces = self.pieces(text)
-        found = list(map(self.cache.get, pieces))
+        found = list(map(self.young.get, pieces))
         if None in found:
-            cache = self.cache
             for k, digits in enumerate(found):
                 if digits is None:
-                    piece = pieces[k]
-                    digits = cache.get(piece)
-                    if digits is None:
-                        digits = ",".join(map(str, self.encode_piece(piece.encode())))
-                        if len(piece) <= 64:
-                            if len(cache) >= CACHE_PIECES:
-                                cache.clear()
-                            cache[piece] = digits
-                    found[k] = digits
+                    found[k] = self._digits(pieces[k])
         return ",".join(found)
 
+    def _digits(self, piece: str) -> str:
+        digits = self.young.get(piece)
+        if digits is None:
+            digits = self.old.get(piece)
+            if digits is None:
+                digits = ",".join(map(str, self.encode_piece(piece.encode())))
+            if len(piece) <= 64:
+                if len(self.young) >= CACHE_PIECES:
+                    self.old, self.young = self.young, {}
+                self.young[piece] = digits
+        return digits
+
     def decode_digits(self, digits: str) -> bytes:
         return b"".join(map(self.by_digits.__getitem__, digits.split(","))) if digits else b""
 
