@@ -9,16 +9,17 @@ which an anchor's gram is an anchor is at least the number of the window's start
 Pass 1 counts anchor places in a count-min sketch: each partition sends the cells it
 touched, merged cell segment by cell segment; cells stop at two.  An estimate below
 two proves a window unique.  Pass 2 sends only windows estimated repeated and counts
-them exactly; those that turn out to stand once are sent back to their text by its
-row hash.  Pass 3 removes the words that repeated windows cover.  Nothing is lost:
-the sketch only overestimates, and what it overestimates is undone exactly.
+them exactly, by 128 bits of their words; those that turn out to stand once are sent
+back to their text by its hash, each with its own.  Pass 3 removes the words that
+repeated windows cover.  Nothing is lost: the sketch only overestimates, and what it
+overestimates is undone exactly.
 
 The sketch has CELLS cells in each of ROWS rows at 2 bits, 32 MB however large the
 table is; a fuller sketch sends more windows to pass 2, up to all of them.
 
 Defined results: null or empty text has no words and keeps the empty text; repeated
 rows repeat each other's windows; null ids are kept; texts of fewer than WIDTH words
-are kept whole; other columns are ignored.  Words are compared by 64-bit hashes.
+are kept whole; other columns are kept as they are, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -152,7 +153,8 @@ def _suspects(words: Words, sketch: dict[int, bytes]) -> np.ndarray:
 
 
 def candidate_windows(docs: DataFrame, sketch) -> DataFrame:
-    """(h, n, row, place): windows estimated repeated, added up within a slice of texts."""
+    """(h, h2, spot, row): windows estimated repeated, once within a slice of texts; spot is
+    twice the place of the first word in its text, and one more where the slice repeats it."""
 
     def run(batch):
         column, rows = batch.column("_text"), batch.column("_row").to_numpy()
@@ -161,12 +163,18 @@ def candidate_windows(docs: DataFrame, sketch) -> DataFrame:
             at = _suspects(w, sketch.value)
             if not len(at):
                 continue
-            h, one, n = np.unique(window_hashes(w.hash, WIDTH)[at], return_index=True, return_counts=True)
+            h, h2 = (window_hashes(words, WIDTH)[at] for words in (w.hash, w.lane(1)))
+            order = np.lexsort((h2, h))
+            h, h2, at = h[order], h2[order], at[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
+            one = np.flatnonzero(new)
+            many = np.diff(np.append(one, len(h))) > 1
             at = at[one]
             doc = np.searchsorted(w.rows, at, "right") - 1
-            yield [h.view(np.int64), n, rows[first:end][doc], at - w.rows[doc]]
+            yield [h[one].view(np.int64), h2[one].view(np.int64), 2 * (at - w.rows[doc]) + many, rows[first:end][doc]]
 
-    return map_batches(docs.select("_text", "_row"), run, "h long, n long, row long, place long")
+    return map_batches(docs.select("_text", "_row"), run, "h long, h2 long, spot long, row long")
 
 
 def _covered(w: Words, at: np.ndarray) -> np.ndarray:
@@ -181,25 +189,26 @@ def _covered(w: Words, at: np.ndarray) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs, each row and column as it was, with _n_words, _n_removed, _kept_sha256 and
-    _kept: the kept words joined by spaces where words were removed, else null."""
-    rows = docs.withColumn("_text", F.col("text").cast("string")).withColumn("_row", F.xxhash64(*docs.columns))
+    """A row for each row of docs: _doc (the row, a struct), _n_words, _n_removed, _kept_sha256
+    and _kept: the kept words joined by spaces where words were removed, else null."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), text.alias("_text"), F.xxhash64(text).alias("_row"))
     sketch = build_sketch(rows)
-    counted = candidate_windows(rows, sketch).groupBy("h").agg(F.sum("n").alias("n"), F.min("row").alias("_row"), F.min("place").alias("place"))
-    falsely = counted.where("n = 1").groupBy("_row").agg(F.collect_list("place").alias("_places"))  # bounded by a text's words
-    joined = rows.join(falsely, "_row", "left").select(*docs.columns, "_text", "_places")
+    counted = candidate_windows(rows, sketch).groupBy("h", "h2").agg(F.count("*").alias("n"), F.min("spot").alias("spot"), F.min("row").alias("_row"))
+    falsely = counted.where("n = 1 AND spot % 2 = 0").groupBy("_row").agg(F.collect_list(F.struct((F.col("spot") / 2).cast("long").alias("place"), "h")).alias("_false"))  # bounded by a text's words
+    joined = rows.join(falsely, "_row", "left").select("_doc", "_text", "_false")
     new = T.StructType([T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType()), T.StructField("_kept_sha256", T.StringType()), T.StructField("_kept", T.StringType())])
-    width = len(docs.columns)
 
     def run(batches):
         for batch in batches:
-            column, false = batch.column(width), batch.column(width + 1)
+            column, false = batch.column(1), batch.column(2)
             n_words, n_removed, digests, texts = [], [], [], []
             for first, end in slices(column):
                 w = Words(column, first, end)
                 at = _suspects(w, sketch.value)
-                bad = [w.rows[k - first] + np.array(places) for k in range(first, end) if (places := false[k].as_py())]
-                gone = _covered(w, np.setdiff1d(at, np.concatenate(bad)) if bad else at)
+                if len(at):
+                    at = np.setdiff1d(at, _unique(w, false, first, end))
+                gone = _covered(w, at)
                 raw = w.data.tobytes()
                 for a, b in zip(w.rows[:-1], w.rows[1:], strict=True):
                     kept = np.flatnonzero(~gone[a:b]) + a
@@ -209,22 +218,37 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     digests.append(hashlib.sha256(text).hexdigest())
                     texts.append(text.decode() if n_removed[-1] else None)
             arrays = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *arrays], names=[*batch.schema.names[:width], *new.names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["_doc", *new.names])
 
-    return small_batches(joined).mapInArrow(run, T.StructType([*docs.schema.fields, *new.fields]))
+    return small_batches(joined).mapInArrow(run, T.StructType([joined.schema["_doc"], *new.fields]))
+
+
+def _unique(w: Words, false, first: int, end: int) -> np.ndarray:
+    """First words of the windows that pass 2 found once: those sent to a text by its hash
+    whose own hash stands at the place."""
+    hashes, out = None, [np.zeros(0, np.int64)]
+    for k in range(first, end):
+        if sent := false[k].values:
+            hashes = window_hashes(w.hash, WIDTH).view(np.int64) if hashes is None else hashes
+            at = w.rows[k - first] + sent.field(0).to_numpy()
+            own = sent.field(1).to_numpy()[at + WIDTH <= w.rows[k - first + 1]]
+            at = at[at + WIDTH <= w.rows[k - first + 1]]
+            out.append(at[hashes[at] == own])
+    return np.concatenate(out)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), "text")
-    return remove_repeats(docs).select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.col("_kept_sha256").alias("kept_sha256"))
+    return remove_repeats(docs).select("_doc.doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.col("_kept_sha256").alias("kept_sha256"))
 
 
 def dedup_stage(docs: DataFrame) -> DataFrame:
     """Rows of docs, all columns; a text that lost words becomes its kept words joined by spaces."""
-    out = remove_repeats(docs).withColumn("text", F.coalesce("_kept", "text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long"))
-    return out.select(*docs.columns)
+    whole = {c: F.col("_doc").getField(c) for c in docs.columns}
+    whole["text"] = F.coalesce("_kept", whole["text"])
+    if "n_chars" in whole:
+        whole["n_chars"] = F.when(F.col("_kept").isNull(), whole["n_chars"]).otherwise(F.length("_kept")).cast(docs.schema["n_chars"].dataType)
+    return remove_repeats(docs).select(*[c.alias(name) for name, c in whole.items()])
 
 
 _WORD = r"[^\x20\x09-\x0D]+"

@@ -133,7 +133,7 @@ def test_words_alike_modulo_powers_of_two(spark, k):
     tail = " ".join(f"c{j}" for j in range(34))
     rows = [(0, f"{x} {tail}"), (1, f"{y} {tail}"), (2, f"{x} p q r s"), (3, f"{y} p q r s"), (4, f"{x} p q {y} p q")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r["doc_id"]: r["_n_removed"] for r in substrings.remove_repeats(df).collect()} == dict.fromkeys(range(5), 0)
+    assert {r["_doc"]["doc_id"]: r["_n_removed"] for r in substrings.remove_repeats(df).collect()} == dict.fromkeys(range(5), 0)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df).collect()}
     assert got == brute_components(rows) and got[3][1] == 3
     assert {r["doc_id"]: r["n_repeat_words"] for r in quality.ledger(df).collect()} == dict.fromkeys(range(5), 0)
@@ -164,7 +164,7 @@ def brute_repeats(rows, width=35):
 
 def test_substring_dedup(spark, docs):
     df, rows = docs
-    got = {r["doc_id"]: (r["_n_words"], r["_n_removed"], r["_kept_sha256"]) for r in substrings.remove_repeats(df).collect()}
+    got = {r["_doc"]["doc_id"]: (r["_n_words"], r["_n_removed"], r["_kept_sha256"]) for r in substrings.remove_repeats(df).collect()}
     assert got == dict(enumerate(brute_repeats([r[1] for r in rows])))
     assert substrings.remove_repeats(df.limit(0)).count() == 0
 
