@@ -21,9 +21,10 @@ the others, links form components, and only blocks that still hold several compo
 open.  In an open block of up to SMALL nodes, nodes of different components meet.  In a
 larger one every node x is replaced by X, the shingles in which it differs from the
 block's hub c.  If x isn't linked to c, a set y linked to x must share at least
-(|X| + |Y| - (|x| + |y|) / 9) / 2 > 0 shingles with X in its own Y, so a prefix of the
-rarest shingles of X and Y finds every such pair; if both are linked to c they have one
-component already.  What a group of near copies has in common is in no X.
+(|X| + |Y| - (|x| + |y|) / 9) / 2 > 0 shingles with X in its own Y, so prefixes of X and Y in
+one order find every such pair: what c doesn't hold comes first, then what it alone holds.
+If both are linked to c they have one component already.  What a group of near copies has in
+common is in no X.
 
 Defined results: null or empty text has an empty set (0 shingles), is linked with
 nothing and is its own component; with fewer than five words the whole sequence is
@@ -42,14 +43,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import dropped, released, stored
+from .storage import dropped, released, stored, tidy
 from .words import Words, few_words_hash, map_batches, mix, slices, window_hashes
 
 WORDS, THRESHOLD_PERCENT = 5, 80
 #: Nodes of a block that are held before they are written; larger blocks are counted after that.
 HELD = 64
-#: Open blocks of up to so many nodes are compared pair by pair.
-SMALL = 32
+#: Open blocks of up to so many nodes are compared pair by pair: a pair meets in some twenty
+#: blocks, a node has some fifty shingles in which it differs from a hub.
+SMALL = 8
 #: Ids are broadcast up to so many rows (16 MB at most); beyond, tables are joined by id.
 BROADCAST_ROWS = 400_000
 #: Hubs of a block that meet the nodes outside their components before all others do.
@@ -189,6 +191,7 @@ def _keys(docs: DataFrame, renamed: dict) -> DataFrame:
     return map_batches(docs.select("_text"), run, "key long, node long")
 
 
+@tidy
 def _shared(batches):
     """Of rows sorted by key and node: those whose key has two nodes or more, with the
     number of its nodes, HELD at most, and its least node. At most HELD rows of a key
@@ -408,40 +411,38 @@ def _around_hubs(around: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFr
         texts, last, known = batch.column("text_b"), None, None
         at = 0
         for first, end in slices(texts):
-            rows, sizes, gaps, parts = [], [], [], []
+            rows, facts, parts = [], [], []
             for s in shingle_sets(Words(texts, first, end, lower=True)):
                 if hubs[at] != last:
                     last, known = hubs[at], next(shingle_sets(Words(mine, at, at + 1, lower=True)))
-                apart = np.setxor1d(known, s, assume_unique=True)
+                added, gone = np.setdiff1d(s, known, assume_unique=True), np.setdiff1d(known, s, assume_unique=True)
+                gap, total = len(added) + len(gone), len(s) + len(known)
+                # not linked to the hub: gap > (n + n_hub) / 9
+                far = gap * (100 + t) > total * (100 - t)
+                # shared with a set that isn't linked to the hub: more than (gap + (n_hub - n) / 9) / 2
+                least = (gap * (100 + t) + (len(known) - len(s)) * (100 - t)) // (2 * (100 + t)) + 1
+                early = gap - least + 1
+                apart = np.concatenate([added, gone])
+                parts.append(apart if far else apart[: max(early, 0)])
                 rows.append(at)
-                sizes.append(len(known))
-                gaps.append(len(apart))
-                parts.append(apart.view(np.int64))
+                facts.append((gap, far, early))
                 at += 1
-            of = np.repeat(np.arange(len(rows)), gaps)
+            of = np.repeat(np.arange(len(rows)), [len(x) for x in parts])
+            place = np.concatenate([np.arange(1, len(x) + 1) for x in parts])
             column = lambda name: batch.column(name).to_numpy()[rows][of]  # noqa: B023, E731
-            yield [column("a"), column("b"), column("label"), column("n"), np.array(sizes)[of], np.array(gaps)[of], np.concatenate(parts)]
+            gap, far, early = (np.array(x)[of] for x in zip(*facts, strict=True))
+            yield [column("a"), column("b"), column("label"), column("n"), gap, place, far, place <= early, np.concatenate(parts).view(np.int64)]
 
-    schema = "hub long, node long, label long, n long, n_hub long, gap long, shingle long"
+    schema = "hub long, node long, label long, n long, gap long, place long, far boolean, early boolean, shingle long"
     apart = stored(map_batches(joined.select("a", "b", "label", "n", "text_a", "text_b"), run, schema))
-    # shingles of one X alone are its rarest and join with nothing; they only move the ranks
-    common = apart.groupBy("hub", "shingle").agg(F.count("*").alias("sets")).where("sets > 1")
-    own = Window.partitionBy("hub", "node")  # one text's shingles
-    place = F.row_number().over(own.orderBy("sets", "shingle")) + F.col("gap") - F.count("*").over(own)
-    ranked = apart.join(common, ["hub", "shingle"]).withColumn("place", place)
-    # not linked to the hub: gap > (n + n_hub) / 9
-    far = F.col("gap") * (100 + t) > (F.col("n") + F.col("n_hub")) * (100 - t)
-    # of what it shares with a set that isn't linked to the hub: more than (gap + (n_hub - n) / 9) / 2
-    least = F.floor((F.col("gap") * (100 + t) + (F.col("n_hub") - F.col("n")) * (100 - t)) / (2 * (100 + t))) + 1
-    ranked = stored(ranked.select("hub", "shingle", "node", "label", "n", "gap", "place", far.alias("far"), (F.col("place") <= F.col("gap") - least + 1).alias("early")))
-    x = ranked.where("far").select("hub", "shingle", *[F.col(c).alias(f"{c}_x") for c in ("node", "label", "n", "gap", "place", "early")])
-    y = ranked.where("early").select("hub", "shingle", *[F.col(c).alias(f"{c}_y") for c in ("node", "label", "n", "gap", "place", "far")])
+    x = apart.where("far").select("hub", "shingle", *[F.col(c).alias(f"{c}_x") for c in ("node", "label", "n", "gap", "place", "early")])
+    y = apart.where("early").select("hub", "shingle", *[F.col(c).alias(f"{c}_y") for c in ("node", "label", "n", "gap", "place", "far")])
     need = F.ceil(((F.col("gap_x") + F.col("gap_y")) * (100 + t) - (F.col("n_x") + F.col("n_y")) * (100 - t)) / (2 * (100 + t)))
     met = x.join(y, ["hub", "shingle"]).where("label_x != label_y AND (NOT far_y OR (early_x AND node_x < node_y))")
     met = met.where((F.col("place_x") <= F.col("gap_x") - need + 1) & (F.col("place_y") <= F.col("gap_y") - need + 1))
     met = met.where(100 * F.least("n_x", "n_y") >= t * F.greatest("n_x", "n_y"))
     out = stored(met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct())
-    dropped(texts, apart, ranked)
+    dropped(texts, apart)
     return out
 
 
