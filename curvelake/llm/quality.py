@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import small_batches
+from .storage import small_batches, tidy
 from .words import Words, map_batches, slices, window_hashes
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
@@ -136,6 +136,7 @@ def filter_stage(docs: DataFrame) -> DataFrame:
     whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text").cast("string").alias("_text"))
     schema = T.StructType([whole.schema["_doc"], *(T.StructField(m, T.LongType()) for m in MEASURES)])
 
+    @tidy
     def run(batches):
         for batch in batches:
             m = measure(batch.column(1))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -59,3 +62,21 @@ def small_batches(df: DataFrame) -> DataFrame:
     if have is None or not have.rstrip("b").isdigit() or not 0 < int(have.rstrip("b")) <= BATCH_BYTES:
         df.sparkSession.conf.set(key, str(BATCH_BYTES))
     return df
+
+
+def tidy(function):
+    """A function over batches that, when it ends, hands the memory its worker has freed back
+    to the system: workers are used again and would otherwise hold their largest size."""
+
+    @functools.wraps(function)
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import released, small_batches
+from .storage import released, small_batches, tidy
 from .words import Words, map_batches, mix, slices, window_hashes
 
 WIDTH, GRAM = 35, 8
@@ -70,6 +70,7 @@ def cells(hashes: np.ndarray, row: int) -> np.ndarray:
     return (mix(hashes + _U(0x9E3779B97F4A7C15 * (row + 1) & (2**64 - 1))) >> _U(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
+@tidy
 def _sketch_part(batches):
     """Touched cells of a partition, by row and segment: positions and counts of at most two."""
     schema = pa.schema([("slot", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
@@ -103,6 +104,7 @@ def _sketch_part(batches):
         yield from flush()
 
 
+@tidy
 def _merge_parts(batches):
     """The sum of each segment's parts, cells at two at most, four cells to a byte."""
     schema = pa.schema([("slot", pa.int32()), ("bits", pa.binary())])
@@ -199,6 +201,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     joined = rows.join(falsely, "_row", "left").select("_doc", "_text", "_false")
     new = T.StructType([T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType()), T.StructField("_kept_sha256", T.StringType()), T.StructField("_kept", T.StringType())])
 
+    @tidy
     def run(batches):
         for batch in batches:
             column, false = batch.column(1), batch.column(2)

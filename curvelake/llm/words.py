@@ -16,7 +16,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
-from .storage import small_batches
+from .storage import small_batches, tidy
 
 _U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -149,6 +149,7 @@ def map_batches(df, function, schema: str):
     """df through ``function`` (a batch to an iterator of batches), Arrow batch by batch."""
     arrow = arrow_schema(schema)
 
+    @tidy
     def run(batches):
         for batch in batches:
             if batch.num_rows:
