@@ -1,27 +1,42 @@
-"""HTML main text by what repeats over the pages of a host.
-
-Every page becomes tokens: start tags with their path of open elements, and text
-nodes outside an article with theirs.  A token is frequent when at least
-SUPPORT_PERCENT (and two) of the host's distinct pages hold it; copies of a page count
-once.  Frequent text nodes are notices and menus and are left out; the frequent
-container with most text is the main one.  A page's text is that of its article or
-main element, else of its host's main container, else of its body.  This is a
-frequency rule: no template of equivalence classes is deduced or matched.
-
-Elements that are never main text (menus, headers, footers, sidebars, forms, scripts,
-styles, adverts, notices, reader comments) are left out by element name, role, or
-words of their class and id.
-
-Defined results: null or empty html has empty text; null url is a host of its own; a
-host with one distinct page has nothing that repeats; repeated rows each give a row;
+"""HTML main text by the template of a host's pages, deduced from equivalence classes.
+
+Every page becomes a sequence of tokens: start tags with their path of open elements
+(names, classes and ids, digits alike) and text nodes with theirs.  A token's occurrence
+vector says how often each of the host's distinct pages holds it; copies of a page count
+once.  Tags of one vector in one container form a class, and so does every text.  Classes on at least SUPPORT_PERCENT of the
+pages, and on two, are candidates; one is valid if its tokens stand in one order, as
+often repeated as they occur, on every page, and if it nests: between two of its tokens
+another class begins and ends, or doesn't begin.  Valid classes nested in one another
+are the template; what stands between their tokens are its slots.  A text is the template's
+if its vector is that of a valid class of tags.
+
+The main container is the innermost tag of the template with MAIN_PERCENT of the text
+in its slots, one that holds an h1 element before others (but for the body); an article or
+main element comes first and needs half of the text.  A page's text is that of the
+slots in the container, and of the template's h1 elements before it.  Text of the
+template itself (notices and labels) is left out where FIXED_PERCENT of the pages and
+FIXED_PAGES hold it; but if that is more than half of a page's main text, the page is a
+near copy and keeps it.  A page without the container, or of a host without a template,
+gives its article or main element, else its body.
+
+Elements that are never main text are left out by element name, role, or a whole class
+or id (not a part of one): menus, page headers, footers, sidebars, forms, scripts,
+styles, adverts, notices, reader comments.
+
+Occurrence vectors are compared by 128 bits that pages add up to, so no host's pages meet
+in one task.  Defined results: null or empty html has empty text; null url is a host of
+its own; a host with one distinct page has no template; repeated rows each give a row;
 other columns are ignored.  Markup cut off at the end of a page is dropped, unknown
 character references stay as they are.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +47,10 @@ from .storage import stored
 from .words import map_batches
 
 SUPPORT_PERCENT = 50
-#: What repeats is broadcast up to so many hosts; beyond, pages are joined with it by host.
-BROADCAST_HOSTS = 5_000
+MAIN_PERCENT = 67
+FIXED_PERCENT, FIXED_PAGES = 90, 4
+#: Templates are broadcast up to so many tokens (some MB); beyond, pages are joined with them by host.
+BROADCAST_TOKENS = 200_000
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")  # every one, so that values hold no names
@@ -48,6 +65,7 @@ _SELF = {"li": ("li", ("ul", "ol", "menu")), "dd": ("dd dt", ("dl",)), "dt": ("d
 _NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner sidebar side nav navbar navigation menu breadcrumb breadcrumbs header masthead footer cookie cookies consent gdpr notice alert popup modal overlay comment comments disqus reply replies share sharing social related recommended newsletter subscribe signup login search widget toolbar pagination pager".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _SPACE = re.compile(r"\s+")
+_DIGITS = re.compile(r"\d+")
 
 
 def _attributes(raw: str) -> tuple[str, str, str, bool]:
@@ -69,19 +87,18 @@ def _attributes(raw: str) -> tuple[str, str, str, bool]:
 
 
 class Node:
-    __slots__ = ("holder", "inside", "main", "name", "out", "path")
+    """An open element: its path's hash, whether it is left out, whether it is in an article
+    or main element, and the containers and h1 elements it is in, as paths."""
 
-    def __init__(self, name: str, path: int, out: bool, main: bool, holder: int, inside: bool):
-        self.name, self.path, self.out, self.main = name, path, out, main
-        self.holder, self.inside = holder, inside  # the nearest container's path; whether it is in the main container
+    __slots__ = ("chain", "main", "name", "out", "path", "title")
 
+    def __init__(self, name: str, path: int, out: bool, main: bool, chain: tuple, title: int):
+        self.name, self.path, self.out, self.main, self.chain, self.title = name, path, out, main, chain, title
 
-def parse(page: str, container: int | None = None):
-    """('open', node), ('text', node, string) and ('break', None) events of a page.
 
-    A node says its path's hash, whether it is left out, and whether it is in an article.
-    """
-    stack = [Node("", 0, False, False, 0, False)]
+def parse(page: str):
+    """('open', node), ('text', node, string) and ('break', None) events of a page."""
+    stack = [Node("", 0, False, False, (0,), 0)]
     at, end = 0, len(page)
 
     def close(name: str) -> bool:
@@ -126,10 +143,12 @@ def parse(page: str, container: int | None = None):
         parent = stack[-1]
         raw = m[3]
         names, role, prop, hidden = _attributes(raw) if "=" in raw or "hidden" in raw else ("", "", "", False)
-        out = parent.out or name in _LEFT_OUT or hidden or role in _ROLES or bool(names and not _NAMES.isdisjoint(re.split(r"[\s_\-]+", names)))
         main = parent.main or name in ("article", "main") or role in ("main", "article") or prop == "articlebody"
-        path = hash_path(parent.path, name, names)
-        node = Node(name, path, out, main, path if name in _HOLDERS else parent.holder, parent.inside or path == container)
+        left = name in _LEFT_OUT and not (name == "header" and parent.main)
+        named = bool(names) and name not in ("html", "body", "article", "main") and not _NAMES.isdisjoint(names.split())
+        path = hash_path(parent.path, name, _DIGITS.sub("0", names))
+        chain = (*parent.chain, path) if name in _HOLDERS else parent.chain
+        node = Node(name, path, parent.out or left or named or hidden or role in _ROLES, main, chain, path if name == "h1" else parent.title)
         yield "open", node
         if name == "br":
             yield "text", parent, " "
@@ -144,42 +163,94 @@ def parse(page: str, container: int | None = None):
         stack.append(node)
 
 
-_MASK = (1 << 63) - 1
-
-
+@lru_cache(1 << 14)
 def hash_path(parent: int, name: str, names: str) -> int:
-    h = parent ^ 0x5BD1E995
-    for c in (name + "." + names).encode():
-        h = (h * 1099511628211 ^ c) & _MASK
-    return h
+    return int.from_bytes(hashlib.blake2b(f"{parent} {name} {names}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
 def _text_hash(path: int, text: str) -> int:
-    return hash_path(path, "#", text)
+    return int.from_bytes(hashlib.blake2b(f"{path} #{text}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def page_tokens(page: str) -> dict[int, list[int]]:
-    """Token hash -> [characters of text it is the nearest container of, is text]."""
-    out: dict[int, list[int]] = {}
+def page_tokens(page: str):
+    """The sequence of tokens, and token -> [characters in it, kind, its container, whether an
+    h1 element is in it]; kinds are containers (1, or 2 in an article or main element), h1
+    elements (3), texts (4), others (0)."""
+    sequence, facts, bodies = [], {0: [0, 1, 0, False]}, {0}
     for kind, *rest in parse(page):
         if kind == "open":
-            out.setdefault(rest[0].path, [0, 0])
+            node = rest[0]
+            sequence.append(node.path)
+            held = node.name in _HOLDERS
+            known = 0 if node.out else 3 if node.name == "h1" else 0 if not held else 2 if node.main else 1
+            facts.setdefault(node.path, [0, known, node.chain[-2 if held else -1], False])
+            if node.name == "body":
+                bodies.add(node.path)
+            elif known == 3:
+                for holder in node.chain:
+                    if holder in facts and holder not in bodies:
+                        facts[holder][3] = True
         elif kind == "text":
             node, text = rest
             text = _SPACE.sub(" ", text).strip()
             if text and not node.out:
-                if node.holder in out:
-                    out[node.holder][0] += len(text)
-                if not node.main:
-                    out.setdefault(_text_hash(node.path, text), [0, 1])
-    return out
+                token = _text_hash(node.path, text)
+                sequence.append(token)
+                facts.setdefault(token, [len(text), 4, node.chain[-1], False])
+                for holder in node.chain:
+                    if holder in facts:
+                        facts[holder][0] += len(text)
+    return sequence, facts
+
+
+def order_of(sequence: list[int], classes: dict[int, int]) -> dict[int, tuple[int, bool]]:
+    """For the classes of a page: a hash of the order of their tokens (of a unit, if the
+    page repeats it), and whether the class is at fault: repeated in another order, or
+    not nested.
+
+    classes: class by token.  A unit is open from its first token to its last.
+    """
+    own: dict[int, list[int]] = {}
+    for token in sequence:
+        if (c := classes.get(token)) is not None:
+            own.setdefault(c, []).append(token)
+    out, unit = {}, {}
+    for c, tokens in own.items():
+        size = len(set(tokens))
+        first = tokens[:size]
+        unit[c] = size
+        whole = len(set(first)) == size and len(tokens) % size == 0 and all(tokens[k] == first[k % size] for k in range(len(tokens)))
+        out[c] = [_text_hash(size, " ".join(map(str, first))), not whole]
+    stack, seen = [], dict.fromkeys(own, 0)
+    for token in sequence:
+        c = classes.get(token)
+        if c is None or out[c][1]:
+            continue
+        at = seen[c] % unit[c]
+        seen[c] += 1
+        if at:
+            while stack and stack[-1] != c:
+                other = stack.pop()  # open between two tokens of c, and not closed
+                worse = other if len(own[other]) <= len(own[c]) else c
+                out[worse][1] = True
+                if worse == c:
+                    break
+            if out[c][1]:
+                continue
+        elif unit[c] > 1:
+            stack.append(c)
+        if at == unit[c] - 1 and stack and stack[-1] == c:
+            stack.pop()
+    return {c: (h, bad) for c, (h, bad) in out.items()}
 
 
-def extract(page: str, notices: frozenset, container: int | None) -> str:
-    """The page's main text, given its host's repeated texts and main container."""
-    picks = {"main": [], "container": [], "body": []}
+def extract(page: str, fixed: frozenset, container: int | None, titles: frozenset = frozenset()) -> str:
+    """The page's main text: slots in the container and in the template's titles; fixed are
+    the template's texts. Without a container on the page, its article or main or body."""
+    picks = {"slots": [], "whole": [], "main": [], "body": []}
     pending = {k: [] for k in picks}
-    seen_main = False
+    seen = {"main": False, "container": False}
+    size = {"slots": 0, "whole": 0}
 
     def flush():
         for k, parts in pending.items():
@@ -189,74 +260,139 @@ def extract(page: str, notices: frozenset, container: int | None) -> str:
                     picks[k].append(text)
                 parts.clear()
 
-    for kind, *rest in parse(page, container):
+    for kind, *rest in parse(page):
         if kind == "break":
             flush()
         elif kind == "open":
-            seen_main = seen_main or (rest[0].main and not rest[0].out)
+            node = rest[0]
+            if not node.out:
+                seen["main"] = seen["main"] or node.main
+                seen["container"] = seen["container"] or node.path == container
         else:
             node, text = rest
             if node.out:
                 continue
+            pending["body"].append(text)
             if node.main:
                 pending["main"].append(text)
-                continue
-            if notices and _text_hash(node.path, _SPACE.sub(" ", text).strip()) in notices:
-                continue
-            if node.inside:
-                pending["container"].append(text)
-            pending["body"].append(text)
+            if container in node.chain or not seen["container"] and node.title in titles:
+                pending["whole"].append(text)
+                bare = _SPACE.sub(" ", text).strip()
+                size["whole"] += len(bare)
+                if not fixed or _text_hash(node.path, bare) not in fixed:
+                    pending["slots"].append(text)
+                    size["slots"] += len(bare)
     flush()
-    return "\n\n".join(picks["main"] if seen_main else picks["container"] or picks["body"])
+    if container is not None and seen["container"]:
+        return "\n\n".join(picks["slots"] if 2 * size["slots"] >= size["whole"] else picks["whole"])
+    return "\n\n".join(picks["main"] if seen["main"] else picks["body"])
 
 
 def _host():
     return F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][^:/?#]*://([^/?#]*)", 1), F.lit("")))
 
 
-def repeated(pages: DataFrame) -> DataFrame:
-    """A row per host of two distinct pages or more: host, notices (hashes of its frequent
-    texts), container."""
+def candidates(keyed: DataFrame) -> DataFrame:
+    """keyed: host, row, html. Tokens of the candidate classes: host, token, vector and class
+    (hashes), kind, mass, support, fixed (a text on enough pages)."""
 
     def run(batch):
-        host, row, token, mass, is_text = ([] for _ in range(5))
+        host, row, token, count, mass, kind, holder, titled = ([] for _ in range(8))
         for h, r, page in zip(batch.column("host").to_pylist(), batch.column("row").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            for key, (chars, text) in page_tokens(page or "").items():
+            sequence, facts = page_tokens(page or "")
+            counts = Counter(sequence)
+            counts[0] = 1
+            for key, n in counts.items():
+                chars, k, within, title = facts[key]
                 host.append(h)
                 row.append(r)
                 token.append(key)
+                count.append(n)
                 mass.append(chars)
-                is_text.append(bool(text))
+                kind.append(k)
+                holder.append(within)
+                titled.append(title)
         if host:
-            yield [host, row, token, mass, is_text]
+            yield [host, row, token, count, mass, kind, holder, titled]
 
-    keyed = pages.select(_host().alias("host"), F.xxhash64("html").alias("row"), "html")
-    n_pages = keyed.select("host", "row").distinct().groupBy("host").agg(F.count("*").alias("n_pages"))
-    tokens = map_batches(keyed, run, "host string, row long, token long, mass long, is_text boolean").dropDuplicates(["host", "token", "row"])
-    found = tokens.groupBy("host", "token").agg(F.count("*").alias("support"), F.sum("mass").alias("mass"), F.max("is_text").alias("is_text"))
+    n_pages = keyed.select("host", "row").distinct().groupBy("host").agg(F.count("*").alias("n_pages")).where("n_pages > 1")
+    tokens = map_batches(keyed, run, "host string, row long, token long, count long, mass long, kind int, holder long, titled boolean").dropDuplicates(["host", "token", "row"])
+    # a vector's hash: the sum over pages of hashes of (page, count), in two lanes; sums wrap
+    lane = lambda k: F.sum(F.shiftright(F.xxhash64(F.lit(k), "row", "count"), 20).cast("decimal(20,0)"))
+    found = tokens.groupBy("host", "token").agg(F.count("*").alias("support"), lane(0).alias("v0"), lane(1).alias("v1"), F.sum("mass").alias("mass"), F.max("kind").alias("kind"), F.first("holder").alias("holder"), F.max("titled").alias("titled"))
     # few rows a host pass: each is on half of its pages
     found = found.where("support > 1").join(n_pages, "host").where(F.col("support") * 100 >= F.col("n_pages") * SUPPORT_PERCENT)
-    return found.groupBy("host").agg(F.collect_set(F.when(F.col("is_text"), F.col("token"))).alias("notices"), F.max_by("token", F.struct("mass", "token")).alias("container"))
+    fixed = (F.col("kind") == 4) & (F.col("support") >= FIXED_PAGES) & (F.col("support") * 100 >= F.col("n_pages") * FIXED_PERCENT)
+    own = F.when(F.col("kind") == 4, F.col("token")).otherwise(F.col("holder"))
+    return found.select("host", "token", F.xxhash64("v0", "v1", "support").alias("vector"), F.xxhash64("v0", "v1", "support", F.col("kind") == 4, own).alias("class"), "kind", "mass", "support", "titled", fixed.alias("fixed"))
+
+
+def valid_classes(keyed: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(host, class) of the candidate classes in one order on all pages, and nested."""
+    by_host = tokens.groupBy("host").agg(F.collect_list(F.struct("token", "class")).alias("tokens"))  # on half of a host's pages each: two pages' worth
+    joined = keyed.join(_small(by_host, tokens), "host")
+
+    def run(batch):
+        last, classes, found = None, {}, {}
+        given = batch.column("tokens")
+        for k, (host, page) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)):
+            if host != last:
+                last, classes = host, {t["token"]: t["class"] for t in given[k].as_py()}
+            for c, (order, bad) in order_of(page_tokens(page or "")[0], classes).items():
+                low, high, fault = found.get((host, c), (order, order, False))
+                found[host, c] = (min(low, order), max(high, order), fault or bad)
+        if found:
+            yield [[h for h, _ in found], [c for _, c in found], *zip(*found.values(), strict=True)]
+
+    rows = map_batches(joined.select("host", "html", "tokens"), run, "host string, class long, low long, high long, bad boolean")
+    checked = rows.groupBy("host", "class").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("bad").alias("bad"))
+    return checked.where("low = high AND NOT bad").select("host", "class")
+
+
+def _small(by_host: DataFrame, tokens: DataFrame) -> DataFrame:
+    """A table of tokens by host, broadcast if all tokens are few; tokens is a stored table."""
+    return F.broadcast(by_host) if tokens.count() <= BROADCAST_TOKENS else by_host
+
+
+def templates(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """keyed: host, row, html. A row per host with a template: host, container, fixed (its
+    texts), titles (its h1 elements); and the stored tokens it comes from."""
+    tokens = stored(candidates(keyed))
+    valid = stored(valid_classes(keyed, tokens))
+    template = tokens.where("token != 0").join(valid, ["host", "class"])
+    vectors = template.where("kind != 4").select("host", "vector").distinct().withColumn("tags", F.lit(True))
+    template = template.join(vectors, ["host", "vector"], "left")
+    total = tokens.where("token = 0").select("host", F.col("mass").alias("total"))
+    article = F.col("kind") == 2
+    holder = F.col("kind").isin(1, 2) & (F.col("mass") > 0)
+    enough = F.when(article, 2 * F.col("mass") >= F.col("total")).otherwise(100 * F.col("mass") >= MAIN_PERCENT * F.col("total"))
+    marked = template.join(total, "host").withColumn("rank", F.when(holder & enough, F.struct(~article, ~F.col("titled"), F.col("mass"), -F.col("support"), F.col("token"))))
+    out = marked.groupBy("host").agg(
+        F.min_by("token", "rank").alias("container"),
+        F.collect_set(F.when(F.col("fixed") & F.col("tags"), F.col("token"))).alias("fixed"),
+        F.collect_set(F.when(F.col("kind") == 3, F.col("token"))).alias("titles"),
+    )
+    return out, tokens
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages (page_id, url, html)."""
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    known = stored(repeated(pages))
-    few = known.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    joined = pages.withColumn("host", _host()).join(F.broadcast(known) if few else known, "host", "left")
+    keyed = pages.select(_host().alias("host"), F.xxhash64("html").alias("row"), "html")
+    known, tokens = templates(keyed)
+    joined = pages.withColumn("host", _host()).join(_small(stored(known), tokens), "host", "left")
 
     def run(batch):
-        last, sets = None, frozenset()
+        last, sets = None, (frozenset(), frozenset())
         texts = []
-        notices, containers = batch.column("notices"), batch.column("container").to_pylist()
+        fixed, titles, containers = batch.column("fixed"), batch.column("titles"), batch.column("container").to_pylist()
         for k, (host, page) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)):
             if host != last:
-                last, sets = host, frozenset(notices[k].as_py() or ())
-            texts.append(extract(page or "", sets, containers[k]))
+                last, sets = host, (frozenset(fixed[k].as_py() or ()), frozenset(titles[k].as_py() or ()))
+            texts.append(extract(page or "", sets[0], containers[k], sets[1]))
         yield [batch.column("page_id"), batch.column("url"), texts, np.array([len(t) for t in texts], np.int64)]
 
-    return map_batches(joined.select("page_id", "url", "html", "host", "notices", "container"), run, "page_id long, url string, text string, n_chars long")
+    return map_batches(joined.select("page_id", "url", "html", "host", "fixed", "container", "titles"), run, "page_id long, url string, text string, n_chars long")
 
 
 def op4_html_text(spark, sf_dir: str) -> DataFrame:
