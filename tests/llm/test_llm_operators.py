@@ -221,6 +221,107 @@ def test_mixing(spark, docs):
     assert staged.select(F.sum(mixing.count_words(F.col("text")))).first()[0] == sum(r["taken"] for r in got)
 
 
+def brute_mix(keyed):
+    """(taken, slots by pass) of rows (h0, h1, source, size), word by word."""
+    sizes = {}
+    for _, _, source, size in keyed:
+        sizes[source] = sizes.get(source, 0) + size
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    target = mixing.share_out(sizes, {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)})
+    need = {s: mixing.slots_needed(sizes[s], target[s]) for s in order}
+    n, high, at = sum(need.values()), [], 0.0
+    for s in order:
+        at += need[s] / n
+        high.append(at)
+    slots = {s: [] for s in order}
+    for k in range(n):
+        x = (k + 1) * mixing.GOLDEN
+        slots[next((s for s, h in zip(order, high) if x - math.floor(x) < h), order[-1])].append(k)
+    for i, s in enumerate(order):
+        got = len(slots[s])
+        slots[s] += [n + j * len(order) + i for j in range(need[s] - got)]
+    out = {}
+    for s in order:
+        rows = sorted((h0 % mixing.BUCKETS, h0, h1, k) for k, (h0, h1, source, size) in enumerate(keyed) if source == s)
+        words = [k for *_, k in rows for _ in range(keyed[k][3])]
+        left = math.ceil(target[s])
+        blocks = -(-len(words) // mixing.BLOCK)
+        for r, slot in enumerate(slots[s]):
+            if not blocks or left <= 0:
+                break
+            epoch, b = divmod(r, blocks)
+            part = words[b * mixing.BLOCK : (b + 1) * mixing.BLOCK][:left]
+            left -= len(part)
+            for k in part:
+                taken, first = out.setdefault(k, ([0, 0], [None, None]))
+                taken[epoch] += 1
+                first[epoch] = slot if first[epoch] is None else min(first[epoch], slot)
+    return [out.get(k, ([0, 0], [None, None])) for k in range(len(keyed))]
+
+
+def test_mixing_against_brute_force(spark, docs):
+    df, rows = docs
+    known = df.select("doc_id", "source", mixing.count_words(F.col("text")).alias("size"), *mixing.row_key(df, ["doc_id", "source", "text"])).orderBy("doc_id").collect()
+    want = brute_mix([(r["h0"], r["h1"], r["source"], r["size"]) for r in known])
+    got = {r["doc_id"]: (r["passes"], r["slots"]) for r in mixing.mix(df).collect()}
+    assert got == {r["doc_id"]: w for r, w in zip(known, want)}
+    assert len({x for _, s in got.values() for x in s if x is not None}) > 20
+
+
+def test_mixed_texts_and_their_order(spark, docs):
+    df, rows = docs
+    df = df.where("text IS NOT NULL")
+    texts = {r[0]: r[1] for r in rows}
+    mixing_rows = mixing.mix(df, ("doc_id", "text", "lang", "source", "n_chars")).collect()
+    want = sorted((slot, r["doc_id"], w) for r in mixing_rows for w, slot in zip(r["passes"], r["slots"]) if w)
+    staged = [(r["doc_id"], r["text"], r["n_chars"]) for r in mixing.mix_stage(df).collect()]
+    by_slot = lambda pairs: sorted(pairs)
+    assert by_slot((d, len(WORD.findall(t))) for d, t, _ in staged) == by_slot((d, w) for _, d, w in want)
+    for d, t, n in staged:
+        assert texts[d].startswith(t) and n == len(t)
+    place = {}
+    for slot, d, _ in want:
+        place.setdefault(d, []).append(slot)
+    at = [min(place[d]) if k == [x[0] for x in staged].index(d) else max(place[d]) for k, (d, *_) in enumerate(staged)]
+    assert at == sorted(at)
+
+
+def test_many_rows_alike(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    rows = [(None, None, "")] * 40 + [(1, "a", "x y z")] * 50 + [(2, "b", "p q")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(df).collect()
+    assert len(got) == 93 and all(r["taken"] <= 2 * r["size"] for r in got)
+    assert sum(r["taken"] for r in got if r["doc_id"] == 1) == math.ceil(next(r["target"] for r in got if r["doc_id"] == 1))
+    staged = mixing.mix_stage(df).collect()
+    assert sum(len(r["text"].split()) for r in staged) == sum(r["taken"] for r in got)
+
+
+def odd_columns(df):
+    """Columns named like inner ones, and a map."""
+    return df.select("*", F.lit(7).alias("_row"), F.lit("mine").alias("_text"), F.lit("d").alias("_doc"), F.lit(1).alias("h0"), F.lit(2).alias("size"), F.lit("n").alias("n"), F.lit(3).alias("t0"), F.lit("k").alias("_kept"), F.create_map(F.lit("a"), F.col("source")).alias("marks"), F.struct(F.lit(None).cast("string").alias("a"), F.col("source").alias("b")).alias("pair"))
+
+
+@pytest.mark.parametrize("stage", [quality.filter_stage, neardup.dedup_stage, substrings.dedup_stage, mixing.mix_stage])
+def test_stages_keep_clashing_columns(spark, docs, stage):
+    df, _ = docs
+    plain = sorted(repr((r["doc_id"], r["text"])) for r in stage(df).collect())
+    wide = odd_columns(df)
+    got = stage(wide)
+    assert got.schema.simpleString() == wide.schema.simpleString()
+    rows = got.collect()
+    if stage is not mixing.mix_stage:  # its shuffle is by all columns
+        assert sorted(repr((r["doc_id"], r["text"])) for r in rows) == plain
+    assert rows and all((r["_row"], r["_text"], r["_doc"], r["h0"], r["size"], r["n"], r["t0"], r["_kept"]) == (7, "mine", "d", 1, 2, "n", 3, "k") for r in rows)
+    assert all(r["marks"]["a"] == r["source"] == r["pair"]["b"] for r in rows)
+    assert stage(wide.limit(0)).count() == 0
+
+
+def test_first_words(spark):
+    df = spark.createDataFrame([("  a\n b\t\tc  ",)], "text string")
+    assert [df.select(mixing.first_words(F.col("text"), F.lit(k))).first()[0] for k in (1, 2, 3)] == ["  a", "  a\n b", "  a\n b\t\tc"]
+
+
 def test_mixing_meets_small_targets(spark):
     words = {"hot": 60_000, **{f"s{k}": 40 for k in range(7)}, "t": 129, "u": 1000, "v": 65, "empty": 0}
     rows = [(k, "w " * min(500, n - at), s) for s, n in words.items() for k, at in enumerate(range(0, max(n, 1), 500))]
@@ -251,14 +352,16 @@ def test_chat(spark):
 
 
 def test_licenses(spark):
-    rows = [(1, "Released under the MIT License."), (2, "mit license mit license"), (3, None), (4, "Licensed under CC BY-NC 4.0."), (5, "the quick brown fox"), (6, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated files"), (7, "x GENERAL  public-license y"), (8, ""), (8, "")]
+    rows = [(1, "Released under the MIT License."), (2, "mit license mit license"), (3, None), (4, "Licensed under CC BY-NC 4.0."), (5, "the quick brown fox"), (6, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated files"), (7, "x GENERAL  public-license y"), (8, ""), (8, ""), (9, "x\nThis program is free software: you can redistribute\nit and/or modify it under the terms of the\n GNU General Public\nLicense y"), (10, "Licensed under the GNU Lesser\nGeneral Public License, version 3"), (11, "all " + "a b c d e f g " * 30 + "rights reserved"), (12, "w " * 30_000 + "All rights\nreserved. " + "v " * 30_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r for r in license.scan(df).collect()}
     assert license.scan(df).count() == len(rows) and license.scan(df.limit(0)).count() == 0
     assert (got[1]["base_labels"], got[1]["n_base"], got[1]["first_word"], got[1]["last_word"]) == ("mit", 1, 3, 3)
     assert (got[2]["n_base"], got[2]["first_word"], got[2]["last_word"]) == (2, 0, 2)
     assert got[3]["n_words"] == 0 and got[3]["labels"] == "" and got[3]["first_word"] is None
-    assert "cc-by-nc" in got[4]["labels"].split(",") and got[4]["base_labels"] == ""
+    assert got[4]["labels"] == "cc-by-nc" and got[4]["base_labels"] == ""
+    assert got[9]["labels"] == "gpl" and got[10]["labels"] == "gpl,lgpl" and got[11]["labels"] == ""
+    assert (got[12]["labels"], got[12]["n_words"], got[12]["score"]) == ("reserved", 60_003, 1.0)
     assert got[5]["labels"] == "" and got[5]["score"] == 0.0
     assert got[6]["labels"] == "mit" and got[6]["base_labels"] == ""
     assert got[7]["base_labels"] == "gpl" and got[7]["first_word"] == 1
@@ -292,6 +395,75 @@ def test_html_copies_and_attributes(spark):
     assert got[6] == "Kept"
 
 
+POST = """<body class="home has-sidebar"><div class=top>Welcome to all</div><div class="post no-sidebar" id=post-%d>
+<div class=post-header><h1>Title %d</h1></div><div class=label>Published by staff</div><section id=search-engines><p>%s</p></section><p>End of number %d.</p></div>
+<div class=extra>Other words %d</div></body>"""
+
+
+def words_of(k, n=40):
+    r = random.Random(k)
+    return " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+
+
+def test_html_template_decides(spark):
+    pages = [(k, f"http://p.example/{k}", POST % (k, k, words_of(k), k, k)) for k in range(6)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(df).collect()}
+    for k, _, page in pages:
+        assert got[k] == f"Title {k}\n\n{words_of(k)}\n\nEnd of number {k}."
+        # without the template, what is outside the container and the template's text stay
+        assert html_text.extract(page, frozenset(), None) == f"Welcome to all\n\nTitle {k}\n\nPublished by staff\n\n{words_of(k)}\n\nEnd of number {k}.\n\nOther words {k}"
+
+
+def test_html_article_goes_through_the_template(spark):
+    page = "<body><nav>n</nav><article class='post no-sidebar'><header><h1>T%d</h1></header><div>Share this</div><p>%s</p><div class=comments>c</div></article><div>%s</div>"
+    pages = [(k, "http://q.example/", page % (k, words_of(k), words_of(50 + k, 30))) for k in range(5)]
+    copies = [(10 + k, "http://copies.example/", page % (0, words_of(7) + str(k), "x")) for k in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(spark.createDataFrame(pages + copies, "page_id long, url string, html string")).collect()}
+    for k in range(5):
+        assert got[k] == f"T{k}\n\n{words_of(k)}"
+    same = [(20 + k, "http://same.example/", page % (0, words_of(7), "x%d" % k)) for k in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(spark.createDataFrame(same, "page_id long, url string, html string")).collect()}
+    # near copies: the template would be all of the article, so they keep it
+    assert set(got.values()) == {f"T0\n\nShare this\n\n{words_of(7)}"}
+
+
+def test_html_classes(spark):
+    """Occurrence vectors, order and nesting against brute force on small hosts."""
+    r = random.Random(5)
+    part = lambda: "".join(r.choice(["<h2>t</h2>", "<p>x</p>", "<ul><li>a<li>b</ul>", "<div class=z><b>q</b></div>"]) for _ in range(r.randrange(1, 5)))
+    pages = [(k, f"http://h{k % 3}.example/", f"<body><div id=a>{part()}</div><section>{part()}<i>{r.randrange(3)}</i></section>") for k in range(24)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    keyed = df.select(html_text._host().alias("host"), F.xxhash64("html").alias("row"), "html")
+    found = html_text.candidates(keyed).collect()
+    want = {}
+    for h in range(3):
+        mine = sorted({p for k, _, p in pages if k % 3 == h})
+        vectors = {}
+        for n, p in enumerate(mine):
+            sequence, facts = html_text.page_tokens(p)
+            for t in set(sequence):
+                vectors.setdefault((t, facts[t][1] == 4, facts[t][2]), []).append((n, sequence.count(t)))
+        for (t, is_text, holder), v in vectors.items():
+            if len(v) > 1 and 2 * len(v) >= len(mine):
+                want[f"h{h}.example", t] = (tuple(v), is_text, t if is_text else holder)
+    got = {(x["host"], x["token"]): x["class"] for x in found if x["token"]}
+    assert got.keys() == want.keys()
+    for a in want:
+        for b in want:
+            assert a[0] != b[0] or (want[a] == want[b]) == (got[a] == got[b])
+    assert html_text.order_of([1, 2, 1, 2], {1: 7, 2: 7})[7][1] is False
+    assert html_text.order_of([1, 2, 2, 1], {1: 7, 2: 7})[7][1] is True
+    assert [bad for _, bad in html_text.order_of([1, 3, 4, 2], {1: 7, 2: 7, 3: 8, 4: 8}).values()] == [False, False]
+    assert sorted(bad for _, bad in html_text.order_of([1, 3, 2, 4], {1: 7, 2: 7, 3: 8, 4: 8}).values()) == [False, True]
+
+
+def test_html_of_long_pages(spark):
+    page = "<body><article>" + "".join(f"<p>{words_of(k, 9)}</p>" for k in range(5000)) + "</article>"
+    got = html_text.main_texts(spark.createDataFrame([(1, "http://l.example", page), (2, "http://l.example", None)], "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert got[0]["text"] == "\n\n".join(words_of(k, 9) for k in range(5000)) and got[1]["text"] == ""
+
+
 def test_counts_codes_and_media(spark, docs):
     import public_tokenizers as P
 
