@@ -19,12 +19,12 @@ Candidates from equal blocks pass a size filter and parity sketches of the whole
 nodes is not turned into all its pairs: its least node and its hubs are verified against
 the others, links form components, and only blocks that still hold several components are
 open.  In an open block of up to SMALL nodes, nodes of different components meet.  In a
-larger one every node x is replaced by X, the shingles in which it differs from the
-block's hub c.  If x isn't linked to c, a set y linked to x must share at least
+larger one every node x is replaced by X, the shingles in which it differs from one node c,
+the hub of the block's largest component; a node linked to c joins that component at once.
+If x isn't linked to c, a set y linked to x must share at least
 (|X| + |Y| - (|x| + |y|) / 9) / 2 > 0 shingles with X in its own Y, so prefixes of X and Y in
 one order find every such pair: what c doesn't hold comes first, then what it alone holds.
-If both are linked to c they have one component already.  What a group of near copies has in
-common is in no X.
+What a group of near copies has in common is in no X, and its nodes meet one hub, not each other.
 
 Defined results: null or empty text has an empty set (0 shingles), is linked with
 nothing and is its own component; with fewer than five words the whole sequence is
@@ -384,24 +384,29 @@ def links(docs: DataFrame, nodes: DataFrame, renamed: dict) -> DataFrame:
     # blocks that hold several components still
     labelled = _labelled(kept, labels, few, ("node", "label"))
     open_blocks = stored(labelled.join(_leading(labelled), "key").join(info, "node"))
+    centres = stored(_labelled(central, labels, few, ("node", "label")).groupBy("label").agg(F.max_by("node", F.struct("central", "node")).alias("hub")))
     small = open_blocks.where(F.col("size") <= SMALL)
     x = small.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("x"))
     y = small.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("sketch").alias("y"))
     pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _within("x", "y")).select("a", "b")
-    around = open_blocks.where(F.col("size") > SMALL).join(hubs.where("rank = 1").select("key", F.col("leader").alias("hub")), "key")
-    around = stored(around.select("hub", "node", "label", F.col("sketch.n").alias("n")).distinct())
-    pairs = pairs.union(_around_hubs(around, nodes, docs)).distinct()
+    large = open_blocks.where(F.col("size") > SMALL)
+    around = large.join(centres.select(F.col("label").alias("leading"), "hub"), "leading")
+    around = stored(around.select("hub", "leading", "node", "label", F.col("sketch.n").alias("n")).distinct())
+    found, near = _around_hubs(around, nodes, docs)
+    edges.append(near)
+    pairs = pairs.union(found).distinct()
     last = stored(_plausible(pairs.join(_all(tested), ["a", "b"], "left_anti"), nodes))
     edges.append(_verified(last, nodes, docs))
-    dropped(open_blocks, kept, hubs, around, last, *tested)
+    dropped(open_blocks, centres, kept, hubs, around, last, *tested)
     return _all(edges)
 
 
-def _around_hubs(around: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _around_hubs(around: DataFrame, nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of nodes of one hub and different components that may link, one of them
-    at least not linked to the hub; around, a stored table: hub, node, label, n."""
+    at least not linked to the hub; and edges (a, b) from hubs to nodes of other components.
+    around, a stored table: hub, leading (its component), node, label, n."""
     t = THRESHOLD_PERCENT
-    pairs = around.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), "label", "n")
+    pairs = around.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), "leading", "label", "n")
     texts = _texts(pairs, nodes, docs)
     joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     joined = joined.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
@@ -409,9 +414,10 @@ def _around_hubs(around: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFr
     def run(batch):
         hubs, mine = batch.column("a").to_pylist(), batch.column("text_a")
         texts, last, known = batch.column("text_b"), None, None
+        apart_of = batch.column("leading").to_numpy() != batch.column("label").to_numpy()
         at = 0
         for first, end in slices(texts):
-            rows, facts, parts = [], [], []
+            rows, facts, parts, starts = [], [], [], []
             for s in shingle_sets(Words(texts, first, end, lower=True)):
                 if hubs[at] != last:
                     last, known = hubs[at], next(shingle_sets(Words(mine, at, at + 1, lower=True)))
@@ -423,18 +429,20 @@ def _around_hubs(around: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFr
                 least = (gap * (100 + t) + (len(known) - len(s)) * (100 - t)) // (2 * (100 + t)) + 1
                 early = gap - least + 1
                 apart = np.concatenate([added, gone])
-                parts.append(apart if far else apart[: max(early, 0)])
+                joins = not far and apart_of[at]  # an edge: a row of place 0
+                parts.append(apart if far else np.concatenate([np.zeros(int(joins), _U), apart[: max(early, 0)]]))
+                starts.append(0 if joins else 1)
                 rows.append(at)
                 facts.append((gap, far, early))
                 at += 1
             of = np.repeat(np.arange(len(rows)), [len(x) for x in parts])
-            place = np.concatenate([np.arange(1, len(x) + 1) for x in parts])
+            place = np.concatenate([np.arange(a, a + len(x)) for a, x in zip(starts, parts, strict=True)])
             column = lambda name: batch.column(name).to_numpy()[rows][of]  # noqa: B023, E731
             gap, far, early = (np.array(x)[of] for x in zip(*facts, strict=True))
-            yield [column("a"), column("b"), column("label"), column("n"), gap, place, far, place <= early, np.concatenate(parts).view(np.int64)]
+            yield [column("a"), column("b"), column("label"), column("n"), gap, place, far, (place > 0) & (place <= early), np.concatenate(parts).view(np.int64)]
 
     schema = "hub long, node long, label long, n long, gap long, place long, far boolean, early boolean, shingle long"
-    apart = stored(map_batches(joined.select("a", "b", "label", "n", "text_a", "text_b"), run, schema))
+    apart = stored(map_batches(joined.select("a", "b", "leading", "label", "n", "text_a", "text_b"), run, schema))
     x = apart.where("far").select("hub", "shingle", *[F.col(c).alias(f"{c}_x") for c in ("node", "label", "n", "gap", "place", "early")])
     y = apart.where("early").select("hub", "shingle", *[F.col(c).alias(f"{c}_y") for c in ("node", "label", "n", "gap", "place", "far")])
     need = F.ceil(((F.col("gap_x") + F.col("gap_y")) * (100 + t) - (F.col("n_x") + F.col("n_y")) * (100 - t)) / (2 * (100 + t)))
@@ -442,14 +450,17 @@ def _around_hubs(around: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFr
     met = met.where((F.col("place_x") <= F.col("gap_x") - need + 1) & (F.col("place_y") <= F.col("gap_y") - need + 1))
     met = met.where(100 * F.least("n_x", "n_y") >= t * F.greatest("n_x", "n_y"))
     out = stored(met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct())
+    near = stored(apart.where("place = 0").select(F.col("hub").alias("a"), F.col("node").alias("b")))
     dropped(texts, apart)
-    return out
+    return out, near
 
 
 def _leading(labelled: DataFrame) -> DataFrame:
-    """(key, size): the blocks that hold several components, and how many nodes."""
-    counts = labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("_a"), F.max("label").alias("_b"))
-    return counts.where("_a < _b").select("key", "size")
+    """(key, size, leading): the blocks that hold several components, how many nodes, and the
+    largest component."""
+    counts = labelled.groupBy("key", "label").agg(F.count("*").alias("k"))
+    whole = counts.groupBy("key").agg(F.sum("k").alias("size"), F.max_by("label", F.struct("k", "label")).alias("leading"), F.count("*").alias("labels"))
+    return whole.where("labels > 1").drop("labels")
 
 
 def _all(tables: list[DataFrame]) -> DataFrame:
