@@ -247,45 +247,40 @@ def order_of(sequence: list[int], classes: dict[int, int]) -> dict[int, tuple[in
 def extract(page: str, fixed: frozenset, container: int | None, titles: frozenset = frozenset()) -> str:
     """The page's main text: slots in the container and in the template's titles; fixed are
     the template's texts. Without a container on the page, its article or main or body."""
-    picks = {"slots": [], "whole": [], "main": [], "body": []}
-    pending = {k: [] for k in picks}
-    seen = {"main": False, "container": False}
-    size = {"slots": 0, "whole": 0}
-
-    def flush():
-        for k, parts in pending.items():
-            if parts:
-                text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
-                if text:
-                    picks[k].append(text)
-                parts.clear()
-
+    parts: list = []  # (whether in an article, whether in the container, text, path), None between blocks
+    seen_main = seen = False
     for kind, *rest in parse(page):
         if kind == "break":
-            flush()
+            parts.append(None)
         elif kind == "open":
             node = rest[0]
             if not node.out:
-                seen["main"] = seen["main"] or node.main
-                seen["container"] = seen["container"] or node.path == container
+                seen_main = seen_main or node.main
+                seen = seen or node.path == container
         else:
             node, text = rest
-            if node.out:
-                continue
-            pending["body"].append(text)
-            if node.main:
-                pending["main"].append(text)
-            if container in node.chain or not seen["container"] and node.title in titles:
-                pending["whole"].append(text)
-                bare = _SPACE.sub(" ", text).strip()
-                size["whole"] += len(bare)
-                if not fixed or _text_hash(node.path, bare) not in fixed:
-                    pending["slots"].append(text)
-                    size["slots"] += len(bare)
-    flush()
-    if container is not None and seen["container"]:
-        return "\n\n".join(picks["slots"] if 2 * size["slots"] >= size["whole"] else picks["whole"])
-    return "\n\n".join(picks["main"] if seen["main"] else picks["body"])
+            if not node.out:
+                parts.append((node.main, container in node.chain or not seen and node.title in titles, text, node.path))
+    if container is not None and seen:
+        parts = [p for p in parts if p is None or p[1]]
+        if fixed:
+            bare = [None if p is None else _SPACE.sub(" ", p[2]).strip() for p in parts]
+            slots = [p is None or _text_hash(p[3], x) not in fixed for p, x in zip(parts, bare, strict=True)]
+            size = [len(x or "") for x in bare]
+            if 2 * sum(n for n, kept in zip(size, slots, strict=True) if kept) >= sum(size):
+                parts = [p for p, kept in zip(parts, slots, strict=True) if kept]
+    elif seen_main:
+        parts = [p for p in parts if p is None or p[0]]
+    blocks, pending = [], []
+    for part in [*parts, None]:
+        if part is not None:
+            pending.append(part[2])
+        elif pending:
+            text = _SPACE.sub(" ", entities.unescape("".join(pending))).strip()
+            if text:
+                blocks.append(text)
+            pending = []
+    return "\n\n".join(blocks)
 
 
 def _host():
