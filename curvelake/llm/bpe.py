@@ -6,9 +6,10 @@ of the pair it forms with its next live neighbour; each node keeps the leftmost
 position of the least rank, so the root names the next merge.  A merge changes the
 pairs of two live neighbours and drops one position: three logarithmic updates.
 
-Encoded pieces are kept per worker, as words repeat: a young table of CACHE_PIECES entries
-takes over what is met again from the last one, which it then replaces. Both together stay
-under 100 MB, for a worker outlives its tasks.
+Encoded pieces are kept per worker, as words repeat: a young table takes over what is met
+again from the last one, which it then replaces. Digests keep two of DIGEST_PIECES entries
+(under 200 MB); encoding, which also holds ids, two of ENCODE_PIECES, and these go with the
+ranks when a task ends, for a worker outlives its tasks.
 
 Defined results: null text is empty and has no tokens; very long pieces cost
 n log n; repeated rows and null ids each give a row; other columns are ignored.
@@ -29,13 +30,14 @@ from pyspark.sql import functions as F
 from .words import map_batches
 
 NONE = 1 << 40
-CACHE_PIECES = 200_000
+DIGEST_PIECES, ENCODE_PIECES = 400_000, 100_000
 
 
 class Ranks:
     """Token bytes by id and ids by token bytes, from a rank file's content."""
 
-    def __init__(self, content: bytes, pattern: str):
+    def __init__(self, content: bytes, pattern: str, most: int = ENCODE_PIECES):
+        self.most = most
         self.ids = {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line.strip())}
         self.tokens = {i: t for t, i in self.ids.items()}
         self.pattern = regex.compile(pattern)
@@ -70,7 +72,7 @@ class Ranks:
             if digits is None:
                 digits = ",".join(map(str, self.encode_piece(piece.encode())))
             if len(piece) <= 64:
-                if len(self.young) >= CACHE_PIECES:
+                if len(self.young) >= self.most:
                     self.old, self.young = self.young, {}
                 self.young[piece] = digits
         return digits
@@ -134,8 +136,8 @@ def merge(piece: bytes, ids: dict[bytes, int]) -> list[int]:
 
 
 @lru_cache(2)
-def _ranks(content: bytes, pattern: str) -> Ranks:
-    return Ranks(content, pattern)
+def _ranks(content: bytes, pattern: str, most: int) -> Ranks:
+    return Ranks(content, pattern, most)
 
 
 def _encoded(docs: DataFrame, rank_file: str, pattern: str, keep_ids: bool) -> DataFrame:
@@ -143,7 +145,7 @@ def _encoded(docs: DataFrame, rank_file: str, pattern: str, keep_ids: bool) -> D
         content = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: under a few MB
 
     def run(batch):
-        ranks = _ranks(content.value, pattern)
+        ranks = _ranks(content.value, pattern, ENCODE_PIECES if keep_ids else DIGEST_PIECES)
         texts, counts, ids_sha, back_sha, ids = batch.column("text"), [], [], [], []
         for first in range(0, len(texts), 256):
             for text in texts.slice(first, 256).to_pylist():
@@ -160,7 +162,7 @@ def _encoded(docs: DataFrame, rank_file: str, pattern: str, keep_ids: bool) -> D
         yield columns
 
     kept = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_batches(kept, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+    return map_batches(kept, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids, _ranks.cache_clear if keep_ids else None)
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -174,7 +176,7 @@ def decode(encoded: DataFrame, rank_file: str) -> DataFrame:
         content = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batch):
-        ranks = _ranks(content.value, "")
+        ranks = _ranks(content.value, "", ENCODE_PIECES)
         yield [batch.column("doc_id"), pa.array([ranks.decode(x or []) for x in batch.column("ids").to_pylist()], pa.binary())]
 
     return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, decoded binary")

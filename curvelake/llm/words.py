@@ -145,17 +145,25 @@ def few_words_hash(words: np.ndarray) -> int:
     return int(window_hashes(words, len(words))[0])
 
 
-def map_batches(df, function, schema: str):
-    """df through ``function`` (a batch to an iterator of batches), Arrow batch by batch."""
+def map_batches(df, function, schema: str, after=None):
+    """df through ``function`` (a batch to an iterator of batches), Arrow batch by batch;
+    ``after`` is called when a task ends."""
     arrow = arrow_schema(schema)
 
-    @tidy
-    def run(batches):
+    def rows(batches):
         for batch in batches:
             if batch.num_rows:
                 for columns in function(batch):
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
+    @tidy
+    def run(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            if after is not None:
+                after()
+
     return small_batches(df).mapInArrow(run, schema)
 
 
