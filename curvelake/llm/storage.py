@@ -64,19 +64,32 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def _allocator():
+    """The C library's allocator, where it can be told how to keep memory."""
+    library = ctypes.CDLL(None)
+    return library if hasattr(library, "malloc_trim") and hasattr(library, "mallopt") else None
+
+
+#: Arrays from this size on are mapped by themselves and go back to the system when freed.
+MAPPED_BYTES = 4 << 20
+
+
 def tidy(function):
-    """A function over batches that, when it ends, hands the memory its worker has freed back
-    to the system: workers are used again and would otherwise hold their largest size."""
+    """A function over batches whose worker hands memory back to the system that it has freed,
+    large arrays at once and the rest at its end: workers are used again and would otherwise
+    hold their largest size."""
 
     @functools.wraps(function)
     def run(batches):
+        library = _allocator()
+        if library is not None:
+            library.mallopt(-3, MAPPED_BYTES)  # M_MMAP_THRESHOLD: fixed from now on
         try:
             yield from function(batches)
         finally:
             gc.collect()
             pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            if library is not None:
+                library.malloc_trim(0)
 
     return run

@@ -97,7 +97,7 @@ def _sketch_part(batches):
             if len(h):
                 held.append(h)
                 size += len(h)
-        if size > 2_000_000:
+        if size > 500_000:
             yield from flush()
             held, size = [], 0
     if size:
