@@ -45,8 +45,7 @@ STAGES = [
     ("byte_bpe", byte_bpe),
 ]
 
-#: Byte-pair merges can't be written in SQL; tests hold the first three stages' rows or word counts
-#: against brute force, and of the last two only the columns and the row count.
+#: Byte-pair merges can't be written in SQL; tests hold the rows of every stage against brute force.
 ORACLE_SQL = None
 
 
