@@ -6,10 +6,11 @@ All of them go through Arrow batches of whole curves; none gathers a table.
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,9 +59,22 @@ def per_curve(df: DataFrame, fn, schema: str, values: str = "values", keep: list
     return df.select(*keep, values).mapInArrow(run, out)
 
 
-def _blocks(df: DataFrame, n: int) -> tuple[DataFrame, int]:
-    """Curves packed into blocks of about BLOCK, as arrays of structs."""
-    count = max(1, math.ceil(n / BLOCK))
+@contextmanager
+def held(df: DataFrame):
+    """df kept in memory while steps read it again and again, in as many parts as there are
+    cores at least. Lost parts are computed again."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    kept = df.repartition(cores) if df.limit(cores * ROWS_A_TASK // 10 + 1).count() <= cores * ROWS_A_TASK // 10 else df
+    kept = kept.persist()
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
+def _blocks(df: DataFrame, n: int, size: int = BLOCK) -> tuple[DataFrame, int]:
+    """Curves packed into blocks of about ``size``, as arrays of structs."""
+    count = max(1, math.ceil(n / size))
     rows = df.groupBy(F.pmod(F.xxhash64("id"), F.lit(count)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("id", "values"))).alias("rows"))
     return rows, count
 
@@ -70,16 +84,18 @@ def _unpack(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return rows.field("id").to_numpy(zero_copy_only=False), matrix(rows.field("values"))
 
 
-def self_pairs(df: DataFrame, fn, name: str = "d") -> DataFrame:
+def self_pairs(df: DataFrame, fn, name: str = "d", size: int = BLOCK) -> DataFrame:
     """(i, j, d) for all i < j of df (id, values): fn(A, B) gives a matrix of distances.
 
     Blocks of curves meet blocks; a table of block pairs is dealt out, so pairs are
-    never produced by a cross join of rows.
+    never produced by a cross join of rows. Costly kernels take small blocks, dealt to
+    tasks of their own.
     """
-    blocks, count = _blocks(df.select("id", "values"), df.count())
+    blocks, count = _blocks(df.select("id", "values"), df.count(), size)
     spark = df.sparkSession
     pairs = spark.range(count).select(F.col("id").alias("block"), F.explode(F.sequence(F.col("id"), F.lit(count - 1))).alias("other"))
-    joined = pairs.join(blocks.withColumnRenamed("rows", "a"), "block").join(blocks.select(F.col("block").alias("other"), F.col("rows").alias("b")), "other").select("a", "b")
+    joined = pairs.join(blocks.withColumnRenamed("rows", "a"), "block").join(blocks.select(F.col("block").alias("other"), F.col("rows").alias("b")), "other")
+    joined = _dealt(joined, count * (count + 1) // 2, size).select("a", "b")
     schema = T.StructType.fromDDL(f"i long, j long, {name} double")
 
     def run(batches):
@@ -96,12 +112,18 @@ def self_pairs(df: DataFrame, fn, name: str = "d") -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
-def cross_pairs(left: DataFrame, right: DataFrame, fn, name: str = "d") -> DataFrame:
+def _dealt(pairs: DataFrame, n: int, size: int) -> DataFrame:
+    """n pairs of small blocks, in tasks of their own; pairs of whole blocks as they are."""
+    return pairs if size >= BLOCK else pairs.repartition(min(n, 4096), "block", "other")
+
+
+def cross_pairs(left: DataFrame, right: DataFrame, fn, name: str = "d", size: int = BLOCK) -> DataFrame:
     """(i, j, d) for every curve i of left and j of right."""
-    a, n_a = _blocks(left.select("id", "values"), left.count())
-    b, n_b = _blocks(right.select("id", "values"), right.count())
+    a, n_a = _blocks(left.select("id", "values"), left.count(), size)
+    b, n_b = _blocks(right.select("id", "values"), right.count(), size)
     pairs = left.sparkSession.range(n_a).select(F.col("id").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_b - 1).cast("long"))).alias("other"))
-    joined = pairs.join(a.withColumnRenamed("rows", "a"), "block").join(b.select(F.col("block").alias("other"), F.col("rows").alias("b")), "other").select("a", "b")
+    joined = pairs.join(a.withColumnRenamed("rows", "a"), "block").join(b.select(F.col("block").alias("other"), F.col("rows").alias("b")), "other")
+    joined = _dealt(joined, n_a * n_b, size).select("a", "b")
     schema = T.StructType.fromDDL(f"i long, j long, {name} double")
 
     def run(batches):
@@ -137,7 +159,8 @@ def sums(df: DataFrame, fn, columns: list[str], merge: int = 16) -> list[np.ndar
     """The sum over all batches of fn(*columns as arrays) -> a list of arrays.
 
     Partitions add up their batches, then ``merge`` tasks add up the partitions, so
-    that a fixed number of small arrays comes to the driver.
+    that a fixed number of small arrays comes to the driver. All are added in the order of
+    partitions, so that runs agree.
     """
     schema = T.StructType.fromDDL("part int, n long, payload binary")
 
@@ -151,7 +174,7 @@ def sums(df: DataFrame, fn, columns: list[str], merge: int = 16) -> list[np.ndar
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([pickle.dumps((shapes, [a.ravel() for a in total]))], pa.binary())], names=schema.names)
 
     def first(batches):
-        import os
+        from pyspark import TaskContext
 
         total, n = None, 0
         for batch in batches:
@@ -159,19 +182,20 @@ def sums(df: DataFrame, fn, columns: list[str], merge: int = 16) -> list[np.ndar
                 arrays = [matrix(batch.column(c)) if pa.types.is_list(batch.schema.field(c).type) else batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
                 total, n = add(total, [np.atleast_1d(np.asarray(a, float)) for a in fn(*arrays)]), n + batch.num_rows
         if total is not None:
-            yield pack(total, n, int.from_bytes(os.urandom(2), "little") % merge)
+            yield pack(total, n, TaskContext.get().partitionId())
 
     def second(batches):
-        total, n = None, 0
+        total, n, parts = None, 0, []
         for batch in batches:
-            for k, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                total, n = add(total, _load(payload)), n + k
+            parts += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+        for _, k, payload in sorted(parts, key=lambda x: x[0]):  # in the order of partitions: the same sum in every run
+            total, n = add(total, _load(payload)), n + k
         if total is not None:
-            yield pack(total, n, 0)
+            yield pack(total, n, min(x[0] for x in parts))
 
-    parts = df.select(*columns).mapInArrow(first, schema).repartition(merge, "part").mapInArrow(second, schema).collect()
+    parts = df.select(*columns).mapInArrow(first, schema).repartition(merge, F.col("part") % merge).mapInArrow(second, schema).collect()
     total = None
-    for row in parts:
+    for row in sorted(parts, key=lambda r: r["part"]):
         total = add(total, _load(bytes(row["payload"])))
     if total is None:
         raise ValueError("an empty table has no sums")
@@ -185,6 +209,61 @@ def _load(payload: bytes) -> list[np.ndarray]:
     return [a.reshape(s) for a, s in zip(flat, shapes, strict=True)]
 
 
+#: Rows that one task sorts, and values that come to the driver for an order statistic.
+ROWS_A_TASK, FEW_VALUES = 100_000, 50_000
+
+
+def order_statistics(df: DataFrame, column: str, places: list[int]) -> list[float]:
+    """The values at 0-based places of a column in ascending order, exactly.
+
+    Approximate quantiles bracket each place; rows below and within a bracket are counted,
+    and it is narrowed until its few values come to the driver. No table is sorted.
+    """
+    rows = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
+    n = rows.count()
+    found = {}
+    for place in sorted({min(max(p, 0), n - 1) for p in places}):
+        part, at, size = rows, place, n
+        while size > FEW_VALUES:
+            share = at / max(size - 1, 1)
+            low, high = part.agg(F.percentile_approx("v", [max(share - 0.002, 0.0), min(share + 0.002, 1.0)], 10_000)).first()[0]
+            below, equal = part.agg(F.sum((F.col("v") < low).cast("long")), F.sum(F.col("v").between(low, high).cast("long"))).first()
+            if low == high or not below <= at < below + equal or equal == size:
+                break
+            part, at, size = part.where(F.col("v").between(low, high)), at - below, equal
+        if size > FEW_VALUES:  # ties of one value, or a bracket that doesn't hold the place: count by value
+            counts = part.groupBy("v").agg(F.count("*").alias("k"))
+            w = Window.orderBy("v")
+            found[place] = float(counts.select("v", F.sum("k").over(w).alias("upto")).where(F.col("upto") > at).agg(F.min("v")).first()[0])
+        else:
+            found[place] = float(np.sort([r["v"] for r in part.collect()])[at])
+    return [found[min(max(p, 0), n - 1)] for p in places]
+
+
+def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float]:
+    """Linear quantiles of type 7 of a column, exactly."""
+    n = df.where(F.col(column).isNotNull()).count()
+    at = [(n - 1) * p for p in shares]
+    got = order_statistics(df, column, [k for x in at for k in (math.floor(x), math.ceil(x))])
+    return [got[2 * k] + (x - math.floor(x)) * (got[2 * k + 1] - got[2 * k]) for k, x in enumerate(at)]
+
+
+def numbered(df: DataFrame, first: str, *then, name: str = "rank", by: tuple[str, ...] = ()) -> DataFrame:
+    """df with its rows' numbers, from 1, by ascending ``first`` (a number) and further orders,
+    within groups of ``by``.
+
+    Rows are cut into buckets at approximate quantiles of ``first``; one task numbers a bucket,
+    and the counts of the buckets before it are added.
+    """
+    buckets = max(1, math.ceil(df.count() / ROWS_A_TASK))
+    cuts = df.agg(F.percentile_approx(first, [k / buckets for k in range(1, buckets)], 10_000)).first()[0] if buckets > 1 else []
+    marked = df.withColumn("_bucket", F.size(F.filter(F.lit([float(c) for c in sorted(set(cuts))]), lambda c: c < F.col(first))) if cuts else F.lit(0))
+    counts = marked.groupBy(*by, "_bucket").agg(F.count("*").alias("_k"))
+    counts = counts.select(*by, "_bucket", (F.sum("_k").over(Window.partitionBy(*by).orderBy("_bucket")) - F.col("_k")).alias("_before"))  # a row for each bucket
+    own = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(first, *then))
+    return marked.withColumn("_own", own).join(counts, [*by, "_bucket"]).withColumn(name, F.col("_before") + F.col("_own")).drop("_bucket", "_own", "_before")
+
+
 def moments(df: DataFrame, values: str = "values") -> tuple[int, np.ndarray, np.ndarray]:
     """(n, mean, scatter about the mean) in two passes, stable for large means."""
     n, total = sums(df, lambda v: [np.array([len(v)]), v.sum(0)], [values])

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curvelake.operators.apply import per_curve, sums
+from curvelake.operators.apply import held, per_curve, sums
 from curvelake.operators.metrics import mirrored
 from curvelake.operators.reduce import fpca
 from curvelake.sources.curves import Curves, unit_grid
@@ -34,7 +34,14 @@ def _seeds(c: Curves, k: int, seed: int) -> np.ndarray:
 def kmeans(c: Curves, k: int, max_iter: int = 100, tol: float = 1e-6, seed: int = 1) -> tuple[np.ndarray, DataFrame]:
     """(centres, table with cluster and distance): each step is one pass of sums; the lowest
     cluster of equals, an empty cluster keeps its centre."""
-    w, mid = c.weights, _seeds(c, k, seed)
+    with held(c.df.select("values")) as df:
+        mid = _kmeans(c.with_df(df), _seeds(c, k, seed), max_iter, tol)
+    w = c.weights
+    return mid, per_curve(c.df, lambda v: (_square(v, mid, w).argmin(1), np.sqrt(_square(v, mid, w).min(1))), "cluster int, distance double")
+
+
+def _kmeans(c: Curves, mid: np.ndarray, max_iter: int, tol: float) -> np.ndarray:
+    k, w = len(mid), c.weights
     for _ in range(max_iter):
         def step(v, mid=mid):
             own = _square(v, mid, w).argmin(1)
@@ -46,7 +53,7 @@ def kmeans(c: Curves, k: int, max_iter: int = 100, tol: float = 1e-6, seed: int
         mid = new
         if moved < tol:
             break
-    return mid, per_curve(c.df, lambda v: (_square(v, mid, w).argmin(1), np.sqrt(_square(v, mid, w).min(1))), "cluster int, distance double")
+    return mid
 
 
 def fuzzy_cmeans(c: Curves, k: int, fuzziness: float = 2.0, max_iter: int = 100, tol: float = 1e-6, seed: int = 1) -> tuple[np.ndarray, DataFrame]:
@@ -56,13 +63,14 @@ def fuzzy_cmeans(c: Curves, k: int, fuzziness: float = 2.0, max_iter: int = 100,
         d = np.maximum(_square(v, mid, w), 1e-20) ** -e
         return d / d.sum(1, keepdims=True)
 
-    for _ in range(max_iter):
-        mass, total = sums(c.df, lambda v, mid=mid: [(u := members(v, mid) ** fuzziness).sum(0), u.T @ v], ["values"])
-        new = total / mass[:, None]
-        moved = float(np.abs(new - mid).max())
-        mid = new
-        if moved < tol:
-            break
+    with held(c.df.select("values")) as df:
+        for _ in range(max_iter):
+            mass, total = sums(df, lambda v, mid=mid: [(u := members(v, mid) ** fuzziness).sum(0), u.T @ v], ["values"])
+            new = total / mass[:, None]
+            moved = float(np.abs(new - mid).max())
+            mid = new
+            if moved < tol:
+                break
     return mid, per_curve(c.df, lambda v: (members(v, mid), members(v, mid).argmax(1)), "membership array<double>, cluster int")
 
 

@@ -15,16 +15,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvelake.functions import numeric as nm
-from curvelake.operators.apply import against, matrix, per_curve, sums
+from curvelake.operators.apply import ROWS_A_TASK, against, matrix, numbered, order_statistics, per_curve, quantiles, sums
 from curvelake.sources.curves import Curves
 
 
-def ranks(c: Curves, buckets: int = 1) -> DataFrame:
+def ranks(c: Curves, buckets: int | None = None) -> DataFrame:
     """(id, pos, v, n, le, lt): curves, those at most v, and those below v, by position.
 
-    With ``buckets`` > 1, positions are split at approximate quantiles of their values.
+    With ``buckets`` > 1, positions are split at approximate quantiles of their values; by
+    default there are as many as the number of curves needs.
     """
     rows = c.long()
+    if buckets is None:
+        buckets = math.ceil(c.df.count() / ROWS_A_TASK)
     if buckets <= 1:
         w = Window.partitionBy("pos")
         o = w.orderBy("v")
@@ -39,52 +42,59 @@ def ranks(c: Curves, buckets: int = 1) -> DataFrame:
     return rows.select("id", "pos", "v", "n", (F.col("lower") + F.count("*").over(o.rangeBetween(Window.unboundedPreceding, 0))).alias("le"), (F.col("lower") + F.rank().over(o) - 1).alias("lt"))
 
 
-def fraiman_muniz(c: Curves, scale: bool = False, buckets: int = 1) -> DataFrame:
+def fraiman_muniz(c: Curves, scale: bool = False, buckets: int | None = None) -> DataFrame:
     f = F.col("le") / F.col("n")
     return ranks(c, buckets).groupBy("id").agg((F.avg(F.least(f, 1 - f)) * (2 if scale else 1)).alias("depth"))
 
 
-def modified_band(c: Curves, buckets: int = 1) -> DataFrame:
+def modified_band(c: Curves, buckets: int | None = None) -> DataFrame:
     n, below, above = F.col("n"), F.col("lt"), F.col("n") - F.col("le")
     pairs = lambda x: x * (x - 1) / 2
     return ranks(c, buckets).groupBy("id").agg(F.avg(1 - (pairs(below) + pairs(above)) / pairs(n)).alias("depth"))
 
 
-def modified_epigraph(c: Curves, buckets: int = 1) -> DataFrame:
+def modified_epigraph(c: Curves, buckets: int | None = None) -> DataFrame:
     """Share of (curve, position) at or above: x_i <= x_j."""
     return ranks(c, buckets).groupBy("id").agg(F.avg((F.col("n") - F.col("lt")) / F.col("n")).alias("depth"))
 
 
-def modified_hypograph(c: Curves, buckets: int = 1) -> DataFrame:
+def modified_hypograph(c: Curves, buckets: int | None = None) -> DataFrame:
     return ranks(c, buckets).groupBy("id").agg(F.avg(F.col("le") / F.col("n")).alias("depth"))
 
 
-def modified_half_region(c: Curves, buckets: int = 1) -> DataFrame:
+def modified_half_region(c: Curves, buckets: int | None = None) -> DataFrame:
     r = ranks(c, buckets)
     return r.groupBy("id").agg(F.least(F.avg((F.col("n") - F.col("lt")) / F.col("n")), F.avg(F.col("le") / F.col("n"))).alias("depth"))
 
 
-def total_variation(c: Curves, buckets: int = 1) -> DataFrame:
-    """id, depth: mean of p (1 - p), p the share of curves at most the value."""
-    p = F.col("le") / F.col("n")
+def total_variation(c: Curves, buckets: int | None = None) -> DataFrame:
+    """id, depth: mean of p (1 - p), p the rank over n; ranks of equal values are averaged."""
+    p = (F.col("le") + F.col("lt") + 1) / (2 * F.col("n"))
     return ranks(c, buckets).groupBy("id").agg(F.avg(p * (1 - p)).alias("depth"))
 
 
-def extreme_rank_length(c: Curves, buckets: int = 1) -> DataFrame:
+def extreme_rank_length(c: Curves, buckets: int | None = None) -> DataFrame:
     """Share of curves whose sorted two-sided ranks are not greater, in lexicographic order."""
     two_sided = F.least(F.col("lt") + 1, F.col("n") - F.col("le") + 1)
     sorted_ranks = ranks(c, buckets).groupBy("id").agg(F.array_sort(F.collect_list(two_sided)).alias("r"), F.first("n").alias("n"))
-    patterns = sorted_ranks.groupBy("r").agg(F.count("*").alias("k"))
-    order = Window.partitionBy(F.lit(0)).orderBy("r").rangeBetween(Window.unboundedPreceding, 0)
-    return sorted_ranks.join(patterns.select("r", F.sum("k").over(order).alias("le")), "r").select("id", (F.col("le") / F.col("n")).alias("depth"))
-
-
-def extremal(c: Curves, buckets: int = 1) -> DataFrame:
-    """Rank / n of curves ordered by their least pointwise depth, then the share of positions
-    at growing levels (more is shallower), then id."""
-    level = 1 - F.abs(2 * (F.col("lt") + 1) - F.col("n") - 1) / F.col("n")
-    levels = ranks(c, buckets).groupBy("id").agg(F.array_sort(F.collect_list(F.round(level, 12))).alias("l"), F.first("n").alias("n"))
-    return levels.select("id", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("l", "id")) / F.col("n")).alias("depth"))
+    # patterns are cut into buckets by their least rank; one task orders a bucket
+    # patterns are cut into parts by their least rank; one task orders a part
+    patterns = sorted_ranks.groupBy("r").agg(F.count("*").alias("k")).withColumn("first", F.col("r")[0])
+    lower = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = patterns.groupBy("first").agg(F.sum("k").alias("k"))  # a number for each least rank
+    firsts = firsts.select("first", F.coalesce(F.sum("k").over(lower), F.lit(0)).alias("lower"))
+    order = Window.partitionBy("first").orderBy("r").rangeBetween(Window.unboundedPreceding, 0)
+    places = patterns.join(firsts, "first").select("r", (F.col("lower") + F.sum("k").over(order)).alias("le"))
+    return sorted_ranks.join(places, "r").select("id", (F.col("le") / F.col("n")).alias("depth"))
+
+
+def extremal(c: Curves, buckets: int | None = None) -> DataFrame:
+    """Rank / n of curves ordered by their least pointwise depth, then by the share of positions
+    at that level (more is shallower), then by id. Ranks of equal values are averaged."""
+    level = 1 - F.abs(F.col("lt") + 1 + F.col("le") - F.col("n") - 1) / F.col("n")
+    found = ranks(c, buckets).select("id", "n", F.round(level, 12).alias("level")).groupBy("id", "n", "level").agg(F.count("*").alias("mass"))
+    found = found.groupBy("id", "n").agg(F.min(F.struct("level", "mass")).alias("w")).select("id", "n", "w.level", "w.mass")
+    return numbered(found, "level", F.desc("mass"), "id").select("id", (F.col("rank") / F.col("n")).alias("depth"))
 
 
 def _shares(c: Curves, fn, name: str = "depth") -> DataFrame:
@@ -151,11 +161,13 @@ def spatial(c: Curves) -> DataFrame:
 def kernel_spatial(c: Curves, h: float, weights=None) -> DataFrame:
     """Spatial depth in the space of the kernel exp(-d^2 / h^2).
 
-    Needs all kernel values of a curve at once, so the reference set is broadcast: a
-    sample of references of a size the caller bounds.
+    Needs all kernel values of a curve at once, so the reference set goes to every task:
+    infer.MOST_ROWS curves at most, an error beyond.
     """
+    from curvelake.operators.infer import rows_of
+
     w = c.weights if weights is None else np.asarray(weights, float)
-    ref = np.array([r["values"] for r in c.df.orderBy("id").select("values").collect()])
+    ref = rows_of(c)[0]
     d2 = lambda a, b: np.maximum((a**2 @ w)[:, None] + (b**2 @ w)[None] - 2 * (a * w) @ b.T, 0)
     kk = np.exp(-d2(ref, ref) / h**2)
 
@@ -176,9 +188,12 @@ def band(c: Curves) -> DataFrame:
     """Share of pairs of other reference curves whose closed band holds the whole curve.
 
     Counted from sign patterns: pairs of curves are never made; for each curve the
-    references' above/below patterns are counted by blocks of bit sets.
+    references' above/below patterns are counted by blocks of bit sets. The references go
+    to every task: infer.MOST_ROWS curves at most, an error beyond.
     """
-    ref = np.array([r["values"] for r in c.df.orderBy("id").select("values").collect()])
+    from curvelake.operators.infer import rows_of
+
+    ref = rows_of(c)[0]
     n = len(ref)
 
     def kernel(v):
@@ -235,7 +250,8 @@ def boxplot(c: Curves, depths: DataFrame, factor: float = 1.5) -> tuple[DataFram
     leaves the fences somewhere.
     """
     n = c.df.count()
-    central = depths.orderBy(F.desc("depth"), "id").limit(math.ceil(n / 2)).select("id")
+    depths = depths.persist()
+    central = numbered(depths.withColumn("_shallow", -F.col("depth")), "_shallow", "id").where(F.col("rank") <= math.ceil(n / 2)).select("id")
     box = c.long().join(central, "id").groupBy("pos").agg(F.min("v").alias("lower"), F.max("v").alias("upper"))
     width = F.col("upper") - F.col("lower")
     box = box.select("pos", "lower", "upper", (F.col("lower") - factor * width).alias("fence_low"), (F.col("upper") + factor * width).alias("fence_high"))
@@ -253,38 +269,78 @@ def outliergram(c: Curves, factor: float = 1.5) -> DataFrame:
     n, s1, s2, s3, s4, y0, y1, y2 = (float(x[0]) for x in sums(both, lambda x, y: [np.array([z]) for z in (len(x), x.sum(), (x**2).sum(), (x**3).sum(), (x**4).sum(), y.sum(), (x * y).sum(), (x * x * y).sum())], ["mei", "mbd"]))
     b = np.linalg.solve([[n, s1, s2], [s1, s2, s3], [s2, s3, s4]], [y0, y1, y2])
     res = both.withColumn("residual", F.col("mbd") - (b[0] + b[1] * F.col("mei") + b[2] * F.col("mei") * F.col("mei")))
-    order = Window.partitionBy(F.lit(0)).orderBy("residual", "id")
-    k1, k3 = int(n) // 4, 3 * int(n) // 4
-    q = res.withColumn("k", F.row_number().over(order) - 1).agg(F.max(F.when(F.col("k") == k1, F.col("residual"))).alias("q1"), F.max(F.when(F.col("k") == k3, F.col("residual"))).alias("q3")).first()
-    return res.withColumn("outlier", F.col("residual") < q["q1"] - factor * (q["q3"] - q["q1"]))
+    q1, q3 = order_statistics(res, "residual", [int(n) // 4, 3 * int(n) // 4])
+    return res.withColumn("outlier", F.col("residual") < q1 - factor * (q3 - q1))
 
 
-def muod(c: Curves) -> DataFrame:
-    """Shape, amplitude and magnitude indices: |mean correlation - 1|, |mean slope - 1|, |mean intercept|
-    of each curve against all curves."""
-    n = c.df.count()
+def fence(df: DataFrame, column: str, factor: float = 1.5) -> tuple[float, float]:
+    """Quartiles, moved out by factor times their distance."""
+    q1, q3 = quantiles(df, column, [0.25, 0.75])
+    return q1 - factor * (q3 - q1), q3 + factor * (q3 - q1)
 
-    def fn(a, b):
-        ma, mb = a.mean(1), b.mean(1)
-        ca, cb = a - ma[:, None], b - mb[:, None]
-        sa, sb = np.sqrt((ca**2).mean(1)), np.sqrt((cb**2).mean(1))
-        cov = ca @ cb.T / a.shape[1]
-        slope = cov / np.maximum(sb**2, 1e-15)[None]
-        return (cov / np.maximum(np.outer(sa, sb), 1e-15)).sum(1), slope.sum(1), (ma[:, None] - slope * mb[None]).sum(1)
 
-    s = against(c.df, c.df, fn, "cor double, slope double, icept double")
-    return s.select("id", F.abs(F.col("cor") / n - 1).alias("shape"), F.abs(F.col("slope") / n - 1).alias("amplitude"), F.abs(F.col("icept") / n).alias("magnitude"))
+def muod(c: Curves, factor: float = 1.5) -> DataFrame:
+    """id, shape, magnitude, amplitude and a flag for each: |correlation - 1|, |intercept| and
+    |slope - 1| of each curve's least squares on the mean curve, above the upper fence."""
+    _, mu, _ = _moments(c)
+    x = mu - mu.mean()
+    m = len(mu)
+    spread = float(x @ x) / (m - 1)
+
+    def kernel(v):
+        d = v - v.mean(1, keepdims=True)
+        cov, sd = d @ x / (m - 1), np.sqrt((d**2).sum(1) / (m - 1))
+        slope = cov / spread if spread >= 1e-15 else np.ones(len(v))
+        root = math.sqrt(spread)
+        flat = (sd < 1e-15) | (root < 1e-15)
+        cor = np.where(flat, 1.0, cov / np.where(flat, 1.0, sd * root))
+        return np.abs(cor - 1), np.abs(v.mean(1) - slope * mu.mean()), np.abs(slope - 1)
+
+    out = per_curve(c.df.select("id", "values"), kernel, "shape double, magnitude double, amplitude double")
+    return out.select("*", *[(F.col(k) > fence(out, k, factor)[1]).alias(f"{k}_outlier") for k in ("shape", "magnitude", "amplitude")])
+
+
+def tvd_mss(c: Curves, shape_factor: float = 1.5, factor: float = 1.5) -> DataFrame:
+    """id, tvd, mss, shape_outlier, magnitude_outlier: total variation depth, the rank depth of
+    first differences weighted by their share of a curve's variation; curves below the lower
+    fence of mss (and its mean) are shape outliers, the others go through the boxplot."""
+    share = (F.col("le") + F.col("lt") + 1) / (2 * F.col("n"))
+    tvd = ranks(c).groupBy("id").agg(F.avg(share * (1 - share)).alias("tvd"))
+    steps = Curves(per_curve(c.df.select("id", "values"), lambda v: np.diff(v, axis=1), "values array<double>"), c.grid[:-1])
+    size = F.abs(F.col("v"))
+    mss = ranks(steps).groupBy("id").agg(F.sum(share * (1 - share) * size).alias("_a"), F.sum(size).alias("_b"))
+    both = tvd.join(mss.select("id", F.when(F.col("_b") > 0, F.col("_a") / F.col("_b")).otherwise(0.0).alias("mss")), "id").persist()
+    low = min(fence(both, "mss", shape_factor)[0], both.agg(F.avg("mss")).first()[0])
+    marked = both.withColumn("shape_outlier", F.col("mss") < low)
+    kept = c.with_df(c.df.join(marked.where("NOT shape_outlier").select("id"), "id", "left_semi"))
+    hit = boxplot(kept, modified_band(kept), factor)[1].select("id", "outlier")
+    return marked.join(hit, "id", "left").select("id", "tvd", "mss", "shape_outlier", F.coalesce("outlier", F.lit(False)).alias("magnitude_outlier"))
+
+
+def depthgram(c: Curves, shape_factor: float = 1.5, factor: float = 1.5) -> DataFrame:
+    """id, mbd, mei, mbd_of_mei, mei_of_mbd, shape_outlier (above the outliergram's parabola by
+    more than the upper fence) and magnitude_outlier (the boxplot of mbd values)."""
+    # rounded, so that equal shares of pairs are ties whatever the order of their sums
+    both = modified_epigraph(c).select("id", F.round("depth", 12).alias("mei")).join(modified_band(c).select("id", F.round("depth", 12).alias("mbd")), "id").persist()
+    n = both.count()
+    one = lambda name: Curves(both.select("id", F.array(F.col(name)).alias("values")), np.zeros(1))
+    a, b = -2.0 / (n * (n - 1)), 2.0 * (n + 1) / (n - 1)
+    above = both.withColumn("_above", a + b * F.col("mei") + a * n * n * F.col("mei") * F.col("mei") - F.col("mbd"))
+    above = above.withColumn("shape_outlier", F.col("_above") > fence(above, "_above", shape_factor)[1]).drop("_above")
+    hit = boxplot(one("mbd"), modified_band(one("mbd")), factor)[1].select("id", F.col("outlier").alias("magnitude_outlier"))
+    out = above.join(modified_band(one("mei")).withColumnRenamed("depth", "mbd_of_mei"), "id").join(modified_epigraph(one("mbd")).withColumnRenamed("depth", "mei_of_mbd"), "id")
+    return out.join(hit, "id").select("id", "mbd", "mei", "mbd_of_mei", "mei_of_mbd", "shape_outlier", "magnitude_outlier")
 
 
 def lrt_outliers(c: Curves, threshold: float, trim: float = 0.1) -> DataFrame:
-    """id, distance to the FM-trimmed mean over the trimmed deviation, outlier."""
+    """id, distance to the FM-trimmed mean over the trimmed deviation (root of the mean over
+    points), outlier."""
     d = fraiman_muniz(c)
     n = c.df.count()
-    kept = c.with_df(c.df.join(d.orderBy("depth", "id").limit(int(trim * n)).select("id"), "id", "left_anti"))
+    kept = c.with_df(c.df.join(numbered(d, "depth", "id").where(F.col("rank") <= int(trim * n)).select("id"), "id", "left_anti"))
     k, mu, scatter = _moments(kept)
     var = np.maximum(np.diag(scatter) / max(k - 1, 1), 1e-10)
-    w = c.weights
-    return per_curve(c.df.select("id", "values"), lambda v: np.sqrt((v - mu) ** 2 / var @ w), "distance double").withColumn("outlier", F.col("distance") > threshold)
+    return per_curve(c.df.select("id", "values"), lambda v: np.sqrt(((v - mu) ** 2 / var).mean(1)), "distance double").withColumn("outlier", F.col("distance") > threshold)
 
 
 def _moments(c: Curves):
@@ -302,7 +358,7 @@ def lrt_threshold(c: Curves, n_boot: int = 100, percentile: float = 0.99, smooth
     import pandas as pd
 
     values = matrix(c.df.orderBy("id").select("values").toArrow().column(0))
-    shared, w, t = c.df.sparkSession.sparkContext.broadcast(values), c.weights, trim
+    shared, t = c.df.sparkSession.sparkContext.broadcast(values), trim
 
     def one(b: int) -> float:
         rows = shared.value
@@ -314,7 +370,7 @@ def lrt_threshold(c: Curves, n_boot: int = 100, percentile: float = 0.99, smooth
             rank[np.argsort(x[:, p])] = np.arange(1, n + 1)
             d += np.minimum(rank, n - rank)
         keep = x[np.argsort(d, kind="stable")[int(t * len(x)) :]]
-        return float(np.sqrt((x - keep.mean(0)) ** 2 / np.maximum(keep.var(0, ddof=1), 1e-10) @ w).max())
+        return float(np.sqrt((x - keep.mean(0)) ** 2 / np.maximum(keep.var(0, ddof=1), 1e-10) @ np.full(x.shape[1], 1 / x.shape[1])).max())
 
     def run(batches):
         for pdf in batches:
@@ -335,12 +391,14 @@ def magnitude_shape(c: Curves) -> DataFrame:
 
 
 def sequential_outliers(c: Curves, chain: tuple[str, ...] = ("T0", "T1", "T2", "D1"), factor: float = 1.5) -> DataFrame:
-    """Ids flagged by the boxplot after some step: T0 raw, T1 minus mean, T2 over norm, D1 and D2 derivatives."""
-    steps = {"T0": lambda v: v, "T1": lambda v: v - v.mean(1, keepdims=True), "T2": lambda v: v / np.linalg.norm(v, axis=1, keepdims=True), "D1": lambda v: nm.derivative(v, c.grid, 1), "D2": lambda v: nm.derivative(v, c.grid, 2)}
-    df, found = c.df.select("id", "values"), None
+    """Ids flagged by the boxplot after some step: T0 raw, T1 minus mean, T2 over norm, D1 and D2
+    first differences of what the steps before gave (a point fewer each)."""
+    steps = {"T0": lambda v: v, "T1": lambda v: v - v.mean(1, keepdims=True), "T2": lambda v: v / np.linalg.norm(v, axis=1, keepdims=True), "D1": lambda v: np.diff(v, axis=1), "D2": lambda v: np.diff(v, axis=1)}
+    df, grid, found = c.df.select("id", "values"), c.grid, None
     for step in chain:
         df = per_curve(df, steps[step], "values array<double>")
-        now = c.with_df(df)
+        grid = grid[:-1] if step in ("D1", "D2") else grid
+        now = Curves(df, grid)
         hit = boxplot(now, modified_band(now), factor)[1].where("outlier").select("id", F.lit(step).alias("step"))
         found = hit if found is None else found.union(hit)
     return found.groupBy("id").agg(F.array_sort(F.collect_set("step")).alias("steps"))

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from curvelake.functions import numeric as nm
-from curvelake.operators.apply import per_curve, self_pairs, sums
+from curvelake.operators.apply import held, per_curve, self_pairs, sums
 from curvelake.sources.curves import Curves
 
 REACH = 7
@@ -43,14 +43,19 @@ def warp_dp(q1, q2, t, lam: float = 0.0, band: float = 0.0) -> np.ndarray:
 
 
 def warp_dp_many(q1, q2, t, lam: float = 0.0, band: float = 0.0) -> np.ndarray:
-    """warp_dp() of each row of q1 and q2: every table cell is filled for all pairs at once."""
-    q1, q2 = (q / np.where((n := np.linalg.norm(q, axis=1, keepdims=True)) > 1e-12, n, 1) for q in (q1, q2))
-    pairs, m = q1.shape
+    """warp_dp() of each row of q1 and q2: every table cell is filled for all pairs at once.
+
+    Rows may be curves in a space: (pairs, points, dimensions).
+    """
+    flat = q1.ndim == 2
+    axes = 1 if flat else (1, 2)
+    q1, q2 = (q / np.where((n := np.sqrt((q**2).sum(axes, keepdims=True))) > 1e-12, n, 1) for q in (q1, q2))
+    pairs, m = q1.shape[:2]
     best = np.full((m, m, pairs), np.inf)  # the same cells are reachable for all pairs
     best[0, 0] = 0
     step_of = np.full((m, m, pairs), -1, np.int8)
     radius = math.ceil(band * m) if 0 < band < 1 else m
-    q1t, q2t = q1.T, q2.T
+    q1t, q2t = np.swapaxes(q1, 0, 1), np.swapaxes(q2, 0, 1)
     for i in range(1, m):
         lo, hi = max(1, i - radius), min(m, i + radius + 1)
         for s, (a, b) in enumerate(STEPS):
@@ -69,8 +74,12 @@ def warp_dp_many(q1, q2, t, lam: float = 0.0, band: float = 0.0) -> np.ndarray:
                 x, y = i - a + u * a, j - b + u * b
                 lx, ly = int(x), y.astype(int)
                 p = q1t[lx] + (x - lx) * (q1t[min(lx + 1, m - 1)] - q1t[lx])
-                q = q2t[ly] + (y - ly)[:, None] * (q2t[ly + 1] - q2t[ly])
-                cost += (p - q * np.sqrt(slope)[:, None]) ** 2 * (dt / parts)
+                if flat:
+                    q = q2t[ly] + (y - ly)[:, None] * (q2t[ly + 1] - q2t[ly])
+                    cost += (p - q * np.sqrt(slope)[:, None]) ** 2 * (dt / parts)
+                else:
+                    q = q2t[ly] + (y - ly)[:, None, None] * (q2t[ly + 1] - q2t[ly])
+                    cost += ((p - q * np.sqrt(slope)[:, None, None]) ** 2).sum(2) * (dt / parts)
             now = best[i, j]
             better = cost < now
             best[i, j] = np.where(better, cost, now)
@@ -163,7 +172,12 @@ def elastic_kernel(t, lam: float = 0.0, band: float = 0.0, part: str = "elastic"
 
 def distances(c: Curves, lam: float = 0.0, band: float = 0.0, part: str = "elastic") -> DataFrame:
     """(i, j, d) of amplitude (elastic) or phase distances of all pairs."""
-    return self_pairs(c.df, elastic_kernel(c.grid, lam, band, part))
+    return self_pairs(c.df, elastic_kernel(c.grid, lam, band, part), size=block_size(c.grid))
+
+
+def block_size(t) -> int:
+    """Curves of a block: a pair's table has as many cells as the square of its points."""
+    return max(4, min(64, 100_000 // len(t) ** 2))
 
 
 def depth(d_amplitude: DataFrame) -> DataFrame:
@@ -186,6 +200,11 @@ def align_to(c: Curves, target, lam: float = 0.0, band: float = 0.0) -> DataFram
 def karcher_mean(c: Curves, max_iter: int = 20, tol: float = 1e-4, lam: float = 0.0, band: float = 0.0, weights=None) -> np.ndarray:
     """Template of a table: each step aligns every curve to the mean SRSF and averages, one pass
     of sums; starts from the curve nearest to the mean SRSF."""
+    with held(c.df.select("values")) as df:
+        return _karcher_mean(c.with_df(df), max_iter, tol, lam, band, weights)
+
+
+def _karcher_mean(c: Curves, max_iter: int, tol: float, lam: float, band: float, weights) -> np.ndarray:
     t = c.grid
     n, total, first = sums(c.df, lambda v: [np.array([len(v)]), srsf(v, t).sum(0), np.array([v[:, 0].sum()])], ["values"])
     q, f0 = total / n[0], first[0] / n[0]

@@ -10,12 +10,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curvelake.functions import numeric as nm
 from curvelake.functions import special
-from curvelake.operators.apply import matrix, moments, sums
+from curvelake.operators.apply import matrix, moments, numbered, order_statistics, sums
 from curvelake.operators.reduce import fpca, solve_fpca
 from curvelake.sources.curves import Curves
 
@@ -112,9 +112,7 @@ def mean_band(c: Curves, h: float, alpha: float = 0.05, n_boot: int = 500, seed:
 
 def two_sample_band(a: Curves, b: Curves, h: float, alpha: float = 0.05, **options) -> tuple[bool, tuple]:
     """Whether zero leaves the band of paired differences of rows in the order of id."""
-    w = Window.partitionBy(F.lit(0)).orderBy("id")
-    left = a.df.select(F.row_number().over(w).cast("long").alias("id"), F.col("values").alias("x"))
-    right = b.df.select(F.row_number().over(w).cast("long").alias("id"), F.col("values").alias("y"))
+    left, right = (numbered(c.df.select("id", F.col("values").alias(v)), "id").select(F.col("rank").alias("id"), v) for c, v in ((a, "x"), (b, "y")))
     d = Curves(left.join(right, "id").select("id", F.zip_with("x", "y", lambda p, q: p - q).alias("values")), a.grid)
     band = mean_band(d, h, alpha, **options)
     return bool(((band[1] > 0) | (band[2] < 0)).any()), band
@@ -156,8 +154,7 @@ def conformal_quantile(scores: DataFrame, column: str, alpha: float) -> float:
     k = math.ceil((n + 1) * (1 - alpha))
     if k > n:
         return math.inf
-    w = Window.partitionBy(F.lit(0)).orderBy(column)
-    return scores.select(column, F.row_number().over(w).alias("k")).where(F.col("k") == k).first()[0]
+    return order_statistics(scores, column, [k - 1])[0]
 
 
 def conformal_band(c: Curves, alpha: float = 0.1, share: float = 0.5, how: str = "sup", seed: int = 42):
@@ -284,8 +281,7 @@ def interval_p_values(p: np.ndarray) -> np.ndarray:
 
 def autocovariance(c: Curves, lag: int) -> np.ndarray:
     """C_h over n, from pairs of curves h apart joined by their rank."""
-    w = Window.partitionBy(F.lit(0)).orderBy("id")
-    r = c.df.select(F.row_number().over(w).alias("k"), "values")
+    r = numbered(c.df.select("id", "values"), "id", name="k").select("k", "values")
     n, s = sums(c.df, lambda v: [np.array([len(v)]), v.sum(0)], ["values"])
     mu = s / n[0]
     pair = r.withColumnRenamed("values", "x").join(r.select((F.col("k") - lag).alias("k"), F.col("values").alias("y")), "k")
@@ -310,8 +306,8 @@ def partial_from_acf(r) -> np.ndarray:
 
 
 def differenced(c: Curves) -> Curves:
-    w = Window.partitionBy(F.lit(0)).orderBy("id")
-    d = c.df.select("id", "values", F.lag("values").over(w).alias("_p")).where("_p IS NOT NULL")
+    r = numbered(c.df.select("id", "values"), "id", name="_k")
+    d = r.join(r.select((F.col("_k") + 1).alias("_k"), F.col("values").alias("_p")), "_k")
     return c.with_df(d.select("id", F.zip_with("values", "_p", lambda a, b: a - b).alias("values")))
 
 

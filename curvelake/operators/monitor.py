@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvelake.functions import special
-from curvelake.operators.apply import per_curve
+from curvelake.operators.apply import order_statistics, per_curve
 from curvelake.operators.reduce import Fpca, fpca
 from curvelake.sources.curves import Curves
 
@@ -85,9 +85,7 @@ def robust_limit(stats: DataFrame, column: str, alpha: float = 0.05, how: str =
     kernel density root. Bootstrap and kernel forms take a sample of 10000 values at most."""
     p = 1 - alpha
     if how == "empirical":
-        n = stats.count()
-        w = Window.partitionBy(F.lit(0)).orderBy(column)
-        return stats.select(column, F.row_number().over(w).alias("k")).where(F.col("k") == math.ceil(p * n)).first()[0]
+        return order_statistics(stats, column, [math.ceil(p * stats.count()) - 1])[0]
     x = np.sort([r[0] for r in stats.orderBy(F.xxhash64("id")).select(column).limit(10_000).collect()])
     if how == "bootstrap":
         q = [np.sort(np.random.default_rng(seed + b).choice(x, len(x)))[math.ceil(p * len(x)) - 1] for b in range(n_boot)]

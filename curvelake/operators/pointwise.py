@@ -7,11 +7,11 @@ per-curve results are array expressions or Arrow kernels; nothing is gathered.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvelake.functions import numeric as nm
-from curvelake.operators.apply import moments, per_curve, sums
+from curvelake.operators.apply import moments, numbered, per_curve, sums
 from curvelake.sources.curves import Curves
 
 
@@ -162,7 +162,7 @@ def geometric_median(c: Curves, weights=None, max_iter: int = 100, tol: float =
 def trimmed_mean(c: Curves, depths: DataFrame, share: float) -> DataFrame:
     """pos, mean of all but the floor(share * n) shallowest curves; ties go by id."""
     n = c.df.count()
-    drop = depths.orderBy("depth", "id").limit(int(share * n)).select("id")
+    drop = numbered(depths, "depth", "id").where(F.col("rank") <= int(share * n)).select("id")
     return mean(c.with_df(c.df.join(drop, "id", "left_anti")))
 
 
@@ -202,9 +202,8 @@ def scores(y: Curves, f: Curves) -> DataFrame:
 
 def folds(df: DataFrame, k: int, seed: int = 42, by: str | None = None) -> DataFrame:
     """df with ``fold``: rank by a seeded hash modulo k, within classes if ``by`` is given."""
-    key = F.xxhash64(F.lit(seed), "id")
-    w = Window.partitionBy(by).orderBy(key, "id") if by else Window.partitionBy(F.lit(0)).orderBy(key, "id")
-    return df.withColumn("fold", (F.row_number().over(w) - 1) % k)
+    keyed = df.withColumn("_key", F.xxhash64(F.lit(seed), "id"))
+    return numbered(keyed, "_key", "id", name="_place", by=(by,) if by else ()).withColumn("fold", ((F.col("_place") - 1) % k).cast("int")).drop("_key", "_place").select(*df.columns, "fold")
 
 
 def regression_metrics(df: DataFrame, y: str = "y", fit: str = "fit") -> DataFrame:
