@@ -75,14 +75,28 @@ def read_back(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns))
 
 
-def loss_text(segments: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+def loss_mask(segments: Column) -> Column:
+    """Places of the formatted text under the loss: array of struct<start, length>, code points
+    from 1."""
+    begin = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+
+    def add(acc: Column, s: Column) -> Column:
+        n = F.length(s["text"])
+        span = F.array(F.struct(acc["at"].alias("start"), n.alias("length")))
+        return F.struct((acc["at"] + n).alias("at"), F.when(s["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+
+    return F.aggregate(segments, begin, add, lambda acc: acc["spans"])
+
+
+def loss_text(formatted: Column, mask: Column) -> Column:
+    """All text under the loss mask, cut from the formatted text and unescaped."""
+    return F.array_join(F.transform(mask, lambda m: unescape(F.substring(formatted, m["start"], m["length"]))), "")
 
 
 def digest(turns: DataFrame) -> DataFrame:
     """The digest columns, read back from the formatted output."""
-    out = format_chats(turns).select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), loss_text(F.col("segments")).alias("loss"))
+    out = format_chats(turns).select("conv_id", "formatted", loss_mask(F.col("segments")).alias("mask"))
+    out = out.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("mask")).alias("loss"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
