@@ -43,6 +43,11 @@ def _byte_letters() -> dict[str, int]:
 class PrefixCounter:
     def __init__(self, content: bytes):
         spec = json.loads(content)
+        cut = spec.get("pre_tokenizer") or {}
+        if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True) or spec.get("normalizer") or spec["model"].get("type") != "BPE":
+            raise ValueError("only byte-level pairs cut by the usual pattern, without a normalizer, are counted")
+        if any(t.get(flag) for t in spec.get("added_tokens", []) for flag in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that take in what is beside them are not counted")
         letters = _byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         model = spec["model"]
