@@ -342,7 +342,7 @@ def test_chat(spark):
     odd = "\\ <| \\<| <|im_sep|> \n \\\\ \\| <|im_end|>\n"
     rows = [(1, 0, "system", "s"), (1, 1, "user", "u1"), (1, 2, "user", odd), (1, 3, "assistant", odd), (1, 4, "assistant", None), (2, 0, "we\\ird\n<|role", "x\\"), (2, None, None, "first"), (3, 0, "assistant", ""), (None, 0, "user", "no id")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    out = {r["conv_id"]: r for r in chat.format_chats(df).withColumn("turns", chat.read_back(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("segments"))).collect()}
+    out = {r["conv_id"]: r for r in chat.format_chats(df).withColumn("turns", chat.read_back(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), chat.loss_mask(F.col("segments")))).collect()}
     turns = lambda k: [(t["role"], t["text"]) for t in out[k]["turns"]]
     assert turns(1) == [("system", "s"), ("user", "u1"), ("user", odd), ("assistant", odd), ("assistant", "")]
     assert out[1]["loss"] == odd and out[1]["formatted"].count("<|im_start|>") == 3
@@ -351,6 +351,34 @@ def test_chat(spark):
     assert chat.digest(df.limit(0)).count() == 0
 
 
+def test_planted_conversation(spark, tmp_path):
+    long = "word é 漢 " * 40_000
+    rows = [(5, 0, "user", "q"), (5, 1, "assistant", long), (5, 2, "user", None), (5, 3, "assistant", chat.PLANTED)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r for r in chat.op1_chat_format(spark, str(tmp_path)).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert (got[-1]["n_turns"], got[-1]["loss_sha256"], got[-1]["turns_sha256"]) == (2, sha(chat.PLANTED), sha(f"user\n{chat.PLANTED}\nassistant\n{chat.PLANTED}\n"))
+    assert (got[5]["loss_chars"], got[5]["loss_sha256"]) == (len(long) + len(chat.PLANTED), sha(long + chat.PLANTED))
+
+
+def test_mixing_of_a_very_long_text(spark):
+    rows = [(1, "w x " * 60_000, "a"), (2, "y z", "a"), (3, "q " * 50, "b")]
+    got = {r["doc_id"]: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[1]["size"] == 120_000 and got[1]["taken"] + got[2]["taken"] == math.ceil(got[1]["target"]) and got[3]["taken"] == 100
+
+
+def test_other_tokenizers_are_refused():
+    import json
+
+    import public_tokenizers as P
+
+    with open(P.path("byte_bpe_50k.json")) as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [dict(spec["added_tokens"][0], lstrip=True)]}):
+        with pytest.raises(ValueError, match="not counted|are counted"):
+            prefix_counts.PrefixCounter(json.dumps(spec | change).encode())
+
+
 def test_licenses(spark):
     rows = [(1, "Released under the MIT License."), (2, "mit license mit license"), (3, None), (4, "Licensed under CC BY-NC 4.0."), (5, "the quick brown fox"), (6, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated files"), (7, "x GENERAL  public-license y"), (8, ""), (8, ""), (9, "x\nThis program is free software: you can redistribute\nit and/or modify it under the terms of the\n GNU General Public\nLicense y"), (10, "Licensed under the GNU Lesser\nGeneral Public License, version 3"), (11, "all " + "a b c d e f g " * 30 + "rights reserved"), (12, "w " * 30_000 + "All rights\nreserved. " + "v " * 30_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
