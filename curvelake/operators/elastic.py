@@ -105,6 +105,11 @@ def normalize_warp(g, t) -> np.ndarray:
     return g
 
 
+def normalize_warp_rows(v, t) -> np.ndarray:
+    """Warps from rows of any values: their running sums of moduli, scaled to the domain."""
+    return np.array([normalize_warp(np.cumsum(np.abs(x)), t) for x in v])
+
+
 def apply_warp(f, g, t) -> np.ndarray:
     return np.interp(g, t, f)
 

@@ -270,6 +270,11 @@ named("itp_two_pop", None, _itp)
 _PROB = "array(0.5 + 0.05 * (label % 3), 0.3 - 0.05 * (label % 3), 0.2)"
 named("conformal_classif", None, lambda spark, d: (lambda p: infer.conformal_classes(p.select("id", "probabilities"), p, 0.2).select("id", F.array_join("set", ",").alias("classes")))(EMB(spark, d).df.select("id", F.expr(_PROB).alias("probabilities"), (F.col("label") % 3).alias("label"))))
 
+def _binary_of(spark, d):
+    c = EMB(spark, d)
+    return c.with_df(c.df.withColumn("y", (F.col("label") < 5).cast("double")))
+
+
 # ---- monitoring ----
 
 
