@@ -55,6 +55,8 @@ class PrefixCounter:
         self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(merges)}
         self.vocabulary = {raw(t) for t in model["vocab"] if all(c in letters for c in t)}
         self.longest = max(map(len, self.vocabulary))
+        #: tokens that encode to themselves; no others stand in an encoding
+        self.whole = {t for t in self.vocabulary if self._encode(t) == [t]}
         self.pattern = regex.compile(PATTERN)
         specials = [t["content"] for t in spec.get("added_tokens", []) if t["content"]]
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
@@ -74,28 +76,29 @@ class PrefixCounter:
         return parts
 
     def _fits(self, a: bytes, b: bytes) -> bool:
-        key = (a, b)
-        known = self.pairs.get(key)
-        if known is None:
-            known = self._encode(a + b) == ([a, b] if a else [b])
-            if len(self.pairs) >= CACHE_PAIRS:
-                self.pairs.clear()
-            self.pairs[key] = known
+        known = self._encode(a + b) == [a, b]
+        if len(self.pairs) >= CACHE_PAIRS:
+            self.pairs.clear()
+        self.pairs[a, b] = known
         return known
 
     def table(self, raw: bytes) -> list[int]:
         """Token counts of the prefixes of one piece: place i is for i bytes."""
         n = len(raw)
         count, last = [0] * (n + 1), [b""] * (n + 1)
-        vocabulary, fits, longest = self.vocabulary, self._fits, self.longest
+        whole, pairs, longest = self.whole, self.pairs.get, self.longest
         for i in range(1, n + 1):
             for j in range(max(0, i - longest), i):
                 token = raw[j:i]
-                if token in vocabulary and fits(b"", token) and (j == 0 or fits(last[j], token)):
-                    count[i], last[i] = count[j] + 1, token
-                    break
+                if token in whole:
+                    if not j:
+                        break
+                    known = pairs((last[j], token))
+                    if self._fits(last[j], token) if known is None else known:
+                        break
             else:
                 raise ValueError(f"no encoding ends at byte {i} of {raw[:i]!r}")
+            count[i], last[i] = count[j] + 1, token
         return count
 
     def piece_count(self, piece: str) -> int:
