@@ -158,8 +158,8 @@ tpl AS (SELECT tid, label, list_distinct(string_split(words, ' ')) AS t, must, b
   ({SLACK_PERCENT} * len(string_split(words, ' ')) + 99) // 100 AS width FROM (VALUES {templates}) v(tid, label, words, must, bar)),
 pos AS (SELECT r, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM d),
 held AS (SELECT r, i, word, tid FROM pos JOIN (SELECT tid, unnest(t) AS word FROM tpl) USING (word)),
-some AS (SELECT r, tid FROM held JOIN tpl USING (tid) GROUP BY r, tid, len(t) HAVING 100 * count(DISTINCT word) >= {THRESHOLD_PERCENT} * len(t)),
-win AS (SELECT r, tid, label, t, must, bar, w[i:i + width - 1] AS b FROM held JOIN some USING (r, tid) JOIN tpl USING (tid) JOIN d USING (r)),
+enough AS (SELECT r, tid FROM held JOIN tpl USING (tid) GROUP BY r, tid, len(t) HAVING 100 * count(DISTINCT word) >= {THRESHOLD_PERCENT} * len(t)),
+win AS (SELECT r, tid, label, t, must, bar, w[i:i + width - 1] AS b FROM held JOIN enough USING (r, tid) JOIN tpl USING (tid) JOIN d USING (r)),
 met AS (SELECT r, list(DISTINCT label) AS met, max(len(list_intersect(list_distinct(b), t)) / len(t)) AS best FROM win
   WHERE 100 * len(list_intersect(list_distinct(b), t)) >= {THRESHOLD_PERCENT} * len(t) AND list_has_all(b, must) AND NOT list_has_any(b, bar) GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word,
