@@ -218,4 +218,5 @@ def cross_covariance(spark, d):
 _SURFACE = f"WITH {_C}, q AS (SELECT id, pos % 8 AS s, pos // 8 AS t, v FROM c), x AS (SELECT id, s, t, CASE WHEN s = 0 THEN (lead(v) OVER o - v) * 7 WHEN s = 7 THEN (v - lag(v) OVER o) * 7 ELSE (lead(v) OVER o - lag(v) OVER o) * 3.5 END AS v FROM q WINDOW o AS (PARTITION BY id, t ORDER BY s))"
 named("deriv_2d", f"{_SURFACE} SELECT id, (s + 8 * t)::INT AS pos, {_z('v')} AS v FROM x", lambda spark, d: pointwise.derivative_2d(EMB(spark, d), nm.unit_grid(8), nm.unit_grid(8)).select("id", F.posexplode("values").alias("pos", "x")).select("id", "pos", r("x").alias("v")))
 named("mean_2d", f"WITH {_C} SELECT (pos % 8)::INT AS s, (pos // 8)::INT AS t, {_z('avg(v)')} AS mean FROM c GROUP BY pos", lambda spark, d: pointwise.mean(EMB(spark, d)).select((F.col("pos") % 8).alias("s"), F.floor(F.col("pos") / 8).cast("int").alias("t"), r("mean").alias("mean")))
-named("andrews_transform", f"WITH {_C}, a AS (SELECT k::INT AS pos, (-pi() + k * pi() / 10) AS t FROM range(21) y(k)) SELECT id, a.pos, {_z('sum(CASE WHEN c.pos = 0 THEN v / sqrt(2) WHEN c.pos % 2 = 1 THEN v * sin(((c.pos + 1) // 2) * t) ELSE v * cos((c.pos // 2) * t) END)')} AS v FROM c, a GROUP BY id, a.pos", lambda spark, d: reduce.andrews(EMB(spark, d).df.select("id", F.col("values").alias("features")), np.linspace(-np.pi, np.pi, 21)).select("id", F.posexplode("curve").alias("pos", "x")).select("id", "pos", r("x").alias("v")))
+named("andrews_transform", None, lambda spark, d: rounded(reduce.andrews(EMB(spark, d).df.select("id", F.col("values").alias("features")), np.linspace(-np.pi, np.pi, 21))))
+named("andrews_transform_rows", f"WITH {_C}, a AS (SELECT k::INT AS pos, (-pi() + k * pi() / 10) AS t FROM range(21) y(k)) SELECT id, a.pos, {_z('sum(CASE WHEN c.pos = 0 THEN v / sqrt(2) WHEN c.pos % 2 = 1 THEN v * sin(((c.pos + 1) // 2) * t) ELSE v * cos((c.pos // 2) * t) END)')} AS v FROM c, a GROUP BY id, a.pos", lambda spark, d: reduce.andrews(EMB(spark, d).df.select("id", F.col("values").alias("features")), np.linspace(-np.pi, np.pi, 21)).select("id", F.posexplode("curve").alias("pos", "x")).select("id", "pos", r("x").alias("v")))
