@@ -64,8 +64,9 @@ def held(df: DataFrame):
     """df kept in memory while steps read it again and again, in as many parts as there are
     cores at least. Lost parts are computed again."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    kept = df.repartition(cores) if df.limit(cores * ROWS_A_TASK // 10 + 1).count() <= cores * ROWS_A_TASK // 10 else df
-    kept = kept.persist()
+    few = df.limit(cores * ROWS_A_TASK // 10 + 1).count() <= cores * ROWS_A_TASK // 10
+    kept = (df.repartition(cores) if few else df).persist()
+    kept.few_parts = few  # a part for each core: ``sums`` adds them on the driver
     try:
         yield kept
     finally:
@@ -193,7 +194,10 @@ def sums(df: DataFrame, fn, columns: list[str], merge: int = 16) -> list[np.ndar
         if total is not None:
             yield pack(total, n, min(x[0] for x in parts))
 
-    parts = df.select(*columns).mapInArrow(first, schema).repartition(merge, F.col("part") % merge).mapInArrow(second, schema).collect()
+    parts = df.select(*columns).mapInArrow(first, schema)
+    if not getattr(df, "few_parts", False):
+        parts = parts.repartition(merge, F.col("part") % merge).mapInArrow(second, schema)
+    parts = parts.collect()
     total = None
     for row in sorted(parts, key=lambda r: r["part"]):
         total = add(total, _load(bytes(row["payload"])))
