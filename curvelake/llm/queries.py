@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, html_text, jpeg, license, mixing, neardup, prefix_counts, quality, substrings
+from . import bpe, chat, html_text, jpeg, license, mixing, neardup, packing, prefix_counts, quality, repair, runs, substrings
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_source_mix": mixing.op9_source_mix,
         "op10_byte_bpe": bpe.op10_byte_bpe,
+        "op11_periodic_runs": runs.op11_periodic_runs,
+        "op12_conversation_repair": repair.op12_conversation_repair,
+        "op13_best_fit_packing": packing.op13_best_fit_packing,
     }
 
 

@@ -113,6 +113,16 @@ class Words:
             out[w] = int.from_bytes(digest[8 * k : 8 * k + 8], "little")
         return out
 
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first place of each distinct word, and which of them every word is; words are
+        told apart by both lanes."""
+        _, first, of = np.unique(self.hash, return_index=True, return_inverse=True)
+        second = self.lane(1)
+        if not np.array_equal(second, second[first][of]):
+            both = np.stack([self.hash, second], axis=1)
+            _, first, of = np.unique(both, axis=0, return_index=True, return_inverse=True)
+        return first, of.reshape(-1)
+
     def within(self, width: int) -> np.ndarray:
         """Whether ``width`` words from each window start on belong to one row."""
         n = max(0, len(self.start) - width + 1)
