@@ -758,7 +758,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _registered() -> None:
     """The modules that register the other queries; they need this one's names."""
-    from curvelake.plans import basics, explained, modelled, others, proved, shaped  # noqa: F401
+    from curvelake.plans import basics, explained, fitted, modelled, others, proved, shaped  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
