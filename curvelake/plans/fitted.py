@@ -1,4 +1,5 @@
-"""Queries of models fitted to the tables: mixed models of customers' years."""
+"""Queries of models fitted to the tables: mixed models of customers' years, elastic models of
+nations' revenue."""
 
 from __future__ import annotations
 
@@ -6,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelake.functions import numeric as nm
-from curvelake.operators import mixed
+from curvelake.operators import elastic_models, infer, mixed, models
 from curvelake.plans.basics import named
-from curvelake.plans.registry import _z, rounded, rows
+from curvelake.plans.registry import REV, _smoothed, _z, curve_rows, rounded, rows
+from curvelake.sources import curves as src
 from curvelake.sources.curves import Curves
 
 MONTHS = 12
@@ -102,3 +104,58 @@ named("fmm_predict", None, _predicted)
 named("fmm_test_fixed", None, lambda spark, d: rows(spark, "covariate int, statistic double, p double", [(k, float(a), float(b)) for k, (a, b) in enumerate(zip(*mixed.permutation_test(customer_years(spark, d), "customer", "x", 3, 99), strict=True))]))
 named("dense_flmm", None, lambda spark, d: rounded(mixed.functional(customer_years(spark, d), "customer", "x", 3, max_iter=100, tol=1e-12).random_effects().withColumnRenamed("subject", "customer")))
 named("multi_famm", None, _stacked)
+
+# ---- elastic models: smoothed nation curves; every fifth nation is held out where new curves are wanted ----
+
+REGIONS = list(range(5))
+
+
+def _nations(spark, d, held_out: bool | None = None) -> Curves:
+    """Curves with y (mean revenue in millions), region and whether it is one of the first two."""
+    c = _smoothed(spark, d)
+    y = REV(spark, d).df.select("id", (F.aggregate("values", F.lit(0.0), lambda a, x: a + x) / F.lit(src.MONTHS * 1e6)).alias("y"))
+    n = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").cast("int").alias("region"))
+    df = c.df.join(y, "id").join(n, "id").withColumn("first", (F.col("region") < 2).cast("int"))
+    return c.with_df(df if held_out is None else df.where((F.col("id") % 5 == 0) == F.lit(held_out)))
+
+
+def _probability(df: DataFrame) -> DataFrame:
+    return rounded(df.withColumn("probability", F.col("probabilities")[0]).drop("probabilities"))
+
+
+named("elastic_regression", None, lambda spark, d: rounded(elastic_models.regression(_nations(spark, d), "y").fitted.select("id", "y", "fit")))
+named("elastic_regression_with_config", None, lambda spark, d: (lambda m: curve_rows(spark, m.beta, names=("beta",)))(elastic_models.regression(_nations(spark, d), "y", 6, 0.1)))
+named("predict_elastic_regression", None, lambda spark, d: rounded(elastic_models.regression(_nations(spark, d, False), "y").predict(_nations(spark, d, True)).select("id", "y", "fit")))
+named("elastic_logistic", None, lambda spark, d: _probability(elastic_models.logistic(_nations(spark, d), "first", [1]).fitted.select("id", "y", "probabilities")))
+named("elastic_logistic_with_config", None, lambda spark, d: curve_rows(spark, elastic_models.logistic(_nations(spark, d), "first", [1], 0.1).beta[0], names=("beta",)))
+named("predict_elastic_logistic", None, lambda spark, d: _probability(elastic_models.logistic(_nations(spark, d, False), "first", [1]).predict(_nations(spark, d, True)).select("id", "probabilities")))
+named("elastic_multinomial", None, lambda spark, d: rounded(elastic_models.predicted_class(elastic_models.logistic(_nations(spark, d), "region", REGIONS, 0.01).fitted, REGIONS).select("id", "y", "predicted", "probabilities")))
+named("predict_elastic_multinomial", None, lambda spark, d: elastic_models.predicted_class(elastic_models.logistic(_nations(spark, d, False), "region", REGIONS, 0.01).predict(_nations(spark, d, True)), REGIONS).select("id", "region", "predicted"))
+named("scalar_on_shape", None, lambda spark, d: curve_rows(spark, elastic_models.scalar_on_shape(_nations(spark, d), "y").beta, names=("beta",)))
+named("predict_scalar_on_shape", None, lambda spark, d: rounded(elastic_models.scalar_on_shape(_nations(spark, d, False), "y").predict(_nations(spark, d, True)).select("id", "y", "score", "fit")))
+
+
+def _split(spark, d, part: int) -> Curves:
+    """Of the nations that are not held out, those that fit (0) or calibrate (1)."""
+    c = _nations(spark, d, False)
+    return c.with_df(c.df.where(F.col("id") % 2 == part))
+
+
+def _interval(spark, d, model, alpha: float) -> DataFrame:
+    """Held-out nations with an interval from the residuals of calibrating ones."""
+    return rounded(models.conformal_of(model.predict(_split(spark, d, 1)), model.predict(_nations(spark, d, True)), alpha)[0].select("id", "y", "fit", "low", "high"))
+
+
+for _name, _alpha, _options in (("conformal_elastic_regression", 0.1, {}), ("conformal_elastic_regression_with_config", 0.2, {"nbasis": 6, "lam": 0.1})):
+    named(_name, None, lambda spark, d, a=_alpha, o=_options: _interval(spark, d, elastic_models.regression(_split(spark, d, 0), "y", **o), a))
+for _name, _alpha, _k in (("conformal_elastic_pcr", 0.1, 3), ("conformal_elastic_pcr_with_config", 0.2, 2)):
+    named(_name, None, lambda spark, d, a=_alpha, k=_k: _interval(spark, d, elastic_models.component_model(_split(spark, d, 0), "y", k), a))
+
+
+def _classes(spark, d) -> DataFrame:
+    m = elastic_models.logistic(_split(spark, d, 0), "first", [1])
+    both = lambda c: m.predict(c).select("id", F.array(1 - F.col("probabilities")[0], F.col("probabilities")[0]).alias("probabilities"), F.col("first").alias("label"))
+    return infer.conformal_classes(both(_nations(spark, d, True)).drop("label"), both(_split(spark, d, 1)), 0.1).select("id", F.array_join("set", ",").alias("classes"))
+
+
+named("conformal_elastic_logistic", None, _classes)

@@ -164,20 +164,15 @@ for _name, _k in {"elastic_tolerance_band": 0, "elastic_tolerance_band_with_conf
 # ---- regression: the mean revenue of a nation on its scaled curve ----
 
 
-def _with_response(spark, d, binary=False):
+def _with_response(spark, d):
     from curvelake.plans.registry import REV
 
     y = REV(spark, d).df.select("id", (F.aggregate("values", F.lit(0.0), lambda a, x: a + x) / F.lit(src.MONTHS * 1e6)).alias("y"))
-    if binary:
-        y = y.withColumn("y", (F.col("id") % 2).cast("double"))
     return _aligned(spark, d).join(y, "id")
 
 
-_PARTS = {"elastic_regression": "amplitude", "elastic_regression_with_config": "phase", "elastic_pcr": "joint", "elastic_pcr_with_config": "amplitude", "scalar_on_shape": "amplitude", "predict_scalar_on_shape": "amplitude", "predict_elastic_regression": "joint"}
-for _name, _part in _PARTS.items():
+for _name, _part in {"elastic_pcr": "joint", "elastic_pcr_with_config": "amplitude"}.items():
     named(_name, None, lambda spark, d, p=_part: rounded(shapes.component_regression(_with_response(spark, d), T, "y", 2, p)[1].select("id", "y", "fit")))
-for _name in ("elastic_logistic", "elastic_logistic_with_config", "predict_elastic_logistic"):
-    named(_name, None, lambda spark, d: rounded(shapes.component_regression(_with_response(spark, d, True), T, "y", 2, "amplitude", True, 0.1)[1].select("id", "y", "fit")))
 named("elastic_pcr_attribution", None, lambda spark, d: rounded(shapes.attribution(_with_response(spark, d), T, "y", 2)))
 
 # ---- change ----
