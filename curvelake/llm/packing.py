@@ -14,9 +14,16 @@ splits at most four groups of equal sequences, and a group is met again by a sma
 length each time, so the plan is bounded by the sequence's length alone (4,096: 16,384
 groups of at most 90 lengths), however many documents there are.
 
-Texts are encoded word by word (words are cut at ASCII white space, which no token of the
-library's tokenizer spans; files where that does not hold are refused), each distinct word
-of a slice once.
+Texts are encoded piece by piece, each distinct piece of a slice once.  Words of ASCII and
+Latin letters are cut as the tokenizer's pattern cuts them (runs of letters, single
+digits, runs of others) on whole arrays of bytes; all other words, and those that hold an
+apostrophe or a ``<``, are pieces as a whole and go through the library's tokenizer with
+its normalizer, pattern and special tokens.  Pieces of the first kind need only the
+merges, which another library's merge loop does: a token's rank is that of the merge
+that makes it, and the end of a word is a byte that no text has.  Joining by the rank of
+the joined token equals joining by pairs as long as every token is the encoding of its own
+bytes, so tokens that are not are left out; no text gets them.  Files with other
+normalizers, patterns or added-token flags are refused.
 
 Defined results: null or empty text is the end id alone; repeated rows and null ids each
 give their pieces; other columns are ignored; an empty table gives no rows.  Memory is
@@ -28,6 +35,7 @@ from __future__ import annotations
 import json
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,60 +50,139 @@ from .words import Words, slices
 SIZE, END = 4096, 1
 
 SLICE_BYTES = 4 << 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
+
+#: Kinds of bytes in words of ASCII and of letters up to U+017F: letter, digit, other.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 0
+_KIND[48:58] = 1
+#: Bytes that make a word one of the library's: leads of other scripts, apostrophe, less-than.
+_LIBRARY = np.zeros(256, bool)
+_LIBRARY[0xC0:0x100] = True
+_LIBRARY[0xC3:0xC6] = False
+_LIBRARY[[39, 60]] = True
+#: Characters of the Latin range that are no letters or have a lower case of two characters.
+_LIBRARY_PAIRS = ["\u00d7", "\u00f7", "\u0130"]
+_WORD_END = b"\xff"
+
+#: The tokenizer's normalizers and pattern.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class Pieces(Words):
+    """Pieces of the texts of a slice; ``whole``: those that are words for the library."""
+
+    def __init__(self, column: pa.Array, first: int = 0, stop: int | None = None):
+        super().__init__(column, first, stop, hashes=False)
+        data, n = self.data, len(self.data)
+        bad = _LIBRARY[data]
+        for pair in _LIBRARY_PAIRS:
+            lead, follow = pair.encode()
+            bad[:-1] |= (data[:-1] == lead) & (data[1:] == follow)
+        count = np.zeros(n + 1, np.int32)
+        np.cumsum(bad, out=count[1:])
+        library = count[self.end] > count[self.start]
+        inside = np.zeros(n + 1, np.int8)  # 1 in words to be cut
+        inside[self.start[~library]] += 1
+        inside[self.end[~library]] -= 1
+        kind = _KIND[data]
+        cut = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+        cut[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 1)
+        cut[self.start] = True
+        cut[: self.start[0] if len(self.start) else n] = False
+        start = np.flatnonzero(cut)
+        word = np.searchsorted(self.start, start, "right") - 1
+        end = np.minimum(np.append(start[1:], n), self.end[word]) if len(start) else start
+        self.start, self.end, self.whole = start, end, library[word]
+        self.rows = np.searchsorted(self.start, self.offsets)
+        self.hash = self.lane(0)
 
 
 class WordEncoder:
-    """Ids of texts, word by word, by the library's tokenizer."""
+    """Ids of texts, piece by piece, as the library's tokenizer gives them."""
 
     def __init__(self, content: bytes):
+        import tiktoken
         from tokenizers import Tokenizer
 
         spec = json.loads(content)
-        self._refuse(spec)
+        cut = spec.get("pre_tokenizer") or {}
+        split = (cut.get("pretokenizers") or [{}])[0]
+        letters = len(cut.get("pretokenizers") or []) == 2 and cut["pretokenizers"][1] | {"trim_offsets": True} == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        plain = (spec.get("normalizer") or {}).get("normalizers") == NORMALIZERS and split == {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}
+        model = spec["model"]
+        merges_only = model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges", "fuse_unk"))
+        added = spec.get("added_tokens", [])
+        if not (letters and plain and merges_only) or any(t.get(flag) for t in added for flag in ("lstrip", "rstrip", "single_word", "normalized")) or not all(t["content"].startswith("<") for t in added):
+            raise ValueError("only the word tokenizer's normalizers, pattern and merges are known here")
         self.tokenizer = Tokenizer.from_buffer(content)
-        self.known: dict[bytes, bytes] = {}
-
-    @staticmethod
-    def _refuse(spec: dict) -> None:
-        """White space must end every token: it becomes a space, a split at what is no white
-        space drops it, and no added token takes it in or stands in for it."""
-        steps = lambda part, name: part.get(name, [part]) if part else []
-        cuts = steps(spec.get("pre_tokenizer"), "pretokenizers")
-        drops = bool(cuts) and cuts[0].get("type") == "Split" and cuts[0].get("invert") and cuts[0].get("behavior") == "Removed" and cuts[0]["pattern"].get("Regex", "").endswith(r"[^\s\p{L}\p{N}]+")
-        plain = all(x.get("type") in ("NFC", "Lowercase") or x.get("type") == "Replace" and x.get("pattern") == {"Regex": "\\s+"} and x.get("content") == " " for x in steps(spec.get("normalizer"), "normalizers"))
-        if not (drops and plain) or any(t.get(flag) for t in spec.get("added_tokens", []) for flag in ("lstrip", "rstrip", "single_word")) or any(c.isspace() for t in spec.get("added_tokens", []) for c in t["content"]):
-            raise ValueError("only tokenizers that drop white space and cut there are encoded word by word")
-
-    def _packed(self, words: list[bytes]) -> list[bytes]:
-        """Little-endian ids of each word."""
+        self.known: dict[bytes, list[int]] = {}
+        ranks, self.ids = _ranks(model)
+        self.merge = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def _library(self, words: list[bytes]) -> list[list[int]]:
         out = list(map(self.known.get, words))
         new = [k for k, x in enumerate(out) if x is None]
-        if new:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
-            for first in range(0, len(new), 4096):
-                some = new[first : first + 4096]
-                for k, found in zip(some, self.tokenizer.encode_batch_fast([words[k].decode() for k in some], add_special_tokens=False), strict=True):
-                    out[k] = np.array(found.ids, "<u4").tobytes()
-                    if len(words[k]) <= 64 and len(self.known) < CACHE_WORDS:
-                        self.known[words[k]] = out[k]
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known.clear()
+        for k in new:
+            out[k] = self.tokenizer.encode(words[k].decode(), add_special_tokens=False).ids
+            if len(words[k]) <= 64 and len(self.known) < CACHE_WORDS:
+                self.known[words[k]] = out[k]
         return out
 
-    def encode(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, w: Pieces) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's ids begin (one more than texts)."""
         first, of = w.distinct()
-        raw = w.data.tobytes()
-        packed = self._packed([raw[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)])
-        flat = np.frombuffer(b"".join(packed), "<u4")
-        each = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        begin = np.cumsum(each) - each
+        raw, merge = w.data.tobytes(), self.merge
+        whole = w.whole[first]
+        pieces = [raw[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
+        merged = [merge((p.lower() if p.isascii() else p.decode().lower().encode()) + _WORD_END) for p, library in zip(pieces, whole.tolist(), strict=True) if not library]
+        found = self._library([pieces[k] for k in np.flatnonzero(whole)])
+        flat = np.concatenate([self.ids[np.fromiter(chain.from_iterable(merged), np.int64)], np.fromiter(chain.from_iterable(found), "<u4")])
+        each = np.empty(len(pieces), np.int64)
+        each[~whole] = np.fromiter(map(len, merged), np.int64, len(merged))
+        each[whole] = np.fromiter(map(len, found), np.int64, len(found))
+        begin = np.empty(len(pieces), np.int64)
+        ends = np.concatenate([[0], np.cumsum(np.concatenate([each[~whole], each[whole]]))[:-1]])[: len(pieces)]
+        begin[~whole], begin[whole] = ends[: len(merged)], ends[len(merged) :]
         counts = each[of]
         ends = np.concatenate([[0], np.cumsum(counts)])
         ids = flat[np.repeat(begin[of] - ends[:-1], counts) + np.arange(ends[-1])]
         return ids, ends[w.rows]
 
 
+def _ranks(model: dict) -> tuple[dict[bytes, int], np.ndarray]:
+    """Ranks by token bytes (a word's end is one byte more), and the id of each rank."""
+    from .prefix_counts import _byte_letters
+
+    letters = _byte_letters()
+    raw = lambda s: bytes(letters[c] for c in s.removesuffix("</w>")) + _WORD_END * s.endswith("</w>")
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    pairs = {(raw(a), raw(b)): k for k, (a, b) in enumerate(merges)}
+    ids = {raw(t): i for t, i in model["vocab"].items() if all(c in letters for c in t.removesuffix("</w>"))}
+    singles = [bytes([b]) for b in range(256)]
+    # a last byte and the end are one symbol from the start, so they join before all merges
+    order = [b + _WORD_END for b in singles] + singles + [a + b for a, b in pairs if _encoded(a + b, pairs) == [a + b]]
+    ranks = {t: k for k, t in enumerate(dict.fromkeys(order))}
+    return ranks, np.array([ids.get(t, 0) for t in ranks], "<u4")
+
+
+def _encoded(token: bytes, pairs: dict[tuple[bytes, bytes], int]) -> list[bytes]:
+    """The merges of one token's bytes."""
+    body = token.removesuffix(_WORD_END)
+    parts = [body[k : k + 1] for k in range(len(body))]
+    if token != body:
+        parts[-1] += _WORD_END
+    while len(parts) > 1:
+        rank, at = min((pairs.get((parts[k], parts[k + 1]), 1 << 40), k) for k in range(len(parts) - 1))
+        if rank == 1 << 40:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
 @lru_cache(2)
 def _encoder(content: bytes) -> WordEncoder:
     return WordEncoder(content)
@@ -111,7 +198,7 @@ def numbered_pieces(docs: DataFrame, tokenizer_file: str, size: int = SIZE, end:
     def pieces(batch, seen):
         column = batch.column(1)
         for first, stop in slices(column, SLICE_BYTES):
-            flat, begin = _encoder(content.value).encode(Words(column, first, stop))
+            flat, begin = _encoder(content.value).encode(Pieces(column, first, stop))
             flat = np.insert(flat, begin[1:], end).astype("<u4")
             begin += np.arange(len(begin))
             total = np.diff(begin)

@@ -116,7 +116,11 @@ class Words:
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """The first place of each distinct word, and which of them every word is; words are
         told apart by both lanes."""
-        _, first, of = np.unique(self.hash, return_index=True, return_inverse=True)
+        import pandas as pd
+
+        of, hashes = pd.factorize(self.hash)
+        first = np.empty(len(hashes), np.int64)
+        first[of[::-1]] = np.arange(len(of) - 1, -1, -1)
         second = self.lane(1)
         if not np.array_equal(second, second[first][of]):
             both = np.stack([self.hash, second], axis=1)

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from curvelake.llm import packing, repair, runs
-from curvelake.llm.words import Words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, runs string, n long"
@@ -279,7 +278,7 @@ def test_words_encode_as_whole_texts_do(library):
     import pyarrow as pa
 
     texts = [*odd_texts(8, 2000), "", "x" * 5000, "<|startoftext|>a <|endoftext|>"]
-    ids, begin = encoder.encode(Words(pa.array(texts)))
+    ids, begin = encoder.encode(packing.Pieces(pa.array(texts)))
     for k, found in enumerate(library.encode_batch(texts, add_special_tokens=False)):
         assert ids[begin[k] : begin[k + 1]].tolist() == found.ids
 
