@@ -42,54 +42,77 @@ def warp_dp(q1, q2, t, lam: float = 0.0, band: float = 0.0) -> np.ndarray:
     return warp_dp_many(np.asarray(q1, float)[None], np.asarray(q2, float)[None], t, lam, band)[0]
 
 
+#: Bytes of step costs that are held at once.
+COST_BYTES = 48 << 20
+
+
 def warp_dp_many(q1, q2, t, lam: float = 0.0, band: float = 0.0) -> np.ndarray:
-    """warp_dp() of each row of q1 and q2: every table cell is filled for all pairs at once.
+    """warp_dp() of each row of q1 and q2, some at a time: step costs come from matrix products,
+    then a row of all tables is filled at once.
 
     Rows may be curves in a space: (pairs, points, dimensions).
     """
-    flat = q1.ndim == 2
-    axes = 1 if flat else (1, 2)
-    q1, q2 = (q / np.where((n := np.sqrt((q**2).sum(axes, keepdims=True))) > 1e-12, n, 1) for q in (q1, q2))
+    q1, q2 = (q[:, :, None] if q.ndim == 2 else q for q in (np.asarray(q1, float), np.asarray(q2, float)))
+    q1, q2 = (q / np.where((n := np.sqrt((q**2).sum((1, 2), keepdims=True))) > 1e-12, n, 1) for q in (q1, q2))
     pairs, m = q1.shape[:2]
-    best = np.full((m, m, pairs), np.inf)  # the same cells are reachable for all pairs
-    best[0, 0] = 0
-    step_of = np.full((m, m, pairs), -1, np.int8)
     radius = math.ceil(band * m) if 0 < band < 1 else m
-    q1t, q2t = np.swapaxes(q1, 0, 1), np.swapaxes(q2, 0, 1)
+    some = max(1, COST_BYTES // (8 * len(STEPS) * m * m))
+    parts = [_warps(q1[k : k + some], q2[k : k + some], np.asarray(t, float), lam, radius) for k in range(0, pairs, some)]
+    return np.concatenate(parts) if parts else np.empty((0, m))
+
+
+def _at(q: np.ndarray, back: int, parts: int) -> np.ndarray:
+    """Values at the midpoints of ``parts`` equal parts of the last ``back`` intervals before each
+    point from ``back`` on: (pairs, points, parts and dimensions)."""
+    m = q.shape[1]
+    out = []
+    for k in range(parts):
+        x = (k + 0.5) / parts * back
+        low = int(x)
+        left, right = q[:, low : m - back + low], q[:, low + 1 : m - back + low + 1]
+        out.append(left + (x - low) * (right - left))
+    return np.concatenate(out, 2)
+
+
+def _step_costs(q1, q2, t, lam: float) -> np.ndarray:
+    """(points of q1, pairs, steps, points of q2): the cost of every step that ends there."""
+    pairs, m = q1.shape[:2]
+    out = np.full((m, pairs, len(STEPS), m), np.inf)
+    for s, (a, b) in enumerate(STEPS):
+        if a >= m or b >= m:
+            continue
+        parts = max(a, b)  # midpoints fine enough for either curve's grid
+        p, q = _at(q1, a, parts), _at(q2, b, parts)
+        dt = (t[a:] - t[:-a])[:, None]
+        slope = (t[b:] - t[:-b])[None] / dt
+        cost = (p**2).sum(2)[:, :, None] - 2 * np.sqrt(slope) * (p @ q.swapaxes(1, 2)) + slope * (q**2).sum(2)[:, None]
+        out[a:, :, s, b:] = (np.maximum(cost, 0) * (dt / parts) + lam * (slope - 1) ** 2 * dt).swapaxes(0, 1)
+    return out
+
+
+def _warps(q1, q2, t, lam: float, radius: int) -> np.ndarray:
+    pairs, m = q1.shape[:2]
+    costs = _step_costs(q1, q2, t, lam)
+    best = np.full((pairs, m + REACH, m + REACH), np.inf)  # REACH rows and columns before the first
+    best[:, REACH, REACH] = 0
+    step_of = np.full((m, pairs, m), -1, np.int8)
+    back, left = np.array(STEPS).T
     for i in range(1, m):
         lo, hi = max(1, i - radius), min(m, i + radius + 1)
-        for s, (a, b) in enumerate(STEPS):
-            if a > i:
-                continue
-            j = np.arange(max(lo, b), hi)
-            j = j[np.isfinite(best[i - a, j - b, 0])] if len(j) else j
-            if not len(j):
-                continue
-            dt = t[i] - t[i - a]
-            slope = (t[j] - t[j - b]) / dt
-            cost = best[i - a, j - b] + (lam * (slope - 1) ** 2 * dt)[:, None]
-            parts = max(a, b)
-            for k in range(parts):  # midpoints fine enough for either curve's grid
-                u = (k + 0.5) / parts
-                x, y = i - a + u * a, j - b + u * b
-                lx, ly = int(x), y.astype(int)
-                p = q1t[lx] + (x - lx) * (q1t[min(lx + 1, m - 1)] - q1t[lx])
-                if flat:
-                    q = q2t[ly] + (y - ly)[:, None] * (q2t[ly + 1] - q2t[ly])
-                    cost += (p - q * np.sqrt(slope)[:, None]) ** 2 * (dt / parts)
-                else:
-                    q = q2t[ly] + (y - ly)[:, None, None] * (q2t[ly + 1] - q2t[ly])
-                    cost += ((p - q * np.sqrt(slope)[:, None, None]) ** 2).sum(2) * (dt / parts)
-            now = best[i, j]
-            better = cost < now
-            best[i, j] = np.where(better, cost, now)
-            step_of[i, j] = np.where(better, s, step_of[i, j])
+        if lo >= hi:
+            continue
+        columns = np.arange(lo, hi)[None] + REACH - left[:, None]
+        total = best[:, (i + REACH - back)[:, None], columns] + costs[i][:, :, lo:hi]
+        step = total.argmin(1)  # the first of equal ones
+        least = np.take_along_axis(total, step[:, None], 1)[:, 0]
+        best[:, i + REACH, lo + REACH : hi + REACH] = least
+        step_of[i][:, lo:hi] = np.where(np.isfinite(least), step, -1)
     out = np.empty((pairs, m))
     for p in range(pairs):
         i = j = m - 1
         x, y = [t[i]], [t[j]]
-        while i > 0 and j > 0 and step_of[i, j, p] >= 0:
-            a, b = STEPS[step_of[i, j, p]]
+        while i > 0 and j > 0 and step_of[i, p, j] >= 0:
+            a, b = STEPS[step_of[i, p, j]]
             i, j = i - a, j - b
             x.append(t[i])
             y.append(t[j])
