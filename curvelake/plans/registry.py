@@ -364,25 +364,6 @@ def classification_metrics(spark, d):
 # ---- components and regression ----
 
 
-@query()
-def fpca_scores(spark, d):
-    c = EMB(spark, d)
-    return rounded(reduce.scores(c, reduce.fpca(c, 5)))
-
-
-@query()
-def fpca_loadings(spark, d):
-    m = reduce.fpca(EMB(spark, d), 3)
-    return curve_rows(spark, m.mean, *m.loadings.T, names=("mean", "pc1", "pc2", "pc3"))
-
-
-@query()
-def fpca_reconstruct(spark, d):
-    c = EMB(spark, d)
-    m = reduce.fpca(c, 5)
-    return rounded(reduce.reconstruct(reduce.scores(c, m), m))
-
-
 @query()
 def pls_scores(spark, d):
     c = EMB(spark, d)
@@ -390,31 +371,12 @@ def pls_scores(spark, d):
     return rounded(per_curve(c.df, m.project, "scores array<double>"))
 
 
-@query()
-def fregre_lm(spark, d):
-    c = EMB(spark, d)
-    return rounded(regress.linear(c, "label", 4).predict(c))
-
-
 @query()
 def fregre_pls(spark, d):
     c = EMB(spark, d)
     return rounded(regress.linear_pls(c, "label", 3).predict(c))
 
 
-@query()
-def functional_logistic(spark, d):
-    c = EMB(spark, d)
-    c = c.with_df(c.df.withColumn("y", (F.col("label") < 5).cast("double")))
-    return rounded(regress.glm(c, "y", "binomial", 4).predict(c).select("id", "y", "fit"))
-
-
-@query()
-def functional_poisson(spark, d):
-    c = EMB(spark, d)
-    return rounded(regress.glm(c, "label", "poisson", 3).predict(c).select("id", "label", "fit"))
-
-
 @query()
 def fregre_huber(spark, d):
     c = EMB(spark, d)
@@ -758,7 +720,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _registered() -> None:
     """The modules that register the other queries; they need this one's names."""
-    from curvelake.plans import basics, explained, fitted, modelled, others, proved, shaped  # noqa: F401
+    from curvelake.plans import basics, components, explained, fitted, modelled, others, proved, shaped  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
