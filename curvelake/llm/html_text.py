@@ -21,10 +21,16 @@ gives its article or main element, else its body.
 
 Elements that are never main text are left out by element name, role, or a whole class
 or id (not a part of one): menus, page headers, footers, sidebars, forms, scripts,
-styles, adverts, notices, reader comments.
-
-Occurrence vectors are compared by 128 bits that pages add up to, so no host's pages meet
-in one task.  Defined results: null or empty html has empty text; null url is a host of
+styles, adverts, notices, reader comments.  Names that an article's own parts bear too
+(header, notice, related and the like) say nothing of headings, and nothing inside the
+container or an article: there the template decides, so such a text stays unless it is the
+template's.  A form that spans half of its page and holds most of its text is walked, its
+controls are not.
+
+Occurrence vectors are compared by two sums over pages of 64-bit hashes, so no host's pages
+meet in one task; classes go by 128 bits.  Character references are decoded in each text
+node by itself, after white space is cut.  Defined results: pages are parsed whole, however
+long, one at a time; null or empty html has empty text; null url is a host of
 its own; a host with one distinct page has no template; repeated rows each give a row;
 other columns are ignored.  Markup cut off at the end of a page is dropped, unknown
 character references stay as they are.
@@ -62,7 +68,10 @@ _BLOCKS = frozenset("address article aside blockquote body caption center dd det
 _HOLDERS = frozenset("article body center div main section td".split())
 _CLOSES_P = _BLOCKS - frozenset("td th tr tbody thead tfoot caption li dd dt body html".split())
 _SELF = {"li": ("li", ("ul", "ol", "menu")), "dd": ("dd dt", ("dl",)), "dt": ("dd dt", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
-_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner sidebar side nav navbar navigation menu breadcrumb breadcrumbs header masthead footer cookie cookies consent gdpr notice alert popup modal overlay comment comments disqus reply replies share sharing social related recommended newsletter subscribe signup login search widget toolbar pagination pager".split())
+_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sidebar nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr popup modal comment comments disqus share sharing social newsletter subscribe signup login pagination pager".split())
+#: Names that parts of an article bear as well.
+_DOUBTFUL = frozenset("promo banner side menu header masthead footer notice alert overlay reply replies related recommended search widget toolbar".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
@@ -87,18 +96,44 @@ def _attributes(raw: str) -> tuple[str, str, str, bool]:
 
 
 class Node:
-    """An open element: its path's hash, whether it is left out, whether it is in an article
-    or main element, and the containers and h1 elements it is in, as paths."""
+    """An open element: its path's hash, whether it is left out, whether by a doubtful name
+    only, whether it is in an article or main element, and the containers and h1 elements it is
+    in, as paths."""
+
+    __slots__ = ("chain", "doubt", "main", "name", "out", "path", "title")
+
+    def __init__(self, name: str, path: int, out: bool, doubt: bool, main: bool, chain: tuple, title: int):
+        self.name, self.path, self.out, self.doubt, self.main, self.chain, self.title = name, path, out, doubt, main, chain, title
+
+
+_FORM = re.compile(r"<(/?)form[\s/>]", re.I)
 
-    __slots__ = ("chain", "main", "name", "out", "path", "title")
 
-    def __init__(self, name: str, path: int, out: bool, main: bool, chain: tuple, title: int):
-        self.name, self.path, self.out, self.main, self.chain, self.title = name, path, out, main, chain, title
+def _wide_forms(page: str) -> frozenset:
+    """Where the forms begin that span half of a page and hold most of its text."""
+    if "<form" not in page and _FORM.search(page) is None:
+        return frozenset()
+    wide, begin = [], None
+    for m in [*_FORM.finditer(page), None]:
+        if m is None or m[1]:
+            if begin is not None and 2 * ((len(page) if m is None else m.start()) - begin) >= len(page):
+                wide.append(begin)
+            begin = None
+        elif begin is None:
+            begin = m.start()
+    if not wide:
+        return frozenset()
+    size = lambda walked: sum(len(_SPACE.sub(" ", text)) for kind, *rest in _events(page, walked) if kind == "text" for node, text in [rest] if not node.out and not node.doubt)
+    return frozenset(wide) if 2 * size(frozenset()) < size(frozenset(wide)) else frozenset()
 
 
 def parse(page: str):
     """('open', node), ('text', node, string) and ('break', None) events of a page."""
-    stack = [Node("", 0, False, False, (0,), 0)]
+    return _events(page, _wide_forms(page))
+
+
+def _events(page: str, walked: frozenset):
+    stack = [Node("", 0, False, False, False, (0,), 0)]
     at, end = 0, len(page)
 
     def close(name: str) -> bool:
@@ -144,11 +179,14 @@ def parse(page: str):
         raw = m[3]
         names, role, prop, hidden = _attributes(raw) if "=" in raw or "hidden" in raw else ("", "", "", False)
         main = parent.main or name in ("article", "main") or role in ("main", "article") or prop == "articlebody"
-        left = name in _LEFT_OUT and not (name == "header" and parent.main)
-        named = bool(names) and name not in ("html", "body", "article", "main") and not _NAMES.isdisjoint(names.split())
+        left = name in _LEFT_OUT and not (name == "header" and parent.main) and not (name == "form" and m.start() in walked)
+        named = doubt = False
+        if names and name not in ("html", "body", "article", "main") and name not in _HEADINGS:
+            words = names.split()
+            named, doubt = not _NAMES.isdisjoint(words), not _DOUBTFUL.isdisjoint(words)
         path = hash_path(parent.path, name, _DIGITS.sub("0", names))
         chain = (*parent.chain, path) if name in _HOLDERS else parent.chain
-        node = Node(name, path, parent.out or left or named or hidden or role in _ROLES, main, chain, path if name == "h1" else parent.title)
+        node = Node(name, path, parent.out or left or named or hidden or role in _ROLES and m.start() not in walked, parent.doubt or doubt, main, chain, path if name == "h1" else parent.title)
         yield "open", node
         if name == "br":
             yield "text", parent, " "
@@ -182,7 +220,7 @@ def page_tokens(page: str):
             node = rest[0]
             sequence.append(node.path)
             held = node.name in _HOLDERS
-            known = 0 if node.out else 3 if node.name == "h1" else 0 if not held else 2 if node.main else 1
+            known = 0 if node.out or node.doubt else 3 if node.name == "h1" else 0 if not held else 2 if node.main else 1
             facts.setdefault(node.path, [0, known, node.chain[-2 if held else -1], False])
             if node.name == "body":
                 bodies.add(node.path)
@@ -196,21 +234,21 @@ def page_tokens(page: str):
             if text and not node.out:
                 token = _text_hash(node.path, text)
                 sequence.append(token)
-                facts.setdefault(token, [len(text), 4, node.chain[-1], False])
-                for holder in node.chain:
+                facts.setdefault(token, [0 if node.doubt else len(text), 4, node.chain[-1], False])
+                for holder in node.chain if not node.doubt else ():
                     if holder in facts:
                         facts[holder][0] += len(text)
     return sequence, facts
 
 
-def order_of(sequence: list[int], classes: dict[int, int]) -> dict[int, tuple[int, bool]]:
+def order_of(sequence: list[int], classes: dict[int, str]) -> dict[str, tuple[int, bool]]:
     """For the classes of a page: a hash of the order of their tokens (of a unit, if the
     page repeats it), and whether the class is at fault: repeated in another order, or
     not nested.
 
     classes: class by token.  A unit is open from its first token to its last.
     """
-    own: dict[int, list[int]] = {}
+    own: dict[str, list[int]] = {}
     for token in sequence:
         if (c := classes.get(token)) is not None:
             own.setdefault(c, []).append(token)
@@ -259,7 +297,7 @@ def extract(page: str, fixed: frozenset, container: int | None, titles: frozense
                 seen = seen or node.path == container
         else:
             node, text = rest
-            if not node.out:
+            if not node.out and (not node.doubt or node.main or container in node.chain):
                 parts.append((node.main, container in node.chain or not seen and node.title in titles, text, node.path))
     if container is not None and seen:
         parts = [p for p in parts if p is None or p[1]]
@@ -276,7 +314,7 @@ def extract(page: str, fixed: frozenset, container: int | None, titles: frozense
         if part is not None:
             pending.append(part[2])
         elif pending:
-            text = _SPACE.sub(" ", entities.unescape("".join(pending))).strip()
+            text = _SPACE.sub(" ", "".join(map(entities.unescape, pending))).strip()
             if text:
                 blocks.append(text)
             pending = []
@@ -288,8 +326,8 @@ def _host():
 
 
 def candidates(keyed: DataFrame) -> DataFrame:
-    """keyed: host, row, html. Tokens of the candidate classes: host, token, vector and class
-    (hashes), kind, mass, support, fixed (a text on enough pages)."""
+    """keyed: host, row, html. Tokens of the candidate classes: host, token, vector (two sums
+    and the support) and class (128 bits), kind, mass, support, fixed (a text on enough pages)."""
 
     def run(batch):
         host, row, token, count, mass, kind, holder, titled = ([] for _ in range(8))
@@ -312,14 +350,15 @@ def candidates(keyed: DataFrame) -> DataFrame:
 
     n_pages = keyed.select("host", "row").distinct().groupBy("host").agg(F.count("*").alias("n_pages")).where("n_pages > 1")
     tokens = map_batches(keyed, run, "host string, row long, token long, count long, mass long, kind int, holder long, titled boolean").dropDuplicates(["host", "token", "row"])
-    # a vector's hash: the sum over pages of hashes of (page, count), in two lanes; sums wrap
-    lane = lambda k: F.sum(F.shiftright(F.xxhash64(F.lit(k), "row", "count"), 20).cast("decimal(20,0)"))
+    # a vector's hash: the sum over pages of hashes of (page, count), in two lanes
+    lane = lambda k: F.sum(F.xxhash64(F.lit(k), "row", "count").cast("decimal(20,0)"))
     found = tokens.groupBy("host", "token").agg(F.count("*").alias("support"), lane(0).alias("v0"), lane(1).alias("v1"), F.sum("mass").alias("mass"), F.max("kind").alias("kind"), F.first("holder").alias("holder"), F.max("titled").alias("titled"))
     # few rows a host pass: each is on half of its pages
     found = found.where("support > 1").join(n_pages, "host").where(F.col("support") * 100 >= F.col("n_pages") * SUPPORT_PERCENT)
     fixed = (F.col("kind") == 4) & (F.col("support") >= FIXED_PAGES) & (F.col("support") * 100 >= F.col("n_pages") * FIXED_PERCENT)
     own = F.when(F.col("kind") == 4, F.col("token")).otherwise(F.col("holder"))
-    return found.select("host", "token", F.xxhash64("v0", "v1", "support").alias("vector"), F.xxhash64("v0", "v1", "support", F.col("kind") == 4, own).alias("class"), "kind", "mass", "support", "titled", fixed.alias("fixed"))
+    vector = F.concat_ws(" ", "v0", "v1", "support")
+    return found.select("host", "token", vector.alias("vector"), F.md5(F.concat_ws(" ", vector, (F.col("kind") == 4).cast("int"), own)).alias("class"), "kind", "mass", "support", "titled", fixed.alias("fixed"))
 
 
 def valid_classes(keyed: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -339,7 +378,7 @@ def valid_classes(keyed: DataFrame, tokens: DataFrame) -> DataFrame:
         if found:
             yield [[h for h, _ in found], [c for _, c in found], *zip(*found.values(), strict=True)]
 
-    rows = map_batches(joined.select("host", "html", "tokens"), run, "host string, class long, low long, high long, bad boolean")
+    rows = map_batches(joined.select("host", "html", "tokens"), run, "host string, class string, low long, high long, bad boolean")
     checked = rows.groupBy("host", "class").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("bad").alias("bad"))
     return checked.where("low = high AND NOT bad").select("host", "class")
 
