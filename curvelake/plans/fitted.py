@@ -3,13 +3,14 @@ nations' revenue."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelake.functions import numeric as nm
-from curvelake.operators import elastic_models, infer, mixed, models
+from curvelake.operators import elastic_models, infer, mixed, models, selection
 from curvelake.plans.basics import named
-from curvelake.plans.registry import REV, _smoothed, _z, curve_rows, rounded, rows
+from curvelake.plans.registry import _C, EMB, REV, _smoothed, _z, curve_rows, rounded, rows
 from curvelake.sources import curves as src
 from curvelake.sources.curves import Curves
 
@@ -159,3 +160,43 @@ def _classes(spark, d) -> DataFrame:
 
 
 named("conformal_elastic_logistic", None, _classes)
+
+# ---- many predictors: what customers ordered, month by month, and how much in the year ----
+
+
+def _predictors(spark, d) -> list[Curves]:
+    """For each customer and year, curves of revenue, orders, discounts, taxes and returned items;
+    y: the year's quantity in 100."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
+    line = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", *[F.col(f"l_{x}").cast("double").alias(x) for x in ("extendedprice", "discount", "tax", "quantity")], (F.col("l_returnflag") == "R").cast("double").alias("returned"))
+    per_order = line.groupBy("l_orderkey").agg(*[F.sum(x).alias(x) for x in ("discount", "tax", "returned", "quantity")], (F.sum("extendedprice") / 100000).alias("revenue"))
+    both = o.join(per_order, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("orders", F.lit(1.0))
+    names = ("revenue", "orders", "discount", "tax", "returned")
+    month = F.month("o_orderdate")
+    sums_of = [F.array(*[F.sum(F.when(month == k + 1, F.col(x)).otherwise(0.0)) for k in range(MONTHS)]).alias(x) for x in names]
+    years = both.groupBy("o_custkey", F.year("o_orderdate").alias("year")).agg((F.sum("quantity") / 100).alias("y"), *sums_of)
+    years = years.withColumn("id", (F.col("o_custkey") * 10000 + F.col("year")).cast("long"))
+    return [Curves(years.select("id", "y", F.col(x).alias("values")), nm.unit_grid(MONTHS)) for x in names]
+
+
+def _selected(spark, d) -> DataFrame:
+    """Groups' norms under three penalties, each with its own cross-validated strength."""
+    predictors, out = _predictors(spark, d), []
+    for how in ("lasso", "scad", "mcp"):
+        m = selection.select(predictors, "y", 3, how=how)
+        out += [(how, p, bool(a), float(np.linalg.norm(b)), float(m.lam), float(m.r2)) for p, (a, b) in enumerate(zip(m.active, m.coef, strict=False))]
+    return rows(spark, "penalty string, predictor int, active boolean, norm double, strength double, r2 double", out)
+
+
+named("variable_selection", None, _selected)
+
+LAGS, WINDOW, SPREAD = 20, 0.5, 0.05
+_HISTORY = f"""WITH {_C}, g AS (SELECT range AS l, range * {WINDOW / LAGS!r}::DOUBLE AS u FROM range({LAGS})),
+p AS (SELECT l, u, greatest((SELECT count(*) FROM range({src.EMBEDDING_POINTS}) x(k) WHERE k / {src.EMBEDDING_POINTS - 1}.0::DOUBLE < 1 - u) - 1, 0) AS pos FROM g),
+x AS MATERIALIZED (SELECT id, label, l, u, v FROM c JOIN p USING (pos)),
+s AS (SELECT l, u, regr_slope(label, v) AS s FROM x GROUP BY l, u),
+r AS (SELECT a.l, sum(exp(-pow((a.u - b.u) / {SPREAD}, 2) / 2) * b.s) / sum(exp(-pow((a.u - b.u) / {SPREAD}, 2) / 2)) AS r FROM s a, s b GROUP BY a.l),
+w AS (SELECT l, r / sqrt(sum(r * r) OVER () * {WINDOW / LAGS!r}) AS gamma FROM r),
+h AS (SELECT id, any_value(label) AS label, sum(gamma * v) * {WINDOW / LAGS!r} AS h FROM x JOIN w USING (l) GROUP BY id)
+SELECT id, {_z("h")} AS history, {_z("(SELECT regr_intercept(label, h) FROM h) + (SELECT regr_slope(label, h) FROM h) * h")} AS fit FROM h"""
+named("history_index", _HISTORY, lambda spark, d: (lambda c: rounded(selection.history(c, "label", WINDOW, LAGS, SPREAD).predict(c).select("id", "history", "fit")))(EMB(spark, d)))
