@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelake.functions import numeric as nm
-from curvelake.operators import elastic_models, infer, mixed, models, selection
+from curvelake.operators import elastic_models, infer, mixed, models, selection, subspaces
 from curvelake.plans.basics import named
 from curvelake.plans.registry import _C, EMB, REV, _smoothed, _z, curve_rows, rounded, rows
 from curvelake.sources import curves as src
@@ -200,3 +200,9 @@ w AS (SELECT l, r / sqrt(sum(r * r) OVER () * {WINDOW / LAGS!r}) AS gamma FROM r
 h AS (SELECT id, any_value(label) AS label, sum(gamma * v) * {WINDOW / LAGS!r} AS h FROM x JOIN w USING (l) GROUP BY id)
 SELECT id, {_z("h")} AS history, {_z("(SELECT regr_intercept(label, h) FROM h) + (SELECT regr_slope(label, h) FROM h) * h")} AS fit FROM h"""
 named("history_index", _HISTORY, lambda spark, d: (lambda c: rounded(selection.history(c, "label", WINDOW, LAGS, SPREAD).predict(c).select("id", "history", "fit")))(EMB(spark, d)))
+
+# ---- clusters in subspaces and up to warps ----
+
+named("funfem_cluster", None, lambda spark, d: (lambda c: rounded(subspaces.discriminative(c, 3, 5).predict(c).select("id", "cluster", "probabilities")))(EMB(spark, d)))
+named("funhddC_cluster", None, lambda spark, d: (lambda c: rounded(subspaces.subspaces(c, 3, 2).predict(c).select("id", "cluster", "probabilities")))(EMB(spark, d)))
+named("align_cluster_fd", None, lambda spark, d: (lambda c: rounded(subspaces.align_clusters(c, 3)[1].select("id", "cluster", "distances")))(_smoothed(spark, d)))
