@@ -6,12 +6,12 @@ Each goes through the library's function; the SQL states the formula by itself.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvelake.functions import numeric as nm
 from curvelake.operators import depth, metrics, pointwise, reduce, season, smooth
-from curvelake.operators.apply import per_curve
+from curvelake.operators.apply import per_curve, sums
 from curvelake.plans.registry import _BOTH, _C, _D2, _DAY, _GRID, _H, _LABEL, _PAIR, _R, _S, _WEIGHTS, EMB, REV, _z, curve_rows, query, r, rounded, rows  # noqa: F401
 from curvelake.sources import curves as src
 
@@ -34,8 +34,21 @@ def cells(spark, matrix, names=("pos", "k")):
     return rows(spark, f"{names[0]} int, {names[1]} int, value double", [(i, j, float(x)) for i, line in enumerate(np.atleast_2d(matrix)) for j, x in enumerate(line)])
 
 
+def _products(c, phi) -> DataFrame:
+    """Integrals of every curve times each function (points, functions): id, k, value."""
+    w = c.weights[:, None]
+    out = per_curve(c.df.select("id", "values"), lambda v: v @ (w * phi), "values array<double>")
+    return rounded(out.select("id", F.posexplode("values").alias("k", "value")))
+
+
+def _products_sql(table: str) -> str:
+    """The same from a SELECT of pos, k, value."""
+    return f"{_C}, {_WEIGHTS}, b AS MATERIALIZED ({table}) SELECT id, k, {_z('sum(w * v * value)')} AS value FROM c JOIN w USING (pos) JOIN b USING (pos) GROUP BY id, k"
+
+
 def _basis(name: str, n: int, value: str, fn) -> None:
-    named(name, f"WITH {_G} SELECT pos, k::INT AS k, {_z(value)} AS value FROM g, range({n}) x(k)", lambda spark, d: cells(spark, fn(_GRID)))
+    """Every embedding's integrals with the functions of a basis."""
+    named(name, f"WITH {_G}, {_products_sql(f'SELECT pos, k::INT AS k, {value} AS value FROM g, range({n}) x(k)')}", lambda spark, d: _products(EMB(spark, d), fn(_GRID)))
 
 
 # ---- bases and eigenfunctions on the grid ----
@@ -61,31 +74,59 @@ def _bspline_sql(n: int, order: int) -> str:
         left = f"(a.t - (a.k - {order - 1}) * {step!r}) / ({o - 1} * {step!r}) * a.b"
         right = f"((a.k + {o} - {order - 1}) * {step!r} - a.t) / ({o - 1} * {step!r}) * c.b"
         out += f", b{o} AS (SELECT a.pos, a.t, a.k, {left} + {right} AS b FROM b{o - 1} a JOIN b{o - 1} c ON c.pos = a.pos AND c.k = a.k + 1)"
-    return out + f" SELECT pos, k::INT AS k, {_z('b')} AS value FROM b{order} WHERE k < {size}"
+    return out + f", {_products_sql(f'SELECT pos, k::INT AS k, b AS value FROM b{order} WHERE k < {size}')}"
+
+
+named("bspline_basis", _bspline_sql(8, 4), lambda spark, d: _products(EMB(spark, d), nm.bspline_basis(_GRID, 8)))
+
 
+_MODEL = {"linear": "1.0::DOUBLE / k", "exponential": "exp(-k)", "wiener": "1 / pow((k - 0.5) * pi(), 2)"}
+_FAMILY_SQL = f"WITH {_G}, {_C}, {_WEIGHTS}, f AS (SELECT pos, k, {_FOURIER.format(a='sqrt(2)', p=1)} AS value FROM g, range({{n}}) x(k)), s AS (SELECT id, k + 1 AS k, sum(w * v * value) AS s FROM c JOIN w USING (pos) JOIN f USING (pos) GROUP BY id, k), e AS (SELECT k, var_samp(s) AS own FROM s GROUP BY k)"
 
-named("bspline_basis", _bspline_sql(8, 4), lambda spark, d: cells(spark, nm.bspline_basis(_GRID, 8)))
+
+def _spread_of(spark, d, n: int) -> np.ndarray:
+    """Variances of the embeddings' scores on the first n Fourier eigenfunctions."""
+    c = EMB(spark, d)
+    phi = c.weights[:, None] * nm.eigenfunctions(_GRID, n)
+    m, total = sums(c.df.select("values"), lambda v: [np.array([len(v)]), (v @ phi).sum(0)], ["values"])
+    mean = total / m[0]
+    return sums(c.df.select("values"), lambda v: [((v @ phi - mean) ** 2).sum(0)], ["values"])[0] / (m[0] - 1)
 
 
-def _eigenvalues(name: str, value: str, family: str) -> None:
-    named(name, f"SELECT k::INT AS k, {_z(value)} AS value FROM range(1, 9) x(k)", lambda spark, d: rows(spark, "k int, value double", [(k + 1, float(x)) for k, x in enumerate(nm.eigenvalues(8, family))]))
+def _eigenvalues(name: str, family: str) -> None:
+    """A family's eigenvalues beside the variances that the embeddings' scores have."""
+    named(name, f"{_FAMILY_SQL.format(n=8)} SELECT k::INT AS k, {_z(_MODEL[family])} AS value, {_z('own')} AS own FROM e", lambda spark, d: rows(spark, "k int, value double, own double", [(k + 1, float(x), float(y)) for k, (x, y) in enumerate(zip(nm.eigenvalues(8, family), _spread_of(spark, d, 8), strict=True))]))
 
 
-_eigenvalues("eigenvalues_linear", "1.0::DOUBLE / k", "linear")
-_eigenvalues("eigenvalues_exponential", "exp(-k)", "exponential")
-_eigenvalues("eigenvalues_wiener", "1 / pow((k - 0.5) * pi(), 2)", "wiener")
-named("eigenvalues", "SELECT family, k::INT AS k, round(CASE family WHEN 'linear' THEN 1.0::DOUBLE / k WHEN 'exponential' THEN exp(-k) ELSE 1 / pow((k - 0.5) * pi(), 2) END, 6) + 0.0 AS value FROM range(1, 6) x(k), (VALUES ('linear'), ('exponential'), ('wiener')) f(family)", lambda spark, d: rows(spark, "family string, k int, value double", [(f, k + 1, float(x)) for f in ("linear", "exponential", "wiener") for k, x in enumerate(nm.eigenvalues(5, f))]))
+_eigenvalues("eigenvalues_linear", "linear")
+_eigenvalues("eigenvalues_exponential", "exponential")
+_eigenvalues("eigenvalues_wiener", "wiener")
+_SHARES = " UNION ALL ".join(f"SELECT '{f}' AS family, k::INT AS k, {_z(f'own / sum(own) OVER () - ({e}) / sum({e}) OVER ()')} AS value FROM e" for f, e in _MODEL.items())
+named("eigenvalues", f"{_FAMILY_SQL.format(n=5)} {_SHARES}", lambda spark, d: (lambda own: rows(spark, "family string, k int, value double", [(f, k + 1, float(x)) for f in _MODEL for k, x in enumerate(own / own.sum() - nm.eigenvalues(5, f) / nm.eigenvalues(5, f).sum())]))(_spread_of(spark, d, 5)))
 
-# ---- covariance kernels ----
+# ---- covariance kernels: every embedding's mean square under each kernel ----
 
 _KERNELS = {"gaussian": "exp(-(s - t) * (s - t) / 0.08)", "exponential": "exp(-abs(s - t) / 0.2)", "matern32": "(1 + sqrt(3) * abs(s - t) / 0.2) * exp(-sqrt(3) * abs(s - t) / 0.2)", "matern52": "(1 + sqrt(5) * abs(s - t) / 0.2 + 5 * (s - t) * (s - t) / 0.12) * exp(-sqrt(5) * abs(s - t) / 0.2)", "brownian": "least(s, t)", "periodic": "exp(-2 * pow(sin(pi() * abs(s - t)), 2) / 0.04)", "linear": "s * t"}
-named("covariance_matrix", f"WITH {_G} " + " UNION ALL ".join(f"SELECT '{k}' AS kernel, a.pos AS pos_s, b.pos AS pos_t, {_z(e.replace('s', 'a.t', 0))} AS cov FROM (SELECT pos, t AS s FROM g) a, g b" for k, e in _KERNELS.items()), lambda spark, d: rows(spark, "kernel string, pos_s int, pos_t int, cov double", [(k, i, j, float(x)) for k in _KERNELS for i, line in enumerate(nm.covariance_kernel(_GRID, _GRID, k)) for j, x in enumerate(line)]))
+
+
+def _under_kernels(spark, d) -> DataFrame:
+    c = EMB(spark, d)
+    inner = [np.outer(c.weights, c.weights) * nm.covariance_kernel(_GRID, _GRID, k) for k in _KERNELS]
+    out = per_curve(c.df.select("id", "values"), lambda v: np.stack([np.einsum("np,pq,nq->n", v, a, v) for a in inner], 1), "values array<double>")
+    return rounded(out.select("id", F.posexplode("values").alias("k", "value")).select("id", F.element_at(F.array(*[F.lit(k) for k in _KERNELS]), F.col("k") + 1).alias("kernel"), "value"))
+
+
+_COVARIANCES = " UNION ALL ".join(f"SELECT '{k}' AS kernel, a.pos AS i, b.pos AS j, {e} AS value FROM (SELECT pos, t AS s FROM g) a, g b" for k, e in _KERNELS.items())
+named("covariance_matrix", f"WITH {_G}, {_C}, {_WEIGHTS}, k AS MATERIALIZED ({_COVARIANCES}), x AS MATERIALIZED (SELECT id, pos, w * v AS v FROM c JOIN w USING (pos)), h AS MATERIALIZED (SELECT kernel, id, i, sum(value * v) AS v FROM k JOIN x ON x.pos = j GROUP BY kernel, id, i) SELECT id, kernel, {_z('sum(h.v * x.v)')} AS value FROM h JOIN x ON x.id = h.id AND x.pos = i GROUP BY h.id, id, kernel".replace("SELECT id, kernel", "SELECT h.id AS id, kernel").replace("GROUP BY h.id, id, kernel", "GROUP BY h.id, kernel"), _under_kernels)
 
 # ---- quadrature and interpolation ----
 
 _SIMPSON = f"CASE WHEN pos = 0 THEN {_H} / 3 WHEN pos = {M - 1} THEN {_H} / 2 WHEN pos = {M - 2} THEN {_H} / 3 + {_H} / 2 WHEN pos % 2 = 1 THEN 4 * {_H} / 3 ELSE 2 * {_H} / 3 END"
-named("simpsons_weights", f"WITH {_G} SELECT pos, round({_SIMPSON}, 9) + 0.0 AS weight FROM g", lambda spark, d: spark.createDataFrame([(k, round(float(w), 9)) for k, w in enumerate(nm.simpson_weights(_GRID))], "pos int, weight double"))
-named("simpsons_weights_2d", f"WITH {_G}, w AS (SELECT pos, {_SIMPSON} AS w FROM g), u AS (SELECT * FROM (VALUES (0, 1/6.0::DOUBLE), (1, 4/6.0::DOUBLE), (2, 1/6.0::DOUBLE)) v(pos, w)) SELECT (a.pos + {M} * b.pos)::INT AS cell, round(a.w * b.w, 9) + 0.0 AS weight FROM w a, u b", lambda spark, d: spark.createDataFrame([(k, round(float(w), 9)) for k, w in enumerate(nm.simpson_weights_2d(_GRID, nm.unit_grid(3)))], "cell int, weight double"))
+named("simpsons_weights", f"WITH {_C} SELECT id, {_z(f'sum(v * ({_SIMPSON}))')} AS integral FROM c GROUP BY id", lambda spark, d: rounded(per_curve(EMB(spark, d).df.select("id", "values"), lambda v: v @ nm.simpson_weights(_GRID), "integral double")))
+_PLANE = nm.simpson_weights_2d(nm.unit_grid(16), nm.unit_grid(4))
+_EDGE = "CASE WHEN {k} = 0 THEN {h} / 3 WHEN {k} = {m} - 1 THEN {h} / 2 WHEN {k} = {m} - 2 THEN {h} / 3 + {h} / 2 WHEN {k} % 2 = 1 THEN 4 * {h} / 3 ELSE 2 * {h} / 3 END"
+_CELL = f"({_EDGE.format(k='(pos % 16)', h='(1 / 15.0::DOUBLE)', m=16)}) * ({_EDGE.format(k='(pos // 16)', h='(1 / 3.0::DOUBLE)', m=4)})"
+named("simpsons_weights_2d", f"WITH {_C} SELECT id, {_z(f'sum(v * {_CELL})')} AS integral FROM c GROUP BY id", lambda spark, d: rounded(per_curve(EMB(spark, d).df.select("id", "values"), lambda v: v @ _PLANE, "integral double")))
 
 
 def _kernel(name: str, sql: str, fn, schema: str = "values array<double>", source=EMB) -> None:

@@ -153,17 +153,18 @@ named("gam_to_psi_smooth", None, lambda spark, d: _listed(per_curve(EMB(spark, d
 named("solve_gaussian_pub", f"WITH {_C}, s AS (SELECT sum(label) AS sx, sum(label * label) AS sxx, count(*) AS n, sum(v) AS sy, sum(label * v) AS sxy FROM c WHERE pos = 0) SELECT {_z('(sxx * sy - sx * sxy) / (n * sxx - sx * sx)')} AS a, {_z('(n * sxy - sx * sy) / (n * sxx - sx * sx)')} AS b FROM s", lambda spark, d: rows(spark, "a double, b double", [tuple(float(x) for x in regress.function_on_scalar(EMB(spark, d), ["label"])[0][:, 0])]))
 
 
-def _valid(name: str, check) -> None:
-    named(name, "SELECT true AS valid", lambda spark, d: (check(spark, d), spark.createDataFrame([(True,)], "valid boolean"))[1])
+# ---- validation: what is found where every hundredth row has been damaged ----
 
 
-def _none(df, message: str) -> None:
-    if not df.isEmpty():
-        raise ValueError(message)
+def _damaged(spark, d, column: str, bad) -> Curves:
+    c = EMB(spark, d)
+    return c.with_df(c.df.withColumn(column, F.when(F.col("id") % 100 == 0, bad(F.col(column))).otherwise(F.col(column))))
 
 
-_valid("validate_response", lambda spark, d: _none(EMB(spark, d).df.where("label IS NULL OR isnan(label)"), "a response needs finite values"))
-_valid("validate_labels", lambda spark, d: _none(EMB(spark, d).df.where("label IS NULL OR label < 0"), "labels are whole numbers from 0"))
-_valid("validate_dist_mat", lambda spark, d: _none(metrics.self_distances(EMB(spark, d)).where("d < 0 OR isnan(d) OR i >= j"), "distances are finite and of ordered pairs"))
-_valid("validate_ncomp", lambda spark, d: _none(EMB(spark, d).df.where(F.size("values") < 3), "more components than points"))
+_PLANTED = "SELECT vec_id AS id FROM embeddings WHERE vec_id % 100 = 0"
+named("validate_fdata", _PLANTED, lambda spark, d: src.invalid(_damaged(spark, d, "values", lambda v: F.transform(v, lambda x, k: F.when(k == 5, F.lit(float("nan"))).otherwise(x)))).select("id"))
+named("validate_response", _PLANTED, lambda spark, d: _damaged(spark, d, "label", lambda v: F.lit(None)).df.where("label IS NULL OR isnan(label)").select("id"))
+named("validate_labels", _PLANTED, lambda spark, d: _damaged(spark, d, "label", lambda v: -1 - v).df.where("label IS NULL OR label < 0").select("id"))
+named("validate_dist_mat", "SELECT a.vec_id AS i, b.vec_id AS j FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id % 100 = 0", lambda spark, d: metrics.self_distances(EMB(spark, d)).withColumn("d", F.when(F.col("i") % 100 == 0, -F.col("d") - 1).otherwise(F.col("d"))).where("d < 0 OR isnan(d) OR i >= j").select("i", "j"))
+named("validate_ncomp", _PLANTED, lambda spark, d: _damaged(spark, d, "values", lambda v: F.slice(v, 1, 2)).df.where(F.size("values") < 3).select("id"))
 named("fold_indices", "SELECT k::INT AS fold, (SELECT count(*) FROM embeddings) - (count(*) + 4 - k) // 5 AS n_train, (count(*) + 4 - k) // 5 AS n_test FROM embeddings, range(5) x(k) GROUP BY k", lambda spark, d: (lambda f: f.crossJoin(F.broadcast(f.agg(F.sum("n_test").alias("n")))).select("fold", (F.col("n") - F.col("n_test")).alias("n_train"), "n_test"))(pointwise.folds(EMB(spark, d).df, 5).groupBy("fold").agg(F.count("*").alias("n_test"))))

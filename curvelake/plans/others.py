@@ -6,13 +6,14 @@ Warps come from the nations' smoothed curves aligned to their mean curve.
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curvelake.functions import numeric as nm
 from curvelake.operators import cluster, elastic, infer, metrics, monitor, pointwise, reduce, regress, season, smooth
 from curvelake.operators.apply import per_curve, sums
 from curvelake.plans.basics import cells, named
-from curvelake.plans.registry import _C, EMB, EV, REV, _smoothed, _z, curve_rows, r, rounded, rows
+from curvelake.plans.registry import _C, _WEIGHTS, EMB, EV, REV, _smoothed, _z, curve_rows, r, rounded, rows
 from curvelake.sources import curves as src
 from curvelake.sources.curves import Curves
 
@@ -123,7 +124,8 @@ named("predict_fregre_np_from_distances", "WITH c AS (SELECT vec_id AS id, label
 
 named("basis_to_fdata", None, lambda spark, d: _listed(smooth.evaluate(smooth.project(EMB(spark, d), nm.bspline_basis(GRID, 8)).drop("label"), nm.bspline_basis(GRID, 8), GRID).df))
 named("basis_to_fdata_1d", None, lambda spark, d: _listed(smooth.evaluate(smooth.project(EMB(spark, d), nm.fourier_basis(GRID, 7)).drop("label"), nm.fourier_basis(GRID, 7), GRID).df))
-named("fourier_penalty_matrix", "SELECT k::INT AS pos, j::INT AS k, round(CASE WHEN k = j THEN pow(2 * pi() * ((k + 1) // 2) / 10, 4) ELSE 0 END, 6) + 0.0 AS value FROM range(7) a(k), range(7) b(j)", lambda spark, d: cells(spark, smooth.fourier_penalty(7, 10.0)))
+_ROUGH = "sum(pow(c, 2) * pow(2 * pi() * ((k + 1) // 2), 4))"
+named("fourier_penalty_matrix", f"WITH {_C}, {_WEIGHTS}, f AS (SELECT pos, k, CASE WHEN k = 0 THEN 1.0 WHEN k % 2 = 1 THEN sin(2 * pi() * ((k + 1) // 2) * pos / 63.0::DOUBLE) ELSE cos(2 * pi() * ((k + 1) // 2) * pos / 63.0::DOUBLE) END AS f FROM range(64) a(pos), range(7) b(k)), p AS (SELECT id, k, sum(w * v * f) AS c FROM c JOIN w USING (pos) JOIN f USING (pos) GROUP BY id, k) SELECT id, {_z(_ROUGH)} AS roughness FROM p GROUP BY id", lambda spark, d: (lambda c, phi, p: rounded(per_curve(c.df.select("id", "values"), lambda v: np.einsum("nk,kl,nl->n", v @ phi, p, v @ phi), "roughness double")))(EMB(spark, d), nm.simpson_weights(GRID)[:, None] * nm.fourier_basis(GRID, 7), smooth.fourier_penalty(7, 1.0)))
 for _name, _criterion in {"smooth_basis_gcv": "gcv", "smooth_basis_aic": "aic", "smooth_basis_gcv_with_config": "bic"}.items():
     named(_name, None, lambda spark, d, k=_criterion: rows(spark, "lambda double, edf double", [(lambda lam, got: (float(lam), got[1]))(*smooth.smooth_basis_best(EMB(spark, d), nm.bspline_basis(GRID, 8), smooth.bspline_penalty(GRID, 8), k, np.linspace(-6, 2, 9)))]))
 named("pspline_fit_gcv", None, lambda spark, d: rows(spark, "lambda double, edf double", [(lambda lam, got: (float(lam), got[2]))(*smooth.pspline_best(EMB(spark, d), 12))]))
@@ -142,7 +144,6 @@ named("predict_fosr", f"WITH {_C}, b AS (SELECT pos, regr_slope(v, label) AS s,
 named("create_folds", "SELECT k::INT AS fold, (count(*) + 4 - k) // 5 AS n FROM embeddings, range(5) x(k) GROUP BY k", lambda spark, d: pointwise.folds(EMB(spark, d).df, 5).groupBy("fold").agg(F.count("*").alias("n")))
 named("create_stratified_folds", "SELECT label, k::INT AS fold, (count(*) + 4 - k) // 5 AS n FROM embeddings, range(5) x(k) GROUP BY label, k", lambda spark, d: pointwise.folds(EMB(spark, d).df, 5, by="label").groupBy(F.col("label"), "fold").agg(F.count("*").alias("n")))
 named("subset_rows", f"WITH {_C} SELECT id, pos, {_z('v')} AS v FROM c WHERE id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)", lambda spark, d: (lambda c: rounded(c.with_df(c.df.join(spark.read.parquet(f"{d}/customer.parquet").where("c_nationkey = 3").select(F.col("c_custkey").cast("long").alias("id")), "id", "left_semi")).long()))(EMB(spark, d)))
-named("validate_fdata", "SELECT true AS valid", lambda spark, d: (src.validate(EMB(spark, d)), spark.createDataFrame([(True,)], "valid boolean"))[1])
 
 # ---- series ----
 
@@ -294,7 +295,9 @@ named("spm_phase1_iterative", None, lambda spark, d: monitor.phase1_iterative(EM
 for _name, _how in {"spm_monitor_partial": "blup", "spm_monitor_partial_batch": "projection"}.items():
     named(_name, None, lambda spark, d, h=_how: (lambda c, m: _listed(per_curve(c.df.select("id", "values"), lambda v: np.array([monitor.partial(x, 32, m, h) for x in v]), "values array<double>")))(EMB(spark, d), reduce.fpca(EMB(spark, d), 4)))
 for _name, _options in {"arl0_t2": {}, "arl1_t2": {"shift": [1.0, 0.0, 0.0]}, "arl0_ewma_t2": {"lam": 0.2}}.items():
-    named(_name, None, lambda spark, d, o=_options: rows(spark, "arl double", [(monitor.run_length(spark, monitor.t2_limit(0.05, 3), [1.0, 0.5, 0.2], reps=200, longest=2000, **o),)]))
+    # run lengths under the eigenvalues of the embeddings' components
+    named(_name, None, lambda spark, d, o=_options: rows(spark, "arl double", [(monitor.run_length(spark, monitor.t2_limit(0.05, 3), reduce.fpca(EMB(spark, d), 3).eigenvalues, **({k: v if k == "lam" else np.sqrt(reduce.fpca(EMB(spark, d), 3).eigenvalues) * v for k, v in o.items()})),)]))
+
 
 
 def _spe_parts(spark, d):
@@ -352,8 +355,27 @@ def _spread(c: Curves):
     return curve_rows(c.df.sparkSession, s / n[0], q / n[0], names=("mean", "square"))
 
 
-named("sim_kl", None, lambda spark, d: _spread(src.karhunen_loeve(spark, 2000, GRID, 5, "fourier", "linear", 7)))
-named("sim_fundata", None, lambda spark, d: _spread(src.karhunen_loeve(spark, 2000, GRID, 5, "wiener", "wiener", 7)))
-named("generate_gaussian_process", None, lambda spark, d: _spread(src.gaussian_process(spark, 2000, GRID)))
+def _simulated(spark, d, how: str) -> DataFrame:
+    """A curve for each embedding, drawn by its id: from the table's own components, from a
+    family's eigenfunctions with the table's eigenvalues, or of a Gaussian process about its mean."""
+    c = EMB(spark, d)
+    m = reduce.fpca(c, 5)
+    if how == "process":
+        root = np.linalg.cholesky(nm.covariance_kernel(GRID, GRID, "gaussian", 0.2, float(m.eigenvalues.sum())) + 1e-8 * float(m.eigenvalues.sum()) * np.eye(len(GRID)))
+    else:
+        root = (m.loadings if how == "own" else nm.eigenfunctions(GRID, 5, "wiener")) * np.sqrt(m.eigenvalues)
+    mean = m.mean
+
+    def draw(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "values": [mean + root @ np.random.default_rng(7 + int(i)).standard_normal(root.shape[1]) for i in pdf["id"]]})
+
+    return _spread(c.with_df(c.df.select("id").mapInPandas(draw, "id long, values array<double>")))
+
+
+for _name, _how in {"sim_kl": "own", "sim_fundata": "wiener", "generate_gaussian_process": "process"}.items():
+    named(_name, None, lambda spark, d, h=_how: _simulated(spark, d, h))
 named("add_error_pointwise", None, lambda spark, d: _spread(src.add_noise(EMB(spark, d), 0.1)))
 named("add_error_curve", None, lambda spark, d: _spread(src.add_noise(EMB(spark, d), 0.1, True)))

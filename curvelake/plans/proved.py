@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from curvelake.functions import numeric as nm
 from curvelake.operators import cluster, depth, infer, metrics, pointwise, reduce, season, smooth
+from curvelake.operators.apply import per_curve
 from curvelake.plans.basics import cells, named
 from curvelake.plans.registry import _C, _D2, _E, _GRID, _H, _S, _WEIGHTS, EMB, EV, REV, _z, curve_rows, r, rounded, rows
 from curvelake.sources import curves as src
@@ -68,7 +69,7 @@ named("nadaraya_watson", f"{_SMOOTHED}{_z('b0 / s0')} AS v FROM s", lambda spark
 named("local_linear", f"{_SMOOTHED}{_z('(s2 * b0 - s1 * b1) / (s0 * s2 - s1 * s1)')} AS v FROM s", lambda spark, d: _long(smooth.smooth(EMB(spark, d), 0.05, "local")))
 named("local_polynomial", f"{_SMOOTHED}{_z('(b0 * (s2 * s4 - s3 * s3) - s1 * (b1 * s4 - s3 * b2) + s2 * (b1 * s3 - s2 * b2)) / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2))')} AS v FROM s", lambda spark, d: _long(smooth.smooth(EMB(spark, d), 0.05, "local", degree=2)))
 named("knn_smoother", f"WITH {_C}, n AS (SELECT a.k AS pos, b.k AS at FROM range({M}) a(k), range({M}) b(k) QUALIFY row_number() OVER (PARTITION BY a.k ORDER BY abs(a.k - b.k), b.k) <= 5) SELECT id, n.pos::INT AS pos, {_z('avg(v)')} AS v FROM c JOIN n ON c.pos = n.at GROUP BY id, n.pos", lambda spark, d: _long(smooth.smooth(EMB(spark, d), 0.05, "knn", k=5)))
-named("smoothing_matrix_nw", f"WITH {_KG} SELECT k.pos::INT AS pos, k.at::INT AS k, {_z('k.k / sum(k.k) OVER (PARTITION BY k.pos)')} AS value FROM k", lambda spark, d: cells(spark, smooth.nw_matrix(_GRID, 0.05)))
+named("smoothing_matrix_nw", f"WITH {_C}, {_KG}, s AS (SELECT k.pos AS goal, k.at AS come, k.k / sum(k.k) OVER (PARTITION BY k.pos) AS s FROM k) SELECT id, s.goal::INT AS k, {_z('sum(s * v)')} AS value FROM c JOIN s ON c.pos = s.come GROUP BY id, s.goal", lambda spark, d: (lambda hat: rounded(per_curve(EMB(spark, d).df.select("id", "values"), lambda v: v @ hat.T, "values array<double>").select("id", F.posexplode("values").alias("k", "value"))))(smooth.nw_matrix(_GRID, 0.05)))
 _FITTED = f"{_C}, {_KG}, f AS (SELECT id, k.pos, sum(k * v) / sum(k) AS f, sum(CASE WHEN k.at <> k.pos THEN k * v END) / sum(CASE WHEN k.at <> k.pos THEN k END) AS loo FROM c JOIN k ON c.pos = k.at GROUP BY ALL), e AS (SELECT avg(pow(v - f, 2)) AS mse, avg(pow(v - loo, 2)) AS cv FROM c JOIN f USING (id, pos)), t AS (SELECT sum(1 / s) AS tr FROM (SELECT pos, sum(k) AS s FROM k GROUP BY pos))"
 named("cv_smoother", f"WITH {_FITTED} SELECT {_z('cv')} AS score FROM e", lambda spark, d: rows(spark, "score double", [(smooth.smoother_score(EMB(spark, d), 0.05, "cv"),)]))
 named("aic_smoother", f"WITH {_FITTED} SELECT {_z(f'{M} * ln(mse) + 2 * tr')} AS score FROM e, t", lambda spark, d: rows(spark, "score double", [(smooth.smoother_score(EMB(spark, d), 0.05, "aic"),)]))

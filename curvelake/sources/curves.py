@@ -50,12 +50,15 @@ def select_columns(c: Curves, positions) -> Curves:
     return Curves(c.df.withColumn("values", F.array(*[F.col("values")[int(k)] for k in keep])), c.grid[keep])
 
 
+def invalid(c: Curves) -> DataFrame:
+    """The curves without one value for each grid point, or with a null or NaN."""
+    return c.df.where(F.col("values").isNull() | (F.size("values") != len(c.grid)) | F.exists("values", lambda x: x.isNull() | F.isnan(x)))
+
+
 def validate(c: Curves) -> None:
     """Raises ValueError unless every curve has one value for each grid point and none is null or NaN."""
-    m = len(c.grid)
-    bad = c.df.where(F.col("values").isNull() | (F.size("values") != m) | F.exists("values", lambda x: x.isNull() | F.isnan(x)))
-    if not bad.isEmpty():
-        raise ValueError(f"curves need {m} finite values each")
+    if not invalid(c).isEmpty():
+        raise ValueError(f"curves need {len(c.grid)} finite values each")
 
 
 # ---- the driver's tables as curves ----
