@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvelake.functions import special
-from curvelake.operators.apply import order_statistics, per_curve
+from curvelake.operators.apply import numbered, order_statistics, per_curve
 from curvelake.operators.reduce import Fpca, fpca
 from curvelake.sources.curves import Curves
 
@@ -202,6 +202,76 @@ def cusum_step(hi, lo, s, k: float, eig):
     return hi, lo, float(max(hi.max(), lo.max()))
 
 
+#: Rows of a series that one task carries on; a chunk's state is a few numbers.
+CHUNK = 50_000
+
+
+def charted(stats: DataFrame, eig, how: str = "mewma", limit: float = math.inf, order: str = "id", lam: float = 0.2, k: float = 0.5, exact: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """order, statistic, alarm of one series of scores, whatever its length: moving averages
+    (ewma, mewma) and cumulative sums without restarts (cusum).
+
+    Both are compositions of simple maps, a scaling with a shift or a shift with a floor, so a
+    chunk of rows is one such map.  Rows are numbered by buckets, each chunk becomes its map,
+    the maps (a row for every ``chunk`` rows) give the state that each chunk starts from, and
+    every chunk then goes on from its own.
+    """
+    import pandas as pd
+
+    if how not in ("ewma", "mewma", "cusum"):
+        raise ValueError(f"no composition for {how}")
+    eig = np.asarray(eig, float)
+    d, moving = len(eig), how != "cusum"
+    rows = numbered(stats.select(F.col(order).alias("_o"), F.col(order).cast("double").alias("_v"), "scores"), "_v", "_o", name="t")
+    rows = rows.select(F.floor((F.col("t") - 1) / chunk).cast("long").alias("chunk"), "t", "_o", "scores").persist()
+
+    def walk(scores, state):
+        """States after each row, from a start: averages, or upper and lower sums."""
+        out = np.empty((len(scores), len(state)))
+        for i, s in enumerate(scores):
+            if moving:
+                state = ewma_state(state, s, lam)
+            else:
+                u = s / np.sqrt(eig)
+                state = np.maximum(0, state + np.concatenate([u, -u]) - k)
+            out[i] = state
+        return out
+
+    def as_map(pdf):
+        """(scale, shift, floor): the state after the chunk is max(floor, scale x start + shift)."""
+        scores = np.stack(pdf.sort_values("t")["scores"].to_numpy())
+        if moving:
+            scale, shift, floor = (1 - lam) ** len(scores), walk(scores, np.zeros(d))[-1], np.full(d, -np.inf)
+        else:
+            u = scores / np.sqrt(eig)
+            both = np.hstack([u, -u]) - k
+            scale, shift, floor = 1.0, both.sum(0), walk(scores, np.zeros(2 * d))[-1]
+        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "scale": [scale], "shift": [shift], "floor": [floor]})
+
+    def starts(pdf):
+        state, out = np.zeros(d if moving else 2 * d), []
+        pdf = pdf.sort_values("chunk")
+        for scale, shift, floor in zip(pdf["scale"], pdf["shift"], pdf["floor"], strict=True):
+            out.append(state)
+            state = np.maximum(np.asarray(floor), scale * state + np.asarray(shift))
+        return pd.DataFrame({"chunk": pdf["chunk"], "start": out})
+
+    def go_on(pdf):
+        pdf = pdf.sort_values("t")
+        states = walk(np.stack(pdf["scores"].to_numpy()), np.array(pdf["start"].iloc[0]))
+        if moving:
+            t = pdf["t"].to_numpy()[:, None]
+            f = lam / (2 - lam) * ((1 - (1 - lam) ** (2 * t)) if exact else 1)
+            stat = (states**2 / (eig * f)).sum(1)
+        else:
+            stat = states.max(1)
+        return pd.DataFrame({"_o": pdf["_o"], "statistic": stat})
+
+    maps = rows.groupBy("chunk").applyInPandas(as_map, "chunk long, scale double, shift array<double>, floor array<double>")
+    begun = maps.groupBy(F.lit(0).alias("_g")).applyInPandas(starts, "chunk long, start array<double>")  # a row for every chunk of rows
+    out = rows.join(begun, "chunk").groupBy("chunk").applyInPandas(go_on, f"_o {dict(stats.dtypes)[order]}, statistic double")
+    return out.select(F.col("_o").alias(order), "statistic", (F.col("statistic") > limit).alias("alarm"))
+
+
 def sequential(stats: DataFrame, eig, how: str = "mewma", limit: float = math.inf, by: str | None = None, order: str = "id", restart: bool = False, **p) -> DataFrame:
     """order, statistic, alarm for each group's rows in order (one group without ``by``)."""
     import pandas as pd

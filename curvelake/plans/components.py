@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curvelake.operators import reduce, regress
+from curvelake.operators import monitor, reduce, regress
 from curvelake.plans.basics import named
 from curvelake.plans.registry import _C, _WEIGHTS, EMB, _z, curve_rows, rounded, rows
 
@@ -103,3 +103,27 @@ named("fpca_reconstruct", f"WITH {components(5)} SELECT id, pos::INT AS k, {_z('
 named("fregre_lm", f"WITH {components(4)}, {least_squares(4, 'label')} SELECT id, label, {_z(_line(4))} AS fit FROM x, co", lambda spark, d: (lambda c: rounded(_fit(c, "label", "linear", 4).select("id", "label", "fit")))(EMB(spark, d)))
 named("functional_logistic", f"WITH {components(4)}, {reweighted(4, '(label < 5)::INT', 'binomial')} SELECT id, (label < 5)::DOUBLE AS y, {_z(f'1 / (1 + exp(-({_line(4)})))')} AS fit FROM x, co", lambda spark, d: rounded(_fit(_binary(spark, d), "y", "binomial", 4).select("id", "y", "fit")))
 named("functional_poisson", f"WITH {components(3)}, {reweighted(3, 'label', 'poisson')} SELECT id, label, {_z(f'exp({_line(3)})')} AS fit FROM x, co", lambda spark, d: rounded(_fit(EMB(spark, d), "label", "poisson", 3).select("id", "label", "fit")))
+
+# ---- charts of the scores in the order of ids ----
+
+_SERIES = f"{components(3)}, y AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS t, s1 / sqrt(e1 / (n - 1)) AS u1, s2 / sqrt(e2 / (n - 1)) AS u2, s3 / sqrt(e3 / (n - 1)) AS u3 FROM x, ev, (SELECT count(*) AS n FROM x))"
+_Z = ", ".join(f"sum(0.2 * pow(0.8, a.t - b.t) * b.u{j}) AS z{j}" for j in (1, 2, 3))
+
+
+def _averages(factor: str) -> str:
+    return f"WITH {_SERIES}, q AS (SELECT a.id, any_value(a.t) AS t, {_Z} FROM y a JOIN y b ON b.t <= a.t GROUP BY a.id), r AS (SELECT id, (z1 * z1 + z2 * z2 + z3 * z3) / (0.2 / 1.8 * {factor}) AS s FROM q) SELECT id, {_z('s')} AS statistic, s > {monitor.t2_limit(0.01, 3)!r} AS alarm FROM r"
+
+
+_U = " UNION ALL ".join(f"SELECT id, t, {sign}u{j} - 0.5 AS u, {j} AS j, '{sign}' AS sign FROM y" for j in (1, 2, 3) for sign in ("", "-"))
+_SUMS = f"WITH {_SERIES}, u AS ({_U}), p AS (SELECT *, sum(u) OVER (PARTITION BY j, sign ORDER BY t) AS p FROM u), c AS (SELECT id, p - least(0, min(p) OVER (PARTITION BY j, sign ORDER BY t)) AS c FROM p), r AS (SELECT id, max(c) AS s FROM c GROUP BY id) SELECT id, {_z('s')} AS statistic, s > {monitor.t2_limit(0.01, 3)!r} AS alarm FROM r".replace("c AS (SELECT id, p -", "cs AS (SELECT id, p -").replace("FROM c GROUP BY id) SELECT id, round(s", "FROM cs GROUP BY id) SELECT id, round(s")
+
+
+def _chart(spark, d, how: str, **options):
+    c = EMB(spark, d)
+    m = reduce.fpca(c, 3)
+    return rounded(monitor.charted(monitor.statistics(c, m).select("id", "scores"), m.eigenvalues, how, monitor.t2_limit(0.01, 3), **options))
+
+
+named("spm_ewma_monitor", _averages("1"), lambda spark, d: _chart(spark, d, "ewma"))
+named("spm_mewma_monitor", _averages("(1 - pow(0.8, 2 * t))"), lambda spark, d: _chart(spark, d, "mewma", exact=True))
+named("spm_cusum_monitor", _SUMS, lambda spark, d: _chart(spark, d, "cusum"))

@@ -606,11 +606,9 @@ def _chart(name: str, how: str, **p) -> None:
     query()(run)
 
 
-_chart("spm_ewma_monitor", "ewma")
-_chart("spm_mewma_monitor", "mewma", exact=True)
 _chart("spm_amewma_monitor", "amewma")
 _chart("spm_mcusum_monitor", "mcusum")
-_chart("spm_cusum_monitor", "cusum", restart=True)
+_chart("spm_cusum_monitor_with_restart", "cusum", restart=True)
 
 _DAY = "x AS (SELECT (o_orderdate::DATE - DATE '1992-01-01')::BIGINT AS t, sum(o_totalprice)::DOUBLE AS v FROM orders GROUP BY ALL), z AS (SELECT t, (v - 150000) / 100000 AS z FROM x)"
 

@@ -97,3 +97,18 @@ def test_smoothers_keep_lines():
     assert np.allclose(smooth.local_polynomial(t, y, t, 0.1, 1), y)
     assert np.allclose(smooth.nadaraya_watson(t, np.ones((1, 30)), t, 0.1), 1)
     assert math.isclose(smooth.nw_matrix(t, 0.1).sum(), 30)
+
+
+def test_charts_by_chunks_equal_one_pass(spark):
+    from curvelake.operators import monitor
+
+    r = np.random.default_rng(8)
+    rows = [(int(i), [float(a) for a in r.normal(0.2, 1, 3)]) for i in r.permutation(103)]
+    stats, eig = spark.createDataFrame(rows, "id long, scores array<double>").repartition(3), [1.0, 0.5, 0.2]
+    for how, options in (("ewma", {}), ("mewma", {"exact": True}), ("cusum", {"k": 0.3})):
+        want = {x["id"]: (x["statistic"], x["alarm"]) for x in monitor.sequential(stats, eig, how, 3.0, **options).collect()}
+        for chunk in (1, 7, 50, 1000):
+            got = {x["id"]: (x["statistic"], x["alarm"]) for x in monitor.charted(stats, eig, how, 3.0, chunk=chunk, **options).collect()}
+            assert got.keys() == want.keys()
+            assert np.allclose([got[i][0] for i in want], [want[i][0] for i in want])
+            assert [got[i][1] for i in want] == [want[i][1] for i in want]
