@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelake.functions import numeric as nm
-from curvelake.operators import elastic_models, infer, mixed, models, selection, subspaces
-from curvelake.plans.basics import named
-from curvelake.plans.registry import _C, EMB, REV, _smoothed, _z, curve_rows, rounded, rows
+from curvelake.operators import elastic_models, infer, mixed, models, selection, sparse, subspaces, surfaces
+from curvelake.plans.basics import cells, named
+from curvelake.plans.registry import _C, EMB, EV, REV, _smoothed, _z, curve_rows, rounded, rows
 from curvelake.sources import curves as src
 from curvelake.sources.curves import Curves
 
@@ -206,3 +206,48 @@ named("history_index", _HISTORY, lambda spark, d: (lambda c: rounded(selection.h
 named("funfem_cluster", None, lambda spark, d: (lambda c: rounded(subspaces.discriminative(c, 3, 5).predict(c).select("id", "cluster", "probabilities")))(EMB(spark, d)))
 named("funhddC_cluster", None, lambda spark, d: (lambda c: rounded(subspaces.subspaces(c, 3, 2).predict(c).select("id", "cluster", "probabilities")))(EMB(spark, d)))
 named("align_cluster_fd", None, lambda spark, d: (lambda c: rounded(subspaces.align_clusters(c, 3)[1].select("id", "cluster", "distances")))(_smoothed(spark, d)))
+
+# ---- surfaces: embeddings as 8 x 8 cells, on the label ----
+
+SIDE, ROUGH = 8, (1.0, 10.0)
+_EIGEN = np.linalg.eigh(surfaces.difference_penalty(SIDE))
+_TURN = "u AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {k}, {float(_EIGEN[1][i, k])!r}::DOUBLE, {float(_EIGEN[0][k])!r}::DOUBLE)" for i in range(SIDE) for k in range(SIDE)) + ") t(i, k, u, e))"
+
+
+def _surface_sql(rest: str, where: str = "true") -> str:
+    """Cellwise lines, turned into the penalty's eigenvectors, scaled and turned back."""
+    return f"""WITH {_C}, {_TURN}, raw AS MATERIALIZED (SELECT pos, pos // {SIDE} AS i, pos % {SIDE} AS j, regr_intercept(v, label) AS b0, regr_slope(v, label) AS b1 FROM c WHERE {where} GROUP BY pos),
+f AS MATERIALIZED (SELECT a.k, b.k AS l, sum(a.u * b.u * b0) / (1 + {ROUGH[0]} * any_value(a.e) + {ROUGH[1]} * any_value(b.e)) AS f0, sum(a.u * b.u * b1) / (1 + {ROUGH[0]} * any_value(a.e) + {ROUGH[1]} * any_value(b.e)) AS f1 FROM raw JOIN u a ON a.i = raw.i JOIN u b ON b.i = raw.j GROUP BY a.k, b.k),
+b AS MATERIALIZED (SELECT ({SIDE} * a.i + b.i)::INT AS pos, sum(a.u * b.u * f0) AS b0, sum(a.u * b.u * f1) AS b1 FROM f JOIN u a ON a.k = f.k JOIN u b ON b.k = f.l GROUP BY a.i, b.i)
+{rest}"""
+
+
+def _surfaces(spark, d) -> DataFrame:
+    m = surfaces.regression(EMB(spark, d), ["label"], SIDE, SIDE, *ROUGH)
+    return curve_rows(spark, m.beta[0], m.beta[1], m.r2, names=("intercept", "slope", "r2"))
+
+
+def _held_out_surfaces(spark, d) -> DataFrame:
+    c = EMB(spark, d)
+    m = surfaces.regression(c.with_df(c.df.where("id % 100 != 0")), ["label"], SIDE, SIDE, *ROUGH)
+    return rounded(m.predict(c.df.where("id % 100 = 0").select("id", "label")).select("id", F.posexplode("values").alias("pos", "value")))
+
+
+named("fosr_2d", _surface_sql(f"SELECT pos, {_z('any_value(b0)')} AS intercept, {_z('any_value(b1)')} AS slope, {_z('1 - sum(pow(v - b0 - b1 * label, 2)) / (var_pop(v) * count(*))')} AS r2 FROM c JOIN b USING (pos) GROUP BY pos"), _surfaces)
+named("predict_fosr_2d", _surface_sql(f"SELECT vec_id AS id, pos, {_z('b0 + b1 * label')} AS value FROM embeddings, b WHERE vec_id % 100 = 0", "id % 100 <> 0"), _held_out_surfaces)
+
+# ---- sparse curves: users' events ----
+
+DAYS = np.linspace(1, 29, 15)
+
+
+def _kind(spark, d, kind: str) -> DataFrame:
+    """Events of one type as (id, t, v)."""
+    e = spark.read.parquet(f"{d}/events.parquet").where(F.col("event_type") == kind)
+    t = (F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 86_400_000_000
+    return e.select(F.col("user_id").cast("long").alias("id"), t.alias("t"), F.col("value").cast("double").alias("v")).where("t IS NOT NULL AND v IS NOT NULL")
+
+
+named("face_covariance", None, lambda spark, d: rounded(cells(spark, sparse.covariance([EV(spark, d)], [DAYS], 2.0).cov, ("s", "t"))))
+named("mface_covariance", None, lambda spark, d: rounded(cells(spark, sparse.covariance([_kind(spark, d, k) for k in ("view", "click", "purchase")], [DAYS] * 3, 2.0).cov, ("s", "t"))))
+named("face_trajectory", None, lambda spark, d: (lambda e: rounded(sparse.trajectories(e, sparse.covariance([e], [DAYS], 2.0), 2)))(EV(spark, d)))
