@@ -93,3 +93,35 @@ def test_dominating_many_rows():
     a, b = np.round(r.normal(size=(300, 3)), 1), np.round(r.normal(size=(130, 3)), 1)
     assert (depth.dominating(a, b, True) == (a[:, None] <= b[None]).all(2).sum(1)).all()
     assert (depth.dominating(a, b, False) == (a[:, None] >= b[None]).all(2).sum(1)).all()
+
+
+def labelled(c, x):
+    df = c.df.sparkSession.createDataFrame([(i, v.tolist(), i % 4) for i, v in enumerate(x)], "id long, values array<double>, label int").repartition(3)
+    return Curves(df, T)
+
+
+@pytest.mark.parametrize("few", [1, 40, 50_000])
+def test_f20_quantiles_of_pairs(sample, few):
+    c, x = sample
+    i, j = np.triu_indices(N, 1)
+    d = np.sqrt(metrics.squares(x * np.sqrt(c.weights), x * np.sqrt(c.weights))[i, j])
+    d = d[d > 0]
+    shares = [0.0, 1 / 6, 0.5, 1.0]
+    assert len(d) == len(i) - 3 and np.allclose(metrics.distance_quantiles(c, shares, cells=16 if few == 1 else 4096, most=few), np.quantile(d, shares), rtol=1e-9)
+
+
+def test_f24_f31_f32_sums_instead_of_rows_of_pairs(sample, monkeypatch):
+    from curvelake.operators import cluster, regress
+    from curvelake.plans import modelled
+
+    c = labelled(*sample)
+    y = c.df.select("id", c.df["label"].cast("double").alias("y"))
+    pairs = metrics.self_distances(c).cache()
+    old = regress.nonparametric(metrics.mirrored(pairs), y, 0.3).toPandas().sort_values("id")["fit"]
+    want = cluster.calinski_harabasz_from_distances(pairs, c.df.select("id", c.df["label"].alias("cluster"))).first()[0]
+    bad = apply.self_pairs(c.df, metrics.lp(c.weights), keep=modelled._bad_distances).toPandas()
+    assert sorted(zip(bad["i"], bad["j"])) == [(i, j) for i in (0, 100) for j in range(i + 1, N)]
+    # no rows of pairs from here on
+    monkeypatch.setattr(metrics, "self_distances", None)
+    assert np.allclose(regress.nonparametric_of(c, y, 0.3).toPandas().sort_values("id")["fit"], old)
+    assert np.isclose(cluster.calinski_harabasz_of_pairs(c, "label"), want)
