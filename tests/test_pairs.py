@@ -179,3 +179,16 @@ def test_f13_bands_of_all_pairs(sample, monkeypatch, size):
         want = [((low <= v) & (v <= high)).all(1).mean() for v in y]
         got = {r["id"]: r["depth"] for r in depth.band_all(few).collect()}
         assert np.allclose([got[k] for k in range(N)], want, rtol=1e-12)
+
+
+@pytest.mark.parametrize("size", [40, 4096])
+def test_f15_f16_kernel_depth_of_all_curves(sample, monkeypatch, size):
+    c, x = sample
+    monkeypatch.setattr(infer, "MOST_ROWS", 20)
+    in_blocks(monkeypatch, size)
+    got = {r["id"]: r["depth"] for r in depth.kernel_spatial_all(c, 1.0).collect()}
+    e = np.expm1(-((x[:, None] - x[None]) ** 2 @ c.weights))
+    den = np.sqrt(-2 * e)
+    inv = np.where(den > 1e-7, 1 / np.maximum(den, 1e-7), 0.0)
+    want = [1 - np.sqrt(max(inv[i] @ (e - e[i][:, None] - e[i]) @ inv[i], 0)) / N for i in range(N)]
+    assert np.allclose([got[i] for i in range(N)], want, atol=1e-8)
