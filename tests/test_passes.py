@@ -19,3 +19,22 @@ def test_f41_f43_f44_warps_are_computed_once(spark, fit):
     df = spark.createDataFrame([(i, [float(i)]) for i in range(6)], "id long, values array<double>").repartition(3)
     fit(apply.per_curve(df, warp, "warp array<double>"), t)
     assert seen.value <= 12  # once to see that they are few, once to hold them
+
+
+def test_f33_irregular_distances_of_one_curve_and_many(spark):
+    r = np.random.default_rng(4)
+    rows = []
+    for i in range(60):
+        n = int(r.integers(1, 9))
+        rows += [(i, float(x), float(y)) for x, y in zip(np.round(r.uniform(i % 7, 10, n), 1), r.normal(size=n))]
+        rows.append((i, rows[-1][1], 0.5))  # two values at one time
+    p = metrics.sorted_points(spark.createDataFrame(rows, "id long, t double, v double")).cache()
+    of = {q["id"]: (np.array(q["t"]), np.array(q["v"])) for q in p.collect()}
+    got = {(q["i"], q["j"]): q["d"] for q in metrics.cross_irregular(p.where("id % 5 = 0"), p).collect()}
+    assert set(got) == {(i, j) for i in range(0, 60, 5) for j in range(i + 1, 60)}
+    for k, d in got.items():
+        assert np.isclose(d, metrics.lp_irregular(*of[k[0]], *of[k[1]]), rtol=1e-12, equal_nan=True)
+    t, v = (np.concatenate([of[i][k] for i in range(60)]) for k in (0, 1))
+    first = np.cumsum([0, *(len(of[i][0]) for i in range(60))])
+    one = metrics.lp_irregular_many(*of[9], t, v, first, 1.0)
+    assert np.allclose(one, [metrics.lp_irregular(*of[9], *of[i], 1.0) for i in range(60)], rtol=1e-12, equal_nan=True)
