@@ -1,6 +1,6 @@
 """Choosing among many functional predictors, and regression on a weighted history.
 
-Both read the table once: Gram blocks of all predictors' scores (by fold), or of a
+Both read the table once or twice: Gram blocks of all predictors' scores (by fold), or of a
 curve's lagged values.  Penalty paths, cross-validation and fits then run on those blocks.
 """
 
@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curvelake.functions.numeric import simpson_weights
 from curvelake.operators import reduce, smooth
 from curvelake.operators.apply import per_curve, sums
 from curvelake.sources.curves import Curves
@@ -71,6 +72,52 @@ def group_descent(xx: np.ndarray, xy: np.ndarray, groups: list[np.ndarray], lam:
     return b, max_iter, False
 
 
+@dataclass
+class Scores:
+    """Components of every predictor, Gram blocks of their scores (then covariates) by fold, and
+    the table of id, y and x: the scores."""
+
+    components: list
+    folds: list
+    scored: DataFrame
+
+
+def gathered(predictors: list[Curves], y: str, covariates: str | None = None) -> DataFrame:
+    """id, y and x: the values of several curves of the same ids one after another, then the
+    covariates; y and covariates are in the first table."""
+    table = predictors[0].df.select("id", F.col(y).cast("double").alias("y"), F.col("values").alias("_v0"), *([F.col(covariates).alias("_z")] if covariates else []))
+    for p, c in enumerate(predictors[1:], 1):
+        table = table.join(c.df.select("id", F.col("values").alias(f"_v{p}")), "id")
+    return table.select("id", "y", F.concat(*[f"_v{p}" for p in range(len(predictors))], *(["_z"] if covariates else [])).alias("x"))
+
+
+def scores(table: DataFrame, grids: list[np.ndarray], k: int = 3, n_folds: int = 5) -> Scores:
+    """Two passes over a table as ``gathered`` gives it, whatever the number of predictors: the
+    mean, then by fold (ids modulo n_folds) the products of all values about it. Components come
+    from the products' blocks, and turn them into those of the scores."""
+    ends = np.cumsum([len(g) for g in grids])
+    own = [slice(e - len(g), e) for g, e in zip(grids, ends, strict=True)]
+    n, total = sums(table, lambda x: [np.array([len(x)]), x.sum(0)], ["x"])
+    mean = total / n[0]
+    mean[ends[-1] :] = 0  # covariates stay as they are
+
+    def parts(ids, x, v):
+        fold, x = ids.astype(np.int64) % n_folds, x - mean
+        each = [(x[fold == f], v[fold == f]) for f in range(n_folds)]
+        return [np.stack([a.T @ a for a, _ in each]), np.stack([a.T @ b for a, b in each]), np.array([[(b**2).sum(), b.sum(), len(b)] for _, b in each]), np.stack([a.sum(0) for a, _ in each])]
+
+    xx, xy, scalars, x = sums(table, parts, ["id", "x", "y"])
+    scatter = xx.sum(0)
+    bases = [reduce.solve_fpca(int(n[0]), mean[s], scatter[s, s], simpson_weights(g), k) for s, g in zip(own, grids, strict=True)]
+    sizes, free = [m.loadings.shape[1] for m in bases], len(mean) - ends[-1]
+    turn = np.zeros((len(mean), sum(sizes) + free))
+    for s, m, e in zip(own, bases, np.cumsum(sizes), strict=True):
+        turn[s, e - m.loadings.shape[1] : e] = m.weights[:, None] * m.loadings
+    turn[ends[-1] :, sum(sizes) :] = np.eye(free)
+    folds = [Gram(turn.T @ a @ turn, b @ turn, float(yy), c @ turn, float(sy), float(rows)) for a, b, c, (yy, sy, rows) in zip(xx, xy, x, scalars, strict=True)]
+    return Scores(bases, folds, per_curve(table.select("id", "y", "x"), lambda v: (v - mean) @ turn, "x array<double>", values="x"))
+
+
 @dataclass
 class Selection:
     components: list
@@ -91,9 +138,10 @@ class Selection:
         return per_curve(self.scored, lambda x: a + x @ b, "fit double", values="x")
 
 
-def select(predictors: list[Curves], y: str, k: int = 3, lam: float = 0.0, how: str = "lasso", covariates: str | None = None, n_grid: int = 20, n_folds: int = 5, max_iter: int = 200, tol: float = 1e-6) -> Selection:
+def select(predictors: list[Curves] | Scores, y: str = "y", k: int = 3, lam: float = 0.0, how: str = "lasso", covariates: str | None = None, n_grid: int = 20, n_folds: int = 5, max_iter: int = 200, tol: float = 1e-6) -> Selection:
     """Group penalty (lasso, scad, mcp; or ls: none) on the component scores of several curves
-    of the same ids; y and covariates (an array column) are in the first table.
+    of the same ids; y and covariates (an array column) are in the first table. With ``Scores``
+    no table is read; they have their own k, covariates and folds.
 
     ``lam`` of 0 takes the one of least error over folds (ids modulo n_folds) on a geometric
     grid from a hundredth of the largest useful penalty to it: the one that leaves no group
@@ -101,21 +149,10 @@ def select(predictors: list[Curves], y: str, k: int = 3, lam: float = 0.0, how:
     """
     if how not in ("lasso", "scad", "mcp", "ls"):
         raise ValueError(f"no penalty {how}")
-    bases = [reduce.fpca(c, k) for c in predictors]
-    table = predictors[0].df.select("id", F.col(y).cast("double").alias("y"), *([F.col(covariates).alias("z")] if covariates else []))
-    for p, (c, m) in enumerate(zip(predictors, bases, strict=True)):
-        table = table.join(per_curve(c.df.select("id", "values"), m.project, f"_s{p} array<double>"), "id")
+    data = predictors if isinstance(predictors, Scores) else scores(gathered(predictors, y, covariates), [c.grid for c in predictors], k, n_folds)
+    bases, folds = data.components, data.folds
     sizes = [m.loadings.shape[1] for m in bases]
-    scored = table.select("id", "y", F.concat(*[f"_s{p}" for p in range(len(bases))], *(["z"] if covariates else [])).alias("x"))
-
-    def parts(ids, x, v):
-        fold = ids.astype(np.int64) % n_folds
-        each = [(x[fold == f], v[fold == f]) for f in range(n_folds)]
-        return [np.stack([a.T @ a for a, _ in each]), np.stack([a.T @ b for a, b in each]), np.array([[(b**2).sum(), b.sum(), len(b)] for _, b in each]), np.stack([a.sum(0) for a, _ in each])]
-
-    xx, xy, scalars, x = sums(scored, parts, ["id", "x", "y"])
-    folds = [Gram(xx[f], xy[f], *[float(v) for v in scalars[f][:1]], x[f], float(scalars[f][1]), float(scalars[f][2])) for f in range(n_folds)]
-    whole = Gram(xx.sum(0), xy.sum(0), float(scalars[:, 0].sum()), x.sum(0), float(scalars[:, 1].sum()), float(scalars[:, 2].sum()))
+    whole = Gram(*[sum(getattr(f, x) for f in folds) for x in ("xx", "xy", "yy", "x", "y", "n")])
     ends = np.cumsum(sizes)
     groups = [np.arange(e - s, e) for s, e in zip(sizes, ends, strict=True)]
     free = np.arange(ends[-1], len(whole.xy))
@@ -141,7 +178,7 @@ def select(predictors: list[Curves], y: str, k: int = 3, lam: float = 0.0, how:
     total = whole.yy - whole.y**2 / whole.n
     coef = [b[g] for g in groups] + ([b[free]] if len(free) else [])
     active = [how == "ls" or float(np.linalg.norm(b[g])) > tol for g in groups]
-    return Selection(bases, groups, coef, intercept, active, lam, 1 - whole.errors(b, intercept) / total if total > 0 else 0.0, sweeps, converged, path, scored)
+    return Selection(bases, groups, coef, intercept, active, lam, 1 - whole.errors(b, intercept) / total if total > 0 else 0.0, sweeps, converged, path, data.scored)
 
 
 # ---- history ----

@@ -164,26 +164,28 @@ named("conformal_elastic_logistic", None, _classes)
 # ---- many predictors: what customers ordered, month by month, and how much in the year ----
 
 
-def _predictors(spark, d) -> list[Curves]:
-    """For each customer and year, curves of revenue, orders, discounts, taxes and returned items;
-    y: the year's quantity in 100."""
-    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
+NAMES = ("revenue", "orders", "discount", "tax", "returned")
+
+
+def _predictors(spark, d) -> DataFrame:
+    """id, y, x: for each customer and year, curves of revenue, orders, discounts, taxes and
+    returned items, one after another; y: the year's quantity in 100.
+
+    Orders are sent to their customer and year before months become columns: rows stay narrow."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
     line = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", *[F.col(f"l_{x}").cast("double").alias(x) for x in ("extendedprice", "discount", "tax", "quantity")], (F.col("l_returnflag") == "R").cast("double").alias("returned"))
     per_order = line.groupBy("l_orderkey").agg(*[F.sum(x).alias(x) for x in ("discount", "tax", "returned", "quantity")], (F.sum("extendedprice") / 100000).alias("revenue"))
-    both = o.join(per_order, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("orders", F.lit(1.0))
-    names = ("revenue", "orders", "discount", "tax", "returned")
-    month = F.month("o_orderdate")
-    sums_of = [F.array(*[F.sum(F.when(month == k + 1, F.col(x)).otherwise(0.0)) for k in range(MONTHS)]).alias(x) for x in names]
-    years = both.groupBy("o_custkey", F.year("o_orderdate").alias("year")).agg((F.sum("quantity") / 100).alias("y"), *sums_of)
-    years = years.withColumn("id", (F.col("o_custkey") * 10000 + F.col("year")).cast("long"))
-    return [Curves(years.select("id", "y", F.col(x).alias("values")), nm.unit_grid(MONTHS)) for x in names]
+    both = o.join(per_order, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("orders", F.lit(1.0)).select("o_custkey", "year", "month", "quantity", *NAMES).repartition("o_custkey", "year")
+    months = [F.sum(F.when(F.col("month") == k + 1, F.col(x)).otherwise(0.0)) for x in NAMES for k in range(MONTHS)]
+    years = both.groupBy("o_custkey", "year").agg((F.sum("quantity") / 100).alias("y"), F.array(*months).alias("x"))
+    return years.select((F.col("o_custkey") * 10000 + F.col("year")).cast("long").alias("id"), "y", "x")
 
 
 def _selected(spark, d) -> DataFrame:
     """Groups' norms under three penalties, each with its own cross-validated strength."""
-    predictors, out = _predictors(spark, d), []
+    scores, out = selection.scores(_predictors(spark, d), [nm.unit_grid(MONTHS)] * len(NAMES)), []
     for how in ("lasso", "scad", "mcp"):
-        m = selection.select(predictors, "y", 3, how=how)
+        m = selection.select(scores, how=how)
         out += [(how, p, bool(a), float(np.linalg.norm(b)), float(m.lam), float(m.r2)) for p, (a, b) in enumerate(zip(m.active, m.coef, strict=False))]
     return rows(spark, "penalty string, predictor int, active boolean, norm double, strength double, r2 double", out)
 

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from curvelake.functions import numeric as nm
-from curvelake.operators import apply, elastic, metrics
+from curvelake.operators import apply, elastic, metrics, selection
+from curvelake.sources.curves import Curves
 
 
 @pytest.mark.parametrize("fit", [elastic.warp_statistics, elastic.horizontal_fpca])
@@ -38,3 +39,31 @@ def test_f33_irregular_distances_of_one_curve_and_many(spark):
     first = np.cumsum([0, *(len(of[i][0]) for i in range(60))])
     one = metrics.lp_irregular_many(*of[9], t, v, first, 1.0)
     assert np.allclose(one, [metrics.lp_irregular(*of[9], *of[i], 1.0) for i in range(60)], rtol=1e-12, equal_nan=True)
+
+
+def test_f38_predictors_are_summed_twice(spark):
+    r, grid, seen = np.random.default_rng(5), nm.unit_grid(6), spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([(i, float(r.normal()), r.normal(size=6).tolist()) for i in range(40)], "id long, y double, values array<double>").repartition(3)
+
+    def same(v):
+        seen.add(len(v))
+        return v
+
+    c = [Curves(apply.per_curve(df.select("id", "y", "values"), same, "v array<double>").withColumnRenamed("v", "values"), grid) for _ in range(3)]
+    selection.select(c, "y", 2)
+    assert seen.value <= 2 * 3 * 40
+    once = selection.scores(selection.gathered(c, "y"), [grid] * 3, 2)
+    seen.value = 0
+    for how in ("lasso", "scad", "mcp"):
+        one, other = selection.select(once, how=how), selection.select(c, "y", 2, how=how)
+        assert np.allclose(np.concatenate(one.coef), np.concatenate(other.coef)) and one.lam == other.lam
+    assert seen.value <= 3 * 2 * 3 * 40  # the sums at hand read nothing
+
+
+def test_f38_variable_selection_reads_its_tables_twice(spark, monkeypatch):
+    from curvelake.plans import registry
+
+    passes, added = [], apply._added
+    monkeypatch.setattr(apply, "_added", lambda *a: passes.append(1) or added(*a))
+    assert registry.queries()["variable_selection"](spark, "/root/testdata/sf0.001").count() == 15
+    assert len(passes) <= 2
