@@ -128,3 +128,29 @@ def test_goodness_of_fit_from_sums(spark):
     y = fit + 0.3 * fit**2 + r.normal(size=200)
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(y, fit)], "y double, fit double").repartition(3)
     assert np.allclose(infer.goodness_of_fit_of(df, "y", "fit"), infer.goodness_of_fit(y - fit, fit))
+
+
+@pytest.mark.parametrize("points", [1, 4, M])
+def test_f42_threshold_by_points_equals_whole_replicates(sample, spark, monkeypatch, points):
+    from curvelake.operators import depth
+
+    c, x, _ = sample
+
+    def refused(*a):
+        raise AssertionError("a table's values went through the driver")
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refused)
+    monkeypatch.setattr(type(c.df), "toArrow", refused)
+    monkeypatch.setattr(depth, "DRAWN_BYTES", 8 * N * points)
+    monkeypatch.setattr(depth, "DRAWN_ROWS", 7)
+    monkeypatch.setattr(depth, "SENT_ROWS", 150)
+    largest = []
+    for b in range(5):
+        r = np.random.default_rng(1 + b)
+        y = x[r.integers(0, N, N)]
+        y = y + 0.05 * x.std(0, ddof=1) * r.standard_normal(y.shape)
+        rank = y.argsort(0).argsort(0) + 1
+        kept = y[np.argsort(np.minimum(rank, N - rank).sum(1), kind="stable")[N // 10 :]]
+        largest.append(np.sqrt(((y - kept.mean(0)) ** 2 / kept.var(0, ddof=1)).mean(1)).max())
+    assert np.isclose(depth.lrt_threshold(c, 5), max(largest), rtol=1e-12)
+    assert np.isclose(depth.lrt_threshold(c.with_df(c.df.repartition(2)), 5, 0.5), np.sort(largest)[2], rtol=1e-12)
