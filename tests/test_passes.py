@@ -67,3 +67,26 @@ def test_f38_variable_selection_reads_its_tables_twice(spark, monkeypatch):
     monkeypatch.setattr(apply, "_added", lambda *a: passes.append(1) or added(*a))
     assert registry.queries()["variable_selection"](spark, "/root/testdata/sf0.001").count() == 15
     assert len(passes) <= 2
+
+
+def test_f39_smoothed_curves_are_computed_once_and_apart(spark, monkeypatch):
+    from curvelake.plans import others, shaped
+
+    seen, r = spark.sparkContext.accumulator(0), np.random.default_rng(6)
+    rows = [(i, np.sin(shaped.T / 9 + r.uniform(-0.5, 0.5)).tolist()) for i in range(6)]
+
+    def same(v):
+        seen.add(len(v))
+        return v
+
+    def smoothed(spark, d):
+        df = spark.createDataFrame(rows, "id long, values array<double>")
+        return Curves(apply.per_curve(df, same, "v array<double>").withColumnRenamed("v", "values"), shaped.T)
+
+    monkeypatch.setattr(shaped, "_smoothed", smoothed)
+    monkeypatch.setattr(others, "_smoothed", smoothed)
+    plan = shaped._aligned(spark, "")
+    assert plan.count() == 6 and seen.value == 6
+    want = elastic.align_to(smoothed(spark, ""), np.mean([v for _, v in rows], 0), band=shaped.BAND)
+    for a, b in zip(plan.orderBy("id").collect(), want.orderBy("id").collect(), strict=True):
+        assert a["values"] == rows[a["id"]][1] and np.allclose(a["warp"], b["warp"]) and np.allclose(a["aligned"], b["aligned"])
