@@ -4,8 +4,12 @@ For a piece of the pre-tokenizer, place i of the table holds the last token of t
 exact encoding of the piece's first i bytes, and how many tokens that encoding has.
 A sequence of tokens is an encoding exactly when each neighbouring pair encodes to
 itself, so the last token at i is the one vocabulary word ending at i that forms
-such a pair with the last token at its own start.  One pass gives the counts of all
-prefixes; budgets and truncations read the table and encode nothing again.
+such a pair with the last token at its own start.  Words are tried from the shortest on and
+only while some token ends so.  Whether a pair encodes to itself is read by undoing
+its merges, latest first: it does unless a pair across the border has an earlier merge
+than the one that uses up either side.  Pieces that begin with the same bytes share
+their table up to there.  One pass gives the counts of all prefixes; a text is cut into
+pieces once, for its count and its longest prefix within a budget.
 
 A text's prefix ends in a piece that may be cut; only the cut piece (with the white
 space before it) is cut anew by the pattern, as the rest cannot change.
@@ -18,7 +22,9 @@ and null ids each give a row; other columns are ignored.
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import regex
 from pyspark.sql import DataFrame
@@ -30,6 +36,12 @@ from .words import map_batches
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE_PIECES = 800_000
 CACHE_PAIRS = 400_000
+CACHE_HEADS = 100_000
+#: pieces that begin with the same so many bytes share their table up to there
+HEAD = 5
+NONE = 1 << 40
+#: instead of a merge, for single bytes
+FIRST = (b"", b"", -1)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -54,14 +66,20 @@ class PrefixCounter:
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(merges)}
         self.vocabulary = {raw(t) for t in model["vocab"] if all(c in letters for c in t)}
-        self.longest = max(map(len, self.vocabulary))
+        #: a token's merge: left part, right part, rank
+        self.made = {a + b: (a, b, k) for (a, b), k in self.rank.items()}
+        #: each token has one merge, which comes after those of its parts: merges of a text go by rank
+        self.ordered = len(self.made) == len(self.rank) and all(self.made.get(t, FIRST)[2] < k for pair, k in self.rank.items() for t in pair)
         #: tokens that encode to themselves; no others stand in an encoding
-        self.whole = {t for t in self.vocabulary if self._encode(t) == [t]}
+        self.whole = self._whole()
+        #: what tokens end with, and whether it is one itself
+        self.ends = dict.fromkeys((t[k:] for t in self.whole for k in range(1, len(t))), False) | dict.fromkeys(self.whole, True)
         self.pattern = regex.compile(PATTERN)
         specials = [t["content"] for t in spec.get("added_tokens", []) if t["content"]]
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
         self.counts: dict[str, int] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.heads: dict[bytes, tuple[list[int], list[bytes]]] = {}
 
     # -- exact encoding of short byte strings: pairs of tokens only --
 
@@ -69,14 +87,36 @@ class PrefixCounter:
         parts = [raw[k : k + 1] for k in range(len(raw))]
         rank = self.rank
         while len(parts) > 1:
-            least, at = min((rank.get((parts[k], parts[k + 1]), 1 << 40), k) for k in range(len(parts) - 1))
-            if least == 1 << 40:
+            least, at = min((rank.get((parts[k], parts[k + 1]), NONE), k) for k in range(len(parts) - 1))
+            if least == NONE:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _whole(self) -> set[bytes]:
+        if not self.ordered:
+            return {t for t in self.vocabulary if self._encode(t) == [t]}
+        whole = {bytes([k]) for k in range(256)}
+        for (a, b), k in sorted(self.rank.items(), key=lambda x: x[1]):
+            if a in whole and b in whole and self._apart(a, b, k):
+                whole.add(a + b)
+        return whole & self.vocabulary
+
+    def _apart(self, a: bytes, b: bytes, limit: int = NONE) -> bool:
+        """Whether nothing is merged across the border of two whole tokens before rank ``limit``."""
+        rank, made = self.rank.get, self.made.get
+        while rank((a, b), NONE) >= limit:
+            left, right = made(a, FIRST), made(b, FIRST)
+            if left[2] > right[2]:
+                a, limit = left[1], left[2]
+            elif right[2] >= 0:
+                b, limit = right[0], right[2] + 1  # of equal pairs the left one is merged first
+            else:
+                return True
+        return False
+
     def _fits(self, a: bytes, b: bytes) -> bool:
-        known = self._encode(a + b) == [a, b]
+        known = self._apart(a, b) if self.ordered else self._encode(a + b) == [a, b]
         if len(self.pairs) >= CACHE_PAIRS:
             self.pairs.clear()
         self.pairs[a, b] = known
@@ -84,27 +124,42 @@ class PrefixCounter:
 
     def table(self, raw: bytes) -> list[int]:
         """Token counts of the prefixes of one piece: place i is for i bytes."""
-        n = len(raw)
-        count, last = [0] * (n + 1), [b""] * (n + 1)
-        whole, pairs, longest = self.whole, self.pairs.get, self.longest
-        for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
+        if len(raw) <= HEAD:
+            return self._extended(raw, [0], [b""])[0]
+        head = self.heads.get(raw[:HEAD])
+        if head is None:
+            head = self._extended(raw[:HEAD], [0], [b""])
+            if len(self.heads) >= CACHE_HEADS:
+                self.heads.clear()
+            self.heads[raw[:HEAD]] = head
+        return self._extended(raw, *map(list.copy, head))[0]
+
+    def _extended(self, raw: bytes, count: list[int], last: list[bytes]) -> tuple[list[int], list[bytes]]:
+        """A piece's table, counts and last tokens, from that of a beginning of it."""
+        ends, pairs = self.ends.get, self.pairs.get
+        for i in range(len(count), len(raw) + 1):
+            for j in range(i - 1, -1, -1):
                 token = raw[j:i]
-                if token in whole:
+                whole = ends(token)
+                if whole:
                     if not j:
                         break
                     known = pairs((last[j], token))
                     if self._fits(last[j], token) if known is None else known:
                         break
+                elif whole is None:
+                    raise ValueError(f"no encoding ends at byte {i} of {raw[:i]!r}")
             else:
                 raise ValueError(f"no encoding ends at byte {i} of {raw[:i]!r}")
-            count[i], last[i] = count[j] + 1, token
-        return count
+            count.append(count[j] + 1)
+            last.append(token)
+        return count, last
 
     def piece_count(self, piece: str) -> int:
         known = self.counts.get(piece)
         if known is None:
-            known = self.table(piece.encode())[-1]
+            raw = piece.encode()
+            known = 1 if raw in self.whole else self.table(raw)[-1]
             if len(piece) <= 64:
                 if len(self.counts) >= CACHE_PIECES:
                     self.counts.clear()
@@ -119,18 +174,16 @@ class PrefixCounter:
             return [(text, False)]
         return [(p, k % 2 == 1) for k, p in enumerate(self.special.split(text)) if p]
 
+    def _counted(self, part: str) -> tuple[list[str], list[int]]:
+        """Pieces of a part and their token counts."""
+        known, pieces = self.counts, self.pattern.findall(part)
+        counts = list(map(known.get, pieces))
+        if None in counts:
+            counts = [self.piece_count(p) if n is None else n for p, n in zip(pieces, counts, strict=True)]
+        return pieces, counts
+
     def count(self, text: str) -> int:
-        known, total = self.counts, 0
-        for part, special in self.parts(text):
-            if special:
-                total += 1
-                continue
-            pieces = self.pattern.findall(part)
-            counts = list(map(known.get, pieces))
-            if None in counts:
-                counts = [self.piece_count(p) if n is None else n for p, n in zip(pieces, counts, strict=True)]
-            total += sum(counts)
-        return total
+        return sum(1 if special else sum(self._counted(part)[1]) for part, special in self.parts(text))
 
     def _tails(self, part: str):
         """For each prefix length of a part from 1 on: its exact token count.
@@ -183,21 +236,27 @@ class PrefixCounter:
 
     def truncate(self, text: str, budget: int) -> int:
         """Code points of the longest prefix with at most ``budget`` tokens."""
-        total, at, pieces = 0, 0, []
+        return self.measure(text, budget)[1]
+
+    def measure(self, text: str, budget: int) -> tuple[int, int]:
+        """Token count of a text and code points of its longest prefix with at most ``budget`` tokens."""
         parts = self.parts(text)
-        for p, (part, special) in enumerate(parts):
-            if special:
-                if total + 1 > budget:
-                    return self._within(pieces, len(pieces), part[:-1], total, budget, at)
-                total, at, pieces = total + 1, at + len(part), []
-                continue
-            pieces = self.pattern.findall(part)
-            for k, piece in enumerate(pieces):
-                n = self.piece_count(piece)
-                if total + n > budget:
-                    return self._within(pieces, k, parts[p + 1][0][:-1] if p + 1 < len(parts) else "", total, budget, at)
-                total, at = total + n, at + len(piece)
-        return at
+        cut = [([], [1]) if special else self._counted(part) for part, special in parts]
+        sizes = [sum(counts) for _, counts in cut]
+        n = sum(sizes)
+        if n <= budget:
+            return n, len(text)
+        p = total = at = 0
+        while total + sizes[p] <= budget:
+            total, at, p = total + sizes[p], at + len(parts[p][0]), p + 1
+        if parts[p][1]:
+            pieces = cut[p - 1][0] if p else []
+            return n, self._within(pieces, len(pieces), parts[p][0][:-1], total, budget, at)
+        pieces, counts = cut[p]
+        behind = parts[p + 1][0][:-1] if p + 1 < len(parts) else ""
+        after = list(accumulate(counts, initial=total))
+        k = bisect_right(after, budget) - 1
+        return n, self._within(pieces, k, behind, after[k], budget, at + sum(map(len, pieces[:k])))
 
     def _within(self, pieces: list[str], k: int, behind: str, total: int, budget: int, at: int) -> int:
         """The longest prefix within the budget where piece k, which starts at ``at`` after
@@ -228,8 +287,8 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int) -> DataFrame:
         for first in range(0, len(texts), 256):
             for text in texts.slice(first, 256).to_pylist():
                 text = text or ""
-                n = counter.count(text)
-                rows.append((len(text.encode()), n, n > limit, counter.truncate(text, limit) if n > limit else len(text)))
+                n, within = counter.measure(text, limit)
+                rows.append((len(text.encode()), n, n > limit, within))
         yield [batch.column("doc_id"), *zip(*rows, strict=True)]
 
     kept = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

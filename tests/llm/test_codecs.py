@@ -1,6 +1,8 @@
 """BPE, prefix counts and JPEG against libraries, brute force and round trips."""
 
 import base64
+import itertools
+import json
 import random
 
 import numpy as np
@@ -53,6 +55,44 @@ def test_counts_of_all_prefixes(counter):
             assert counter.truncate(text, budget) == max(k for k, n in enumerate(brute) if n <= budget), (text, budget)
 
 
+def test_counting_cuts_a_text_once_and_encodes_no_pair(counter, monkeypatch):
+    texts = [t for t in TEXTS + random_texts(100, 3) if "<|" not in t]
+    wanted = [(counter.count(t), counter.truncate(t, 4)) for t in texts]
+    r, tokens = random.Random(4), sorted(counter.whole)
+    pairs = [(r.choice(tokens), r.choice(tokens)) for _ in range(3000)] + [(t, t) for t in tokens[:1000]] + [(b"-" * 2, b"-"), (b"-", b"-" * 2)]
+    assert [counter._apart(a, b) for a, b in pairs] == [counter._encode(a + b) == [a, b] for a, b in pairs]
+
+    class Cuts:
+        texts = []
+
+        def findall(self, text):
+            self.texts.append(text)
+            return pattern.findall(text)
+
+    pattern, cuts = counter.pattern, Cuts()
+    monkeypatch.setattr(counter, "pattern", cuts)
+    monkeypatch.setattr(counter, "_encode", None)
+    counter.counts.clear()
+    counter.pairs.clear()
+    assert [counter.measure(t, 4) for t in texts] == wanted
+    assert all(cuts.texts.count(t) == texts.count(t) for t in texts if len(pattern.findall(t)) > 9)
+
+
+@pytest.mark.parametrize("merges", [["a b", "b c", "ab c"], ["a b", "b c", "ab c", "a bc"], ["a a", "aa a", "aa aa", "b aa"], ["b c", "a bc", "c a", "abc a", "a b"]])
+def test_counts_by_other_merges(merges):
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        spec = json.load(f)
+    letters = [t for t in spec["model"]["vocab"] if len(t) == 1]
+    spec["model"]["vocab"] = {t: k for k, t in enumerate(dict.fromkeys(letters + [m.replace(" ", "") for m in merges]))}
+    spec["model"]["merges"] = merges
+    spec["added_tokens"] = []
+    small, library = PrefixCounter(json.dumps(spec).encode()), Tokenizer.from_str(json.dumps(spec))
+    assert small.ordered == (len({m.replace(" ", "") for m in merges}) == len(merges))
+    for n in range(1, 8):
+        for text in map("".join, itertools.product("abc", repeat=n)):
+            assert small.count(text) == len(library.encode(text, add_special_tokens=False).ids), text
+
+
 def payloads():
     r = np.random.default_rng(3)
     yield bytes(64)
