@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curvelake.operators import reduce
-from curvelake.operators.apply import matrix, per_curve, sums
+from curvelake.operators.apply import block_sums, matrix, per_curve, sums
 from curvelake.sources.curves import Curves
 
 LEAST = 1e-15
@@ -244,30 +244,48 @@ def permutation_test(c: Curves, subject: str, x: str, k: int = 3, n_perm: int =
     """Integrated squared effect of each covariate, and its p-value over permutations of the
     covariates among rows.
 
-    Rows of a replicate take the covariates of the next row of their bucket in a hash's
-    order (explain's permutation), and each replicate is a model of its own sums.
+    Rows meet in blocks of whole subjects, drawn by a hash, and a replicate permutes the covariates
+    within each block; blocks add up all replicates' sums, so that no row is written for a
+    replicate. A subject's rows lie in one block.
     """
-    from curvelake.operators.explain import _shuffled
-
     m, _, p = _scored(c, subject, x, k)
     q = m.loadings.shape[1]
-    kept = per_curve(c.df.select("id", F.col(subject).alias("subject"), F.col(x).alias("x"), "values"), m.project, "scores array<double>")
-    plain = kept.select("subject", "x", "scores")
+    plain = per_curve(c.df.select(F.col("id").alias("row"), F.col(subject).alias("subject"), F.col(x).alias("x"), "values"), m.project, "scores array<double>").persist()
     t = totals(plain, by_subject(plain, "subject", "x", "scores", p, q), "x", "scores", p, q)
     gram = m.loadings.T @ m.loadings / max(len(m.mean) - 1, 1)
     statistic = lambda f: np.einsum("pk,kj,pj->p", f.gamma, gram, f.gamma)
     observed = statistic(fit(t))
-    each = kept.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-    mixed = _shuffled(each, t.n, ["rep"], seed, "x").select("rep", "subject", F.col("new_x").alias("x"), "scores")
-    xy = [F.sum(F.get("x", F.lit(i)) * F.get("scores", F.lit(j))).alias(f"xy{i}_{j}") for i in range(p) for j in range(q)]
-    people = by_subject(mixed, "subject", "x", "scores", p, q, ["rep"], xy)
+    xy, sxx, sxy = permuted_sums(plain, t.size, n_perm, seed)
+    plain.unpersist()
     more = np.zeros(p, int)
-    for _, got in _by_size(people, p, q, ["rep"], [f"xy{i}_{j}" for i in range(p) for j in range(q)]):
-        replaced = replace(t, **got)
-        more += statistic(fit(replaced)) >= observed
+    for own in zip(xy, sxx, sxy, strict=True):
+        more += statistic(fit(replace(t, **dict(zip(("xy", "sxx", "sxy"), own, strict=True))))) >= observed
     return observed, (more + 1) / (n_perm + 1)
 
 
+def permuted_sums(df: DataFrame, sizes: np.ndarray, n_perm: int, seed: int, block: int = 16_384) -> list[np.ndarray]:
+    """For each replicate: sums of x scores' over rows and, by size of a subject, of its row sums'
+    products, where x is permuted within blocks; df: row, subject, x, scores."""
+
+    def sums_of(at, _, who, x, scores):
+        first = np.flatnonzero(np.append(True, who[1:] != who[:-1]))  # rows come by subject
+        size = np.searchsorted(sizes, np.diff(np.append(first, len(who))))
+        p, q, g = x.shape[1], scores.shape[1], len(sizes)
+        sy, order = np.add.reduceat(scores, first), np.argsort(size, kind="stable")
+        present, start = np.unique(size[order], return_index=True)
+        xy, sxx, sxy = np.zeros((n_perm, p, q)), np.zeros((n_perm, g, p, p)), np.zeros((n_perm, g, p, q))
+        for k in range(n_perm):
+            new = x[np.random.default_rng([seed, at, k]).permutation(len(x))]
+            sx = np.add.reduceat(new, first)
+            xy[k] = new.T @ scores
+            for rows, s in zip(np.split(order, start[1:]), present, strict=True):
+                sxx[k, s], sxy[k, s] = sx[rows].T @ sx[rows], sx[rows].T @ sy[rows]
+        return [xy, sxx, sxy]
+
+    rows = df.select(F.col("subject").alias("id"), "row", F.col("subject").cast("string").alias("who"), "x", "scores")
+    return block_sums(rows, lambda at, own, row, who, x, scores: sums_of(at, own, who, x, scores), ["row", "who", "x", "scores"], lambda counts: counts, block)
+
+
 @dataclass
 class Pointwise:
     """A mixed model at every grid point; effects smoothed along the grid."""
